@@ -48,3 +48,35 @@ def op9_quality_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return scored(table(spark, sf_dir, "documents"), labels)
+
+
+@query
+def op2_norm_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+ORACLE_SQL["op2_norm_bucket_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op10_minhash_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.minhash import linked
+
+    return linked(table(spark, sf_dir, "documents"), 85)
