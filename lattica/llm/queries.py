@@ -80,3 +80,10 @@ def op10_minhash_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.minhash import linked
 
     return linked(table(spark, sf_dir, "documents"), 85)
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.suffix import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents")).drop("kept")
