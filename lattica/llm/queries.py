@@ -87,3 +87,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.suffix import deduplicated
 
     return deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.pii import report
+
+    return report(table(spark, sf_dir, "documents"))
