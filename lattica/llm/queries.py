@@ -94,3 +94,17 @@ def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.pii import report
 
     return report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.licenses import scanned
+
+    return scanned(table(spark, sf_dir, "documents"))
