@@ -219,3 +219,10 @@ def linked(docs: DataFrame, percent: int = 85) -> DataFrame:
     smallest = F.coalesce("comp", "node", "doc_id")
     out = base.drop("sig").join(classes, "class", "left").join(comps, "node", "left")
     return out.select("doc_id", "n_shingles", smallest.alias("component_id"), F.coalesce(F.col("doc_id") == smallest, F.lit(True)).alias("kept"))
+
+
+def unique(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One document of each group, with all its columns: that of the smallest doc_id. Rows without doc_id stay."""
+    gone = linked(docs, percent).where("NOT kept").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).union(docs.where("doc_id IS NULL"))
