@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, quality
+from lattica.llm import bpe, decontam, minhash, pii, quality
 from lattica.llm.common import table, written
 
 #: No SQL says what the classifier and the tokenizer do; the tests hold run() against a brute-force version.
@@ -18,6 +18,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.accepted(docs, labels)
 
 
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return minhash.unique(docs, 85)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data, and terms that reveal it, replaced."""
+    return pii.redacted(docs)
+
+
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text and what they decode to."""
     import public_tokenizers
@@ -25,7 +40,7 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality classifier", quality_stage), ("byte-level BPE", encode_stage)]
+STAGES = [("quality classifier", quality_stage), ("MinHash near-dedup", dedup_stage), ("benchmark decontamination", decontamination_stage), ("PII", pii_stage), ("byte-level BPE", encode_stage)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
