@@ -166,7 +166,7 @@ def is_complex_expression(expression: C) -> Column:
 
 
 def members(expression: C, separator: str) -> Column:
-    return F.filter(F.transform(F.split(col(expression), f" \\Q{separator}\\E "), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(col(expression), f" \\Q{separator}\\E "), lambda x: F.trim(x)), lambda x: x != "")
 
 
 # Labels of axiom kinds.

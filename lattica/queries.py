@@ -47,7 +47,7 @@ define("p8_sql_and_or", lambda c: run_sql(c, f"SELECT iri FROM entities WHERE ki
 define("p9_sql_parentheses", lambda c: run_sql(c, "SELECT iri FROM entities WHERE (kind = 'class' OR kind = 'individual') AND ((deprecated = 'true'))").frame, "SELECT iri FROM ent WHERE kind IN ('class', 'individual') AND deprecated")
 define("p10_sql_constant", lambda c: run_sql(c, "SELECT prefix, iri FROM namespaces WHERE TRUE OR FALSE").frame, f"SELECT 't' AS prefix, '{T}' AS iri FROM doc")
 define("p11_sql_literals", lambda c: run_sql(c, "SELECT iri FROM properties WHERE deprecated = false AND 'a' = 'a'").frame, "SELECT iri FROM ent WHERE kind IN ('object_property', 'data_property', 'annotation_property')")
-define("p13_sql_permissive", lambda c: run_sql(c, "SELECT kind, count(*) AS n FROM entities GROUP BY kind ORDER BY n DESC LIMIT 3", permissive=True).frame, "SELECT kind, count(*) AS n FROM ent GROUP BY kind ORDER BY n DESC LIMIT 3")
+define("p13_sql_permissive", lambda c: run_sql(c, "SELECT kind, count(*) AS n FROM entities GROUP BY kind ORDER BY n DESC, kind LIMIT 3", permissive=True).frame, "SELECT kind, count(*) AS n FROM ent GROUP BY kind ORDER BY n DESC, kind LIMIT 3")
 define("p15_sql_row_cap", lambda c: run_sql(c, "SELECT iri FROM individuals").capped(1000)[0].agg(F.count("*").alias("n")), "SELECT least(count(*), 1000) AS n FROM ent WHERE kind = 'individual'")
 for _kind, _view in (("class", "classes"), ("object_property", "object_properties"), ("data_property", "data_properties"), ("annotation_property", "annotation_properties")):
     define(f"view_{_view}", lambda c, v=_view: c.view(v), f"SELECT {_ENT} FROM ent WHERE kind = '{_kind}'")
@@ -167,7 +167,7 @@ define("f17_members", lambda c: c.spark.range(1).select(F.explode(X.members(F.li
 define("f18_axiom_display", lambda c: c.axioms.select(X.axiom_label("axiom_kind").alias("label"), X.axiom_display("axiom_kind", "predicate", "object").alias("display")).where("label = 'Domain' OR label = 'Range'"), "SELECT CASE axiom_kind WHEN 'domain' THEN 'Domain' ELSE 'Range' END AS label, CASE axiom_kind WHEN 'domain' THEN 'Domain ' ELSE 'Range ' END || regexp_extract(object, '[^/]*$') AS display FROM ax WHERE axiom_kind IN ('domain', 'range')")
 define("f19_links", lambda spark, sf: _linked(spark, sf), "SELECT p_partkey, kind, url FROM (SELECT p_partkey, 'pubmed' AS kind, 'https://pubmed.ncbi.nlm.nih.gov/' || CAST(p_partkey AS VARCHAR) AS url FROM part UNION ALL SELECT p_partkey, 'doi', 'https://doi.org/10.1000/' || CAST(p_size AS VARCHAR) FROM part)", tables=True)
 define("f20_abbreviate", lambda spark, sf: _TEXTS(spark, sf).select("doc_id", X.abbreviate("text", 40).alias("t")), "SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE substr(text, 1, 37) || '...' END AS t FROM documents", tables=True)
-define("f20_iso_utc", lambda spark, sf: spark.read.parquet(f"{sf}/events.parquet").select("event_id", X.iso_utc(F.unix_seconds("ts")).alias("t")), "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS t FROM events", tables=True)
+define("f20_iso_utc", lambda spark, sf: spark.read.parquet(f"{sf}/events.parquet").select("event_id", X.iso_utc(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("t")), "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS t FROM events", tables=True)
 define("f22_strip_turtle", lambda spark, sf: spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", X.strip_turtle(F.concat(F.lit("<u#x> a \"#"), "p_name", F.lit("\" . # "), "p_brand")).alias("t")), "SELECT p_partkey, '<u#x> a  . ' AS t FROM part", tables=True)
 define("f23_first_location", lambda spark, sf: spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", X.first_location(F.concat(F.lit("x:ab\n y x:a ."), "p_name"), F.lit("x:a")).alias("l")).select("p_partkey", "l.line", "l.column"), "SELECT p_partkey, CAST(2 AS BIGINT) AS line, CAST(3 AS BIGINT) AS \"column\" FROM part", tables=True)
 define("f24_bounded", lambda spark, sf: _TEXTS(spark, sf).select("doc_id", X.bounded("text", F.lit("the")).alias("hit")), "SELECT doc_id, regexp_matches(text, '(^|[^\\pL\\pN_:.-])the([^\\pL\\pN_.:-]|[.:]([^\\pL\\pN_]|$)|$)') AS hit FROM documents WHERE false", tables=True)
