@@ -10,8 +10,8 @@ shared values is skipped altogether, and others are posted only under the rarest
 agree often enough share a value within those prefixes, very common values (of passages in many documents) are never
 merged. Merging with skips: under each value every class is first compared with one class chosen by hash, differently
 in each round; the links found are contracted into components, and a list whose classes are in one component already
-is skipped. What is left, pairs across components, is then enumerated in cells of bounded size, each pair once, and
-kept if lengths and collisions allow a link. Every link is confirmed on the full sets of both texts.
+is skipped. What is left, pairs across components, is then looked at in cells of bounded size, each pair once; lengths
+and collisions must allow a link. Every link is confirmed on the full sets of both texts.
 
 Defined results: null, empty and blank texts have no set and are linked with nothing (n_shingles 0, kept); a row
 without doc_id takes part in nothing (component_id null, kept); rows that share a doc_id are one document; ties go to
@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import written
 
-WORDS, COORDINATES, SEED, ROUNDS = 5, 64, 11, 3
-#: Posting lists that a plain join pairs; classes in a block of a longer one (a cell compares two blocks); shingles hashed at once.
-SHORT, BLOCK, AT_ONCE = 32, 2_048, 8_192
+WORDS, COORDINATES, SEED, ROUNDS = 5, 64, 11, 1
+#: Posting lists that a plain join pairs; classes in a block of a longer one (a cell compares two blocks);
+#: candidates that are compared one by one; shingles hashed at once.
+SHORT, BLOCK, FEW, AT_ONCE = 32, 2_048, 12, 8_192
 
 _rng = np.random.default_rng(SEED)
 _MULTIPLY = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,9 +137,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _cross_pairs(cells: DataFrame, least: int, percent: int) -> DataFrame:
-    """Cells (token, i, j) of rows (own, node, comp, n, sig, prefix): pairs across components of the blocks i and j, each
-    pair at the smallest value that both prefixes hold."""
+def _cross_links(cells: DataFrame, least: int, percent: int) -> DataFrame:
+    """Cells (token, i, j) of rows (own, node, comp, n, sig, prefix, text): links across components of the blocks i and j.
+
+    Each pair is looked at where the smallest value that both prefixes hold is posted. What lengths and signatures allow
+    is decided on the full sets, by merging the lists of the block's shingles; of the links only those are handed on that
+    join components not yet joined in the cell, so its output is smaller than its input, however dense a group is."""
     kind = cells.schema["node"].dataType.simpleString()
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
@@ -146,16 +150,49 @@ def _cross_pairs(cells: DataFrame, least: int, percent: int) -> DataFrame:
         left, right = cell[cell["own"] == i], cell[cell["own"] == j]
         found = []
         if len(left) and len(right):
-            sigs, prefixes = np.stack(right["sig"].to_numpy()), right["prefix"].to_numpy()
-            nodes, comps, sizes = (right[c].to_numpy() for c in ("node", "comp", "n"))
-            for node, comp, n, sig, prefix in zip(left["node"], left["comp"], left["n"], left["sig"], left["prefix"]):
+            nodes, sizes, sigs = right["node"].to_numpy(), right["n"].to_numpy(), np.stack(right["sig"].to_numpy())
+            posted: dict[int, np.ndarray] = {}
+            for k, prefix in enumerate(right["prefix"]):
+                for value in prefix[prefix < token].tolist():
+                    posted.setdefault(value, np.zeros(len(nodes), bool))[k] = True
+            sets = [shingle_set(words_of(t)) for t in right["text"]]
+            order = np.argsort(np.concatenate(sets), kind="stable")
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+            values, many = np.unique(np.concatenate(sets), return_counts=True)
+            begin = np.cumsum(many) - many
+            root: dict = {}
+
+            def find(c):
+                while (up := root.get(c, c)) != c:
+                    root[c] = c = root.get(up, up)
+                return c
+
+            comps = right["comp"].to_numpy()
+            for node, comp, n, sig, prefix, text in zip(left["node"], left["comp"], left["n"], left["sig"], left["prefix"], left["text"]):
                 ok = (comps != comp) & (np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * percent)
                 if i == j:
                     ok &= nodes > node
+                for value in prefix[prefix < token].tolist():
+                    if value in posted:
+                        ok &= ~posted[value]
                 at = np.flatnonzero(ok)
                 at = at[(sigs[at] == sig).sum(1) >= least]
-                own = prefix[prefix < token]
-                found += [(node, nodes[k]) for k in at if not np.isin(own, prefixes[k]).any()]
+                if not len(at):
+                    continue
+                own = shingle_set(words_of(text))
+                if len(at) <= FEW:
+                    shared = np.array([len(np.intersect1d(own, sets[k], assume_unique=True)) for k in at])
+                else:
+                    where = np.searchsorted(values, own)
+                    where = where[(where < len(values)) & (values[np.minimum(where, len(values) - 1)] == own)]
+                    long = many[where]
+                    take = np.repeat(begin[where] - (np.cumsum(long) - long), long) + np.arange(long.sum())
+                    shared = np.bincount(owner[take], minlength=len(nodes))[at]
+                for k in at[(shared > 0) & (100 * shared >= percent * (n + sizes[at] - shared))]:
+                    x, y = find(comp), find(comps[k])
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        found.append((node, nodes[k]))
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return cells.groupBy("token", "i", "j").applyInPandas(run, f"a {kind}, b {kind}")
@@ -213,8 +250,8 @@ def linked(docs: DataFrame, percent: int = 85) -> DataFrame:
     short = alike(short, least)
     blocks = F.ceil(F.col("g") / BLOCK).cast("int")
     long = rest.where(F.col("g") > SHORT).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = long.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp").join(nodes, "node")
-    add(confirmed(short.union(_cross_pairs(cells, least, percent)).distinct(), texts, percent))
+    cells = long.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp").join(nodes, "node").join(texts, "node")
+    add(confirmed(short, texts, percent).union(_cross_links(cells, least, percent)))
 
     smallest = F.coalesce("comp", "node", "doc_id")
     out = base.drop("sig").join(classes, "class", "left").join(comps, "node", "left")
