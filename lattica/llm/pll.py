@@ -31,8 +31,9 @@ OWN, SHARED, KEPT = 191, 64, 20_000
 CLASSES = OWN + SHARED
 PAD = CLASSES
 WINDOW, UNITS, ROUNDS, STRIDE, RATE, BATCH = 2, 24, 2, 16, 0.05, 512
-#: Distinct words that a task counts before it hands them on; words a worker remembers; tokens scored at once.
-COUNTING, CACHE, AT_ONCE = 300_000, 500_000, 16_384
+#: Distinct words that a task counts before it hands them on; words a worker remembers; tokens
+#: scored at once (their logits stay in a core's cache).
+COUNTING, CACHE, AT_ONCE = 300_000, 500_000, 2_048
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -60,12 +61,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary(dict):
-    """Word to (class, log of its share of the class), filled as words are met."""
+    """Word to its class, filled as words are met; ``within`` has the log of its share of the class."""
 
     def __init__(self, frequent: list[tuple[str, int]], shared: dict[int, tuple[int, int]]):
         """frequent: words and counts, most frequent first. shared: of each shared class, the sum of counts and the distinct words."""
         super().__init__()
         self.frequent, self.shared = frequent, shared
+        self.within: dict[str, float] = {}
         rest = {k: [n, d] for k, (n, d) in shared.items()}
         self.known: dict[str, tuple[int, float]] = {}
         for i, (word, n) in enumerate(frequent):
@@ -82,14 +84,19 @@ class Vocabulary(dict):
     def __reduce__(self):
         return Vocabulary, (self.frequent, self.shared)
 
-    def __missing__(self, word: str) -> tuple[int, float]:
+    def __missing__(self, word: str) -> int:
         if (found := self.known.get(word)) is None:
             k = shared_class(word)
             found = OWN + k, self.other.get(k, -20.0)
+        self[word], self.within[word] = found
+        return found[0]
+
+    def read(self, tokens: list[str]) -> tuple[bytes, float]:
+        """The classes of tokens, and the sum of their logs."""
         if len(self) > CACHE:
             self.clear()
-        self[word] = found
-        return found
+            self.within.clear()
+        return bytes(map(self.__getitem__, tokens)), math.fsum(map(self.within.__getitem__, tokens))
 
 
 def shared_class(word: str) -> int:
@@ -115,9 +122,9 @@ def as_classes(docs: DataFrame, words: Vocabulary) -> DataFrame:
         for batch in batches:
             classes, within = [], []
             for text in batch.column(1).to_pylist():
-                found = list(map(words.__getitem__, tokens_of(text)))
-                classes.append(bytes([k for k, _ in found]))
-                within.append(math.fsum(v for _, v in found))
+                own, logs = words.read(tokens_of(text))
+                classes.append(own)
+                within.append(logs)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "classes": pa.array(classes, pa.binary()), "within": pa.array(within, pa.float64())})
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, classes binary, within double")
