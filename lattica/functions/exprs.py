@@ -161,7 +161,7 @@ def restriction_parts(expression: C) -> Column:
 
 def is_complex_expression(expression: C) -> Column:
     text = col(expression)
-    iri = text.rlike("^https?://|^urn:")
+    iri = text.rlike(r"^(?:https?://|urn:)\S+$")
     return ~iri & text.rlike(r"(?is) some | only | value | min | max | exactly | and | or |^not |[(){}]| self$")
 
 

@@ -249,3 +249,75 @@ define("j13_references", lambda c: usages.references(c).groupBy("usage").agg(F.c
 define("e1b_migration_set", lambda c: usages.migration_set(c, T + "part/"), f"SELECT DISTINCT iri FROM (SELECT iri FROM ent UNION ALL SELECT subject FROM ax UNION ALL SELECT object FROM ax) WHERE starts_with(iri, '{T}part/') AND NOT contains(iri, ' ')")
 define("e3_unused_imports", lambda c: usages.unused_imports(c), "own AS (SELECT iri, ontology_id AS o FROM ent), ref AS (SELECT ontology_id, subject AS iri FROM ax UNION SELECT ontology_id, predicate FROM ax UNION SELECT ontology_id, unnest(string_split(object, ' ')) FROM ax UNION SELECT ontology_id, subject FROM ann UNION SELECT ontology_id, predicate FROM ann), used AS (SELECT DISTINCT ontology_id, o FROM ref JOIN own USING (iri)) SELECT imp.ontology_id, import_iri, CASE WHEN import_iri IN (SELECT base_iri FROM doc) THEN 'unused' ELSE 'unresolved' END AS reason FROM imp WHERE (imp.ontology_id, import_iri) NOT IN (SELECT ontology_id, o FROM used)")
 define("u5_module_axioms", lambda c: usages.module_axioms(c, c.entities.where("ontology_id LIKE '%core' OR iri LIKE '%type%'").select("iri")).groupBy("axiom_kind").agg(F.count("*").alias("n")), "b AS (SELECT iri FROM ent WHERE ontology_id LIKE '%core' OR iri LIKE '%type%'), sig AS (SELECT id, axiom_kind, x FROM (SELECT row_number() OVER () AS id, axiom_kind, unnest(list_distinct([subject, predicate] || string_split(object, ' '))) AS x FROM ax) WHERE x IN (SELECT iri FROM ent)) SELECT axiom_kind, count(*) AS n FROM (SELECT id, axiom_kind FROM sig GROUP BY ALL HAVING count(*) = count(*) FILTER (WHERE x IN (SELECT iri FROM b))) GROUP BY 1")
+
+
+# -- SPARQL
+
+_P = f"PREFIX t: <{T}> PREFIX rdfs: <http://www.w3.org/2000/01/rdf-schema#> PREFIX owl: <http://www.w3.org/2002/07/owl#> PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> "
+_RDFS, _RDF = "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+
+
+def _sparql(name: str, text: str, sql: str) -> None:
+    define(name, lambda c: run_sparql(c, _P + text).frame, sql)
+
+
+_I = "'<' || {} || '>'".format
+_L = "'\"' || {} || '\"'".format
+_NUM = lambda v, t: f"'\"' || CAST({v} AS VARCHAR) || '\"^^<http://www.w3.org/2001/XMLSchema#{t}>'"
+_PART = f"q.p = '{T}contains'"
+_sparql("q1_triple_pattern", "SELECT ?s ?o WHERE { ?s t:suppliedBy ?o }", f"SELECT {_I('s')} AS s, {_I('o')} AS o FROM q WHERE p = '{T}suppliedBy'")
+_sparql("q2_bgp_join", "SELECT ?o ?c ?n WHERE { ?o t:placedBy ?c . ?c a ?n . ?n rdfs:subClassOf t:region/0 }".replace("t:region/0", f"<{T}region/0>"), f"SELECT {_I('a.s')} AS o, {_I('a.o')} AS c, {_I('b.o')} AS n FROM q a JOIN q b ON b.s = a.o AND b.p = '{_RDF}type' JOIN q d ON d.s = b.o AND d.p = '{_RDFS}subClassOf' AND d.o = '{T}region/0' WHERE a.p = '{T}placedBy'")
+_sparql("q3_optional", "SELECT ?s ?l WHERE { ?s a owl:Class OPTIONAL { ?s rdfs:label ?l FILTER(STRSTARTS(?l, 'NATION')) } }", f"SELECT {_I('a.s')} AS s, coalesce({_L('b.o')}, '') AS l FROM q a LEFT JOIN q b ON b.s = a.s AND b.p = '{_RDFS}label' AND starts_with(b.o, 'NATION') WHERE a.p = '{_RDF}type' AND a.o LIKE '%owl#Class'")
+_sparql("q4_union", "SELECT ?x WHERE { { ?x t:size '7' } UNION { ?x t:segment 'BUILDING' } }", f"SELECT {_I('s')} AS x FROM q WHERE p = '{T}size' AND o = '7' UNION ALL SELECT {_I('s')} FROM q WHERE p = '{T}segment' AND o = 'BUILDING'")
+_sparql("q5_minus", "SELECT ?x WHERE { ?x a owl:Class MINUS { ?x rdfs:label ?l } }", f"SELECT {_I('s')} AS x FROM q WHERE p = '{_RDF}type' AND o LIKE '%owl#Class' AND s NOT IN (SELECT s FROM q WHERE p = '{_RDFS}label')")
+_sparql("q6_not_exists", "SELECT ?c WHERE { ?c a owl:NamedIndividual ; t:segment ?g FILTER NOT EXISTS { ?o t:placedBy ?c } }", f"SELECT {_I('a.s')} AS c FROM q a WHERE a.p = '{T}segment' AND a.s NOT IN (SELECT o FROM q WHERE p = '{T}placedBy')")
+_sparql("q6_filter", "SELECT ?o ?v WHERE { ?o t:totalprice ?v FILTER(?v > 100000 && ?v <= 150000.5) }", f"SELECT {_I('s')} AS o, {_NUM('o', 'decimal')} AS v FROM q WHERE p = '{T}totalprice' AND CAST(o AS DOUBLE) > 100000 AND CAST(o AS DOUBLE) <= 150000.5")
+_sparql("q7_bind_values", "SELECT ?s ?n WHERE { VALUES ?k { '1' '2' } ?s t:size ?k BIND(CONCAT('size ', ?k) AS ?n) }", f"SELECT {_I('s')} AS s, '\"size ' || o || '\"' AS n FROM q WHERE p = '{T}size' AND o IN ('1', '2')")
+_sparql("q8_distinct", "SELECT DISTINCT ?g WHERE { ?c t:segment ?g }", f"SELECT DISTINCT {_L('o')} AS g FROM q WHERE p = '{T}segment'")
+_sparql("q9_group_count", "SELECT ?c (COUNT(?o) AS ?n) WHERE { ?o t:placedBy ?c } GROUP BY ?c HAVING (COUNT(?o) > 12)", f"SELECT {_I('o')} AS c, {_NUM('count(*)', 'integer')} AS n FROM q WHERE p = '{T}placedBy' GROUP BY o HAVING count(*) > 12")
+_sparql("q9_count_distinct", "SELECT (COUNT(DISTINCT ?g) AS ?n) (MIN(?g) AS ?lo) (MAX(?g) AS ?hi) WHERE { ?c t:segment ?g }", f"SELECT {_NUM('count(DISTINCT o)', 'integer')} AS n, {_L('min(o)')} AS lo, {_L('max(o)')} AS hi FROM q WHERE p = '{T}segment'")
+_sparql("q10_order_limit", "SELECT ?l WHERE { ?s rdfs:label ?l . ?s rdfs:subClassOf t:Place } ORDER BY DESC(?l) OFFSET 1 LIMIT 3", f"SELECT {_L('b.o')} AS l FROM q a JOIN q b ON a.s = b.s AND b.p = '{_RDFS}label' WHERE a.p = '{_RDFS}subClassOf' AND a.o = '{T}Place' ORDER BY b.o DESC LIMIT 3 OFFSET 1")
+_sparql("q11_subselect", "SELECT ?c ?l WHERE { { SELECT ?c WHERE { ?o t:placedBy ?c } GROUP BY ?c HAVING (COUNT(*) > 14) } ?c rdfs:label ?l }", f"SELECT {_I('s')} AS c, {_L('o')} AS l FROM q WHERE p = '{_RDFS}label' AND s IN (SELECT o FROM q WHERE p = '{T}placedBy' GROUP BY o HAVING count(*) > 14)")
+_sparql("q12_path_plus", "SELECT ?x WHERE { ?x rdfs:subClassOf+ t:Place }", f"w(x) AS (SELECT s FROM q WHERE p = '{_RDFS}subClassOf' AND o = '{T}Place' UNION SELECT s FROM q JOIN w ON o = x WHERE p = '{_RDFS}subClassOf') SELECT {_I('x')} AS x FROM w")
+_sparql("q12_path_sequence", "SELECT DISTINCT ?s ?r WHERE { ?s t:suppliedBy/a/rdfs:subClassOf ?r }", f"SELECT DISTINCT {_I('a.s')} AS s, {_I('c.o')} AS r FROM q a JOIN q b ON a.o = b.s AND b.p = '{_RDF}type' JOIN q c ON c.s = b.o AND c.p = '{_RDFS}subClassOf' WHERE a.p = '{T}suppliedBy'")
+_sparql("q13_graph", "SELECT ?g ?s WHERE { GRAPH ?g { ?s ?p ?o } }", "SELECT '' AS g, '' AS s FROM q WHERE false")
+_sparql("q14_ask", "ASK { ?s rdfs:subClassOf t:Product }", "SELECT 'true' AS \"boolean\"")
+_sparql("q18_rendering", "SELECT ?p ?v WHERE { VALUES ?p { t:totalprice t:priority t:placedBy } ?s ?p ?v }", f"SELECT {_I('p')} AS p, CASE WHEN o_kind = 'iri' THEN {_I('o')} WHEN dt LIKE '%decimal' THEN {_NUM('o', 'decimal')} ELSE {_L('o')} END AS v FROM q WHERE p IN ('{T}totalprice', '{T}priority', '{T}placedBy')")
+_sparql("fs_functions", "SELECT ?s (STRLEN(?l) AS ?n) (UCASE(SUBSTR(?l, 1, 3)) AS ?u) (STRAFTER(STR(?s), 'region/') AS ?k) (MD5(?l) AS ?h) WHERE { ?s rdfs:subClassOf t:Place ; rdfs:label ?l }", f"SELECT {_I('a.s')} AS s, {_NUM('length(b.o)', 'integer')} AS n, {_L('upper(substr(b.o, 1, 3))')} AS u, {_L('regexp_extract(a.s, $$[^/]*$$$)').replace('$$[^/]*$$$', chr(39) + '[^/]*$' + chr(39))} AS k, {_L('md5(b.o)')} AS h FROM q a JOIN q b ON a.s = b.s AND b.p = '{_RDFS}label' WHERE a.p = '{_RDFS}subClassOf' AND a.o = '{T}Place'")
+
+# -- reasoning
+
+from lattica.operators import reason, swrl  # noqa: E402
+
+_EDGE = "e0 AS (SELECT DISTINCT subject AS child, object AS parent FROM ax WHERE axiom_kind = 'sub_class_of' AND NOT contains(object, ' ')), eq AS (SELECT subject AS child, object AS parent FROM ax WHERE axiom_kind = 'equivalent_class'), e AS (SELECT * FROM e0 UNION SELECT * FROM eq UNION SELECT parent, child FROM eq), up(a, b) AS (SELECT child, parent FROM e UNION SELECT up.a, e.parent FROM up JOIN e ON up.b = e.child)"
+define("r2_classify_rdfs", lambda c: reason.classify(c, "rdfs").edges, _EDGE.replace("e AS (SELECT * FROM e0 UNION SELECT * FROM eq UNION SELECT parent, child FROM eq)", "e AS (SELECT * FROM e0)") + " SELECT a AS child, b AS parent FROM up WHERE a <> b")
+define("r4_inferred_edges", lambda c: reason.classify(c, "rl").inferred, f"{_EDGE} SELECT a AS child, b AS parent FROM up WHERE a <> b AND (a, b) NOT IN (SELECT child, parent FROM e0)")
+define("r2_equivalences", lambda c: reason.classify(c, "rl").equivalences, "SELECT subject AS node, subject AS component FROM ax WHERE axiom_kind = 'equivalent_class' UNION ALL SELECT object, subject FROM ax WHERE axiom_kind = 'equivalent_class'")
+define("r3_unsatisfiable", lambda c: reason.classify(_crossed(c), "rl").unsatisfiable, "SELECT '" + T + "nation/1' AS iri")
+define("r6_realize", lambda c: reason.realize(c, "rdfs").where("individual LIKE '%supplier%' AND most_specific").select("individual", "type", "inferred"), f"SELECT '{T}supplier/' || CAST(s_suppkey AS VARCHAR) AS individual, '{T}nation/' || CAST(s_nationkey AS VARCHAR) AS type, false AS inferred FROM supplier UNION ALL SELECT DISTINCT '{T}supplier/' || CAST(l_suppkey AS VARCHAR), '{T}Party', true FROM lineitem")
+define("r8_inferred_inverse", lambda c: reason.facts(_with_inverse(c), "rl").where(f"p = '{T}supplies'"), f"SELECT o AS s, '{T}supplies' AS p, s AS o FROM q WHERE p = '{T}suppliedBy'")
+define("r10_dl_query", lambda c: reason.dl_query(c, f"<{T}placedBy> some <{T}nation/3>", mode="asserted")["instances"], f"SELECT DISTINCT subject AS individual FROM ax WHERE predicate = '{T}placedBy' AND object IN (SELECT subject FROM ax WHERE axiom_kind = 'class_assertion' AND object = '{T}nation/3')")
+define("r10_dl_cardinality", lambda c: reason.dl_query(c, f"<{T}contains> min 7", mode="asserted")["instances"], f"SELECT subject AS individual FROM ax WHERE predicate = '{T}contains' GROUP BY subject HAVING count(DISTINCT object) >= 7")
+define("r11_swrl", lambda c: swrl.materialise(_with_rule(c))[0], f"SELECT a.subject AS s, '{T}buysFrom' AS p, b.object AS o FROM (SELECT DISTINCT object AS subject, subject AS ord FROM ax WHERE predicate = '{T}placedBy') a JOIN ax x ON x.subject = a.ord AND x.predicate = '{T}contains' JOIN ax b ON b.subject = x.object AND b.predicate = '{T}suppliedBy' GROUP BY ALL")
+
+
+def _crossed(c: Catalog) -> Catalog:
+    more = c.axioms.where(f"axiom_kind = 'sub_class_of' AND subject = '{T}nation/1' AND object NOT LIKE '% %'").limit(1)
+    both = more.withColumn("object", F.lit(T + "region/0")).union(more.withColumn("object", F.lit(T + "region/1")))
+    return c.with_(axioms=c.axioms.union(both))
+
+
+def _with_inverse(c: Catalog) -> Catalog:
+    one = c.axioms.limit(1)
+    return c.with_(axioms=c.axioms.union(one.withColumn("axiom_kind", F.lit("inverse_object_properties")).withColumn("subject", F.lit(T + "suppliedBy")).withColumn("object", F.lit(T + "supplies")).withColumn("predicate", F.lit(""))))
+
+
+def _with_rule(c: Catalog) -> Catalog:
+    import json
+
+    from lattica.model import SWRL_RULE
+
+    atom = lambda p, x, y: {"kind": "object_property", "property": T + p, "args": [f"?{x}", f"?{y}"]}
+    rule = json.dumps({"id": "r1", "enabled": True, "body": [atom("placedBy", "o", "c"), atom("contains", "o", "p"), atom("suppliedBy", "p", "s")], "head": [atom("buysFrom", "c", "s")]})
+    quad = c.spark.createDataFrame([("urn:r1", "iri", SWRL_RULE, rule, "literal", None, None, None, "d")], c.quads.schema)
+    return c.with_(quads=c.quads.unionByName(quad))
