@@ -161,7 +161,7 @@ class Labeller:
     def __init__(self, field: Field):
         self.field, self.rows, self.used = field, {}, 0
         self.table = np.zeros((1024, len(field.labels)), dtype=np.float32)
-        self.step = np.exp(field.transitions - field.transitions.max()).astype(np.float32)
+        self.step = np.exp(field.transitions - field.transitions.max(initial=-np.inf)).astype(np.float32)
 
     def _rows_of(self, words: list[str]) -> np.ndarray:
         rows = self.rows
@@ -209,9 +209,11 @@ class Labeller:
         return [forward[begin[i] : begin[i] + sizes[i]] for i in range(len(sizes))]
 
     def label(self, texts: Sequence[str | None]) -> tuple[list[str], list[float]]:
+        if not self.field.labels:
+            return ["und"] * len(texts), [0.0] * len(texts)
         labels, scores = [], []
         for p in self.word_probabilities(texts):
-            if len(p) and self.field.labels:
+            if len(p):
                 mean = p.mean(0, dtype=np.float64)
                 best = int(mean.argmax())
                 labels.append(self.field.labels[best])

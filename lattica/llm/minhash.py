@@ -253,7 +253,7 @@ def linked(docs: DataFrame, percent: int = 85) -> DataFrame:
     cells = long.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp").join(nodes, "node").join(texts, "node")
     add(confirmed(short, texts, percent).union(_cross_links(cells, least, percent)))
 
-    smallest = F.coalesce("comp", "node", "doc_id")
+    smallest = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node", "doc_id"))
     out = base.drop("sig").join(classes, "class", "left").join(comps, "node", "left")
     return out.select("doc_id", "n_shingles", smallest.alias("component_id"), F.coalesce(F.col("doc_id") == smallest, F.lit(True)).alias("kept"))
 

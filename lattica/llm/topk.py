@@ -91,7 +91,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             out = np.full(len(frame), -np.inf)
             for d, own in frame.reset_index(drop=True).groupby("dim"):
                 if d in seeds:
-                    ids, seed = np.array(seeds[d][0]), np.array(seeds[d][1], dtype=np.int64).reshape(-1, d)
+                    ids, seed = np.array(seeds[d][0]), np.array(seeds[d][1], dtype=np.int64).reshape(len(seeds[d][0]), d)
                     q = _matrix(own["v"], d)
                     scores = products(q, seed).astype(np.float64)
                     scores[own["vec_id"].to_numpy()[:, None] == ids] = -np.inf
