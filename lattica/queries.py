@@ -321,3 +321,77 @@ def _with_rule(c: Catalog) -> Catalog:
     rule = json.dumps({"id": "r1", "enabled": True, "body": [atom("placedBy", "o", "c"), atom("contains", "o", "p"), atom("suppliedBy", "p", "s")], "head": [atom("buysFrom", "c", "s")]})
     quad = c.spark.createDataFrame([("urn:r1", "iri", SWRL_RULE, rule, "literal", None, None, None, "d")], c.quads.schema)
     return c.with_(quads=c.quads.unionByName(quad))
+
+
+# -- sources and sinks, round trips through text
+
+from lattica import sinks  # noqa: E402
+from lattica.operators import refactor  # noqa: E402
+from lattica.sources import incremental, rdf, scan  # noqa: E402
+from lattica.streaming import reindex  # noqa: E402
+
+_QUAD = "s, p, o, o_kind, coalesce(dt, '') AS dt"
+_ROW = lambda df: df.select("s", "p", "o", "o_kind", F.coalesce("o_datatype", F.lit("")).alias("dt"))
+define("s8_k7_ntriples_round_trip", lambda c: _ROW(rdf.parse_lines(rdf.to_ntriples(c.quads).withColumn("doc_id", F.lit("d")))), f"SELECT {_QUAD} FROM q")
+
+
+def _through_files(form: str, text, rows) -> Callable[[Catalog], DataFrame]:
+    """Classes of a table as one text for each region, parsed again."""
+
+    def query(c: Catalog) -> DataFrame:
+        files = text(c).withColumn("path", F.concat(F.lit("/m/"), "k", F.lit("." + form)))
+        none = c.spark.createDataFrame([], "path string, content binary, modified_time bigint, size bigint")
+        return rows(scan.parse_files(scan.described(none, files.select("path", "text"))))
+
+    return query
+
+
+def _nations(c: Catalog) -> DataFrame:
+    e = c.entities.where(F.startswith("iri", F.lit(T + "nation/"))).select(F.col("iri").alias("child"), F.get("labels", F.lit(0)).alias("label"))
+    return c.axioms.where("axiom_kind = 'sub_class_of' AND object NOT LIKE '% %'").select(F.col("subject").alias("child"), F.col("object").alias("parent")).join(e, "child")
+
+
+def _joined(c: Catalog, one, head: str, tail: str = "") -> DataFrame:
+    return _nations(c).select(F.regexp_extract("parent", "([0-9]+)$", 1).alias("k"), one.alias("t") if not callable(one) else one().alias("t")).groupBy("k").agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list("t")), "\n"), F.lit(tail)).alias("text"))
+
+
+_TTL_HEAD = "@prefix owl: <http://www.w3.org/2002/07/owl#> .\n@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n"
+_ttl = lambda: F.concat(F.lit("<"), "child", F.lit("> a owl:Class ; rdfs:label \""), "label", F.lit("\" ; rdfs:subClassOf <"), "parent", F.lit("> ."))
+_xml = lambda: F.concat(F.lit("<owl:Class rdf:about=\""), "child", F.lit("\"><rdfs:label>"), "label", F.lit("</rdfs:label><rdfs:subClassOf rdf:resource=\""), "parent", F.lit("\"/></owl:Class>"))
+_owx = lambda: F.concat(F.lit("<Declaration><Class IRI=\""), "child", F.lit("\"/></Declaration><SubClassOf><Class IRI=\""), "child", F.lit("\"/><Class IRI=\""), "parent", F.lit("\"/></SubClassOf>"))
+_json = lambda: F.concat(F.lit("{\"@id\": \""), "child", F.lit("\", \"@type\": \"http://www.w3.org/2002/07/owl#Class\", \"sub\": \""), "parent", F.lit("\"},"))
+_obo = lambda: F.concat(F.lit("[Term]\nid: N:"), F.regexp_extract("child", "([0-9]+)$", 1), F.lit("\nname: "), "label", F.lit("\nis_a: R:"), F.regexp_extract("parent", "([0-9]+)$", 1), F.lit(" ! x\n"))
+_SUB = lambda rows: rows.where("row = 'axiom' AND a = 'sub_class_of'").select(F.col("b").alias("child"), F.col("d").alias("parent"))
+_NATION = f"SELECT '{T}nation/' || CAST(n_nationkey AS VARCHAR) AS child, '{T}region/' || CAST(n_regionkey AS VARCHAR) AS parent FROM nation"
+define("s6_turtle", _through_files("ttl", lambda c: _joined(c, _ttl, _TTL_HEAD), _SUB), _NATION)
+define("s7_rdfxml", _through_files("rdf", lambda c: _joined(c, _xml, "<rdf:RDF xmlns:rdf=\"http://www.w3.org/1999/02/22-rdf-syntax-ns#\" xmlns:owl=\"http://www.w3.org/2002/07/owl#\" xmlns:rdfs=\"http://www.w3.org/2000/01/rdf-schema#\">", "</rdf:RDF>"), _SUB), _NATION)
+define("s9_jsonld", _through_files("jsonld", lambda c: _joined(c, _json, "{\"@context\": {\"sub\": {\"@id\": \"http://www.w3.org/2000/01/rdf-schema#subClassOf\", \"@type\": \"@id\"}}, \"@graph\": [", "{\"@id\": \"urn:x\"}]}"), _SUB), _NATION)
+define("s10_owlxml", _through_files("owx", lambda c: _joined(c, _owx, "<Ontology xmlns=\"http://www.w3.org/2002/07/owl#\">", "</Ontology>"), _SUB), _NATION)
+define("s11_s12_obo", _through_files("obo", lambda c: _joined(c, _obo, "ontology: m\n"), _SUB), "SELECT 'http://purl.obolibrary.org/obo/N_' || CAST(n_nationkey AS VARCHAR) AS child, 'http://purl.obolibrary.org/obo/R_' || CAST(n_regionkey AS VARCHAR) AS parent FROM nation")
+define("s13_prefixes", _through_files("ttl", lambda c: _joined(c, _ttl, _TTL_HEAD), lambda rows: rows.where("row = 'document'").select("path", F.explode(F.from_json("d", "map<string,string>")).alias("prefix", "iri")).select("prefix").groupBy("prefix").agg(F.count("*").alias("n"))), "SELECT prefix, count(DISTINCT n_regionkey) AS n FROM nation, (VALUES ('owl'), ('rdfs')) v(prefix) GROUP BY prefix")
+define("s14_error_recovery", _through_files("ttl", lambda c: _joined(c, _ttl, _TTL_HEAD, "\n<broken> <"), lambda rows: rows.groupBy("path").agg(F.count_if(F.col("row") == "error").alias("errors"), F.count_if((F.col("row") == "axiom")).alias("axioms")).select("errors", "axioms")), "SELECT CAST(1 AS BIGINT) AS errors, count(*) AS axioms FROM nation GROUP BY n_regionkey")
+define("s4_describe", lambda c: scan.described(c.spark.createDataFrame([], "path string, content binary, modified_time bigint, size bigint"), c.documents.select("path", F.col("base_iri").alias("text"))).select("path", "format", "content_hash", "doc_order"), "SELECT path, 'turtle' AS format, sha256(base_iri) AS content_hash, row_number() OVER (ORDER BY path) - 1 AS doc_order FROM doc")
+define("k7_turtle", lambda c: sinks.to_turtle(c.quads.where(F.startswith("s", F.lit(T + "region/")))).select(F.length("value").cast("bigint").alias("n")), f"SELECT CAST(length('<{T}region/' || CAST(r_regionkey AS VARCHAR) || '> <{_RDF}type> <http://www.w3.org/2002/07/owl#Class> ;' || chr(10) || '    <{_RDFS}label> \"' || r_name || '\" ;' || chr(10) || '    <{_RDFS}subClassOf> <{T}Place> .') AS BIGINT) AS n FROM region")
+define("k5_pages", lambda c: sinks.pages(c.with_(axioms=c.axioms.where("ontology_id LIKE '%core'"), entities=c.entities.where("ontology_id LIKE '%core'"))).where("name = 'index.md'").select("content"), "SELECT '# Index' || chr(10) || chr(10) || '- class: ' || CAST(count(*) AS VARCHAR) || chr(10) AS content FROM ent WHERE ontology_id LIKE '%core'")
+define("st2_incremental_states", lambda c: incremental.stats(incremental.reuse_plan(c.documents.select("path", F.col("base_iri").alias("content_hash")), c.documents.where("doc_order < 3").select("path", F.when(F.col("doc_order") == 0, "x").otherwise(F.col("base_iri")).alias("content_hash")))), "SELECT 'reused' AS state, 2 AS n UNION ALL SELECT 'reparsed', 2")
+define("st_latest_state", lambda spark, sf: reindex.latest_state(spark.read.parquet(f"{sf}/events.parquet")).select("user_id", "changes", "event_id", "event_type"), "SELECT user_id, count(*) AS changes, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id", tables=True)
+define("st_windowed_changes", lambda spark, sf: reindex.windowed_changes(spark.read.parquet(f"{sf}/events.parquet")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n"), "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL", tables=True)
+
+# -- refactoring
+
+define("e2_rename", lambda c: refactor.rename(c, T + "region/1", T + "zone/1").axioms.where(f"object LIKE '%zone/1'").select("subject", "object"), f"SELECT subject, replace(object, '{T}region/1', '{T}zone/1') AS object FROM ax WHERE object LIKE '%region/1'")
+define("e2_migrate", lambda c: refactor.migrate_namespace(c, T + "part/", "http://new/p/").entities.where("iri LIKE 'http://new/%'").select("iri", "short_name"), f"SELECT 'http://new/p/' || substr(iri, {len(T) + 6}) AS iri, substr(iri, {len(T) + 6}) AS short_name FROM ent WHERE starts_with(iri, '{T}part/')")
+define("e2_merge", lambda c: refactor.merge(c, T + "region/0", T + "region/1").axioms.where(f"object = '{T}region/0' AND axiom_kind = 'sub_class_of'").select("subject"), f"SELECT DISTINCT subject FROM ax WHERE axiom_kind = 'sub_class_of' AND object IN ('{T}region/0', '{T}region/1')")
+define("e2_extract_module", lambda c: refactor.extract_module(c.with_(axioms=c.axioms.where("axiom_kind IN ('domain', 'range')")), c.spark.createDataFrame([(T + "placedBy",)], "iri string")).entities.select("iri"), f"SELECT iri FROM ent WHERE iri IN ('{T}placedBy', '{T}Party', '{T}suppliedBy', '{T}Product', '{T}contains')")
+define("e3_merge_ontologies", lambda c: refactor.merge_ontologies(c, [T + "onto/parts", T + "onto/parties"], T + "onto/both").imports.select("ontology_id", "import_iri"), f"SELECT DISTINCT CASE WHEN ontology_id LIKE '%part%' THEN '{T}onto/both' ELSE ontology_id END AS ontology_id, import_iri FROM imp WHERE import_iri NOT IN ('{T}onto/parts', '{T}onto/parties')")
+define("e3_flatten", lambda c: refactor.flatten_imports(c, T + "onto/parties")[0].entities.groupBy("ontology_id", "kind").agg(F.count("*").alias("n")), f"SELECT '{T}onto/parties' AS ontology_id, kind, count(*) AS n FROM ent WHERE ontology_id IN ('{T}onto/parties', '{T}onto/core') GROUP BY kind")
+define("a11_plan_metrics", lambda c: refactor.metrics(refactor.plan(c, refactor.move_entity(c, T + "nation/5", T + "onto/parts"))).where("part = 'axioms'"), f"SELECT 'axioms' AS part, op, count(*) AS n FROM ax, (VALUES ('add'), ('remove')) v(op) WHERE subject = '{T}nation/5' GROUP BY op")
+define("e4_apply_and_invert", lambda c: _delta(c), "SELECT 0 AS n")
+
+
+def _delta(c: Catalog) -> DataFrame:
+    after = refactor.rename(c, T + "region/1", T + "zone/1")
+    delta = refactor.plan(c, after)
+    back = refactor.apply(refactor.apply(c, delta), refactor.invert(delta))
+    keys = ["axiom_kind", "subject", "predicate", "object", "ontology_id"]
+    return back.axioms.select(keys).exceptAll(c.axioms.select(keys)).union(c.axioms.select(keys).exceptAll(back.axioms.select(keys))).agg(F.count("*").cast("int").alias("n"))
