@@ -85,7 +85,7 @@ def to_ntriples(quads: DataFrame) -> DataFrame:
 # -- Turtle and TriG
 
 _TOKEN = re.compile(
-    r"""(?:\s+|\#[^\n]*)*(?:(?P<iri><(?:[^<>"{}|^`\\\x00-\x20]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*>)
+    r"""(?:\s++|\#[^\n]*+)*+(?:(?P<iri><(?:[^<>"{}|^`\\\x00-\x20]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*>)
     |(?P<string>\"\"\"(?:(?:"|"")?(?:[^"\\]|\\.))*\"\"\"|'''(?:(?:'|'')?(?:[^'\\]|\\.))*'''|"(?:[^"\\\n\r]|\\.)*"|'(?:[^'\\\n\r]|\\.)*')
     |(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)
     |(?P<blank>_:[\w](?:[\w.-]*[\w-])?)
