@@ -23,6 +23,10 @@ from lattica.plans.sqlgate import QueryResult
 NUMERIC = [XSD + t for t in ("integer", "decimal", "double", "float", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "negativeInteger", "nonPositiveInteger", "unsignedInt", "unsignedLong")]
 
 
+#: Functions that are tests.
+BOOLEAN = {"BOUND", "STRSTARTS", "STRENDS", "CONTAINS", "LANGMATCHES", "REGEX", "SAMETERM", "ISIRI", "ISURI", "ISBLANK", "ISLITERAL", "ISNUMERIC"}
+
+
 def escape(c: Column) -> Column:
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         c = F.replace(c, F.lit(a), F.lit(b))
@@ -508,6 +512,8 @@ class Compiler:
         if kind == "in":
             tests = [self.compare("=", e[1], x, scope) for x in e[2]]
             return reduce(Column.__or__, tests, F.lit(False))
+        if kind == "call" and e[1] in BOOLEAN:
+            return self.call(e[1], e[2], scope, raw=True)
         t = self.term(e, scope)
         n, dt = Terms.number(t)["v"], Terms.datatype(t)
         return F.when(dt == XSD + "boolean", Terms.lexical(t).isin("true", "1")).when(n.isNotNull(), (n != 0) & ~F.isnan(n)).when(dt == XSD + "string", Terms.lexical(t) != "")
@@ -526,13 +532,14 @@ class Compiler:
             return out.when(known, relate(x, y))
         return out.when((dx == dy) & dx.isin(XSD + "string", XSD + "boolean"), relate(lx, ly))
 
-    def call(self, name: str, args: list, scope: dict[str, Column]) -> Column:
+    def call(self, name: str, args: list, scope: dict[str, Column], raw: bool = False) -> Column:
+        """The term that a function gives; ``raw`` gives a test's truth value itself, which keeps plans small."""
         t = [self.term(a, scope) for a in args] if name not in ("IF", "COALESCE", "BOUND") else []
         s = lambda i: Terms.string(t[i])
         lex = lambda i: Terms.lexical(t[i])
         num = lambda i: self.number(args[i], scope)
         text = lambda c, like=None: Terms.of_string(c, like)
-        boolean = Terms.of_boolean
+        boolean = (lambda c: c) if raw else Terms.of_boolean
         integer = lambda c: Terms.of_number(F.when(c.isNotNull(), F.struct(c.cast("double").alias("v"), F.lit(0).alias("rank"))))
         rounded = lambda f: Terms.of_number(F.when(num(0).isNotNull(), F.struct(f(num(0)["v"]).cast("double").alias("v"), num(0)["rank"].alias("rank"))))
         stamp = lambda: lex(0).try_cast("timestamp")
