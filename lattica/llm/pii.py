@@ -7,7 +7,8 @@ n(e, t) those that hold t beside e; with N rows, the disclosure of e by t is
     PMI(e; t) / IC(e) = log(n(e, t) N / (n(e) n(t))) / log(N / n(e)),
 
 1 where every row with t mentions e. Terms at GENERALISE or more are replaced by their type, at REMOVE or more they are
-removed. A pair needs SUPPORT different contexts, so that copies of one text are no evidence.
+removed. A pair is used if its disclosure is still GENERALISE or more with the lower Wilson bound (Z) of n(e, t) / n(t),
+for which only different texts are evidence: rare entities have revealing terms, copies of one text add nothing.
 
 All of it is DataFrame and SQL functions: spans are found where texts are read, mentions are small, and only counts,
 mentions and spans are shuffled by the operator.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from lattica.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone")
-GENERALISE, REMOVE, SUPPORT, CONTEXT = 0.8, 0.95, 3, 100
+GENERALISE, REMOVE, Z, CONTEXT = 0.8, 0.95, 1.645, 100
 #: Possessive forms of the base patterns: they match the same spans without backtracking or recursion. A card is a
 #: whole run of digits (single spaces or hyphens between them) with 13 to 19 digits.
 PATTERNS = {
@@ -123,15 +124,24 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
 
 
+def _lower_bound(share: Column, n: Column) -> Column:
+    """Of a share of n texts, the lower end of its one-sided Wilson interval."""
+    z2 = Z * Z
+    return (share + z2 / (2 * n) - Z * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
 def disclosures(described: DataFrame, counts: DataFrame, rows: int) -> DataFrame:
-    """entity, term, disclosure of the pairs with enough support and GENERALISE or more."""
-    mentions = described.where(F.size("mentions") > 0).select("mentions")
+    """entity, term, disclosure of the pairs whose disclosure is GENERALISE or more by its lower bound."""
+    mentions = described.where(F.size("mentions") > 0).select("key", "mentions")
     entities = mentions.select(F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") < rows)
-    in_row = F.array_distinct(F.flatten(F.transform("mentions", lambda m: F.transform(m["terms"], lambda t: F.struct(m["entity"].alias("entity"), t["term"].alias("term"), F.xxhash64(F.transform(m["terms"], lambda x: x["term"])).alias("context"))))))
-    pairs = mentions.select(F.inline(in_row)).groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
+    in_row = F.array_distinct(F.flatten(F.transform("mentions", lambda m: F.transform(m["terms"], lambda t: F.struct(m["entity"].alias("entity"), t["term"].alias("term"))))))
+    pairs = mentions.select("key", F.inline(in_row)).groupBy("entity", "term", "key").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts"))
     total = F.lit(float(rows))
-    score = F.log(F.least("n_et", "n_e", "n_t") * total / (F.col("n_e") * F.col("n_t"))) / F.log(total / F.col("n_e"))
-    return pairs.join(entities, "entity").join(counts, "term").select("entity", "term", score.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    share = F.least("n_et", "n_e", "n_t") / F.col("n_t")
+    score = lambda p: F.log(p * total / F.col("n_e")) / F.log(total / F.col("n_e"))
+    bound = score(_lower_bound(F.col("share"), F.col("texts") / F.col("share")))
+    joined = pairs.join(entities, "entity").join(counts, "term").withColumn("share", share)
+    return joined.where(bound >= GENERALISE).select("entity", "term", score(F.col("share")).alias("disclosure"))
 
 
 def found(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Whole jobs: cases that earlier forms of the corpus operators passed over."""
 
 import corpus_pipeline
+from lattica.llm import pii
 
 
 def test_dedup_stage_joins_documents_of_similarity_above_80(spark):
@@ -14,3 +15,15 @@ def test_dedup_stage_joins_documents_of_similarity_above_80(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     # 86 of 106 shingles are shared by 1 and 2, 81 of 111 by 1 and 3.
     assert sorted(r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()) == [1, 3]
+
+
+def test_rare_entities_have_revealing_terms(spark):
+    rows = [(i, f"plain words number {i}") for i in range(2000)]
+    rows += [(3000, "Zorblax wrote plain words to bob@corp.example.com"), (3001, "plain Quuxley knows ann@corp.example.com"), (3002, "plain Quuxley again met ann@corp.example.com")]
+    # Copies are no evidence: the term is in one text of an entity, and in other texts too.
+    rows += [(4000 + i, "plain Wibblet called cat@corp.example.com") for i in range(3)] + [(5000 + i, f"plain Wibblet {i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    base = pii.described(docs)
+    got = {(r.entity, r.term) for r in pii.disclosures(base, pii.term_counts(docs), len(rows)).collect()}
+    assert {("email:bob@corp.example.com", "zorblax"), ("email:ann@corp.example.com", "quuxley")} <= got
+    assert not any(t in ("plain", "words", "wibblet") for _, t in got)
