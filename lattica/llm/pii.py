@@ -1,20 +1,22 @@
 """Personal data: pattern spans, and terms that reveal them by corpus co-occurrence.
 
-The patterns find e-mail addresses, IP addresses, card and phone numbers; each is a protected entity. The words around
-a mention are its terms. Over all documents, n(e) counts the rows that mention entity e, n(t) those that hold term t and
-n(e, t) those that hold t beside e; with N rows, the disclosure of e by t is
+The patterns find e-mail addresses, IP addresses, card and phone numbers; each is a protected entity. Terms are the words
+outside of such mentions. Over all documents, n(e) counts the rows that mention entity e, n(t) those that hold term t and
+n(e, t) those that do both; with N rows, the disclosure of e by t is
 
     PMI(e; t) / IC(e) = log(n(e, t) N / (n(e) n(t))) / log(N / n(e)),
 
 1 where every row with t mentions e. Terms at GENERALISE or more are replaced by their type, at REMOVE or more they are
 removed. A pair is used if its disclosure is still GENERALISE or more with the lower Wilson bound (Z) of n(e, t) / n(t),
-for which only different texts are evidence: rare entities have revealing terms, copies of one text add nothing.
+for which only different texts are evidence: rare entities have revealing terms, copies of one text add nothing. Every
+occurrence of a term that reveals some entity is marked, in all texts, with or without a mention.
 
-All of it is DataFrame and SQL functions: spans are found where texts are read, mentions are small, and only counts,
-mentions and spans are shuffled by the operator.
+All of it is DataFrame and SQL functions: spans are found where texts are read; counts, mentions, spans
+and the texts that hold a revealing term are shuffled, and where there are more than BROADCAST revealing terms, the
+distinct words of each text.
 
-Defined results: null text counts as empty; offsets are code points, ends exclusive; spans follow from the text alone,
-so repeated rows give repeated results; doc_id may be null or repeated; columns other than doc_id and text pass through
+Defined results: null text counts as empty; offsets are code points, ends exclusive; spans follow from the text and
+the counts, so repeated rows give repeated results; doc_id may be null or repeated; columns other than doc_id and text pass through
 ``redacted`` untouched, but for n_chars.
 """
 
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from lattica.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone")
-GENERALISE, REMOVE, Z, CONTEXT = 0.8, 0.95, 1.645, 100
+GENERALISE, REMOVE, Z = 0.8, 0.95, 1.645
+#: Revealing terms, and digests of texts, that may be broadcast.
+BROADCAST = 500_000
 #: Possessive forms of the base patterns: they match the same spans without backtracking or recursion. A card is a
 #: whole run of digits (single spaces or hyphens between them) with 13 to 19 digits.
 PATTERNS = {
@@ -43,7 +47,7 @@ TERM = r"\p{L}{4,}"
 _SPANS = "array<struct<start: int, end: int, value: string>>"
 
 
-def spans(text: Column, pattern: str) -> Column:
+def spans(text: Column, pattern: str | Column) -> Column:
     """start, end and value of each match, leftmost first, from the matches and the gaps between them."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
@@ -85,15 +89,23 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(F.contains(text, F.lit(NEEDS[kind])), found).otherwise(F.array().cast(_SPANS)) if kind in NEEDS else found
 
 
-def _terms(text: Column, span: Column) -> Column:
-    """Lower-cased words beside a span, with their places; words cut by the edge of the context are left out."""
-    from_ = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    left = F.substring(text, from_ + 1, span["start"] - from_)
-    right = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-    place = lambda words, shift: F.transform(words, lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + shift).alias("start"), (w["end"] + shift).alias("end")))
-    before = F.filter(spans(left, TERM), lambda w: (w["start"] > 0) | (from_ == 0))
-    after = F.filter(spans(right, TERM), lambda w: w["end"] < CONTEXT)
-    return F.concat(place(before, from_), place(after, span["end"]))
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def _masked(text: Column, base: Column) -> Column:
+    """The text with blanks in the places of its base spans."""
+    blank = F.aggregate(base, text, lambda t, s: F.overlay(t, F.repeat(F.lit(" "), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"]))
+    return F.when(F.size(base) > 0, blank).otherwise(text)
+
+
+def _words(masked: Column) -> Column:
+    """Distinct words as they are written; a term is a word in lower case."""
+    return F.array_distinct(F.regexp_extract_all(masked, F.lit(TERM), F.lit(0)))
+
+
+def _terms(masked: Column) -> Column:
+    return F.array_distinct(F.transform(_words(masked), F.lower))
 
 
 def _entity(kind: str, value: Column) -> Column:
@@ -104,24 +116,29 @@ def _key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def _with_spans(docs: DataFrame, *ids: str) -> DataFrame:
+    """The ids, text, the spans of each kind, and masked (the text without them)."""
+    rows = docs.select(*ids, F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select(*ids, "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
+    return rows.withColumn("masked", _masked(F.col("text"), F.concat(*KINDS)))
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, key (digest of the text), base (kind, start, end) and mentions (entity, terms) of every document."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
-    text = F.col("text")
+    """doc_id, key (digest of the text), base (kind, start, end), and of documents with base spans entities and terms."""
+    rows = _with_spans(docs, "doc_id")
 
     def of_kind(kind: str) -> tuple[Column, Column]:
         base = F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-        return base, F.transform(kind, lambda s: F.struct(_entity(kind, s["value"]).alias("entity"), _terms(text, s).alias("terms")))
+        return base, F.transform(kind, lambda s: _entity(kind, s["value"]))
 
-    base, mentions = (F.concat(*parts) for parts in zip(*map(of_kind, KINDS)))
-    return rows.select("doc_id", _key(text).alias("key"), base.alias("base"), mentions.alias("mentions"))
+    base, entities = (F.concat(*parts) for parts in zip(*map(of_kind, KINDS)))
+    terms = F.when(F.size(base) > 0, _terms(F.col("masked"))).otherwise(F.array().cast("array<string>"))
+    return rows.select("doc_id", _key(F.col("text")).alias("key"), base.alias("base"), F.array_distinct(entities).alias("entities"), terms.alias("terms"))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """term, n_t: how many rows hold each term."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    return _with_spans(docs).select(F.explode(_terms(F.col("masked"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
 
 
 def _lower_bound(share: Column, n: Column) -> Column:
@@ -132,10 +149,9 @@ def _lower_bound(share: Column, n: Column) -> Column:
 
 def disclosures(described: DataFrame, counts: DataFrame, rows: int) -> DataFrame:
     """entity, term, disclosure of the pairs whose disclosure is GENERALISE or more by its lower bound."""
-    mentions = described.where(F.size("mentions") > 0).select("key", "mentions")
-    entities = mentions.select(F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") < rows)
-    in_row = F.array_distinct(F.flatten(F.transform("mentions", lambda m: F.transform(m["terms"], lambda t: F.struct(m["entity"].alias("entity"), t["term"].alias("term"))))))
-    pairs = mentions.select("key", F.inline(in_row)).groupBy("entity", "term", "key").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts"))
+    mentions = described.where(F.size("entities") > 0).select("key", "terms", F.explode("entities").alias("entity"))
+    entities = mentions.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") < rows)
+    pairs = mentions.select("key", "entity", F.explode("terms").alias("term")).groupBy("entity", "term", "key").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts"))
     total = F.lit(float(rows))
     share = F.least("n_et", "n_e", "n_t") / F.col("n_t")
     score = lambda p: F.log(p * total / F.col("n_e")) / F.log(total / F.col("n_e"))
@@ -144,16 +160,27 @@ def disclosures(described: DataFrame, counts: DataFrame, rows: int) -> DataFrame
     return joined.where(bound >= GENERALISE).select("entity", "term", score(F.col("share")).alias("disclosure"))
 
 
+def occurrences(docs: DataFrame, revealing: DataFrame) -> DataFrame:
+    """key, terms (start, end, action): every occurrence of a revealing term, of each text that holds one."""
+    action = F.when(F.max("disclosure") >= REMOVE, "remove").otherwise("generalise")
+    terms = _small(written(revealing.groupBy("term").agg(action.alias("action")), "pii-terms"))
+    words = _with_spans(docs).select(_key(F.col("text")).alias("key"), F.explode(_words(F.col("masked"))).alias("word"))
+    held = words.withColumn("term", F.lower("word")).join(terms, "term")
+    of = lambda name: F.collect_set(F.when(F.col("action") == name, F.col("word"))).alias(name)
+    held = written(held.groupBy("key").agg(F.collect_set("word").alias("words"), of("remove")), "pii-held")
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", _key(F.col("text")))
+    texts = texts.join(_small(held.select("key")), "key", "left_semi").dropDuplicates(["key"])
+    placed = _with_spans(texts, "key").select("key", "masked").join(held, "key")
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("words", "|"), F.lit(r")(?!\p{L})"))
+    done = lambda s: F.when(F.array_contains("remove", s["value"]), "remove").otherwise("generalise")
+    return placed.select("key", F.transform(spans(F.col("masked"), pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), done(s).alias("action"))).alias("terms"))
+
+
 def found(docs: DataFrame) -> DataFrame:
     """doc_id, key, base and terms (start, end, action) of every document; one row for each row of docs."""
     base = written(described(docs), "pii-base")
-    rows = base.count()
-    revealing = disclosures(base, term_counts(docs), rows)
-    mentions = base.where(F.size("mentions") > 0).select("key", F.inline("mentions")).select("key", "entity", F.inline("terms"))
-    action = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
-    terms = mentions.join(revealing, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max(action).alias("action"))
-    terms = terms.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
-    return base.drop("mentions").join(terms, "key", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start: int, end: int, action: string>>")))
+    terms = occurrences(docs, disclosures(base, term_counts(docs), base.count()))
+    return base.select("doc_id", "key", "base").join(terms, "key", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start: int, end: int, action: string>>")))
 
 
 def _written_as(spans_: Column) -> Column:

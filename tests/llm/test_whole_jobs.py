@@ -27,3 +27,17 @@ def test_rare_entities_have_revealing_terms(spark):
     got = {(r.entity, r.term) for r in pii.disclosures(base, pii.term_counts(docs), len(rows)).collect()}
     assert {("email:bob@corp.example.com", "zorblax"), ("email:ann@corp.example.com", "quuxley")} <= got
     assert not any(t in ("plain", "words", "wibblet") for _, t in got)
+
+
+def test_terms_count_and_are_marked_in_whole_texts(spark):
+    far = "little words between " * 20
+    rows = [(i, f"plain words number {i}") for i in range(2000)]
+    rows += [(3000 + i, f"Zorblax {i} {far}bob@corp.example.com and ZORBLAX") for i in range(8)] + [(3100, "they met Zorblax, not zorblaxes, twice: zorblax")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    base = pii.described(docs)
+    got = {r.term for r in pii.disclosures(base, pii.term_counts(docs), len(rows)).collect()}
+    assert got == {"zorblax", "little", "between"}
+    spans = {r.doc_id: r.spans for r in pii.report(docs).where("doc_id >= 3100").collect()}
+    assert spans == {3100: "term:9:16,term:40:47"}
+    out = {r.doc_id: r.text for r in pii.redacted(docs).collect()}
+    assert out[3100].lower().count("zorblax") == 1 and not any("zorblax" in out[3000 + i].lower() for i in range(8)) and out[5] == "plain words number 5"
