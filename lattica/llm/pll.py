@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import written
 
-#: Words with a class of their own, shared classes, words whose counts are kept one by one.
+#: Words with a class of their own, shared classes, words whose shares every worker holds (those of others are joined).
 OWN, SHARED, KEPT = 191, 64, 20_000
 CLASSES = OWN + SHARED
 PAD = CLASSES
@@ -61,42 +62,38 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary(dict):
-    """Word to its class, filled as words are met; ``within`` has the log of its share of the class."""
+    """Word to its class, filled as words are met; ``within`` has the log of its share of the class, 0 for words that
+    aren't among the frequent ones: their shares are joined."""
 
-    def __init__(self, frequent: list[tuple[str, int]], shared: dict[int, tuple[int, int]]):
-        """frequent: words and counts, most frequent first. shared: of each shared class, the sum of counts and the distinct words."""
+    def __init__(self, frequent: list[tuple[str, int]], shared: dict[int, int]):
+        """frequent: words and counts, most frequent first. shared: of each shared class, the sum of counts."""
         super().__init__()
         self.frequent, self.shared = frequent, shared
         self.within: dict[str, float] = {}
-        rest = {k: [n, d] for k, (n, d) in shared.items()}
         self.known: dict[str, tuple[int, float]] = {}
         for i, (word, n) in enumerate(frequent):
             if i < OWN:
                 self.known[word] = i, 0.0
             else:
                 k = shared_class(word)
-                self.known[word] = OWN + k, math.log(n / shared[k][0])
-                rest[k][0] -= n
-                rest[k][1] -= 1
-        #: Others have an equal part of what is left, one unseen word counted in.
-        self.other = {k: math.log(max(n, 1) / (d + 1) / max(shared[k][0], 1)) for k, (n, d) in rest.items()}
+                self.known[word] = OWN + k, math.log(n / shared[k])
 
     def __reduce__(self):
         return Vocabulary, (self.frequent, self.shared)
 
     def __missing__(self, word: str) -> int:
         if (found := self.known.get(word)) is None:
-            k = shared_class(word)
-            found = OWN + k, self.other.get(k, -20.0)
+            found = OWN + shared_class(word), 0.0
         self[word], self.within[word] = found
         return found[0]
 
-    def read(self, tokens: list[str]) -> tuple[bytes, float]:
-        """The classes of tokens, and the sum of their logs."""
+    def read(self, tokens: list[str]) -> tuple[bytes, float, Counter[str]]:
+        """The classes of tokens, the sum of the logs of frequent ones, and the counts of the others."""
         if len(self) > CACHE:
             self.clear()
             self.within.clear()
-        return bytes(map(self.__getitem__, tokens)), math.fsum(map(self.within.__getitem__, tokens))
+        known = self.known
+        return bytes(map(self.__getitem__, tokens)), math.fsum(map(self.within.__getitem__, tokens)), Counter([t for t in tokens if t not in known])
 
 
 def shared_class(word: str) -> int:
@@ -104,30 +101,48 @@ def shared_class(word: str) -> int:
 
 
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
-    """From the counts of all words: what scoring needs, of bounded size, and the frequency of each class."""
+    """From the counts of all words: the classes, the shares of the KEPT most frequent words, and the frequency of each class."""
     order = [F.desc("n"), "word"]
     frequent = [(r.word, r.n) for r in counts.orderBy(*order).limit(KEPT).collect()]
     own = [w for w, _ in frequent[:OWN]]
-    k = (F.crc32(F.right("word", F.lit(2)).cast("binary")) % SHARED).cast("int")
-    shared = {r.k: (r.n, r.d) for r in counts.where(~F.col("word").isin(own) if own else F.lit(True)).groupBy(k.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect()}
-    frequency = np.array([n for _, n in frequent[:OWN]] + [0] * (OWN - len(own)) + [shared.get(k, (0, 0))[0] for k in range(SHARED)], dtype=float)
+    shared = {r.k: r.n for r in counts.where(~F.col("word").isin(own) if own else F.lit(True)).groupBy(_shared_class().alias("k")).agg(F.sum("n").alias("n")).collect()}
+    frequency = np.array([n for _, n in frequent[:OWN]] + [0] * (OWN - len(own)) + [shared.get(k, 0) for k in range(SHARED)], dtype=float)
     return Vocabulary(frequent, shared), (frequency + 1) / (frequency.sum() + CLASSES)
 
 
+def _shared_class() -> Column:
+    return (F.crc32(F.right("word", F.lit(2)).cast("binary")) % SHARED).cast("int")
+
+
 def as_classes(docs: DataFrame, words: Vocabulary) -> DataFrame:
-    """doc_id, classes (one byte for each token), within (sum of the logs of the tokens' shares of their classes)."""
+    """doc_id, id (of the row), classes (one byte for each token), within (sum of the logs of the frequent tokens' shares of
+    their classes), words and times (the other words and how often they stand in the text)."""
     doc_id = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 40
         for batch in batches:
-            classes, within = [], []
+            classes, within, others = [], [], []
             for text in batch.column(1).to_pylist():
-                own, logs = words.read(tokens_of(text))
+                own, logs, rest = words.read(tokens_of(text))
                 classes.append(own)
                 within.append(logs)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "classes": pa.array(classes, pa.binary()), "within": pa.array(within, pa.float64())})
+                others.append(rest)
+            ids = pa.array(np.arange(first, first + len(classes)), pa.int64())
+            first += len(classes)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "id": ids, "classes": pa.array(classes, pa.binary()), "within": pa.array(within, pa.float64()), "words": pa.array([list(c) for c in others], pa.list_(pa.string())), "times": pa.array([list(c.values()) for c in others], pa.list_(pa.int64()))})
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, id bigint, classes binary, within double, words array<string>, times array<bigint>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, classes binary, within double")
+def with_shares(classes: DataFrame, counts: DataFrame, words: Vocabulary) -> DataFrame:
+    """doc_id, classes, within: with the shares of the words that aren't frequent, from the table of all counts."""
+    total = F.get(F.array(*[F.lit(float(words.shared.get(k, 0))) for k in range(SHARED)]), _shared_class())
+    # Own classes have one word and no shares: they are never joined, and a class may hold nothing else.
+    logs = counts.select("word", F.log(F.try_divide("n", total)).alias("log"))
+    met = classes.select("id", F.inline(F.arrays_zip("words", "times"))).toDF("id", "word", "times")
+    sums = met.join(logs, "word").groupBy("id").agg(F.sum(F.col("times") * F.col("log")).alias("rest"))
+    return classes.select("doc_id", "id", "classes", "within").join(sums, "id", "left").select("doc_id", "classes", (F.col("within") + F.coalesce("rest", F.lit(0.0))).alias("within"))
 
 
 class Network:
@@ -241,7 +256,8 @@ def score_sequences(network: Network, sequences: list[bytes]) -> np.ndarray:
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, score (sum of conditional log-probabilities), mean_score, after training on the same documents."""
-    words, frequency = vocabulary(written(word_counts(docs), "pll-words"))
+    counts = written(word_counts(docs), "pll-words")
+    words, frequency = vocabulary(counts)
     classes = written(as_classes(docs, words), "pll-classes")
     network = trained(classes, frequency)
     doc_id = docs.schema["doc_id"].dataType.simpleString()
@@ -253,4 +269,4 @@ def scored(docs: DataFrame) -> DataFrame:
             score = score_sequences(network, sequences) + batch.column(2).to_numpy()
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "score": pa.array(score, pa.float64()), "mean_score": pa.array(score / np.maximum(n, 1), pa.float64())})
 
-    return classes.mapInArrow(run, f"doc_id {doc_id}, n_tokens bigint, score double, mean_score double")
+    return with_shares(classes, counts, words).mapInArrow(run, f"doc_id {doc_id}, n_tokens bigint, score double, mean_score double")

@@ -1,7 +1,7 @@
 """Whole jobs: cases that earlier forms of the corpus operators passed over."""
 
 import corpus_pipeline
-from lattica.llm import pii
+from lattica.llm import pii, pll
 
 
 def test_dedup_stage_joins_documents_of_similarity_above_80(spark):
@@ -41,3 +41,15 @@ def test_terms_count_and_are_marked_in_whole_texts(spark):
     assert spans == {3100: "term:9:16,term:40:47"}
     out = {r.doc_id: r.text for r in pii.redacted(docs).collect()}
     assert out[3100].lower().count("zorblax") == 1 and not any("zorblax" in out[3000 + i].lower() for i in range(8)) and out[5] == "plain words number 5"
+
+
+def test_shares_of_all_words_are_by_their_counts(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(40)
+    seen = []
+    for kept in (20_000, pll.OWN, pll.OWN + 50):
+        monkeypatch.setattr(pll, "KEPT", kept)
+        counts = pll.word_counts(docs)
+        words, _ = pll.vocabulary(counts)
+        rows = pll.with_shares(pll.as_classes(docs, words).cache(), counts, words).collect()
+        seen.append(sorted((r.doc_id, round(r.within, 6)) for r in rows))
+    assert len(seen[0]) == 40 and seen[0] == seen[1] == seen[2]
