@@ -5,7 +5,7 @@ classes of their own, other words share classes by their last two characters; a
 of its class, by the network, times its share of the class, by the counts. The network sees WINDOW classes to the left
 and to the right (never the token itself), adds one learned vector for each place and class, and passes tanh units to
 a softmax over the classes. It is trained in numpy: in each round every partition starts from the shared parameters,
-learns from one in STRIDE of all its tokens, and the parameters are averaged by the number of tokens.
+learns from one in ROUNDS of all its tokens (over all rounds from each token once), and the parameters are averaged by the number of tokens.
 
 Defined results: null, empty or blank texts have no tokens, score 0 and mean 0; a token at an edge sees the padding
 class; repeated rows give repeated results; an empty table gives an empty result; other columns are not read.
@@ -31,7 +31,7 @@ from lattica.llm.common import written
 OWN, SHARED, KEPT = 191, 64, 20_000
 CLASSES = OWN + SHARED
 PAD = CLASSES
-WINDOW, UNITS, ROUNDS, STRIDE, RATE, BATCH = 2, 24, 2, 16, 0.05, 512
+WINDOW, UNITS, ROUNDS, RATE, BATCH = 2, 24, 2, 0.05, 512
 #: Distinct words that a task counts before it hands them on; words a worker remembers; tokens
 #: scored at once (their logits stay in a core's cache).
 COUNTING, CACHE, AT_ONCE = 300_000, 500_000, 2_048
@@ -195,7 +195,10 @@ class Network:
             back = (p @ self.out.T) * (1 - h * h)
             places = np.zeros_like(self.places)
             for k in range(2 * WINDOW):
-                np.add.at(places[k], c[k], back)
+                order = np.argsort(c[k], kind="stable")
+                of = c[k][order]
+                first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                places[k][of[first]] = np.add.reduceat(back[order], first)
             for parameter, g, s in zip(self.parameters(), (places, back.sum(0), h.T @ p, p.sum(0)), squares):
                 s += g * g
                 parameter -= RATE * g / np.sqrt(s)
@@ -214,6 +217,11 @@ def _contexts(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([x[at + d] for d in range(-WINDOW, WINDOW + 1) if d])
 
 
+def targets(at: np.ndarray, r: int) -> np.ndarray:
+    """The tokens that round r learns from: each token is in one round."""
+    return at[(at + r) % ROUNDS == 0]
+
+
 def trained(classes: DataFrame, frequency: np.ndarray) -> Network:
     """Rounds of local training and averaging; the driver gets one number for each parameter, whatever the input."""
     network = Network(frequency)
@@ -226,8 +234,7 @@ def trained(classes: DataFrame, frequency: np.ndarray) -> Network:
             seen = 0
             for batch in batches:
                 x, at, _ = _windows([b or b"" for b in batch.column(0).to_pylist()])
-                at = at[(at + r * STRIDE // ROUNDS) % STRIDE == 0]
-                at = np.random.default_rng(r).permutation(at)
+                at = np.random.default_rng(r).permutation(targets(at, r))
                 own.learn(_contexts(x, at), x[at])
                 seen += len(at)
             if seen:

@@ -1,5 +1,8 @@
 """Whole jobs: cases that earlier forms of the corpus operators passed over."""
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
 from lattica.llm import pii, pll
 
@@ -53,3 +56,21 @@ def test_shares_of_all_words_are_by_their_counts(spark, monkeypatch):
         rows = pll.with_shares(pll.as_classes(docs, words).cache(), counts, words).collect()
         seen.append(sorted((r.doc_id, round(r.within, 6)) for r in rows))
     assert len(seen[0]) == 40 and seen[0] == seen[1] == seen[2]
+
+
+def test_every_token_is_a_target_of_training_once(spark, monkeypatch):
+    learnt = []
+    monkeypatch.setattr(pll.Network, "learn", lambda self, contexts, targets: learnt.extend(zip(contexts.T.tolist(), targets.tolist())))
+
+    class Local:
+        """mapInArrow and what follows it, in this process."""
+
+        select = groupBy = agg = lambda self, *_: self
+        collect = lambda self: []
+
+        def mapInArrow(self, run, schema):
+            list(run(iter([pa.RecordBatch.from_pydict({"classes": pa.array([bytes(range(100)), bytes(range(100, 200))], pa.binary())})])))
+            return self
+
+    pll.trained(Local(), np.ones(pll.CLASSES))
+    assert sorted(y for _, y in learnt) == list(range(200))
