@@ -8,16 +8,18 @@ n(e, t) those that do both; with N rows, the disclosure of e by t is
 
 1 where every row with t mentions e. Terms at GENERALISE or more are replaced by their type, at REMOVE or more they are
 removed. A pair is used if its disclosure is still GENERALISE or more with the lower Wilson bound (Z) of n(e, t) / n(t),
-for which only different texts are evidence: rare entities have revealing terms, copies of one text add nothing. Every
-occurrence of a term that reveals some entity is marked, in all texts, with or without a mention.
+for which only different texts are evidence: rare entities have revealing terms, copies of one text add nothing. As the
+scale of the disclosure is log N, the bound itself must also be SURE or more: else ever more words of other texts would
+count as revealing as a corpus grows.
+Every occurrence of a term that reveals some entity is marked, in all texts, with or without a mention.
 
 All of it is DataFrame and SQL functions: spans are found where texts are read; counts, mentions, spans
 and the texts that hold a revealing term are shuffled, and where there are more than BROADCAST revealing terms, the
 distinct words of each text.
 
 Defined results: null text counts as empty; offsets are code points, ends exclusive; spans follow from the text and
-the counts, so repeated rows give repeated results; doc_id may be null or repeated; columns other than doc_id and text pass through
-``redacted`` untouched, but for n_chars.
+the counts, so repeated rows give repeated results; doc_id may be null or repeated; an empty table gives an empty
+result; columns other than text and n_chars pass through ``redacted`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 from lattica.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone")
-GENERALISE, REMOVE, Z = 0.8, 0.95, 1.645
-#: Revealing terms, and digests of texts, that may be broadcast.
-BROADCAST = 500_000
+GENERALISE, REMOVE, SURE, Z = 0.8, 0.95, 0.25, 1.645
+#: Revealing terms, or spans, that may be broadcast; digests of texts (16 bytes each) that may be.
+BROADCAST, KEYS = 500_000, 2_000_000
 #: Possessive forms of the base patterns: they match the same spans without backtracking or recursion. A card is a
 #: whole run of digits (single spaces or hyphens between them) with 13 to 19 digits.
 PATTERNS = {
@@ -89,8 +91,10 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(F.contains(text, F.lit(NEEDS[kind])), found).otherwise(F.array().cast(_SPANS)) if kind in NEEDS else found
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST else df
+def _small(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Marked for broadcast, if its rows (or the sum of their weights) are few enough."""
+    n = df.count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if n <= BROADCAST else df
 
 
 def _masked(text: Column, base: Column) -> Column:
@@ -148,16 +152,16 @@ def _lower_bound(share: Column, n: Column) -> Column:
 
 
 def disclosures(described: DataFrame, counts: DataFrame, rows: int) -> DataFrame:
-    """entity, term, disclosure of the pairs whose disclosure is GENERALISE or more by its lower bound."""
+    """entity, term, disclosure of the pairs that are revealing by the lower bound of their share."""
     mentions = described.where(F.size("entities") > 0).select("key", "terms", F.explode("entities").alias("entity"))
     entities = mentions.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") < rows)
     pairs = mentions.select("key", "entity", F.explode("terms").alias("term")).groupBy("entity", "term", "key").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts"))
     total = F.lit(float(rows))
     share = F.least("n_et", "n_e", "n_t") / F.col("n_t")
     score = lambda p: F.log(p * total / F.col("n_e")) / F.log(total / F.col("n_e"))
-    bound = score(_lower_bound(F.col("share"), F.col("texts") / F.col("share")))
     joined = pairs.join(entities, "entity").join(counts, "term").withColumn("share", share)
-    return joined.where(bound >= GENERALISE).select("entity", "term", score(F.col("share")).alias("disclosure"))
+    bound = joined.withColumn("bound", _lower_bound(F.col("share"), F.col("texts") / F.col("share")))
+    return bound.where((F.col("bound") >= SURE) & (score(F.col("bound")) >= GENERALISE)).select("entity", "term", score(F.col("share")).alias("disclosure"))
 
 
 def occurrences(docs: DataFrame, revealing: DataFrame) -> DataFrame:
@@ -179,8 +183,8 @@ def occurrences(docs: DataFrame, revealing: DataFrame) -> DataFrame:
 def found(docs: DataFrame) -> DataFrame:
     """doc_id, key, base and terms (start, end, action) of every document; one row for each row of docs."""
     base = written(described(docs), "pii-base")
-    terms = occurrences(docs, disclosures(base, term_counts(docs), base.count()))
-    return base.select("doc_id", "key", "base").join(terms, "key", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start: int, end: int, action: string>>")))
+    terms = written(occurrences(docs, disclosures(base, term_counts(docs), base.count())), "pii-spans")
+    return base.select("doc_id", "key", "base").join(_small(terms, F.size("terms") + 1), "key", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start: int, end: int, action: string>>")))
 
 
 def _written_as(spans_: Column) -> Column:
@@ -195,12 +199,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with spans replaced: pattern spans by their kind, generalised terms by [TERM], removed terms by nothing."""
+    """docs with spans replaced: pattern spans by their kind, generalised terms by [TERM], removed terms by nothing.
+
+    Only texts with spans are joined to them; the others go round the join."""
     by_key = found(docs).where((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["key"])
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("to")))
     terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", "").otherwise("[TERM]").alias("to")))
-    spans_ = by_key.select(F.col("key").alias("__key"), F.array_sort(F.concat(base, terms)).alias("__spans"))
-    text = F.coalesce("text", F.lit(""))
+    spans_ = written(by_key.select("key", F.array_sort(F.concat(base, terms)).alias("spans")), "pii-changes")
+    rows = docs.select(_key(F.coalesce("text", F.lit(""))).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col("row.text")
 
     def replace(state: Column, s: Column) -> Column:
         inside = s["start"] < state["at"]
@@ -208,8 +215,15 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    new = F.aggregate("__spans", zero, replace, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))))
-    joined = docs.withColumn("__key", _key(text)).join(spans_, "__key", "left").withColumn("__new", F.when(F.col("__spans").isNotNull(), new))
-    changed = {"text": F.coalesce("__new", "text"), "n_chars": F.when(F.col("__new").isNull(), F.col("n_chars")).otherwise(F.length("__new")) if "n_chars" in docs.columns else None}
+    new = F.aggregate("spans", zero, replace, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))))
     kinds = dict(docs.dtypes)
-    return joined.select(*[changed[c].cast(kinds[c]).alias(c) if changed.get(c) is not None else F.col(f"`{c}`") for c in docs.columns])
+    of = {"text": F.col("new"), "n_chars": F.length("new")}
+
+    def changed(joined: DataFrame) -> DataFrame:
+        there = joined.select("row", F.when(F.col("spans").isNotNull(), new).alias("new"))
+        return there.select(*[F.coalesce(of[c].cast(kinds[c]), f"row.`{c}`").alias(c) if c in of else F.col(f"row.`{c}`") for c in docs.columns])
+
+    if spans_.count() > KEYS:
+        return changed(rows.join(spans_, "key", "left"))
+    keys = F.broadcast(spans_.select("key"))
+    return rows.join(keys, "key", "left_anti").select("row.*").union(changed(rows.join(keys, "key", "left_semi").join(spans_, "key")))

@@ -74,3 +74,53 @@ def test_every_token_is_a_target_of_training_once(spark, monkeypatch):
 
     pll.trained(Local(), np.ones(pll.CLASSES))
     assert sorted(y for _, y in learnt) == list(range(200))
+
+
+def test_term_spans_equal_brute_force(spark):
+    """Counts, shares, bounds and places of terms over a table of the test data, recounted row by row."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.where("doc_id % 70 = 0")).union(spark.createDataFrame([(900_001, None), (900_002, "")], docs.schema))
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    base = {t: [(k, s.start, s.end, s.value) for k in pii.KINDS for s in f[k]] for t, f in ((r.text, r) for r in pii._with_spans(docs).collect())}
+    masked, entities = {}, {}
+    for t, found in base.items():
+        x = list(t)
+        for _, a, b, _ in found:
+            x[a:b] = " " * (b - a)
+        masked[t] = "".join(x)
+        entities[t] = {f"{k}:{v.lower() if k == 'email' else v if k == 'ip' else re.sub('[^0-9]', '', v)}" for k, _, _, v in found}
+    terms = {t: {w.lower() for w in re.findall(r"[^\W\d_]{4,}", m)} for t, m in masked.items()}
+    n_t, n_e, n_et, texts = {}, {}, {}, {}
+    for _, t in rows:
+        for w in terms[t]:
+            n_t[w] = n_t.get(w, 0) + 1
+        for e in entities[t]:
+            n_e[e] = n_e.get(e, 0) + 1
+            for w in terms[t]:
+                n_et[e, w] = n_et.get((e, w), 0) + 1
+                texts.setdefault((e, w), set()).add(t)
+    marked, total = {}, len(rows)
+    for (e, w), n in n_et.items():
+        p = n / n_t[w]
+        m, z2 = len(texts[e, w]) / p, pii.Z**2
+        low = (p + z2 / (2 * m) - pii.Z * np.sqrt(p * (1 - p) / m + z2 / (4 * m * m))) / (1 + z2 / m)
+        score = lambda q, e=e: np.log(q * total / n_e[e]) / np.log(total / n_e[e])
+        if low >= pii.SURE and score(low) >= pii.GENERALISE:
+            marked[w] = max(marked.get(w, 0), score(p))
+    want = sorted((str(i), ",".join(f"{s.start()}:{s.end()}" for s in re.finditer(r"[^\W\d_]{4,}", masked[t]) if s.group().lower() in marked)) for i, t in rows)
+    got = sorted((str(r.doc_id), ",".join(s[5:] for s in r.spans.split(",") if s.startswith("term:"))) for r in pii.report(docs).collect())
+    assert marked and sum(len(w) for _, w in want) > 100
+    assert got == want
+
+
+def test_columns_with_names_of_steps_pass_through(spark):
+    docs = spark.createDataFrame([(1, "write to a@b.org", "k", "s", "n", 5), (2, "plain", "k", "s", "n", 5), (None, None, "k", "s", "n", None)], "doc_id long, text string, key string, spans string, new string, row int")
+    out = {r.doc_id: r for r in pii.redacted(docs).collect()}
+    assert out[1].text == "write to [EMAIL]" and out[2].text == "plain" and out[None].text is None
+    assert all(r.key == "k" and r.spans == "s" and r.new == "n" for r in out.values()) and out[1]["row"] == 5
+    items = spark.createDataFrame([(1, "no such passage stands in any of the texts above")], "item_id long, text string")
+    from lattica.llm import decontam
+
+    assert sorted(map(str, decontam.clean(docs, items).collect())) == sorted(map(str, docs.collect()))
