@@ -1,11 +1,16 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token from both sides.
 
-Tokens are lower-case words and runs of symbols. Word counts are taken over all documents. The most frequent words are
-classes of their own, other words share classes by their last two characters; a word's conditional probability is that
-of its class, by the network, times its share of the class, by the counts. The network sees WINDOW classes to the left
-and to the right (never the token itself), adds one learned vector for each place and class, and passes tanh units to
-a softmax over the classes. It is trained in numpy: in each round every partition starts from the shared parameters,
-learns from one in ROUNDS of all its tokens (over all rounds from each token once), and the parameters are averaged by the number of tokens.
+Tokens are lower-case words and runs of symbols; their counts are taken over all documents. Words form groups by their
+last two characters. In each group the most frequent words are leaves of their own and one leaf stands for the rest; the
+number of groups, and of leaves in a group, is GROWTH times the fourth root of the number of distinct words, so what is
+predicted grows with the input. The network sees the classes of WINDOW tokens to the left and to the right (never the
+token itself): the OWN most frequent words, and SHARED classes for the others. It adds one learned vector for each place
+and class, passes tanh units to a softmax over the groups, and to one over the leaves of the token's group. A word's
+conditional probability is the product of the two, and for words of a rest its share of it by the counts of all documents.
+
+Training is in numpy: in each round every partition starts from the shared parameters, learns from one in ROUNDS of all
+its tokens (over all rounds from each token once), and the parameters are averaged by the number of tokens. Which tokens
+meet in a partition is part of the result: another partitioning of the input gives slightly other parameters.
 
 Defined results: null, empty or blank texts have no tokens, score 0 and mean 0; a token at an edge sees the padding
 class; repeated rows give repeated results; an empty table gives an empty result; other columns are not read.
@@ -22,19 +27,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import written
 
-#: Words with a class of their own, shared classes, words whose shares every worker holds (those of others are joined).
-OWN, SHARED, KEPT = 191, 64, 20_000
+#: Context classes of single words, and shared ones; words whose shares every worker holds (those of others are joined).
+OWN, SHARED, KEPT = 191, 64, 100_000
 CLASSES = OWN + SHARED
-PAD = CLASSES
-WINDOW, UNITS, ROUNDS, RATE, BATCH = 2, 24, 2, 0.05, 512
-#: Distinct words that a task counts before it hands them on; words a worker remembers; tokens
-#: scored at once (their logits stay in a core's cache).
-COUNTING, CACHE, AT_ONCE = 300_000, 500_000, 2_048
+#: Groups, and leaves of each: GROWTH * words ** 0.25, LEAST at least.
+GROWTH, LEAST = 3, 8
+WINDOW, UNITS, ROUNDS, RATE, BATCH = 2, 24, 2, 0.2, 8_192
+#: Distinct words that a task counts before it hands them on; words a worker remembers; tokens scored at once; tokens
+#: whose windows are laid out at once.
+COUNTING, CACHE, AT_ONCE, LAID = 300_000, 500_000, 8_192, 400_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -61,100 +67,144 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def ending(word: str) -> int:
+    return zlib.crc32(word[-2:].encode())
+
+
+def _ending() -> Column:
+    return F.crc32(F.right("word", F.lit(2)).cast("binary"))
+
+
 class Vocabulary(dict):
-    """Word to its class, filled as words are met; ``within`` has the log of its share of the class, 0 for words that
-    aren't among the frequent ones: their shares are joined."""
+    """Word to its leaf (group * side + place), filled as words are met; ``within`` has the log of its share of a rest, 0
+    for leaves of their own and for words that aren't among the frequent ones: the shares of those are joined."""
 
-    def __init__(self, frequent: list[tuple[str, int]], shared: dict[int, int]):
-        """frequent: words and counts, most frequent first. shared: of each shared class, the sum of counts."""
+    def __init__(self, side: int, own: list[tuple[str, int]], rest: list[int], frequent: list[tuple[str, int]]):
+        """own: words that are leaves and their counts, most frequent first. rest: each group's sum of the other counts.
+        frequent: other words and counts."""
         super().__init__()
-        self.frequent, self.shared = frequent, shared
+        self.side, self.own, self.rest, self.frequent = side, own, rest, frequent
         self.within: dict[str, float] = {}
         self.known: dict[str, tuple[int, float]] = {}
-        for i, (word, n) in enumerate(frequent):
+        self.count = np.zeros((side, side))
+        self.count[:, -1] = rest
+        #: Of each leaf, and of the padding, the class that the network sees.
+        self.seen_as = np.append(OWN + np.repeat(np.arange(side), side) % SHARED, CLASSES).astype(np.uint8)
+        places: Counter[int] = Counter()
+        for i, (word, n) in enumerate(own):
+            g = ending(word) % side
+            self.known[word] = g * side + places[g], 0.0
+            self.count[g, places[g]] = n
             if i < OWN:
-                self.known[word] = i, 0.0
-            else:
-                k = shared_class(word)
-                self.known[word] = OWN + k, math.log(n / shared[k])
+                self.seen_as[g * side + places[g]] = i
+            places[g] += 1
+        for word, n in frequent:
+            g = ending(word) % side
+            self.known[word] = g * side + side - 1, math.log(n / rest[g])
+
+    @property
+    def pad(self) -> int:
+        return self.side * self.side
 
     def __reduce__(self):
-        return Vocabulary, (self.frequent, self.shared)
+        return Vocabulary, (self.side, self.own, self.rest, self.frequent)
 
     def __missing__(self, word: str) -> int:
         if (found := self.known.get(word)) is None:
-            found = OWN + shared_class(word), 0.0
+            found = ending(word) % self.side * self.side + self.side - 1, 0.0
         self[word], self.within[word] = found
         return found[0]
 
     def read(self, tokens: list[str]) -> tuple[bytes, float, Counter[str]]:
-        """The classes of tokens, the sum of the logs of frequent ones, and the counts of the others."""
+        """The leaves of tokens (32 bits each), the sum of the logs of frequent ones, and the counts of the others."""
         if len(self) > CACHE:
             self.clear()
             self.within.clear()
         known = self.known
-        return bytes(map(self.__getitem__, tokens)), math.fsum(map(self.within.__getitem__, tokens)), Counter([t for t in tokens if t not in known])
-
-
-def shared_class(word: str) -> int:
-    return zlib.crc32(word[-2:].encode()) % SHARED
-
-
-def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
-    """From the counts of all words: the classes, the shares of the KEPT most frequent words, and the frequency of each class."""
-    order = [F.desc("n"), "word"]
-    frequent = [(r.word, r.n) for r in counts.orderBy(*order).limit(KEPT).collect()]
-    own = [w for w, _ in frequent[:OWN]]
-    shared = {r.k: r.n for r in counts.where(~F.col("word").isin(own) if own else F.lit(True)).groupBy(_shared_class().alias("k")).agg(F.sum("n").alias("n")).collect()}
-    frequency = np.array([n for _, n in frequent[:OWN]] + [0] * (OWN - len(own)) + [shared.get(k, 0) for k in range(SHARED)], dtype=float)
-    return Vocabulary(frequent, shared), (frequency + 1) / (frequency.sum() + CLASSES)
-
-
-def _shared_class() -> Column:
-    return (F.crc32(F.right("word", F.lit(2)).cast("binary")) % SHARED).cast("int")
-
-
-def as_classes(docs: DataFrame, words: Vocabulary) -> DataFrame:
-    """doc_id, id (of the row), classes (one byte for each token), within (sum of the logs of the frequent tokens' shares of
-    their classes), words and times (the other words and how often they stand in the text)."""
+        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens)).tobytes(), math.fsum(map(self.within.__getitem__, tokens)), Counter([t for t in tokens if t not in known])
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """From the counts of all words: the leaves, the shares of the KEPT most frequent other words, and the rests."""
+    side = max(LEAST, math.ceil(GROWTH * counts.count() ** 0.25))
+    grouped = counts.withColumn("g", (_ending() % side).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), "word"))
+    own = [(r.word, r.n) for r in grouped.withColumn("rank", rank).where(F.col("rank") < side).orderBy(F.desc("n"), "word").collect()]
+    rest = [0] * side
+    for r in grouped.groupBy("g").agg(F.sum("n").alias("n")).collect():
+        rest[r.g] = r.n
+    leaves = set()
+    for word, n in own:
+        rest[ending(word) % side] -= n
+        leaves.add(word)
+    frequent = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(KEPT).collect() if r.word not in leaves] if KEPT else []
+    return Vocabulary(side, own, rest, frequent)
+
+
+def as_leaves(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """doc_id, id (of the row), leaves (32 bits for each token), within (sum of the logs of the frequent tokens' shares),
+    words and times (the other words and how often they stand in the text)."""
     doc_id = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            classes, within, others = [], [], []
-            for text in batch.column(1).to_pylist():
-                own, logs, rest = words.read(tokens_of(text))
-                classes.append(own)
-                within.append(logs)
-                others.append(rest)
-            ids = pa.array(np.arange(first, first + len(classes)), pa.int64())
-            first += len(classes)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "id": ids, "classes": pa.array(classes, pa.binary()), "within": pa.array(within, pa.float64()), "words": pa.array([list(c) for c in others], pa.list_(pa.string())), "times": pa.array([list(c.values()) for c in others], pa.list_(pa.int64()))})
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, id bigint, classes binary, within double, words array<string>, times array<bigint>")
-
-
-def with_shares(classes: DataFrame, counts: DataFrame, words: Vocabulary) -> DataFrame:
-    """doc_id, classes, within: with the shares of the words that aren't frequent, from the table of all counts."""
-    total = F.get(F.array(*[F.lit(float(words.shared.get(k, 0))) for k in range(SHARED)]), _shared_class())
-    # Own classes have one word and no shares: they are never joined, and a class may hold nothing else.
-    logs = counts.select("word", F.log(F.try_divide("n", total)).alias("log"))
-    met = classes.select("id", F.inline(F.arrays_zip("words", "times"))).toDF("id", "word", "times")
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                batch = whole.slice(i, 500)
+                leaves, within, others = [], [], []
+                for text in batch.column(1).to_pylist():
+                    own, logs, rest = words.read(tokens_of(text))
+                    leaves.append(own)
+                    within.append(logs)
+                    others.append(rest)
+                ids = pa.array(np.arange(first, first + len(leaves)), pa.int64())
+                first += len(leaves)
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "id": ids, "leaves": pa.array(leaves, pa.binary()), "within": pa.array(within, pa.float64()), "words": pa.array([list(c) for c in others], pa.list_(pa.string())), "times": pa.array([list(c.values()) for c in others], pa.list_(pa.int64()))})
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, id bigint, leaves binary, within double, words array<string>, times array<bigint>")
+
+
+def with_shares(leaves: DataFrame, counts: DataFrame, words: Vocabulary) -> DataFrame:
+    """doc_id, leaves, within: with the shares of the words that aren't frequent, from the table of all counts."""
+    rest = leaves.sparkSession.createDataFrame([(g, float(n)) for g, n in enumerate(words.rest) if n > 0], "g int, total double")
+    # A word that is joined is never a leaf of its own, so its group has a rest.
+    logs = counts.withColumn("g", (_ending() % words.side).cast("int")).join(F.broadcast(rest), "g").select("word", F.log(F.col("n") / F.col("total")).alias("log"))
+    met = leaves.select("id", F.inline(F.arrays_zip("words", "times"))).toDF("id", "word", "times")
     sums = met.join(logs, "word").groupBy("id").agg(F.sum(F.col("times") * F.col("log")).alias("rest"))
-    return classes.select("doc_id", "id", "classes", "within").join(sums, "id", "left").select("doc_id", "classes", (F.col("within") + F.coalesce("rest", F.lit(0.0))).alias("within"))
+    return leaves.select("doc_id", "id", "leaves", "within").join(sums, "id", "left").select("doc_id", "leaves", (F.col("within") + F.coalesce("rest", F.lit(0.0))).alias("within"))
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def _picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of rows of logits, the log-probability of one place each."""
+    z -= z.max(1, keepdims=True)
+    out = z[np.arange(len(at)), at]
+    np.exp(z, out=z)
+    return out - np.log(z.sum(1))
 
 
 class Network:
-    def __init__(self, frequency: np.ndarray, seed: int = 5):
+    def __init__(self, count: np.ndarray, seed: int = 5):
+        """count: of each leaf, a row for each group."""
         rng = np.random.default_rng(seed)
+        side, of_group = len(count), count.sum(1)
+        self.side = side
         self.places = (rng.normal(size=(2 * WINDOW, CLASSES + 1, UNITS)) * 0.3).astype(np.float32)
         self.hidden = np.zeros(UNITS, np.float32)
-        self.out = (rng.normal(size=(UNITS, CLASSES)) * 0.05).astype(np.float32)
-        self.bias = np.log(frequency).astype(np.float32)
+        self.out = (rng.normal(size=(UNITS, side)) * 0.05).astype(np.float32)
+        self.bias = np.log((of_group + 1) / (of_group.sum() + side)).astype(np.float32)
+        self.leaf = (rng.normal(size=(side, UNITS, side)) * 0.05).astype(np.float32)
+        self.leaf_bias = np.log((count + 0.01) / (of_group[:, None] + 0.01 * side)).astype(np.float32)
+        self.squares = [np.full_like(p, 1e-2) for p in self.parameters()]
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.places, self.hidden, self.out, self.bias]
+        return [self.places, self.hidden, self.out, self.bias, self.leaf, self.leaf_bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parameters()])
@@ -171,50 +221,74 @@ class Network:
             h += self.places[k][context[k]]
         return np.tanh(h)
 
+    def _by_group(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """The order by group; contexts, groups and places in it; first and one past the last of each group that occurs."""
+        order = np.argsort(target, kind="stable")
+        target = target[order]
+        g, m = np.divmod(target, self.side)
+        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, int)
+        return order, context[:, order], g, m, list(zip(g[first].tolist(), first.tolist(), np.append(first[1:], len(g)).tolist()))
+
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """context: a row of classes for each place around the target."""
-        logits = self.units(context) @ self.out + self.bias
-        top = logits.max(1)
-        picked = logits[np.arange(len(target)), target]
-        logits -= top[:, None]
-        np.exp(logits, out=logits)
-        return picked - top - np.log(logits.sum(1))
+        """context: a row of classes for each place around the target; target: leaves."""
+        order, context, g, m, runs = self._by_group(context, target)
+        h = self.units(context)
+        found = _picked(h @ self.out + self.bias, g)
+        for k, a, b in runs:
+            found[a:b] += _picked(h[a:b] @ self.leaf[k] + self.leaf_bias[k], m[a:b])
+        out = np.empty_like(found)
+        out[order] = found
+        return out
+
+    def _step(self, parameter: np.ndarray, g: np.ndarray, squares: np.ndarray) -> None:
+        squares += g * g
+        parameter -= RATE * g / np.sqrt(squares)
 
     def learn(self, contexts: np.ndarray, targets: np.ndarray) -> None:
         """One pass of AdaGrad over the windows, in the order given."""
-        squares = [np.full_like(p, 1e-2) for p in self.parameters()]
         for i in range(0, len(targets), BATCH):
-            c, y = contexts[:, i : i + BATCH], targets[i : i + BATCH]
+            _, c, y, m, runs = self._by_group(contexts[:, i : i + BATCH], targets[i : i + BATCH])
+            scale = np.float32(1 / math.sqrt(len(y)))
             h = self.units(c)
-            logits = h @ self.out + self.bias
-            logits -= logits.max(1, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(1, keepdims=True)
+            p = _softmax(h @ self.out + self.bias)
             p[np.arange(len(y)), y] -= 1
-            p /= math.sqrt(len(y))
-            back = (p @ self.out.T) * (1 - h * h)
+            p *= scale
+            back = p @ self.out.T
+            for k, a, b in runs:
+                own = h[a:b]
+                q = _softmax(own @ self.leaf[k] + self.leaf_bias[k])
+                q[np.arange(b - a), m[a:b]] -= 1
+                q *= scale
+                back[a:b] += q @ self.leaf[k].T
+                self._step(self.leaf[k], own.T @ q, self.squares[4][k])
+                self._step(self.leaf_bias[k], q.sum(0), self.squares[5][k])
+            back *= 1 - h * h
             places = np.zeros_like(self.places)
             for k in range(2 * WINDOW):
                 order = np.argsort(c[k], kind="stable")
                 of = c[k][order]
                 first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                 places[k][of[first]] = np.add.reduceat(back[order], first)
-            for parameter, g, s in zip(self.parameters(), (places, back.sum(0), h.T @ p, p.sum(0)), squares):
-                s += g * g
-                parameter -= RATE * g / np.sqrt(s)
+            for parameter, g, s in zip(self.parameters(), (places, back.sum(0), h.T @ p, p.sum(0)), self.squares):
+                self._step(parameter, g, s)
 
 
-def _windows(sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts in one array with WINDOW paddings around each; where tokens stand in it, and of which text each is."""
-    sizes = np.array([len(s) for s in sequences])
-    gap = bytes([PAD] * WINDOW)
-    x = np.frombuffer(gap + b"".join(s + gap for s in sequences), dtype=np.uint8)
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    return x, np.arange(sizes.sum()) + WINDOW * (text + 1), text
+def _windows(sequences: list[bytes], pad: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts in arrays with WINDOW paddings around each, LAID tokens or one text at a time: the first text's place in the
+    list, the array, where tokens stand in it, and of which text each is."""
+    gap, i = np.full(WINDOW, pad, np.int32), 0
+    while i < len(sequences):
+        parts, held, first = [gap], 0, i
+        while i < len(sequences) and (i == first or held + len(sequences[i]) // 4 <= LAID):
+            parts += [np.frombuffer(sequences[i], np.int32), gap]
+            held += len(parts[-2])
+            i += 1
+        text = np.repeat(np.arange(i - first), [len(x) for x in parts[1::2]])
+        yield first, np.concatenate(parts), np.arange(held) + WINDOW * (text + 1), text
 
 
-def _contexts(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.stack([x[at + d] for d in range(-WINDOW, WINDOW + 1) if d])
+def _contexts(x: np.ndarray, at: np.ndarray, seen_as: np.ndarray) -> np.ndarray:
+    return np.stack([seen_as[x[at + d]] for d in range(-WINDOW, WINDOW + 1) if d])
 
 
 def targets(at: np.ndarray, r: int) -> np.ndarray:
@@ -222,58 +296,58 @@ def targets(at: np.ndarray, r: int) -> np.ndarray:
     return at[(at + r) % ROUNDS == 0]
 
 
-def trained(classes: DataFrame, frequency: np.ndarray) -> Network:
-    """Rounds of local training and averaging; the driver gets one number for each parameter, whatever the input."""
-    network = Network(frequency)
+def trained(leaves: DataFrame, words: Vocabulary) -> Network:
+    """Rounds of local training and averaging; the driver gets one number for each parameter."""
+    network = Network(words.count)
 
     for r in range(ROUNDS):
 
         def run(batches: Iterator[pa.RecordBatch], start: Network = network, r: int = r) -> Iterator[pa.RecordBatch]:
-            own = Network(frequency)
+            own = Network(words.count)
             own.set_flat(start.flat())
             seen = 0
             for batch in batches:
-                x, at, _ = _windows([b or b"" for b in batch.column(0).to_pylist()])
-                at = np.random.default_rng(r).permutation(targets(at, r))
-                own.learn(_contexts(x, at), x[at])
-                seen += len(at)
+                for _, x, at, _ in _windows([b or b"" for b in batch.column(0).to_pylist()], words.pad):
+                    at = np.random.default_rng(r).permutation(targets(at, r))
+                    own.learn(_contexts(x, at, words.seen_as), x[at])
+                    seen += len(at)
             if seen:
                 values = own.flat()
                 yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(len(values)), pa.int32()), "v": pa.array(values.astype(float) * seen, pa.float64()), "n": pa.array(np.full(len(values), float(seen)), pa.float64())})
 
-        rows = classes.select("classes").mapInArrow(run, "k int, v double, n double").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
-        if rows:
-            values = np.zeros(len(rows), np.float32)
-            for row in rows:
-                values[row.k] = row.v
-            network = Network(frequency)
+        mean = leaves.select("leaves").mapInArrow(run, "k int, v double, n double").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
+        if mean.num_rows:
+            values = np.zeros(mean.num_rows, np.float32)
+            values[mean["k"].to_numpy()] = mean["v"].to_numpy()
+            network = Network(words.count)
             network.set_flat(values)
     return network
 
 
-def score_sequences(network: Network, sequences: list[bytes]) -> np.ndarray:
-    """Of each text, the sum of the class log-probabilities of its tokens."""
-    x, at, text = _windows(sequences)
+def score_sequences(network: Network, sequences: list[bytes], words: Vocabulary) -> np.ndarray:
+    """Of each text, the sum of the log-probabilities of its tokens' leaves."""
     total = np.zeros(len(sequences))
-    for i in range(0, len(at), AT_ONCE):
-        here = at[i : i + AT_ONCE]
-        total += np.bincount(text[i : i + AT_ONCE], network.log_probabilities(_contexts(x, here), x[here]).astype(float), len(sequences))
+    for first, x, at, text in _windows(sequences, words.pad):
+        for i in range(0, len(at), AT_ONCE):
+            here = at[i : i + AT_ONCE]
+            found = network.log_probabilities(_contexts(x, here, words.seen_as), x[here]).astype(float)
+            total[first : first + text[-1] + 1] += np.bincount(text[i : i + AT_ONCE], found, text[-1] + 1)
     return total
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, score (sum of conditional log-probabilities), mean_score, after training on the same documents."""
     counts = written(word_counts(docs), "pll-words")
-    words, frequency = vocabulary(counts)
-    classes = written(as_classes(docs, words), "pll-classes")
-    network = trained(classes, frequency)
+    words = vocabulary(counts)
+    leaves = written(as_leaves(docs, words), "pll-leaves")
+    network = trained(leaves, words)
     doc_id = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sequences = [b or b"" for b in batch.column(1).to_pylist()]
-            n = np.array([len(s) for s in sequences], dtype=np.int64)
-            score = score_sequences(network, sequences) + batch.column(2).to_numpy()
+            n = np.array([len(s) // 4 for s in sequences], dtype=np.int64)
+            score = score_sequences(network, sequences, words) + batch.column(2).to_numpy()
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "score": pa.array(score, pa.float64()), "mean_score": pa.array(score / np.maximum(n, 1), pa.float64())})
 
-    return with_shares(classes, counts, words).mapInArrow(run, f"doc_id {doc_id}, n_tokens bigint, score double, mean_score double")
+    return with_shares(leaves, counts, words).mapInArrow(run, f"doc_id {doc_id}, n_tokens bigint, score double, mean_score double")

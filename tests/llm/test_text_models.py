@@ -134,19 +134,56 @@ def test_lm_scores_are_sums_of_conditionals(spark):
         for w in pll.tokens_of(r.text):
             by_hand[w] = by_hand.get(w, 0) + 1
     assert {r.word: r.n for r in counts.collect()} == by_hand
-    words, frequency = pll.vocabulary(counts)
-    network = pll.Network(frequency)
+    words = pll.vocabulary(counts)
+    network = pll.Network(words.count)
     sequences = [words.read(pll.tokens_of(r.text))[0] for r in docs.limit(3).collect()]
-    got = pll.score_sequences(network, sequences)
+    got = pll.score_sequences(network, sequences, words)
     for s, total in zip(sequences, got):
-        padded, want = [pll.PAD] * 2 + list(s) + [pll.PAD] * 2, 0.0
-        for i in range(2, len(padded) - 2):
-            h = np.tanh(network.hidden + network.places[0][padded[i - 2]] + network.places[1][padded[i - 1]] + network.places[2][padded[i + 1]] + network.places[3][padded[i + 2]])
-            z = h @ network.out + network.bias
-            want += z[padded[i]] - np.log(np.exp(z).sum())
+        leaves, want = np.frombuffer(s, np.int32), 0.0
+        padded = [pll.CLASSES] * 2 + list(words.seen_as[leaves]) + [pll.CLASSES] * 2
+        for i, leaf in enumerate(leaves):
+            h = np.tanh(network.hidden + network.places[0][padded[i]] + network.places[1][padded[i + 1]] + network.places[2][padded[i + 3]] + network.places[3][padded[i + 4]])
+            g, m = divmod(int(leaf), words.side)
+            z, y = h @ network.out + network.bias, h @ network.leaf[g] + network.leaf_bias[g]
+            want += z[g] - np.log(np.exp(z).sum()) + y[m] - np.log(np.exp(y).sum())
         assert abs(total - want) < 1e-2 * max(1, abs(want) / 100)
 
 
+def test_lm_training_lowers_the_loss_by_its_gradient():
+    """learn() against numerical gradients: a step from a fresh network goes against the gradient of the loss."""
+    rng = np.random.default_rng(1)
+    count = rng.integers(0, 50, (9, 9)).astype(float)
+    contexts, leaves = rng.integers(0, pll.CLASSES + 1, (2 * pll.WINDOW, 300)).astype(np.uint8), rng.integers(0, 81, 300).astype(np.int32)
+    loss = lambda n: -float(n.log_probabilities(contexts, leaves).astype(float).sum()) / np.sqrt(len(leaves))
+    trained = pll.Network(count)
+    trained.learn(contexts, leaves)
+    start = pll.Network(count)
+    for k, (p, after) in enumerate(zip(start.parameters(), trained.parameters())):
+        flat, moved = p.reshape(-1), (after - p).reshape(-1)
+        for j in rng.choice(np.flatnonzero(np.abs(moved) > 1e-3), 5):
+            kept, e = flat[j], np.float32(5e-2)
+            flat[j] = kept + e
+            up = loss(start)
+            flat[j] = kept - e
+            down = loss(start)
+            flat[j] = kept
+            g = (up - down) / (2 * float(e))
+            assert abs(moved[j] + pll.RATE * g / np.sqrt(1e-2 + g * g)) < 5e-3, (k, j)
+    assert loss(trained) < loss(start)
+
+
+def test_lm_words_share_rests_by_count(spark):
+    words = [w for i in range(40) for w in [f"w{i:02}xx"] * (i + 1)]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    counts = pll.word_counts(docs)
+    found = pll.vocabulary(counts)
+    side, last = found.side, pll.ending("w00xx") % found.side
+    # All words have one ending: the side - 1 most frequent are leaves, the others share the last leaf by count.
+    assert [w for w, _ in found.own] == [f"w{39 - i:02}xx" for i in range(side - 1)]
+    rest = sum(i + 1 for i in range(40 - side + 1))
+    assert found.rest[last] == rest and found["w00xx"] == last * side + side - 1 and abs(found.within["w00xx"] + np.log(rest)) < 1e-12
+
+
 def test_lm_learns_and_defines_odd_rows(spark):
     docs = spark.createDataFrame([(i, "a b c d " * 200) for i in range(8)] + [(100, "d d b b a c a " * 100)], "doc_id long, text string")
     rows = {r.doc_id: r for r in pll.scored(docs).collect()}

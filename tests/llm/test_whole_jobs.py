@@ -49,11 +49,11 @@ def test_terms_count_and_are_marked_in_whole_texts(spark):
 def test_shares_of_all_words_are_by_their_counts(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(40)
     seen = []
-    for kept in (20_000, pll.OWN, pll.OWN + 50):
+    for kept in (100_000, 0, 500):
         monkeypatch.setattr(pll, "KEPT", kept)
         counts = pll.word_counts(docs)
-        words, _ = pll.vocabulary(counts)
-        rows = pll.with_shares(pll.as_classes(docs, words).cache(), counts, words).collect()
+        words = pll.vocabulary(counts)
+        rows = pll.with_shares(pll.as_leaves(docs, words).cache(), counts, words).collect()
         seen.append(sorted((r.doc_id, round(r.within, 6)) for r in rows))
     assert len(seen[0]) == 40 and seen[0] == seen[1] == seen[2]
 
@@ -61,18 +61,20 @@ def test_shares_of_all_words_are_by_their_counts(spark, monkeypatch):
 def test_every_token_is_a_target_of_training_once(spark, monkeypatch):
     learnt = []
     monkeypatch.setattr(pll.Network, "learn", lambda self, contexts, targets: learnt.extend(zip(contexts.T.tolist(), targets.tolist())))
+    monkeypatch.setattr(pll, "LAID", 60)
 
     class Local:
         """mapInArrow and what follows it, in this process."""
 
         select = groupBy = agg = lambda self, *_: self
-        collect = lambda self: []
+        toArrow = lambda self: pa.table({"k": []})
 
         def mapInArrow(self, run, schema):
-            list(run(iter([pa.RecordBatch.from_pydict({"classes": pa.array([bytes(range(100)), bytes(range(100, 200))], pa.binary())})])))
+            leaves = [np.arange(a, b, dtype=np.int32).tobytes() for a, b in ((0, 100), (100, 130), (130, 150), (150, 200))]
+            list(run(iter([pa.RecordBatch.from_pydict({"leaves": pa.array(leaves, pa.binary())})])))
             return self
 
-    pll.trained(Local(), np.ones(pll.CLASSES))
+    pll.trained(Local(), pll.Vocabulary(20, [], [1] * 20, []))
     assert sorted(y for _, y in learnt) == list(range(200))
 
 
