@@ -13,9 +13,13 @@ in each round; the links found are contracted into components, and a list whose
 is skipped. What is left, pairs across components, is then looked at in cells of bounded size, each pair once; lengths
 and collisions must allow a link. Every link is confirmed on the full sets of both texts.
 
+A pair of similarity s agrees in each coordinate with probability s, so a pair at the threshold misses ``least`` with a
+probability near 2e-7, and one above it with less; nothing else leaves a pair out.
+
 Defined results: null, empty and blank texts have no set and are linked with nothing (n_shingles 0, kept); a row
-without doc_id takes part in nothing (component_id null, kept); rows that share a doc_id are one document; ties go to
-the smallest doc_id; only doc_id and text are read.
+without doc_id takes part in nothing (component_id null, kept); rows with one doc_id and different texts are linked by
+their own texts, each row for itself; ties go to the smallest doc_id; ``unique`` keeps every column, whatever its name,
+and of rows that share the smallest doc_id of a group one; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import written
@@ -36,6 +40,8 @@ WORDS, COORDINATES, SEED, ROUNDS = 5, 64, 11, 1
 #: Posting lists that a plain join pairs; classes in a block of a longer one (a cell compares two blocks);
 #: candidates that are compared one by one; shingles hashed at once.
 SHORT, BLOCK, FEW, AT_ONCE = 32, 2_048, 12, 8_192
+#: Rows of two numbers that may be broadcast: 32 MB.
+BROADCAST = 2_000_000
 
 _rng = np.random.default_rng(SEED)
 _MULTIPLY = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,21 +81,25 @@ def least_matches(threshold: float) -> int:
 
 
 def with_signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (128-bit digest of the word sequence; null without words), sig."""
+    """doc_id, digest (64 bits, of the text as it is), n_shingles, class (128 bits, of the word sequence; null without words), sig."""
     doc_id = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, classes, sigs = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 words = words_of(text)
                 shingles = shingle_set(words)
                 n.append(len(shingles))
                 classes.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                 sigs.append(signature(shingles) if words else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "class": pa.array(classes, pa.binary()), "sig": pa.array(sigs, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "digest": batch.column(1), "n_shingles": pa.array(n, pa.int64()), "class": pa.array(classes, pa.binary()), "sig": pa.array(sigs, pa.list_(pa.int32()))})
+
+    return docs.select("doc_id", _digest(), "text").mapInArrow(run, f"doc_id {doc_id}, digest bigint, n_shingles bigint, class binary, sig array<int>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, n_shingles bigint, class binary, sig array<int>")
+
+def _digest() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,22 +208,29 @@ def _cross_links(cells: DataFrame, least: int, percent: int) -> DataFrame:
     return cells.groupBy("token", "i", "j").applyInPandas(run, f"a {kind}, b {kind}")
 
 
-def linked(docs: DataFrame, percent: int = 85) -> DataFrame:
+def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
+    return _grouped(docs, percent).drop("digest", "group")
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, digest, n_shingles, group (null without words or doc_id), component_id, kept of every row."""
     least = least_matches(percent / 100)
     base = written(with_signatures(docs), "minhash-base")
     named = base.where("doc_id IS NOT NULL AND class IS NOT NULL")
-    classes = named.groupBy("class").agg(F.min("doc_id").alias("node"))
-    reps = written(named.join(classes, "class").where("doc_id = node").dropDuplicates(["class"]).select("node", F.col("n_shingles").alias("n"), "sig"), "minhash-reps")
+    # Numbered once, and written: rows of one class have one signature.
+    reps = named.groupBy("class").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "minhash-reps")
 
     # Values that at least two classes have, then each class's rarest.
     tokens = reps.select("node", F.posexplode("sig").alias("k", "v")).select("node", (F.shiftleft(F.col("k").cast("bigint"), 32) + F.col("v").cast("bigint") - F.lit(-(1 << 31))).alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("posted")).where("posted > 1")
     per_class = tokens.join(common, "token").groupBy("node").agg(F.collect_list(F.struct("posted", "token")).alias("values")).where(F.size("values") >= least)
     prefix = F.array_sort(F.transform(F.slice(F.array_sort("values"), F.lit(1), F.size("values") - least + 1), lambda x: x["token"]))
-    nodes = written(per_class.select("node", prefix.alias("prefix")).join(reps, "node"), "minhash-nodes")
+    nodes = written(per_class.select("node", prefix.alias("prefix")).join(reps.drop("class"), "node"), "minhash-nodes")
     postings = written(nodes.select("node", F.explode("prefix").alias("token")), "minhash-postings")
-    texts = written(docs.select(F.col("doc_id").alias("node"), "text").join(nodes.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "minhash-texts")
+    sample = _small(nodes.select("node", "first.*"))
+    texts = written(docs.select("doc_id", "text", _digest()).join(sample, ["doc_id", "digest"]).select("node", "text").dropDuplicates(["node"]), "minhash-texts")
 
     links = comps = None
 
@@ -250,16 +267,34 @@ def linked(docs: DataFrame, percent: int = 85) -> DataFrame:
     short = alike(short, least)
     blocks = F.ceil(F.col("g") / BLOCK).cast("int")
     long = rest.where(F.col("g") > SHORT).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = long.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp").join(nodes, "node").join(texts, "node")
+    cells = long.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp").join(nodes.drop("first"), "node").join(texts, "node")
     add(confirmed(short, texts, percent).union(_cross_links(cells, least, percent)))
 
-    smallest = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node", "doc_id"))
-    out = base.drop("sig").join(classes, "class", "left").join(comps, "node", "left")
-    return out.select("doc_id", "n_shingles", smallest.alias("component_id"), F.coalesce(F.col("doc_id") == smallest, F.lit(True)).alias("kept"))
-
-
-def unique(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One document of each group, with all its columns: that of the smallest doc_id. Rows without doc_id stay."""
-    gone = linked(docs, percent).where("NOT kept").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    groups = reps.select("class", "node", F.col("first.doc_id").alias("first")).join(comps, "node", "left").select("class", "first", F.coalesce("comp", "node").alias("group"))
+    least_id = groups.groupBy("group").agg(F.min("first").alias("component_id"))
+    out = base.drop("sig").join(groups.join(least_id, "group").drop("first"), "class", "left")
+    smallest = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    group = F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group")
+    return out.select("doc_id", "digest", "n_shingles", group, smallest.alias("component_id"), F.coalesce(F.col("doc_id") == smallest, F.lit(True)).alias("kept"))
+
+
+def unique(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """One document of each group, with all its columns: that of the smallest doc_id. Rows without doc_id stay.
+
+    Rows that go are told by doc_id and a digest of the text, so texts are not shuffled where their ids are few enough
+    to be broadcast. Among rows of a group that share its smallest doc_id the least digest stays, then one of the rest."""
+    rows = written(_grouped(docs, percent), "minhash-rows")
+    again = rows.where("kept AND group IS NOT NULL").groupBy("group").agg(F.count("*").alias("n"), F.min("digest").alias("least")).where("n > 1")
+    again = rows.where("kept").join(again, "group").select("doc_id", "digest", (F.col("digest") == F.col("least")).alias("stays")).distinct()
+    again = written(again, "minhash-again")
+    gone = rows.where("NOT kept").select("doc_id", "digest").union(again.where("NOT stays").select("doc_id", "digest")).distinct()
+    packed = docs.select("doc_id", _digest(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    left = packed.join(_small(written(gone, "minhash-gone")), ["doc_id", "digest"], "left_anti")
+    twice = _small(again.where("stays").select("doc_id", "digest"))
+    order = Window.partitionBy("doc_id", "digest").orderBy(F.xxhash64(F.to_json("row")))
+    one = left.join(twice, ["doc_id", "digest"], "left_semi").withColumn("at", F.row_number().over(order)).where("at = 1")
+    return left.join(twice, ["doc_id", "digest"], "left_anti").select("row.*").union(one.select("row.*"))
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST else ids

@@ -56,7 +56,7 @@ def test_components_equal_brute_force(spark, monkeypatch, short, block, few, rou
         monkeypatch.setattr(minhash, k, v)
     rows = documents()
     docs = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id long, text string, n_shingles int, comp string")
-    got = minhash.linked(docs).collect()
+    got = minhash.linked(docs, 85).collect()
     assert len(got) == len(rows)
     want = brute(rows)
     for r in got:
@@ -69,13 +69,24 @@ def test_components_equal_brute_force(spark, monkeypatch, short, block, few, rou
 def test_unique_keeps_one_of_each_group(spark):
     rows = documents()
     docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, comp string")
-    kept = minhash.unique(docs)
+    kept = minhash.unique(docs, 85)
     assert kept.columns == docs.columns
     ids = sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.collect())
     assert ids == sorted([(True, i) for i, v in brute(rows).items() if v[2]] + [(False, 0)])
     assert minhash.linked(docs.where("false")).collect() == []
 
 
+def test_rows_of_one_id_and_different_texts_are_rows_of_their_own(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(7, a, "x", 1), (7, b, "y", 1), (7, b, "y", 1), (8, a + " end", "z", 1), (9, b.upper(), "w", 1), (3, " ".join(f"c{i}" for i in range(9)), "v", 1), (7, " ".join(f"c{i}" for i in range(9)), "u", 1), (7, None, "n", 1), (7, "", "m", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, `group` int")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.linked(docs).collect())
+    assert got == sorted([(7, 7, True)] * 5 + [(8, 7, False), (9, 7, False), (3, 3, True), (7, 3, False)])
+    kept = minhash.unique(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.digest for r in kept.collect()) == ["m", "n", "v", "x", "y"]
+
+
 def test_suffix_order():
     rng = random.Random(1)
     for _ in range(200):
