@@ -12,6 +12,10 @@ input; anchors leave the same answer on the few bytes that can matter.
 
 Texts that are equal as a whole are handled once: with LENGTH bytes or more all copies go entirely.
 
+Strings are of bytes; a passage of over 50 words may have fewer than LENGTH bytes, and stays. So that such passages can
+be told, the same sort runs over the words of each text (64-bit codes), with strings of PASSAGE words: their number and
+the words that they cover are reported beside what is removed.
+
 Defined results: matches never cross documents; null text counts as empty; shorter texts lose nothing; strings that
 overlap themselves count; rows that repeat are copies; doc_id may be null or repeated; other columns are not read.
 """
@@ -28,7 +32,10 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import written
 
+#: Bytes of a string and of what anchors it; words of a passage and of what anchors it.
 LENGTH, GRAM = 400, 64
+PASSAGE, WORDS_GRAM = 51, 8
+BYTES, WORDS = 0, 1
 #: Members of a group that may meet in a task; bytes of a shard.
 HOT, SHARD = 2_000, 1_200_000
 
@@ -38,11 +45,34 @@ _BASE = _rng.integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _letters(text: str, unit: int) -> np.ndarray:
+    """The bytes of a text, or the codes of its words (between ASCII white space): sums of byte codes times powers of a base."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    if unit == BYTES:
+        return raw
+    inside = np.concatenate([[False], ~_BLANK[raw], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    first, end = edge[::2], edge[1::2]
+    if len(_powers[0]) <= len(raw):
+        for k, base in enumerate((_BASE[0], _INVERSE)):
+            _powers[k] = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(2 * len(raw) + 1, base)]))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[0][raw] * _powers[0][: len(raw)], dtype=np.uint64)])
+    code = (sums[end] - sums[first]) * _powers[1][first]
+    code ^= code >> np.uint64(29)
+    return code * _MIX
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_INVERSE = np.uint64(pow(int(_BASE[0]), -1, 1 << 64))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def rolling(x: np.ndarray, length: int, which: int = 0) -> np.ndarray:
-    """Polynomial hashes of all substrings of so many bytes, by doubling."""
+    """Polynomial hashes of all substrings of so many letters, by doubling."""
     power = h = None
     size, done = 1, 0
-    step, base = _BYTE[which][x], _BASE[which : which + 1].copy()
+    step, base = _BYTE[which][x] if x.dtype == np.uint8 else x * _BYTE[which, 0], _BASE[which : which + 1].copy()
     while True:
         if length & size:
             if h is None:
@@ -68,14 +98,14 @@ def sliding_minimum(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(a[: len(a) - (w - size)], a[w - size :]) if size < w else a
 
 
-def anchors(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the strings of so many bytes: anchor, first start, number of starts in a row, and occurrences of the anchor among them."""
-    if len(raw) < length:
+def anchors(x: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the strings of so many letters: anchor, first start, number of starts in a row, and occurrences of the anchor among them."""
+    if len(x) < length:
         return (np.zeros(0, np.int64),) * 4
-    h = rolling(np.frombuffer(raw, np.uint8), GRAM) * _MIX
+    h = rolling(x, gram) * _MIX
     h ^= h >> np.uint64(31)
     h *= _MIX
-    w = length - GRAM + 1
+    w = length - gram + 1
     m = sliding_minimum(h, w)
     first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
     size = np.diff(np.append(first, len(m)))
@@ -140,14 +170,14 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_starts(pieces: list[bytes], starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """pieces side by side; piece k has starts[k] strings that count. Marks, of all their bytes, where a string begins that occurs again."""
-    x = np.frombuffer(b"".join(pieces), np.uint8)
-    size = np.array([len(p) for p in pieces])
+def repeated_starts(pieces: list[bytes], starts: np.ndarray, length: int = LENGTH, unit: int = BYTES) -> np.ndarray:
+    """pieces side by side; piece k has starts[k] strings that count. Marks, of all their letters, where a string begins that occurs again."""
+    x = np.frombuffer(b"".join(pieces), _KIND[unit])
+    size = np.array([len(p) for p in pieces]) // x.itemsize
     begin = np.cumsum(size) - size
     valid = np.zeros(len(x), bool)
     valid[np.repeat(begin - (np.cumsum(starts) - starts), starts) + np.arange(starts.sum())] = True
-    order = suffix_order(x.astype(np.int64) + 1)
+    order = suffix_order((x if unit == BYTES else np.unique(x, return_inverse=True)[1]).astype(np.int64) + 1)
     order = order[valid[order]]
     equal = np.ones(max(0, len(order) - 1), bool)
     for which in (0, 1):
@@ -159,6 +189,9 @@ def repeated_starts(pieces: list[bytes], starts: np.ndarray, length: int = LENGT
     return out
 
 
+_KIND = {BYTES: np.uint8, WORDS: np.uint64}
+
+
 def _runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and one past the last of each run of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]])))
@@ -173,26 +206,29 @@ def covered(runs: list[tuple[int, int]], n: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _described(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, class, n_bytes, sha (of the whole text), and the anchors of each row."""
+def _described(docs: DataFrame, length: int, passage: int) -> DataFrame:
+    """doc_id, class, n_bytes, n_words, sha (of the whole text), and the anchors of each row."""
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    kind = f"doc_id {doc_id}, class binary, n_bytes bigint, sha string, anchors array<struct<fp: bigint, start: bigint, starts: bigint, times: bigint>>"
-    item = pa.struct([(f, pa.int64()) for f in ("fp", "start", "starts", "times")])
+    fields = ("unit", "fp", "start", "starts", "times")
+    kind = f"doc_id {doc_id}, class binary, n_bytes bigint, n_words bigint, sha string, anchors array<struct<{', '.join(f + ': bigint' for f in fields)}>>"
+    item = pa.struct([(f, pa.int64()) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 2_000):
                 batch = whole.slice(i, 2_000)
-                n, sha, offsets, parts = [], [], [0], []
+                n, words, sha, offsets, parts = [], [], [], [0], []
                 for text in batch.column(2).to_pylist():
-                    raw = text.encode()
+                    raw, codes = _letters(text, BYTES), _letters(text, WORDS)
                     n.append(len(raw))
+                    words.append(len(codes))
                     sha.append(hashlib.sha256(raw).hexdigest())
-                    parts.append(anchors(raw, length))
-                    offsets.append(offsets[-1] + len(parts[-1][0]))
-                fields = [pa.array(np.concatenate([p[k] for p in parts])) for k in range(4)] if parts else [pa.array([], pa.int64())] * 4
-                items = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(item)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sha), items], names=["doc_id", "class", "n_bytes", "sha", "anchors"])
+                    for unit, found in ((BYTES, anchors(raw, length)), (WORDS, anchors(codes, passage, min(WORDS_GRAM, passage)))):
+                        parts.append((np.full(len(found[0]), unit), *found))
+                    offsets.append(offsets[-1] + len(parts[-1][0]) + len(parts[-2][0]))
+                columns = [pa.array(np.concatenate([p[k] for p in parts])) for k in range(5)] if parts else [pa.array([], pa.int64())] * 5
+                items = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(item)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(words, pa.int64()), pa.array(sha), items], names=["doc_id", "class", "n_bytes", "n_words", "sha", "anchors"])
 
     return _classed(docs).select("doc_id", "class", "text").mapInArrow(run, kind)
 
@@ -202,37 +238,48 @@ def _classed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("class"), text.alias("text"))
 
 
-def _pieces(texts: DataFrame, length: int, hot: bool) -> DataFrame:
-    """class, fp, start, starts, piece of the anchors of groups that are hot or not."""
+_PIECE = "class binary, unit bigint, fp bigint, start bigint, starts bigint, piece binary"
+
+
+def _pieces(texts: DataFrame, lengths: tuple[int, int], hot: bool) -> DataFrame:
+    """class, unit, fp, start, starts, piece of the anchors of groups that are hot or not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 batch = whole.slice(i, 500).to_pydict()
-                out: dict[str, list] = {"class": [], "fp": [], "start": [], "starts": [], "piece": []}
+                out: dict[str, list] = {"class": [], "unit": [], "fp": [], "start": [], "starts": [], "piece": []}
                 for key, text, found in zip(batch["class"], batch["text"], batch["found"]):
-                    raw = text.encode()
+                    letters: dict[int, np.ndarray] = {}
                     for a in found:
                         if (a["members"] > HOT) is hot:
-                            for k, v in zip(out, (key, a["fp"], a["start"], a["starts"], raw[a["start"] : a["start"] + a["starts"] + length - 1])):
+                            unit = a["unit"]
+                            if unit not in letters:
+                                letters[unit] = _letters(text, unit)
+                            piece = letters[unit][a["start"] : a["start"] + a["starts"] + lengths[unit] - 1]
+                            for k, v in zip(out, (key, unit, a["fp"], a["start"], a["starts"], piece.tobytes())):
                                 out[k].append(v)
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("class", pa.binary()), ("fp", pa.int64()), ("start", pa.int64()), ("starts", pa.int64()), ("piece", pa.binary())]))
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("class", pa.binary()), *[(c, pa.int64()) for c in ("unit", "fp", "start", "starts")], ("piece", pa.binary())]))
+
+    return texts.mapInArrow(run, _PIECE)
+
 
-    return texts.mapInArrow(run, "class binary, fp bigint, start bigint, starts bigint, piece binary")
+_RUN = "class binary, unit bigint, a bigint, b bigint"
 
 
-def _sorted_runs(pieces: DataFrame, length: int) -> DataFrame:
-    """class, a, b: bytes a to b - 1 are covered by strings that repeat within their group."""
-    schema = pa.schema([("class", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
+def _sorted_runs(pieces: DataFrame, lengths: tuple[int, int]) -> DataFrame:
+    """class, unit, a, b: letters a to b - 1 are covered by strings that repeat within their group."""
+    schema = pa.schema([("class", pa.binary()), ("unit", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def shard(rows: list[tuple]) -> pa.RecordBatch:
-        starts = np.array([r[3] for r in rows])
-        size = np.array([len(r[4]) for r in rows])
-        a, b = _runs(repeated_starts([r[4] for r in rows], starts, length))
+        unit = rows[0][1]
+        starts = np.array([r[4] for r in rows])
+        size = np.array([len(r[5]) for r in rows]) // _KIND[unit]().itemsize
+        a, b = _runs(repeated_starts([r[5] for r in rows], starts, lengths[unit], unit))
         begin = np.cumsum(size) - size
         k = np.searchsorted(begin, a, side="right") - 1
-        shift = np.array([r[2] for r in rows])[k] - begin[k]
-        return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in k], pa.binary()), pa.array(a + shift), pa.array(b + shift + length - 1)], schema=schema)
+        shift = np.array([r[3] for r in rows])[k] - begin[k]
+        return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in k], pa.binary()), pa.array(np.full(len(a), unit), pa.int64()), pa.array(a + shift), pa.array(b + shift + lengths[unit] - 1)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -240,74 +287,84 @@ def _sorted_runs(pieces: DataFrame, length: int) -> DataFrame:
         for whole in batches:
             for i in range(0, whole.num_rows, 1_000):
                 for row in zip(*whole.slice(i, 1_000).to_pydict().values()):
-                    if held > SHARD and row[1] != rows[-1][1]:
+                    if rows and (row[1] != rows[-1][1] or held > SHARD and row[2] != rows[-1][2]):
                         yield shard(rows)
                         rows, held = [], 0
                     rows.append(row)
-                    held += len(row[4])
+                    held += len(row[5])
         if rows:
             yield shard(rows)
 
-    return pieces.repartition("fp").sortWithinPartitions("fp").mapInArrow(run, "class binary, a bigint, b bigint")
+    return pieces.repartition("fp").sortWithinPartitions("unit", "fp").mapInArrow(run, _RUN)
 
 
-def _counted_runs(pieces: DataFrame, length: int) -> DataFrame:
+def _counted_runs(pieces: DataFrame, lengths: tuple[int, int]) -> DataFrame:
     """The same for groups of any size, by counting hashes: equal strings are combined before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for row in zip(*whole.to_pydict().values()):
-                x = np.frombuffer(row[4], np.uint8)
-                n = row[3]
-                yield pa.RecordBatch.from_pydict({"class": pa.array([row[0]] * n, pa.binary()), "a": pa.array(np.arange(row[2], row[2] + n)), "h": pa.array(rolling(x, length, 0).view(np.int64)), "g": pa.array(rolling(x, length, 1).view(np.int64))})
+                unit, n = row[1], row[4]
+                x = np.frombuffer(row[5], _KIND[unit])
+                yield pa.RecordBatch.from_pydict({"class": pa.array([row[0]] * n, pa.binary()), "unit": pa.array(np.full(n, unit), pa.int64()), "a": pa.array(np.arange(row[3], row[3] + n)), "h": pa.array(rolling(x, lengths[unit], 0).view(np.int64)), "g": pa.array(rolling(x, lengths[unit], 1).view(np.int64))})
 
-    strings = pieces.mapInArrow(run, "class binary, a bigint, h bigint, g bigint")
-    again = strings.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return strings.join(again, ["h", "g"]).select("class", "a", (F.col("a") + length).alias("b"))
+    strings = pieces.mapInArrow(run, "class binary, unit bigint, a bigint, h bigint, g bigint")
+    again = strings.groupBy("unit", "h", "g").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    length = F.when(F.col("unit") == BYTES, lengths[BYTES]).otherwise(lengths[WORDS])
+    return strings.join(again, ["unit", "h", "g"]).select("class", "unit", "a", (F.col("a") + length).alias("b"))
 
 
 def _kept(rows: DataFrame) -> DataFrame:
-    """class, n_removed, n_spans, kept_sha256, kept from rows (class, text, runs)."""
+    """class, n_removed, n_spans, n_repeated_words, n_passages, kept_sha256, kept from rows (class, text, runs)."""
+    counts = ("n_removed", "n_spans", "n_repeated_words", "n_passages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"class": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+            out: dict[str, list] = {"class": [], **{c: [] for c in counts}, "kept_sha256": [], "kept": []}
             for key, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = np.frombuffer(text.encode(), np.uint8)
-                gone = covered([(r["a"], r["b"]) for r in runs], len(raw))
+                gone = covered([(r["a"], r["b"]) for r in runs if r["unit"] == BYTES], len(raw))
+                of_words = [(r["a"], r["b"]) for r in runs if r["unit"] == WORDS]
+                words = covered(of_words, max((b for _, b in of_words), default=0))
                 left = raw[~gone].tobytes()
-                for k, v in zip(out, (key, int(gone.sum()), len(_runs(gone)[0]), hashlib.sha256(left).hexdigest(), left)):
+                for k, v in zip(out, (key, int(gone.sum()), len(_runs(gone)[0]), int(words.sum()), len(_runs(words)[0]), hashlib.sha256(left).hexdigest(), left)):
                     out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("class", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("class", pa.binary()), *[(c, pa.int64()) for c in counts], ("kept_sha256", pa.string()), ("kept", pa.binary())]))
 
-    return rows.select("class", "text", "runs").mapInArrow(run, "class binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return rows.select("class", "text", "runs").mapInArrow(run, f"class binary, {', '.join(c + ' bigint' for c in counts)}, kept_sha256 string, kept binary")
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (what remains, where some but not all of a text is removed)."""
-    base = written(_described(docs, length), "suffix-base")
-    long = base.where(F.col("n_bytes") >= length)
+def deduplicated(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (what remains, where some but not all of a text is removed),
+    n_repeated_words, n_passages (of strings of so many words that start anywhere else, too)."""
+    lengths = (length, passage)
+    base = written(_described(docs, length, passage), "suffix-base")
+    long = base.where((F.col("n_bytes") >= length) | (F.col("n_words") >= passage))
     copies = long.groupBy("class").agg(F.count("*").alias("copies"))
     distinct = long.select("class", "anchors").dropDuplicates(["class"])
     found = distinct.select("class", F.inline("anchors"))
-    groups = found.groupBy("fp").agg(F.sum("times").alias("times"), F.count("*").alias("members")).where("times > 1").drop("times")
-    per_class = found.join(groups, "fp").groupBy("class").agg(F.collect_list(F.struct("fp", "start", "starts", "members")).alias("found"))
+    groups = found.groupBy("unit", "fp").agg(F.sum("times").alias("times"), F.count("*").alias("members")).where("times > 1").drop("times")
+    per_class = found.join(groups, ["unit", "fp"]).groupBy("class").agg(F.collect_list(F.struct("unit", "fp", "start", "starts", "members")).alias("found"))
     texts = written(_classed(docs).select("class", "text").join(per_class, "class").dropDuplicates(["class"]), "suffix-texts")
 
-    runs = _sorted_runs(_pieces(texts, length, hot=False), length)
+    runs = _sorted_runs(_pieces(texts, lengths, hot=False), lengths)
     if not groups.where(F.col("members") > HOT).isEmpty():
-        runs = runs.union(_counted_runs(_pieces(texts, length, hot=True), length))
-    per_class = runs.groupBy("class").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
+        runs = runs.union(_counted_runs(_pieces(texts, lengths, hot=True), lengths))
+    per_class = runs.groupBy("class").agg(F.collect_set(F.struct("unit", "a", "b")).alias("runs"))
     kept = _kept(texts.select("class", "text").join(per_class, "class"))
 
-    whole = F.col("copies") > 1
+    several = F.coalesce(F.col("copies") > 1, F.lit(False))
+    whole, all_words = several & (F.col("n_bytes") >= length), several & (F.col("n_words") >= passage)
     none = F.lit(hashlib.sha256(b"").hexdigest())
     out = base.drop("anchors").join(copies, "class", "left").join(kept, "class", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     return out.select(
         "doc_id",
         "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
+        F.when(whole, F.col("n_bytes")).otherwise(zero("n_removed")).alias("n_removed"),
+        F.when(whole, F.lit(1)).otherwise(zero("n_spans")).cast("bigint").alias("n_spans"),
         F.when(whole, none).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        F.when(~F.coalesce(whole, F.lit(False)), F.col("kept")).alias("kept"),
+        F.when(~whole, F.col("kept")).alias("kept"),
+        F.when(all_words, F.col("n_words")).otherwise(zero("n_repeated_words")).alias("n_repeated_words"),
+        F.when(all_words, F.lit(1)).otherwise(zero("n_passages")).cast("bigint").alias("n_passages"),
     )

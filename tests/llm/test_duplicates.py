@@ -118,3 +118,27 @@ def test_removed_bytes_equal_brute_force(spark, monkeypatch, hot):
         want.append((str(i), len(b), int(gone.sum()), len(edges), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
     assert got == sorted(want)
     assert suffix.deduplicated(docs.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_repeated_passages_of_words_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT", hot)
+    rng = random.Random(4)
+    words = lambda n: [rng.choice(["a", "be", "see", "dé", "efgh"]) + rng.choice("uvwxyz") for _ in range(n)]
+    passage, short = words(60), words(51)
+    texts = [words(20) + passage + words(9), words(70) + passage[3:56], short, words(5) + short, short[:50] + words(30), words(300), ["no"] * 120, words(60)]
+    rows = [(i, rng.choice([" ", "\n ", "\t"]).join(t)) for i, t in enumerate(texts)] + [(20, " ".join(texts[7])), (21, "\n" + " ".join(texts[7])), (30, None), (31, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_repeated_words, r.n_passages) for r in suffix.deduplicated(docs).collect())
+    seen, want = {}, []
+    split = [(i, (t or "").split()) for i, t in rows]
+    for _, w in split:
+        for k in range(len(w) - 50):
+            seen[tuple(w[k : k + 51])] = seen.get(tuple(w[k : k + 51]), 0) + 1
+    for i, w in split:
+        cover = [False] * len(w)
+        for k in range(len(w) - 50):
+            if seen[tuple(w[k : k + 51])] > 1:
+                cover[k : k + 51] = [True] * 51
+        want.append((i, sum(cover), sum(c and not (k and cover[k - 1]) for k, c in enumerate(cover))))
+    assert got == sorted(want) and sum(n > 0 for _, n, _ in want) >= 8
