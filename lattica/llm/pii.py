@@ -153,14 +153,19 @@ def _lower_bound(share: Column, n: Column) -> Column:
 
 def disclosures(described: DataFrame, counts: DataFrame, rows: int) -> DataFrame:
     """entity, term, disclosure of the pairs that are revealing by the lower bound of their share."""
-    mentions = described.where(F.size("entities") > 0).select("key", "terms", F.explode("entities").alias("entity"))
-    entities = mentions.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") < rows)
-    pairs = mentions.select("key", "entity", F.explode("terms").alias("term")).groupBy("entity", "term", "key").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts"))
+    mentions = described.where(F.size("entities") > 0).groupBy("key").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    mentions = written(mentions, "pii-mentions")
+    named = mentions.select("key", "n", F.explode("entities").alias("entity"))
+    entities = named.groupBy("entity").agg(F.sum("n").alias("n_e")).where(F.col("n_e") < rows)
+    named = written(named.join(entities, "entity"), "pii-entities")
+    # A share is n_e / n_t at most: terms of too many rows go before they are paired.
+    reach = named.groupBy("key").agg(F.max("n_e").alias("reach"))
+    terms = mentions.select("key", F.explode("terms").alias("term")).join(reach, "key").join(counts, "term").where(F.col("n_t") * SURE <= F.col("reach"))
+    pairs = terms.select("key", "term", "n_t").join(named, "key").groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t"))
     total = F.lit(float(rows))
-    share = F.least("n_et", "n_e", "n_t") / F.col("n_t")
+    pairs = pairs.withColumn("share", F.least("n_et", "n_e", "n_t") / F.col("n_t"))
     score = lambda p: F.log(p * total / F.col("n_e")) / F.log(total / F.col("n_e"))
-    joined = pairs.join(entities, "entity").join(counts, "term").withColumn("share", share)
-    bound = joined.withColumn("bound", _lower_bound(F.col("share"), F.col("texts") / F.col("share")))
+    bound = pairs.withColumn("bound", _lower_bound(F.col("share"), F.col("texts") / F.col("share")))
     return bound.where((F.col("bound") >= SURE) & (score(F.col("bound")) >= GENERALISE)).select("entity", "term", score(F.col("share")).alias("disclosure"))
 
 
