@@ -160,9 +160,11 @@ def restriction_parts(expression: C) -> Column:
 
 
 def is_complex_expression(expression: C) -> Column:
-    text = col(expression)
-    iri = text.rlike(r"^(?:https?://|urn:)\S+$")
-    return ~iri & text.rlike(r"(?is) some | only | value | min | max | exactly | and | or |^not |[(){}]| self$")
+    """Whether a superclass is an expression rather than a name. Expressions hold whole IRIs here, so :// alone makes no
+    name: only a text in angle brackets, or one that has :// and no white space, is one."""
+    text = F.trim(col(expression))
+    named = text.rlike(r"(?s)^<.*>$") | (F.contains(text, F.lit("://")) & ~text.rlike(r"\s"))
+    return ~named & ascii_lower(text).rlike(r"(?s) some | only | value | min | max | exactly | and | or | not |^not |[()]")
 
 
 def members(expression: C, separator: str) -> Column:
@@ -190,29 +192,29 @@ def axiom_display(kind: C, predicate: C, obj: C) -> Column:
     return F.when(assertion, F.concat_ws(" ", graph_short_name(predicate), graph_short_name(obj))).otherwise(F.concat_ws(" ", axiom_label(kind), graph_short_name(obj)))
 
 
-# Link patterns, in order of preference, and where they lead.
+# Link kinds, patterns and where they lead.
 LINKS = [
-    ("doi", r"(?i)\bdoi:\s*(10\.\d{4,9}/[^\s\"<>]+)", "https://doi.org/"),
-    ("pubmed", r"(?i)\bPMID:\s*(\d+)", "https://pubmed.ncbi.nlm.nih.gov/"),
-    ("orcid", r"(?i)\borcid:\s*(\d{4}-\d{4}-\d{4}-\d{3}[\dX])", "https://orcid.org/"),
-    ("omimps", r"\bOMIMPS:\s*(\d+)", "https://omim.org/phenotypicSeries/PS"),
-    ("omim", r"\bOMIM:\s*(\d+)", "https://omim.org/entry/"),
-    ("orphanet", r"(?i)\bOrphanet:\s*(\d+)", "https://www.orpha.net/en/disease/detail/"),
-    ("isbn10", r"(?i)\bISBN(?:-10)?:\s*(\d{9}[\dX])\b", "https://isbnsearch.org/isbn/"),
-    ("wikipedia_versioned", r"(?i)\bWikipediaVersioned:\s*([^\s&]+&oldid=\d+)", "https://en.wikipedia.org/w/index.php?title="),
-    ("wikipedia", r"(?i)\bWikipedia:\s*([^\s,;]+)", "https://en.wikipedia.org/wiki/"),
+    ("DOI", r"(?i)DOI:\s*([^\s]+)", "https://doi.org/"),
+    ("PubMedId", r"(?i)PMID:\s*(\d+)", "http://www.ncbi.nlm.nih.gov/pubmed/"),
+    ("ORCID", r"(?i)ORCID:\s*([^\s]+)", "https://orcid.org/"),
+    ("OMIMPS", r"(?i)OMIMPS:\s*(\d+)", "https://www.omim.org/phenotypicSeries/"),
+    ("OMIM", r"(?i)OMIM:\s*(\d+)", "https://omim.org/entry/"),
+    ("Orphanet", r"(?i)Orphanet:\s*(\d+)", "https://www.orpha.net/consor/cgi-bin/OC_Exp.php?Expert="),
+    ("ISBN-10", r"(?i)ISBN:(\d{10})", "http://www.isbnsearch.org/isbn/"),
+    ("WikipediaVersioned", r"(?i)WikipediaVersioned:([^\s]+)", "https://wikipedia.org/wiki/index.php?title="),
+    ("Wikipedia", r"(?i)Wikipedia:([^\s]+)", "https://wikipedia.org/wiki/"),
 ]
 
 
 def links(text: C) -> Column:
-    """kind, matched, url, start, end (offsets in characters), left to right without overlaps; ties to the first pattern."""
+    """kind, matched, url, start, end (offsets in characters), left to right without overlaps: the earlier, then the shorter, then the first pattern."""
     text = col(text)
 
     def of(rank: int, kind: str, pattern: str, url: str) -> Column:
         whole, inner = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (0, 1))
         gaps = F.split(text, pattern, -1)
         before = lambda i: F.aggregate(F.slice(F.zip_with(gaps, whole, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0))), F.lit(1), i), F.lit(0), lambda a, b: a + b) + F.length(F.get(gaps, i))
-        return F.transform(whole, lambda m, i: F.struct(before(i).alias("start"), F.lit(rank).alias("rank"), (before(i) + F.length(m)).alias("end"), F.lit(kind).alias("kind"), m.alias("matched"), F.concat(F.lit(url), F.get(inner, i)).alias("url")))
+        return F.transform(whole, lambda m, i: F.struct(before(i).alias("start"), (before(i) + F.length(m)).alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m.alias("matched"), F.concat(F.lit(url), F.get(inner, i)).alias("url")))
 
     found = F.array_sort(F.concat(*[of(r, *link) for r, link in enumerate(LINKS)]))
     zero = F.filter(found, lambda x: F.lit(False))
@@ -226,7 +228,10 @@ def abbreviate(text: C, size: int) -> Column:
 
 
 def iso_utc(seconds: C) -> Column:
-    return F.date_format(F.timestamp_seconds(col(seconds)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """In UTC, whatever the session's time zone."""
+    whole = F.floor(col(seconds)).cast("decimal(18,6)")
+    local = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=whole)
+    return F.concat(F.replace(local.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def slug(text: C) -> Column:
@@ -242,10 +247,24 @@ def strip_turtle(text: C) -> Column:
     return F.regexp_replace(col(text), r'(<[^<>\s]*+>)|"""(?:[^"\\]|\\.|"(?!""))*+"""|\'\'\'(?:[^\'\\]|\\.|\'(?!\'\'))*+\'\'\'|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|#[^\n]*+', "$1")
 
 
+# Characters that continue a token.
+_CONTINUES = r"[A-Za-z0-9_\-.~:#/%?=&]"
+
+
+def token_pattern(token: C) -> Column:
+    quoted = F.replace(col(token), F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    return F.concat(F.lit(rf"(?<!{_CONTINUES})\Q"), quoted, F.lit(rf"\E(?!{_CONTINUES})"))
+
+
 def bounded(text: C, token: C) -> Column:
     """Whether a token occurs and isn't part of a longer one."""
-    quoted = F.concat(F.lit(r"(?<![\w:.-])\Q"), F.replace(col(token), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\w-]|[.:]\w)"))
-    return F.regexp_like(col(text), quoted)
+    return F.regexp_like(col(text), token_pattern(token))
+
+
+def token_at(text: C, token: C) -> Column:
+    """Where a token that isn't part of a longer one first stands (from 0); null if nowhere."""
+    at = F.regexp_instr(col(text), token_pattern(token))
+    return F.when((F.length(col(token)) > 0) & (at > 0), at - 1)
 
 
 def remap_iri(iri: C, old: str, new: str) -> Column:
@@ -270,8 +289,10 @@ def synonym_property(scope: C) -> Column:
     return F.coalesce(F.try_element_at(table, F.upper(col(scope))), F.lit(OBO_IN_OWL + "hasRelatedSynonym"))
 
 
-def first_location(text: C, needle: C) -> Column:
-    """line (from 1) and column (from 0) where a bounded needle first stands; null if nowhere."""
+def first_location(text: C, *needles: C) -> Column:
+    """line (from 1) and column (from 0) of the first line that holds a needle as a token, the needles tried in order on
+    each line; null if none does."""
     lines = F.split(col(text), "\n")
-    hits = F.filter(F.transform(lines, lambda line, i: F.struct((i + 1).alias("line"), (F.instr(line, col(needle)) - 1).alias("column"), bounded(line, needle).alias("ok"))), lambda x: x["ok"] & (x["column"] >= 0))
-    return F.get(F.transform(hits, lambda x: F.struct(x["line"].cast("bigint").alias("line"), x["column"].cast("bigint").alias("column"))), 0)
+    at = lambda line: F.coalesce(*[token_at(line, n) for n in needles])
+    hits = F.filter(F.transform(lines, lambda line, i: F.struct((i + 1).cast("bigint").alias("line"), at(line).cast("bigint").alias("column"))), lambda x: x["column"].isNotNull())
+    return F.get(hits, 0)

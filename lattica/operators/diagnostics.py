@@ -29,8 +29,13 @@ def _located(df: DataFrame, catalog: Catalog) -> DataFrame:
     if catalog.texts is None:
         return df.withColumn("line", F.lit(None).cast("bigint")).withColumn("column", F.lit(None).cast("bigint"))
     found = df.join(catalog.texts.select("path", "text"), "path", "left")
-    at = F.coalesce(X.first_location("text", F.concat(F.lit("<"), "iri", F.lit(">"))), X.first_location("text", F.concat(F.lit(":"), X.short_name("iri"))))
-    return found.withColumn("at", at).withColumn("line", F.col("at.line")).withColumn("column", F.col("at.column")).drop("text", "at")
+    prefixed = F.transform(F.filter(F.map_entries("namespaces"), lambda n: (n["key"] != "") & F.startswith("iri", n["value"])), lambda n: F.concat(n["key"], F.lit(":"), X.short_name("iri")))
+    needles = F.concat(F.array("iri", F.concat(F.lit("<"), "iri", F.lit(">"))), F.coalesce(F.array_sort(prefixed), F.array().cast("array<string>")), F.array(F.concat(F.lit(":"), X.short_name("iri"))))
+    # The first line that holds any needle, and on it the first needle of the list.
+    each = F.filter(F.transform(needles, lambda n, k: F.struct(X.first_location("text", n).alias("at"), k.alias("k"))), lambda x: x["at"].isNotNull())
+    first = F.array_min(F.transform(each, lambda x: F.struct(x["at"]["line"].alias("line"), x["k"].alias("k"), x["at"]["column"].alias("column"))))
+    found = found.join(catalog.documents.groupBy("path").agg(F.first("namespaces").alias("namespaces")), "path", "left")
+    return found.withColumn("at", first).withColumn("line", F.col("at.line")).withColumn("column", F.col("at.column")).drop("text", "at", "namespaces")
 
 
 def parse_errors(catalog: Catalog) -> DataFrame:

@@ -35,12 +35,10 @@ class Diff:
 
 
 def _changed(base: DataFrame, head: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of head without an equal one in base, and the other way round; duplicates stay."""
-    null_safe = lambda a, b: reduce(Column.__and__, [a[c].eqNullSafe(b[c]) for c in columns])
-    a, b = base.select(*columns), head.select(*columns)
-    added = b.join(a.distinct(), null_safe(b, a), "left_anti").withColumn("change", F.lit("added"))
-    removed = a.join(b.distinct(), null_safe(a, b), "left_anti").withColumn("change", F.lit("removed"))
-    return added.unionByName(removed)
+    """Rows of head without an equal one in base, and the other way round; duplicates stay. Both sides meet in one shuffle."""
+    sides = base.select(*columns, F.lit("removed").alias("change")).union(head.select(*columns, F.lit("added").alias("change")))
+    both = sides.groupBy(*columns).agg(F.count("*").alias("n"), F.min("change").alias("change"), F.max("change").alias("other")).where("change = other")
+    return both.select(*columns, "change", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select(*columns, "change")
 
 
 def renames(removed: DataFrame, added: DataFrame, links: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.storage import cut
+from lattica.storage import Grown, cut
 
 #: A closure of more rounds than this is taken for a mistake.
 MAX_ROUNDS = 10_000
@@ -22,9 +22,10 @@ def closure(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     With sources (a), only from those: then each round advances all their frontiers by one edge. Without, each round
     joins new pairs to all pairs, so that paths double and rounds grow with the logarithm of the depth."""
     edges = cut(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges")
-    known = edges if sources is None else cut(edges.join(sources.select("a").distinct(), "a", "left_semi"), "closure")
-    new = known
+    new = edges if sources is None else cut(edges.join(sources.select("a").distinct(), "a", "left_semi"), "closure")
+    all_ = Grown(new, "closure")
     for _ in range(MAX_ROUNDS):
+        known = all_.frame
         step = new.select("a", F.col("b").alias("m"))
         if sources is None:
             # New pairs on either side of known ones.
@@ -36,35 +37,38 @@ def closure(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
         new = cut(found.distinct().join(known, ["a", "b"], "left_anti"), "closure")
         if new.isEmpty():
             return known
-        known = cut(known.union(new), "closure")
+        all_.add(new)
     raise RuntimeError(f"no fixpoint after {MAX_ROUNDS} rounds")
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """node: the seeds (node) and all that can be reached from them."""
     edges = edges.select("a", "b").distinct()
-    known = cut(seeds.select("node").distinct(), "reach")
-    new = known
+    edges = cut(edges, "edges")
+    new = cut(seeds.select("node").distinct(), "reach")
+    all_ = Grown(new, "reach")
     for _ in range(MAX_ROUNDS):
+        known = all_.frame
         found = new.join(edges, new["node"] == edges["a"]).select(F.col("b").alias("node")).distinct()
         new = cut(found.join(known, "node", "left_anti"), "reach")
         if new.isEmpty():
             return known
-        known = cut(known.union(new), "reach")
+        all_.add(new)
     raise RuntimeError(f"no fixpoint after {MAX_ROUNDS} rounds")
 
 
 def bfs(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """node, depth: the least number of edges (source, target) from any root (node), up to ``depth``."""
-    known = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)), "bfs")
-    new = known
+    new = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)), "bfs")
+    all_ = Grown(new, "bfs")
     for d in range(1, depth + 1):
+        known = all_.frame
         found = new.join(edges, new["node"] == edges["source"]).select(F.col("target").alias("node")).distinct()
         new = cut(found.join(known, "node", "left_anti").withColumn("depth", F.lit(d)), "bfs")
         if new.isEmpty():
             break
-        known = cut(known.union(new), "bfs")
-    return known
+        all_.add(new)
+    return all_.frame
 
 
 def components(edges: DataFrame) -> DataFrame:

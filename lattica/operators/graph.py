@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -220,15 +221,15 @@ def result_seeds(frame: DataFrame, limit: int = 200) -> DataFrame:
     return cells.select(iri.alias("iri")).where("iri <> ''").distinct().orderBy("iri").limit(limit)
 
 
-def text_tree(catalog: Catalog, depth: int = 20) -> DataFrame:
-    """path, level, iri: the hierarchy as lines, from classes without parents, in the order of paths; cycles are cut by
-    not visiting a class twice on one path."""
+def text_tree(catalog: Catalog, depth: int | None = None) -> DataFrame:
+    """path, level, iri: the hierarchy as lines, from classes without parents, in the order of paths, to its whole depth
+    or the one asked for; cycles are cut by not visiting a class twice on one path."""
     edges = cut(catalog.hierarchy(), "tree")
     names = catalog.entities.where("kind = 'class'").select("iri", "short_name")
     roots = names.join(edges.select(F.col("child").alias("iri")).distinct(), "iri", "left_anti")
     level = roots.select("iri", F.col("short_name").alias("path"), F.array("iri").alias("seen"), F.lit(0).alias("level"))
     out = level
-    for k in range(1, depth):
+    for k in itertools.count(1) if depth is None else range(1, depth):
         below = level.join(edges, level["iri"] == edges["parent"]).where(~F.array_contains("seen", F.col("child"))).select(F.col("child").alias("iri"), "path", "seen")
         level = below.join(names, "iri").select("iri", F.concat_ws("/", "path", "short_name").alias("path"), F.array_append("seen", F.col("iri")).alias("seen"), F.lit(k).alias("level"))
         level = cut(level, "tree")

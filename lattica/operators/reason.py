@@ -16,7 +16,7 @@ from lattica.catalog import Catalog
 from lattica.functions import manchester
 from lattica.model import MAX_RESULT_ROWS, NAMED_INDIVIDUAL, NOTHING, THING, LatticaError
 from lattica.operators.fixpoint import MAX_ROUNDS, closure, components, reachable
-from lattica.storage import cut
+from lattica.storage import Grown, cut
 
 PROFILES = ["rdfs", "rl", "el", "dl", "auto"]
 def _simple() -> Column:
@@ -122,8 +122,9 @@ def facts(catalog: Catalog, profile: str = "rl") -> DataFrame:
     chains = _axioms(catalog, "property_chain").select(F.split("object", " o ").alias("x"), F.col("subject").alias("p")).where("size(x) = 2").select(F.get("x", F.lit(0)).alias("p1"), F.get("x", F.lit(1)).alias("p2"), "p")
     chains = cut(chains.union(transitive.select("p", F.col("p").alias("p2"), F.col("p").alias("p3"))), "chains")
     same = cut(same_as(catalog), "same") if profile != "rdfs" else None
-    new = known
+    new, all_ = known, Grown(known, "facts")
     for _ in range(MAX_ROUNDS):
+        known = all_.frame
         found = [new.join(sub, new["p"] == sub["a"]).select("s", F.col("b").alias("p"), "o")]
         if profile != "rdfs":
             found.append(new.join(inverse, new["p"] == inverse["a"]).select(F.col("o").alias("s"), F.col("b").alias("p"), F.col("s").alias("o")))
@@ -138,7 +139,7 @@ def facts(catalog: Catalog, profile: str = "rl") -> DataFrame:
         new = cut(reduce(DataFrame.union, found).distinct().join(known, ["s", "p", "o"], "left_anti"), "facts")
         if new.isEmpty():
             break
-        known = cut(known.union(new), "facts")
+        all_.add(new)
     if same is None:
         return known
     # What holds of a cluster's representative holds of its members.
@@ -208,8 +209,8 @@ def explain(catalog: Catalog, class_iri: str, most: int = 1) -> list[list[str]]:
     disjoint = _pairs(_axioms(catalog, "disjoint_class").where(_simple()))
     up = {class_iri: [(class_iri,)]}
     frontier, out = [class_iri], []
-    for _ in range(64):
-        steps = edges.join(catalog.spark.createDataFrame([(x,) for x in frontier], "child string"), "child", "left_semi").orderBy("child", "parent").limit(10_000).collect()
+    while frontier:
+        steps = edges.join(catalog.spark.createDataFrame([(x,) for x in frontier], "child string"), "child", "left_semi").orderBy("child", "parent").collect()
         frontier = []
         for r in steps:
             for chain in up.get(r.child, [])[:most]:
@@ -217,8 +218,6 @@ def explain(catalog: Catalog, class_iri: str, most: int = 1) -> list[list[str]]:
                     if r.parent not in up:
                         frontier.append(r.parent)
                     up.setdefault(r.parent, []).append((*chain, r.parent))
-        if not frontier:
-            break
     say = lambda chain: [f"{a} SubClassOf {b}" for a, b in zip(chain, chain[1:])]
     out += [say(c) for c in up.get(NOTHING, [])]
     seen = catalog.spark.createDataFrame([(x,) for x in up], "a string")

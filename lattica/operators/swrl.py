@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lattica.catalog import Catalog
 from lattica.model import SWRL_RULE, TYPE
 from lattica.operators.fixpoint import MAX_ROUNDS
-from lattica.storage import cut
+from lattica.storage import Grown, cut
 
 MAX_ATOMS, MAX_IRI = 256, 2_048
 
@@ -114,18 +114,25 @@ def _atom(a: dict, facts: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(v) for v, c in names.items()]).distinct() if names else df.select(F.lit(1).alias("__one")).limit(1)
 
 
-def _body(rule: dict, facts: DataFrame, new: DataFrame) -> DataFrame | None:
-    """Bindings of which at least one atom is new: a union over which atom that is."""
+def _body(rule: dict, facts: DataFrame, new: DataFrame, old: DataFrame | None) -> DataFrame | None:
+    """Bindings of which at least one atom is new: a union over the first such atom, with old facts before it and all
+    facts after it, so that none is found twice. Without old facts all are new, and one pass is enough. Variables that
+    nothing needs any more are left out as soon as they are joined."""
     patterns = [a for a in rule["body"] if _kind(a) in ("class", "property")]
+    last = variables([*rule["head"], *[a for a in rule["body"] if _kind(a) not in ("class", "property")]])
     out = []
-    for i in range(len(patterns)):
-        df, left = _atom(patterns[i], new), [a for j, a in enumerate(patterns) if j != i]
+    for i in range(len(patterns) if old is not None else min(1, len(patterns))):
+        df, left = _atom(patterns[i], new), [(j, a) for j, a in enumerate(patterns) if j != i]
         while left:
-            a = next((x for x in left if variables([x]) & set(df.columns)), left[0])
-            left.remove(a)
-            right = _atom(a, facts)
+            j, a = next((x for x in left if variables([x[1]]) & set(df.columns)), left[0])
+            left.remove((j, a))
+            right = _atom(a, old if old is not None and j < i else facts)
             shared = [c for c in right.columns if c in df.columns and c != "__one"]
             df = df.join(right.drop("__one") if shared else right, shared or None).drop("__one") if shared else df.join(right.withColumnRenamed("__one", "__other"))
+            needed = last | variables([x for _, x in left])
+            kept = [c for c in df.columns if c in needed]
+            if kept and len(kept) < len(df.columns):
+                df = df.select(*kept).distinct()
         out.append(df.drop("__one", "__other"))
     if not out:
         return None
@@ -154,7 +161,8 @@ def materialise(catalog: Catalog) -> tuple[DataFrame, list[str]]:
     ax = catalog.axioms
     known = ax.where(F.col("axiom_kind") == "class_assertion").select(F.col("subject").alias("s"), F.lit(TYPE).alias("p"), F.col("object").alias("o"))
     known = known.union(ax.where(F.col("axiom_kind").isin("object_property_assertion", "data_property_assertion")).select("subject", "predicate", "object")).distinct()
-    known = start = new = cut(known, "swrl")
+    start = new = cut(known, "swrl")
+    all_, old = Grown(new, "swrl"), None
     warnings, rules = [], []
     for rule in rules_of(catalog):
         bad = validate_rule(rule)
@@ -163,9 +171,9 @@ def materialise(catalog: Catalog) -> tuple[DataFrame, list[str]]:
         else:
             warnings += [d["message"] for d in bad] or [f"{rule['id']}: disabled"]
     for _ in range(MAX_ROUNDS if rules else 0):
-        found = []
+        known, found = all_.frame, []
         for rule in rules:
-            df = _body(rule, known, new)
+            df = _body(rule, known, new, old)
             for a in rule["head"] if df is not None else []:
                 value = lambda arg: F.col(arg[1]).cast("string") if arg[0] == "var" else F.lit(arg[1])
                 args = _args(a)
@@ -176,5 +184,6 @@ def materialise(catalog: Catalog) -> tuple[DataFrame, list[str]]:
         new = cut(reduce(DataFrame.union, found).distinct().join(known, ["s", "p", "o"], "left_anti"), "swrl")
         if new.isEmpty():
             break
-        known = cut(known.union(new), "swrl")
-    return known.join(start, ["s", "p", "o"], "left_anti"), warnings
+        all_.add(new)
+        old = all_.before
+    return all_.frame.join(start, ["s", "p", "o"], "left_anti"), warnings

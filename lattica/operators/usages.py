@@ -46,7 +46,7 @@ def text_usages(catalog: Catalog, iri: str) -> DataFrame:
     tokens = F.array_distinct(F.concat(F.array(F.lit(f"<{iri}>")), F.coalesce(prefixes, F.array().cast("array<string>"))))
     lines = docs.select("path", tokens.alias("tokens"), F.posexplode(F.split("text", "\n")).alias("n", "line_text"))
     hits = lines.select("path", "n", "line_text", F.explode("tokens").alias("token")).where(F.startswith("token", F.lit("<")) & F.contains("line_text", F.col("token")) | ~F.startswith("token", F.lit("<")) & X.bounded("line_text", "token"))
-    return hits.select(F.col("path").alias("file"), (F.col("n") + 1).cast("bigint").alias("line"), (F.instr("line_text", F.col("token")) - 1).cast("bigint").alias("column"), "token").distinct()
+    return hits.select(F.col("path").alias("file"), (F.col("n") + 1).cast("bigint").alias("line"), F.coalesce(X.token_at("line_text", "token"), F.instr("line_text", F.col("token")) - 1).cast("bigint").alias("column"), "token").distinct()
 
 
 def find_usages(catalog: Catalog, iri: str) -> DataFrame:

@@ -125,12 +125,11 @@ define("a4_label_groups", lambda c: diagnostics.label_groups(c).groupBy("label")
 define("a5_parents", lambda c: c.parents().select("child", F.array_join("parents", "; ").alias("parents")), f"{_HIER} SELECT child, string_agg(parent, '; ' ORDER BY parent) AS parents FROM h GROUP BY child")
 define("a5_children", lambda c: c.children().select("parent", F.size("children").cast("bigint").alias("n")), f"{_HIER} SELECT parent, count(*) AS n FROM h GROUP BY parent")
 define("a6_counts_by_kind", lambda c: c.counts_by_kind(), "SELECT kind, count(*) AS n FROM ent GROUP BY kind")
-define("a8_severities", lambda c: diagnostics.by_severity(diagnostics.collect(c)), None)
 define("a9_namespace_map", lambda c: c.namespace_map(), f"SELECT 't' AS prefix, '{T}' AS iri")
 define("a10_delete_impact", lambda c: usages.delete_impact(c, c.entities.where("kind = 'class'").select("iri")), """named AS (SELECT DISTINCT iri, id, subject FROM (SELECT row_number() OVER () AS id, subject, unnest(regexp_extract_all(object, 'https?://[^ ]+')) AS iri FROM ax)), cls AS (SELECT iri FROM ent WHERE kind = 'class'),
   u AS (SELECT subject AS iri, 'a' || CAST(row_number() OVER () AS VARCHAR) AS k, 's' AS role, NULL AS who FROM ax UNION ALL SELECT iri, 'b' || CAST(id AS VARCHAR), 'o', subject FROM named UNION ALL SELECT subject, NULL, 'n', NULL FROM ann UNION ALL SELECT object, NULL, 'n', NULL FROM ann)
   SELECT cls.iri, count(*) AS usages, count(DISTINCT k) AS axioms, count(DISTINCT who) AS referencers FROM u JOIN cls ON cls.iri = u.iri GROUP BY cls.iri""")
-define("a12_components", lambda c: fixpoint.components(c.axioms.where("axiom_kind = 'disjoint_class' OR (axiom_kind = 'sub_class_of' AND ontology_id LIKE '%core' AND object LIKE '%region%' AND object NOT LIKE '% %')").select(F.col("subject").alias("a"), F.col("object").alias("b"))).groupBy("component").agg(F.count("*").alias("n")), f"SELECT '{T}nation/0' AS component, count(DISTINCT x) AS n FROM (SELECT subject AS x FROM ax WHERE axiom_kind = 'disjoint_class' OR (axiom_kind = 'sub_class_of' AND ontology_id LIKE '%core' AND object LIKE '%region%' AND object NOT LIKE '% %') UNION ALL SELECT object FROM ax WHERE axiom_kind = 'disjoint_class' OR (axiom_kind = 'sub_class_of' AND ontology_id LIKE '%core' AND object LIKE '%region%' AND object NOT LIKE '% %'))")
+define("a12_components", lambda c: fixpoint.components(c.axioms.where("axiom_kind IN ('sub_class_of', 'disjoint_class', 'equivalent_class') AND object NOT LIKE '% %'").select(F.col("subject").alias("a"), F.col("object").alias("b"))).groupBy("component").agg(F.count("*").alias("n")), f"e AS MATERIALIZED (SELECT subject AS a, object AS b FROM ax WHERE axiom_kind IN ('sub_class_of', 'disjoint_class', 'equivalent_class') AND NOT contains(object, ' ')), b AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), w(root, x) AS (SELECT t, t FROM (VALUES ('{T}Place'), ('{T}Product')) v(t) UNION SELECT root, b.b FROM w JOIN b ON b.a = w.x) SELECT min(x) AS component, count(*) AS n FROM w GROUP BY root")
 
 
 def _merged(c: Catalog) -> DataFrame:
@@ -165,27 +164,28 @@ define("f15_content_hash", lambda spark, sf: _TEXTS(spark, sf).select("doc_id",
 define("f16_restriction_header", lambda c: c.axioms.where("object LIKE '% %' AND axiom_kind = 'sub_class_of'").select(X.restriction_header("object").alias("h")).select("h.kind").groupBy("kind").agg(F.count("*").alias("n")), "SELECT split_part(object, ' ', 2) AS kind, count(*) AS n FROM ax WHERE axiom_kind = 'sub_class_of' AND contains(object, ' ') GROUP BY 1")
 define("f17_members", lambda c: c.spark.range(1).select(F.explode(X.members(F.lit("a o  b o c"), "o")).alias("m")), "SELECT unnest(['a', 'b', 'c']) AS m")
 define("f18_axiom_display", lambda c: c.axioms.select(X.axiom_label("axiom_kind").alias("label"), X.axiom_display("axiom_kind", "predicate", "object").alias("display")).where("label = 'Domain' OR label = 'Range'"), "SELECT CASE axiom_kind WHEN 'domain' THEN 'Domain' ELSE 'Range' END AS label, CASE axiom_kind WHEN 'domain' THEN 'Domain ' ELSE 'Range ' END || regexp_extract(object, '[^/]*$') AS display FROM ax WHERE axiom_kind IN ('domain', 'range')")
-define("f19_links", lambda spark, sf: _linked(spark, sf), "SELECT p_partkey, kind, url FROM (SELECT p_partkey, 'pubmed' AS kind, 'https://pubmed.ncbi.nlm.nih.gov/' || CAST(p_partkey AS VARCHAR) AS url FROM part UNION ALL SELECT p_partkey, 'doi', 'https://doi.org/10.1000/' || CAST(p_size AS VARCHAR) FROM part)", tables=True)
+define("f19_links", lambda spark, sf: _linked(spark, sf), "SELECT p_partkey, kind, url FROM (SELECT p_partkey, 'PubMedId' AS kind, 'http://www.ncbi.nlm.nih.gov/pubmed/' || CAST(p_partkey AS VARCHAR) AS url FROM part UNION ALL SELECT p_partkey, 'DOI', 'https://doi.org/10.1000/' || CAST(p_size AS VARCHAR) FROM part UNION ALL SELECT p_partkey, 'OMIMPS', 'https://www.omim.org/phenotypicSeries/' || CAST(p_size AS VARCHAR) FROM part UNION ALL SELECT p_partkey, 'Wikipedia', 'https://wikipedia.org/wiki/' || replace(p_name, ' ', '_') FROM part)", tables=True)
 define("f20_abbreviate", lambda spark, sf: _TEXTS(spark, sf).select("doc_id", X.abbreviate("text", 40).alias("t")), "SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE substr(text, 1, 37) || '...' END AS t FROM documents", tables=True)
 define("f20_iso_utc", lambda spark, sf: spark.read.parquet(f"{sf}/events.parquet").select("event_id", X.iso_utc(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("t")), "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS t FROM events", tables=True)
 define("f22_strip_turtle", lambda spark, sf: spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", X.strip_turtle(F.concat(F.lit("<u#x> a \"#"), "p_name", F.lit("\" . # "), "p_brand")).alias("t")), "SELECT p_partkey, '<u#x> a  . ' AS t FROM part", tables=True)
-define("f23_first_location", lambda spark, sf: spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", X.first_location(F.concat(F.lit("x:ab\n y x:a ."), "p_name"), F.lit("x:a")).alias("l")).select("p_partkey", "l.line", "l.column"), "SELECT p_partkey, CAST(2 AS BIGINT) AS line, CAST(3 AS BIGINT) AS \"column\" FROM part", tables=True)
-define("f24_bounded", lambda spark, sf: _TEXTS(spark, sf).select("doc_id", X.bounded("text", F.lit("the")).alias("hit")), "SELECT doc_id, regexp_matches(text, '(^|[^\\pL\\pN_:.-])the([^\\pL\\pN_.:-]|[.:]([^\\pL\\pN_]|$)|$)') AS hit FROM documents WHERE false", tables=True)
-del ORACLE_SQL["f24_bounded"]
+_STOP = "[^A-Za-z0-9_.~:#/%?=&-]"
+_THE = f"(^|{_STOP})the($|{_STOP})"
+define("f23_first_location", lambda spark, sf: _TEXTS(spark, sf).select("doc_id", X.first_location("text", F.lit("the")).alias("l")).select("doc_id", "l.line", "l.column"), f"SELECT doc_id, line, \"column\" FROM (SELECT doc_id, NULL AS line, NULL AS \"column\" FROM documents WHERE NOT regexp_matches(text, '{_THE}') UNION ALL SELECT doc_id, min(line), arg_min(CASE WHEN regexp_matches(l, '^the($|{_STOP})') THEN 0 ELSE length(regexp_extract(l, '^(.*?{_STOP})the($|{_STOP})', 1)) END, line) FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) WHERE regexp_matches(l, '{_THE}') GROUP BY doc_id)", tables=True)
+define("f24_bounded", lambda spark, sf: _TEXTS(spark, sf).select("doc_id", X.bounded("text", F.lit("the")).alias("hit")), "SELECT doc_id, regexp_matches(text, '(^|[^A-Za-z0-9_.~:#/%?=&-])the($|[^A-Za-z0-9_.~:#/%?=&-])') AS hit FROM documents", tables=True)
 define("f25_remap", lambda c: c.entities.select(X.remap_iri("iri", T + "part/", "http://new/p/").alias("iri")), f"SELECT CASE WHEN starts_with(iri, '{T}part/') THEN 'http://new/p/' || substr(iri, {len(T) + 6}) ELSE iri END AS iri FROM ent")
 define("f26_scoped_blank", lambda c: c.documents.select(X.scoped_blank("id", F.lit("b0")).alias("b")), "SELECT 'doc-' || CAST(doc_order AS VARCHAR) || '_b0' AS b FROM doc")
 define("f27_synonym_scope", lambda c: c.spark.createDataFrame([("exact",), ("BROAD",), ("x",)], "s string").select("s", X.synonym_property("s").alias("p")), "SELECT s, 'http://www.geneontology.org/formats/oboInOwl#' || p AS p FROM (VALUES ('exact', 'hasExactSynonym'), ('BROAD', 'hasBroadSynonym'), ('x', 'hasRelatedSynonym')) v(s, p)")
 
 
 def _linked(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.concat(F.lit("see PMID: "), F.col("p_partkey").cast("string"), F.lit(" and doi:10.1000/"), F.col("p_size").cast("string"), F.lit(" end"))
+    text = F.concat(F.lit("see PMID: "), F.col("p_partkey").cast("string"), F.lit(" and doi:10.1000/"), F.col("p_size").cast("string"), F.lit(" then OMIMPS:"), F.col("p_size").cast("string"), F.lit(" Wikipedia:"), F.replace("p_name", F.lit(" "), F.lit("_")))
     return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.explode(X.links(text)).alias("l")).select("p_partkey", "l.kind", "l.url")
 
 
 # -- graphs
 
 define("g1_hierarchy", lambda c: c.hierarchy().groupBy("parent").agg(F.count("*").alias("n")), f"{_HIER} SELECT parent, count(*) AS n FROM h GROUP BY parent")
-define("g2_class_graph_edges", lambda c: graph.build(c, graph.Request("class", filters=graph.Filters(hide_deprecated=True))).edges.select("source", "target"), f"{_HIER}, dep AS (SELECT iri FROM ent WHERE deprecated) SELECT child AS source, parent AS target FROM h WHERE child NOT IN (SELECT iri FROM dep) AND parent IN (SELECT iri FROM ent WHERE NOT deprecated)")
+define("g2_class_graph_edges", lambda c: graph.build(c, graph.Request("class", filters=graph.Filters(hide_deprecated=True))).edges.select("source", "target"), f"live AS MATERIALIZED (SELECT iri FROM ent WHERE kind = 'class' AND NOT deprecated) SELECT DISTINCT subject AS source, object AS target FROM ax JOIN live a ON a.iri = subject JOIN live b ON b.iri = object WHERE axiom_kind = 'sub_class_of'")
 define("g3_property_graph", lambda c: graph.build(c, graph.Request("property")).edges.select("source", "target", "kind"), "SELECT subject AS source, object AS target, axiom_kind AS kind FROM ax WHERE axiom_kind IN ('domain', 'range')")
 define("g3_object_properties", lambda c: graph.build(c, graph.Request("object_property")).nodes.select("id", "label", "kind"), "SELECT iri AS id, label, kind FROM ent WHERE kind = 'object_property' UNION SELECT object, regexp_extract(object, '[^/]*$'), CASE WHEN object LIKE '%Order' THEN 'other' ELSE 'class' END FROM ax WHERE axiom_kind IN ('domain', 'range')")
 _CLOSURE = f"{_HIER}, up(a, b) AS (SELECT child, parent FROM h UNION SELECT up.a, h.parent FROM up JOIN h ON up.b = h.child)"
@@ -201,8 +201,9 @@ define("g10_bounded_bfs", lambda c: fixpoint.bfs(c.hierarchy().select(F.col("par
 define("g11_nodes", lambda c: graph.nodes_of(c.axioms.select(F.col("object").alias("iri")).where("iri NOT LIKE '% %' AND iri LIKE 'http%'").distinct(), c).groupBy("kind").agg(F.count("*").alias("n")), "SELECT coalesce(kind, 'other') AS kind, count(*) AS n FROM (SELECT DISTINCT object FROM ax WHERE object NOT LIKE '% %' AND object LIKE 'http%') LEFT JOIN ent ON iri = object GROUP BY 1")
 define("g12_import_closure", lambda c: usages.import_closure(c, T + "onto/orders")[0], f"r(ontology_iri) AS (SELECT '{T}onto/orders' UNION SELECT import_iri FROM imp JOIN r ON ontology_id = ontology_iri) SELECT ontology_iri FROM r")
 define("g12_import_warnings", lambda c: usages.import_closure(c, T + "onto/orders")[1], f"SELECT '{T}onto/missing' AS import_iri, 'unresolved' AS reason")
-define("g13_module", lambda c: usages.module(c.with_(axioms=c.axioms.where("axiom_kind = 'sub_class_of' AND ontology_id LIKE '%core' AND object LIKE '%region%'")), c.spark.createDataFrame([(T + "region/1",)], "iri string")), f"SELECT DISTINCT x AS iri FROM (SELECT subject AS x FROM ax WHERE axiom_kind = 'sub_class_of' AND ontology_id LIKE '%core' AND object = '{T}region/1' UNION SELECT '{T}region/1')")
-define("g14_text_tree", lambda c: graph.text_tree(c.with_(axioms=c.axioms.where("ontology_id LIKE '%core'"))).where("path LIKE 'Place%'").select("path", "level"), "SELECT 'Place' AS path, 0 AS level UNION ALL SELECT 'Place/' || CAST(r_regionkey AS VARCHAR), 1 FROM region UNION ALL SELECT 'Place/' || CAST(n_regionkey AS VARCHAR) || '/' || CAST(n_nationkey AS VARCHAR), 2 FROM nation")
+_SIG = "sig AS MATERIALIZED (SELECT id, x FROM (SELECT id, unnest(list_distinct([subject, predicate] || string_split(object, ' '))) AS x FROM (SELECT *, row_number() OVER () AS id FROM ax)) WHERE x IN (SELECT iri FROM ent))"
+define("g13_module", lambda c: usages.module(c, c.spark.createDataFrame([(T + "region/1",)], "iri string")), f"{_SIG}, w(iri) AS (SELECT '{T}region/1' UNION SELECT b.x FROM w JOIN sig a ON a.x = w.iri JOIN sig b ON b.id = a.id) SELECT iri FROM w")
+define("g14_text_tree", lambda c: graph.text_tree(c).select("path", "level"), f"{_HIER}, w(iri, path, level) AS (SELECT iri, regexp_extract(iri, '[^/]*$'), 0 FROM ent WHERE kind = 'class' AND iri NOT IN (SELECT child FROM h) UNION ALL SELECT h.child, path || '/' || regexp_extract(h.child, '[^/]*$'), level + 1 FROM w JOIN h ON h.parent = w.iri) SELECT path, level FROM w")
 define("p17_entity_filter", lambda c: graph.keep_allowed(c.axioms.select(F.col("subject").alias("iri")).distinct(), "iri", c, graph.Filters(ontology_iri=T + "onto/parts", hide_deprecated=True, entity_kinds=["class"], search_text=" BRAND ")), f"SELECT DISTINCT subject AS iri FROM ax JOIN ent ON iri = subject WHERE ent.ontology_id = '{T}onto/parts' AND NOT deprecated AND kind = 'class' AND (contains(lower(iri), 'brand') OR contains(lower(coalesce(label, '')), 'brand'))")
 define("p18_relationship_filter", lambda c: graph.build(c, graph.Request("property", filters=graph.Filters(relationship_kinds=["range"]))).edges.select("source", "target"), "SELECT subject AS source, object AS target FROM ax WHERE axiom_kind = 'range'")
 define("p20_complex_expression", lambda c: c.axioms.where(X.is_complex_expression("object")).groupBy("axiom_kind").agg(F.count("*").alias("n")), "SELECT axiom_kind, count(*) AS n FROM ax WHERE contains(object, ' some ') OR contains(object, ' max ') GROUP BY 1")
@@ -221,7 +222,9 @@ _D = lambda df: df.select("code", "severity", "message", "file", F.coalesce("ent
 define("d2_j3_broken_imports", lambda c: _D(diagnostics.broken_imports(c)), f"SELECT 'broken_import' AS code, 'error' AS severity, 'import not found in workspace: ' || import_iri AS message, {_OWNER} AS file, '' AS entity_iri FROM imp WHERE import_iri NOT IN (SELECT base_iri FROM doc)")
 define("d4_duplicate_labels", lambda c: _D(diagnostics.duplicate_labels(c)), f"SELECT 'duplicate_label' AS code, 'warning' AS severity, 'duplicate label \"' || l || '\" (also used by other entities)' AS message, {_OWNER} AS file, iri AS entity_iri FROM (SELECT *, lower(trim(label)) AS l, count(*) OVER (PARTITION BY lower(trim(label))) AS n FROM ent WHERE label IS NOT NULL) WHERE n >= 2")
 define("d5_missing_labels", lambda c: _D(diagnostics.missing_labels(c)), f"SELECT 'missing_label' AS code, 'warning' AS severity, kind || ' has no rdfs:label' AS message, {_OWNER} AS file, iri AS entity_iri FROM ent WHERE kind = 'class' AND label IS NULL")
-define("d6_j4_orphans", lambda c: _D(diagnostics.orphan_classes(c.with_(axioms=c.axioms.where("object NOT LIKE '%region%'")))), f"a AS (SELECT * FROM ax WHERE object NOT LIKE '%region%' AND axiom_kind = 'sub_class_of') SELECT 'orphan_class' AS code, 'warning' AS severity, 'class has no parent in workspace catalog' AS message, {_OWNER} AS file, iri AS entity_iri FROM ent WHERE kind = 'class' AND iri NOT IN (SELECT object FROM a) AND iri NOT IN (SELECT subject FROM a WHERE contains(object, ' ') OR object IN (SELECT iri FROM ent))")
+_ORPHAN = f"SELECT 'orphan_class' AS code, 'warning' AS severity, 'class has no parent in workspace catalog' AS message, {_OWNER} AS file, ent.iri AS entity_iri FROM ent ANTI JOIN (SELECT object AS iri FROM ax WHERE axiom_kind = 'sub_class_of' UNION SELECT subject FROM ax WHERE axiom_kind = 'sub_class_of' AND contains(object, ' ') UNION SELECT subject FROM ax SEMI JOIN ent ON ent.iri = object WHERE axiom_kind = 'sub_class_of') k ON k.iri = ent.iri WHERE ent.kind = 'class'"
+define("d6_j4_orphans", lambda c: _D(diagnostics.orphan_classes(c)), _ORPHAN)
+define("a8_severities", lambda c: diagnostics.by_severity(diagnostics.collect(c)), "SELECT severity, count(*) AS n FROM (" + " UNION ALL ".join(x.removeprefix(MAPPING + " ") for x in (ORACLE_SQL["d2_j3_broken_imports"], ORACLE_SQL["d4_duplicate_labels"], ORACLE_SQL["d5_missing_labels"], MAPPING + " " + _ORPHAN)) + ") GROUP BY severity")
 define("d8_config", lambda c: diagnostics.collect(c, {"missing_label": "off", "broken_import": "info", "duplicate_label": "off"}).groupBy("code", "severity").agg(F.count("*").alias("n")), "SELECT 'broken_import' AS code, 'info' AS severity, count(*) AS n FROM imp WHERE import_iri NOT IN (SELECT base_iri FROM doc) UNION ALL SELECT 'orphan_class', 'warning', count(*) FROM ent WHERE iri LIKE '%/Party' AND kind = 'class'")
 define("d9_naming", lambda c: diagnostics.naming(c, T + "p").groupBy("severity").agg(F.count("*").alias("n")), f"SELECT 'warning' AS severity, count(*) FILTER (WHERE label IS NULL) + count(*) FILTER (WHERE NOT starts_with(iri, '{T}p')) AS n FROM ent WHERE kind IN ('class', 'object_property', 'data_property', 'individual')")
 
@@ -270,7 +273,7 @@ _sparql("q2_bgp_join", "SELECT ?o ?c ?n WHERE { ?o t:placedBy ?c . ?c a ?n . ?n
 _sparql("q3_optional", "SELECT ?s ?l WHERE { ?s a owl:Class OPTIONAL { ?s rdfs:label ?l FILTER(STRSTARTS(?l, 'NATION')) } }", f"SELECT {_I('a.s')} AS s, coalesce({_L('b.o')}, '') AS l FROM q a LEFT JOIN q b ON b.s = a.s AND b.p = '{_RDFS}label' AND starts_with(b.o, 'NATION') WHERE a.p = '{_RDF}type' AND a.o LIKE '%owl#Class'")
 _sparql("q4_union", "SELECT ?x WHERE { { ?x t:size '7' } UNION { ?x t:segment 'BUILDING' } }", f"SELECT {_I('s')} AS x FROM q WHERE p = '{T}size' AND o = '7' UNION ALL SELECT {_I('s')} FROM q WHERE p = '{T}segment' AND o = 'BUILDING'")
 _sparql("q5_minus", "SELECT ?x WHERE { ?x a owl:Class MINUS { ?x rdfs:label ?l } }", f"SELECT {_I('s')} AS x FROM q WHERE p = '{_RDF}type' AND o LIKE '%owl#Class' AND s NOT IN (SELECT s FROM q WHERE p = '{_RDFS}label')")
-_sparql("q6_not_exists", "SELECT ?c WHERE { ?c a owl:NamedIndividual ; t:segment ?g FILTER NOT EXISTS { ?o t:placedBy ?c } }", f"SELECT {_I('a.s')} AS c FROM q a WHERE a.p = '{T}segment' AND a.s NOT IN (SELECT o FROM q WHERE p = '{T}placedBy')")
+_sparql("q6_not_exists", "SELECT ?c WHERE { ?c a owl:Class ; rdfs:label ?l FILTER NOT EXISTS { ?o t:contains ?c . ?o t:totalprice ?v FILTER(?v > 200000) } }", f"SELECT {_I('a.s')} AS c FROM q a JOIN q l ON l.s = a.s AND l.p = '{_RDFS}label' ANTI JOIN (SELECT k.o AS s FROM q k JOIN q v ON v.s = k.s AND v.p = '{T}totalprice' AND CAST(v.o AS DOUBLE) > 200000 WHERE k.p = '{T}contains') x ON x.s = a.s WHERE a.p = '{_RDF}type' AND a.o LIKE '%owl#Class'")
 _sparql("q6_filter", "SELECT ?o ?v WHERE { ?o t:totalprice ?v FILTER(?v > 100000 && ?v <= 150000.5) }", f"SELECT {_I('s')} AS o, {_NUM('o', 'decimal')} AS v FROM q WHERE p = '{T}totalprice' AND CAST(o AS DOUBLE) > 100000 AND CAST(o AS DOUBLE) <= 150000.5")
 _sparql("q7_bind_values", "SELECT ?s ?n WHERE { VALUES ?k { '1' '2' } ?s t:size ?k BIND(CONCAT('size ', ?k) AS ?n) }", f"SELECT {_I('s')} AS s, '\"size ' || o || '\"' AS n FROM q WHERE p = '{T}size' AND o IN ('1', '2')")
 _sparql("q8_distinct", "SELECT DISTINCT ?g WHERE { ?c t:segment ?g }", f"SELECT DISTINCT {_L('o')} AS g FROM q WHERE p = '{T}segment'")
@@ -280,11 +283,18 @@ _sparql("q10_order_limit", "SELECT ?l WHERE { ?s rdfs:label ?l . ?s rdfs:subClas
 _sparql("q11_subselect", "SELECT ?c ?l WHERE { { SELECT ?c WHERE { ?o t:placedBy ?c } GROUP BY ?c HAVING (COUNT(*) > 14) } ?c rdfs:label ?l }", f"SELECT {_I('s')} AS c, {_L('o')} AS l FROM q WHERE p = '{_RDFS}label' AND s IN (SELECT o FROM q WHERE p = '{T}placedBy' GROUP BY o HAVING count(*) > 14)")
 _sparql("q12_path_plus", "SELECT ?x WHERE { ?x rdfs:subClassOf+ t:Place }", f"w(x) AS (SELECT s FROM q WHERE p = '{_RDFS}subClassOf' AND o = '{T}Place' UNION SELECT s FROM q JOIN w ON o = x WHERE p = '{_RDFS}subClassOf') SELECT {_I('x')} AS x FROM w")
 _sparql("q12_path_sequence", "SELECT DISTINCT ?s ?r WHERE { ?s t:suppliedBy/a/rdfs:subClassOf ?r }", f"SELECT DISTINCT {_I('a.s')} AS s, {_I('c.o')} AS r FROM q a JOIN q b ON a.o = b.s AND b.p = '{_RDF}type' JOIN q c ON c.s = b.o AND c.p = '{_RDFS}subClassOf' WHERE a.p = '{T}suppliedBy'")
-_sparql("q13_graph", "SELECT ?g ?s WHERE { GRAPH ?g { ?s ?p ?o } }", "SELECT '' AS g, '' AS s FROM q WHERE false")
+define("q13_graph", lambda c: run_sparql(_in_graphs(c), _P + "SELECT ?g ?s ?o WHERE { GRAPH ?g { ?s rdfs:subClassOf ?o } FILTER(?g != t:onto/parts) }".replace("t:onto/parts", f"<{T}onto/parts>")).frame, f"SELECT {_I('doc_id')} AS g, {_I('s')} AS s, {_I('o')} AS o FROM q WHERE p = '{_RDFS}subClassOf' AND doc_id <> '{T}onto/parts'")
+define("q13_from", lambda c: run_sparql(_in_graphs(c), _P + f"SELECT ?s FROM <{T}onto/parties> WHERE {{ ?s a ?k }}").frame, f"SELECT {_I('s')} AS s FROM q WHERE p = '{_RDF}type' AND doc_id = '{T}onto/parties'")
 _sparql("q14_ask", "ASK { ?s rdfs:subClassOf t:Product }", "SELECT 'true' AS \"boolean\"")
 _sparql("q18_rendering", "SELECT ?p ?v WHERE { VALUES ?p { t:totalprice t:priority t:placedBy } ?s ?p ?v }", f"SELECT {_I('p')} AS p, CASE WHEN o_kind = 'iri' THEN {_I('o')} WHEN dt LIKE '%decimal' THEN {_NUM('o', 'decimal')} ELSE {_L('o')} END AS v FROM q WHERE p IN ('{T}totalprice', '{T}priority', '{T}placedBy')")
 _sparql("fs_functions", "SELECT ?s (STRLEN(?l) AS ?n) (UCASE(SUBSTR(?l, 1, 3)) AS ?u) (STRAFTER(STR(?s), 'region/') AS ?k) (MD5(?l) AS ?h) WHERE { ?s rdfs:subClassOf t:Place ; rdfs:label ?l }", f"SELECT {_I('a.s')} AS s, {_NUM('length(b.o)', 'integer')} AS n, {_L('upper(substr(b.o, 1, 3))')} AS u, {_L('regexp_extract(a.s, $$[^/]*$$$)').replace('$$[^/]*$$$', chr(39) + '[^/]*$' + chr(39))} AS k, {_L('md5(b.o)')} AS h FROM q a JOIN q b ON a.s = b.s AND b.p = '{_RDFS}label' WHERE a.p = '{_RDFS}subClassOf' AND a.o = '{T}Place'")
 
+
+def _in_graphs(c: Catalog) -> Catalog:
+    """The same quads, each in the graph of its ontology."""
+    return c.with_(quads=c.quads.withColumn("g", F.col("doc_id")))
+
+
 # -- reasoning
 
 from lattica.operators import reason, swrl  # noqa: E402
@@ -336,7 +346,7 @@ define("s8_k7_ntriples_round_trip", lambda c: _ROW(rdf.parse_lines(rdf.to_ntripl
 
 
 def _through_files(form: str, text, rows) -> Callable[[Catalog], DataFrame]:
-    """Classes of a table as one text for each region, parsed again."""
+    """All classes as texts, parsed again."""
 
     def query(c: Catalog) -> DataFrame:
         files = text(c).withColumn("path", F.concat(F.lit("/m/"), "k", F.lit("." + form)))
@@ -346,13 +356,15 @@ def _through_files(form: str, text, rows) -> Callable[[Catalog], DataFrame]:
     return query
 
 
-def _nations(c: Catalog) -> DataFrame:
-    e = c.entities.where(F.startswith("iri", F.lit(T + "nation/"))).select(F.col("iri").alias("child"), F.get("labels", F.lit(0)).alias("label"))
+def _classes(c: Catalog) -> DataFrame:
+    """child, parent, label: every named superclass."""
+    e = c.entities.where("kind = 'class'").select(F.col("iri").alias("child"), F.coalesce(F.get("labels", F.lit(0)), "short_name").alias("label"))
     return c.axioms.where("axiom_kind = 'sub_class_of' AND object NOT LIKE '% %'").select(F.col("subject").alias("child"), F.col("object").alias("parent")).join(e, "child")
 
 
 def _joined(c: Catalog, one, head: str, tail: str = "") -> DataFrame:
-    return _nations(c).select(F.regexp_extract("parent", "([0-9]+)$", 1).alias("k"), one.alias("t") if not callable(one) else one().alias("t")).groupBy("k").agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list("t")), "\n"), F.lit(tail)).alias("text"))
+    """A text for each last letter of a class."""
+    return _classes(c).select(F.right("child", F.lit(1)).alias("k"), one.alias("t") if not callable(one) else one().alias("t")).groupBy("k").agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list("t")), "\n"), F.lit(tail)).alias("text"))
 
 
 _TTL_HEAD = "@prefix owl: <http://www.w3.org/2002/07/owl#> .\n@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n"
@@ -360,29 +372,31 @@ _ttl = lambda: F.concat(F.lit("<"), "child", F.lit("> a owl:Class ; rdfs:label \
 _xml = lambda: F.concat(F.lit("<owl:Class rdf:about=\""), "child", F.lit("\"><rdfs:label>"), "label", F.lit("</rdfs:label><rdfs:subClassOf rdf:resource=\""), "parent", F.lit("\"/></owl:Class>"))
 _owx = lambda: F.concat(F.lit("<Declaration><Class IRI=\""), "child", F.lit("\"/></Declaration><SubClassOf><Class IRI=\""), "child", F.lit("\"/><Class IRI=\""), "parent", F.lit("\"/></SubClassOf>"))
 _json = lambda: F.concat(F.lit("{\"@id\": \""), "child", F.lit("\", \"@type\": \"http://www.w3.org/2002/07/owl#Class\", \"sub\": \""), "parent", F.lit("\"},"))
-_obo = lambda: F.concat(F.lit("[Term]\nid: N:"), F.regexp_extract("child", "([0-9]+)$", 1), F.lit("\nname: "), "label", F.lit("\nis_a: R:"), F.regexp_extract("parent", "([0-9]+)$", 1), F.lit(" ! x\n"))
+_ID = lambda c: F.regexp_replace(F.substring(c, F.lit(len(T) + 1), F.length(c)), "[^A-Za-z0-9]", "")
+_obo = lambda: F.concat(F.lit("[Term]\nid: N:"), _ID(F.col("child")), F.lit("\nname: "), "label", F.lit("\nis_a: R:"), _ID(F.col("parent")), F.lit(" ! x\n"))
 _SUB = lambda rows: rows.where("row = 'axiom' AND a = 'sub_class_of'").select(F.col("b").alias("child"), F.col("d").alias("parent"))
-_NATION = f"SELECT '{T}nation/' || CAST(n_nationkey AS VARCHAR) AS child, '{T}region/' || CAST(n_regionkey AS VARCHAR) AS parent FROM nation"
-define("s6_turtle", _through_files("ttl", lambda c: _joined(c, _ttl, _TTL_HEAD), _SUB), _NATION)
-define("s7_rdfxml", _through_files("rdf", lambda c: _joined(c, _xml, "<rdf:RDF xmlns:rdf=\"http://www.w3.org/1999/02/22-rdf-syntax-ns#\" xmlns:owl=\"http://www.w3.org/2002/07/owl#\" xmlns:rdfs=\"http://www.w3.org/2000/01/rdf-schema#\">", "</rdf:RDF>"), _SUB), _NATION)
-define("s9_jsonld", _through_files("jsonld", lambda c: _joined(c, _json, "{\"@context\": {\"sub\": {\"@id\": \"http://www.w3.org/2000/01/rdf-schema#subClassOf\", \"@type\": \"@id\"}}, \"@graph\": [", "{\"@id\": \"urn:x\"}]}"), _SUB), _NATION)
-define("s10_owlxml", _through_files("owx", lambda c: _joined(c, _owx, "<Ontology xmlns=\"http://www.w3.org/2002/07/owl#\">", "</Ontology>"), _SUB), _NATION)
-define("s11_s12_obo", _through_files("obo", lambda c: _joined(c, _obo, "ontology: m\n"), _SUB), "SELECT 'http://purl.obolibrary.org/obo/N_' || CAST(n_nationkey AS VARCHAR) AS child, 'http://purl.obolibrary.org/obo/R_' || CAST(n_regionkey AS VARCHAR) AS parent FROM nation")
-define("s13_prefixes", _through_files("ttl", lambda c: _joined(c, _ttl, _TTL_HEAD), lambda rows: rows.where("row = 'document'").select("path", F.explode(F.from_json("d", "map<string,string>")).alias("prefix", "iri")).select("prefix").groupBy("prefix").agg(F.count("*").alias("n"))), "SELECT prefix, count(DISTINCT n_regionkey) AS n FROM nation, (VALUES ('owl'), ('rdfs')) v(prefix) GROUP BY prefix")
-define("s14_error_recovery", _through_files("ttl", lambda c: _joined(c, _ttl, _TTL_HEAD, "\n<broken> <"), lambda rows: rows.groupBy("path").agg(F.count_if(F.col("row") == "error").alias("errors"), F.count_if((F.col("row") == "axiom")).alias("axioms")).select("errors", "axioms")), "SELECT CAST(1 AS BIGINT) AS errors, count(*) AS axioms FROM nation GROUP BY n_regionkey")
+_NAMED = "SELECT subject AS child, object AS parent FROM ax WHERE axiom_kind = 'sub_class_of' AND NOT contains(object, ' ')"
+define("s6_turtle", _through_files("ttl", lambda c: _joined(c, _ttl, _TTL_HEAD), _SUB), _NAMED)
+define("s7_rdfxml", _through_files("rdf", lambda c: _joined(c, _xml, "<rdf:RDF xmlns:rdf=\"http://www.w3.org/1999/02/22-rdf-syntax-ns#\" xmlns:owl=\"http://www.w3.org/2002/07/owl#\" xmlns:rdfs=\"http://www.w3.org/2000/01/rdf-schema#\">", "</rdf:RDF>"), _SUB), _NAMED)
+define("s9_jsonld", _through_files("jsonld", lambda c: _joined(c, _json, "{\"@context\": {\"sub\": {\"@id\": \"http://www.w3.org/2000/01/rdf-schema#subClassOf\", \"@type\": \"@id\"}}, \"@graph\": [", "{\"@id\": \"urn:x\"}]}"), _SUB), _NAMED)
+define("s10_owlxml", _through_files("owx", lambda c: _joined(c, _owx, "<Ontology xmlns=\"http://www.w3.org/2002/07/owl#\">", "</Ontology>"), _SUB), _NAMED)
+define("s11_s12_obo", _through_files("obo", lambda c: _joined(c, _obo, "ontology: m\n"), _SUB), f"SELECT 'http://purl.obolibrary.org/obo/N_' || regexp_replace(substr(child, {len(T) + 1}), '[^A-Za-z0-9]', '', 'g') AS child, 'http://purl.obolibrary.org/obo/R_' || regexp_replace(substr(parent, {len(T) + 1}), '[^A-Za-z0-9]', '', 'g') AS parent FROM ({_NAMED})")
+define("s13_prefixes", _through_files("ttl", lambda c: _joined(c, _ttl, _TTL_HEAD), lambda rows: rows.where("row = 'document'").select("path", F.explode(F.from_json("d", "map<string,string>")).alias("prefix", "iri")).select("prefix").groupBy("prefix").agg(F.count("*").alias("n"))), f"SELECT prefix, count(DISTINCT right(child, 1)) AS n FROM ({_NAMED}), (VALUES ('owl'), ('rdfs')) v(prefix) GROUP BY prefix")
+define("s14_error_recovery", _through_files("ttl", lambda c: _joined(c, _ttl, _TTL_HEAD, "\n<broken> <"), lambda rows: rows.groupBy("path").agg(F.count_if(F.col("row") == "error").alias("errors"), F.count_if((F.col("row") == "axiom")).alias("axioms")).select("errors", "axioms")), f"SELECT CAST(1 AS BIGINT) AS errors, count(*) AS axioms FROM ({_NAMED}) GROUP BY right(child, 1)")
 define("s4_describe", lambda c: scan.described(c.spark.createDataFrame([], "path string, content binary, modified_time bigint, size bigint"), c.documents.select("path", F.col("base_iri").alias("text"))).select("path", "format", "content_hash", "doc_order"), "SELECT path, 'turtle' AS format, sha256(base_iri) AS content_hash, row_number() OVER (ORDER BY path) - 1 AS doc_order FROM doc")
-define("k7_turtle", lambda c: sinks.to_turtle(c.quads.where(F.startswith("s", F.lit(T + "region/")))).select(F.length("value").cast("bigint").alias("n")), f"SELECT CAST(length('<{T}region/' || CAST(r_regionkey AS VARCHAR) || '> <{_RDF}type> <http://www.w3.org/2002/07/owl#Class> ;' || chr(10) || '    <{_RDFS}label> \"' || r_name || '\" ;' || chr(10) || '    <{_RDFS}subClassOf> <{T}Place> .') AS BIGINT) AS n FROM region")
-define("k5_pages", lambda c: sinks.pages(c.with_(axioms=c.axioms.where("ontology_id LIKE '%core'"), entities=c.entities.where("ontology_id LIKE '%core'"))).where("name = 'index.md'").select("content"), "SELECT '# Index' || chr(10) || chr(10) || '- class: ' || CAST(count(*) AS VARCHAR) || chr(10) AS content FROM ent WHERE ontology_id LIKE '%core'")
+_TERM = f"CASE WHEN o_kind = 'iri' THEN '<' || o || '>' WHEN dt LIKE '%#string' THEN '\"' || o || '\"' ELSE '\"' || o || '\"^^<' || dt || '>' END"
+define("k7_turtle", lambda c: sinks.to_turtle(c.quads).select(F.length("value").cast("bigint").alias("n")), f"SELECT CAST(length('<' || s || '> ' || string_agg(line, ' ;' || chr(10) || '    ' ORDER BY line) || ' .') AS BIGINT) AS n FROM (SELECT s, '<' || p || '> ' || string_agg(t, ' , ' ORDER BY t) AS line FROM (SELECT DISTINCT s, p, {_TERM} AS t FROM q) GROUP BY s, p) GROUP BY s")
+define("k5_pages", lambda c: sinks.pages(c).where("name IN ('index.md', 'properties.md')").select("name", "content"), f"SELECT 'index.md' AS name, '# Index' || chr(10) || chr(10) || string_agg('- ' || kind || ': ' || CAST(n AS VARCHAR), chr(10) ORDER BY kind) || chr(10) AS content FROM (SELECT kind, count(*) AS n FROM ent GROUP BY kind) UNION ALL SELECT 'properties.md', '# Properties' || chr(10) || chr(10) || string_agg('- ' || label || ' (' || kind || ')', chr(10) ORDER BY {_SHORT.format('iri')} || ' ' || iri) || chr(10) FROM ent WHERE kind LIKE '%property'")
 define("st2_incremental_states", lambda c: incremental.stats(incremental.reuse_plan(c.documents.select("path", F.col("base_iri").alias("content_hash")), c.documents.where("doc_order < 3").select("path", F.when(F.col("doc_order") == 0, "x").otherwise(F.col("base_iri")).alias("content_hash")))), "SELECT 'reused' AS state, 2 AS n UNION ALL SELECT 'reparsed', 2")
 define("st_latest_state", lambda spark, sf: reindex.latest_state(spark.read.parquet(f"{sf}/events.parquet")).select("user_id", "changes", "event_id", "event_type"), "SELECT user_id, count(*) AS changes, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id", tables=True)
-define("st_windowed_changes", lambda spark, sf: reindex.windowed_changes(spark.read.parquet(f"{sf}/events.parquet")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n"), "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL", tables=True)
+define("st_windowed_changes", lambda spark, sf: reindex.windowed_changes(spark.read.parquet(f"{sf}/events.parquet")).select(F.substring(X.iso_utc(F.unix_seconds("start")), 1, 10).alias("day"), "event_type", "n"), "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL", tables=True)
 
 # -- refactoring
 
 define("e2_rename", lambda c: refactor.rename(c, T + "region/1", T + "zone/1").axioms.where(f"object LIKE '%zone/1'").select("subject", "object"), f"SELECT subject, replace(object, '{T}region/1', '{T}zone/1') AS object FROM ax WHERE object LIKE '%region/1'")
 define("e2_migrate", lambda c: refactor.migrate_namespace(c, T + "part/", "http://new/p/").entities.where("iri LIKE 'http://new/%'").select("iri", "short_name"), f"SELECT 'http://new/p/' || substr(iri, {len(T) + 6}) AS iri, substr(iri, {len(T) + 6}) AS short_name FROM ent WHERE starts_with(iri, '{T}part/')")
 define("e2_merge", lambda c: refactor.merge(c, T + "region/0", T + "region/1").axioms.where(f"object = '{T}region/0' AND axiom_kind = 'sub_class_of'").select("subject"), f"SELECT DISTINCT subject FROM ax WHERE axiom_kind = 'sub_class_of' AND object IN ('{T}region/0', '{T}region/1')")
-define("e2_extract_module", lambda c: refactor.extract_module(c.with_(axioms=c.axioms.where("axiom_kind IN ('domain', 'range')")), c.spark.createDataFrame([(T + "placedBy",)], "iri string")).entities.select("iri"), f"SELECT iri FROM ent WHERE iri IN ('{T}placedBy', '{T}Party', '{T}suppliedBy', '{T}Product', '{T}contains')")
+define("e2_extract_module", lambda c: refactor.extract_module(c, c.spark.createDataFrame([(T + "placedBy",)], "iri string")).entities.select("iri"), f"{_SIG}, w(iri) AS (SELECT '{T}placedBy' UNION SELECT b.x FROM w JOIN sig a ON a.x = w.iri JOIN sig b ON b.id = a.id) SELECT iri FROM ent WHERE iri IN (SELECT iri FROM w)")
 define("e3_merge_ontologies", lambda c: refactor.merge_ontologies(c, [T + "onto/parts", T + "onto/parties"], T + "onto/both").imports.select("ontology_id", "import_iri"), f"SELECT DISTINCT CASE WHEN ontology_id LIKE '%part%' THEN '{T}onto/both' ELSE ontology_id END AS ontology_id, import_iri FROM imp WHERE import_iri NOT IN ('{T}onto/parts', '{T}onto/parties')")
 define("e3_flatten", lambda c: refactor.flatten_imports(c, T + "onto/parties")[0].entities.groupBy("ontology_id", "kind").agg(F.count("*").alias("n")), f"SELECT '{T}onto/parties' AS ontology_id, kind, count(*) AS n FROM ent WHERE ontology_id IN ('{T}onto/parties', '{T}onto/core') GROUP BY kind")
 define("a11_plan_metrics", lambda c: refactor.metrics(refactor.plan(c, refactor.move_entity(c, T + "nation/5", T + "onto/parts"))).where("part = 'axioms'"), f"SELECT 'axioms' AS part, op, count(*) AS n FROM ax, (VALUES ('add'), ('remove')) v(op) WHERE subject = '{T}nation/5' GROUP BY op")

@@ -51,8 +51,11 @@ def _unescaped(c: Column) -> Column:
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Quads of a column ``value`` of lines (and doc_id), and ok: false for lines that are neither quads, comments nor blank."""
-    part = lambda k: F.regexp_extract("value", _LINE, k)
     rows = lines.where(~F.col("value").rlike(r"^\s*(?:#.*)?$"))
+    # One match: its groups, which can't hold a line end, in lines of their own.
+    groups = F.split(F.regexp_replace("value", _LINE, "\n".join(f"${k}" for k in range(1, 11))), "\n", -1)
+    rows = rows.select("*", groups.alias("groups"))
+    part = lambda k: F.when(F.size("groups") == 10, F.get("groups", F.lit(k - 1))).otherwise("")
     g = F.coalesce(F.nullif(part(9), F.lit("")), F.nullif(part(10), F.lit("")))
     literal = (part(4) == "") & (part(5) == "") & F.col("value").rlike(r'^\S+\s+\S+\s+"')
     return rows.select(
@@ -65,7 +68,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         F.when(literal & (part(7) != ""), F.lower(part(7))).alias("o_lang"),
         g.alias("g"),
         "doc_id",
-        F.col("value").rlike(_LINE).alias("ok"),
+        (F.size("groups") == 10).alias("ok"),
     )
 
 

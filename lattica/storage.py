@@ -2,19 +2,72 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Tables of a growing frame that are read side by side before they are written as one.
+MOST_PARTS = 16
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """The same rows, read again from Parquet; loops call it once a round."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where it is unset and all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/lattica-{name}-{uuid.uuid4().hex[:12]}"
+    return base.rstrip("/")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """The same rows, read again from Parquet; loops call it once a round. The table is deleted at exit."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lattica-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(_delete, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the table behind a frame of ``cut`` that nothing reads any more."""
+    if path := getattr(df, "_written", None):
+        _delete(df.sparkSession, path)
+
+
+class Grown:
+    """Rows found in rounds. Each round's table stays as it was written; only now and then are they written as one, so a
+    fixpoint writes about what it finds, not all of it each round."""
+
+    def __init__(self, first: DataFrame, name: str):
+        self.name, self.parts = name, [first]
+
+    @property
+    def frame(self) -> DataFrame:
+        return reduce(DataFrame.union, self.parts)
+
+    @property
+    def before(self) -> DataFrame:
+        """Without the last round's rows."""
+        return reduce(DataFrame.union, self.parts[:-1])
+
+    def add(self, part: DataFrame) -> None:
+        """part: a frame of ``cut``, still to be read by the next round."""
+        if len(self.parts) >= MOST_PARTS:
+            old, self.parts = self.parts, [cut(self.frame, self.name)]
+            for x in old[1:]:
+                forget(x)
+        self.parts.append(part)

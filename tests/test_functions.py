@@ -58,19 +58,36 @@ def test_restriction_detector(spark):
 
 def test_links_do_not_overlap(spark):
     got = value(spark, X.links(F.lit("OMIMPS:12 OMIM:34 doi:10.1234/ab.c Wikipedia:X_(y)")))
-    assert [(x.kind, x.start) for x in got] == [("omimps", 0), ("omim", 10), ("doi", 18), ("wikipedia", 35)]
+    assert [(x.kind, x.start) for x in got] == [("OMIMPS", 0), ("OMIM", 10), ("DOI", 18), ("Wikipedia", 35)]
+    got = value(spark, X.links(F.lit("orcid: 0000-1 ISBN:0123456789 Orphanet:7 WikipediaVersioned:A&oldid=3 PMID: 5")))
+    assert [x.url for x in got] == ["https://orcid.org/0000-1", "http://www.isbnsearch.org/isbn/0123456789", "https://www.orpha.net/consor/cgi-bin/OC_Exp.php?Expert=7", "https://wikipedia.org/wiki/index.php?title=A&oldid=3", "http://www.ncbi.nlm.nih.gov/pubmed/5"]
 
 
 def test_texts(spark):
     assert value(spark, X.strip_turtle(F.lit('<u#v> a "x # \\" y" . # c\n\'k\''))) == "<u#v> a  . \n"
-    assert value(spark, X.bounded(F.lit("see ex:ab."), F.lit("ex:ab"))) and not value(spark, X.bounded(F.lit("ex:abc"), F.lit("ex:ab")))
+    assert value(spark, X.bounded(F.lit("see (ex:ab) ."), F.lit("ex:ab"))) and not any(value(spark, X.bounded(F.lit(t), F.lit("ex:ab"))) for t in ("ex:abc", "ex:ab.c", "see ex:ab.", "x:ex:ab", "#ex:ab"))
     at = value(spark, X.first_location(F.lit("a\n  :bc :b"), F.lit(":b")))
-    assert (at.line, at.column) == (2, 2)
+    assert (at.line, at.column) == (2, 6)
+    at = value(spark, X.first_location(F.lit("xx:ab x:a"), F.lit("x:a")))
+    assert (at.line, at.column) == (1, 6)
+    at = value(spark, X.first_location(F.lit("q:b\n p:b q:b"), F.lit("p:b"), F.lit("q:b")))
+    assert (at.line, at.column) == (1, 0) and value(spark, X.first_location(F.lit("ab"), F.lit("a"))) is None
     assert value(spark, X.abbreviate(F.lit("abcdefgh"), 6)) == "abc..."
-    assert value(spark, X.iso_utc(F.lit(0))) == "1970-01-01T00:00:00Z"
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    for other in ("UTC", "Asia/Tokyo", "Europe/Berlin"):
+        spark.conf.set("spark.sql.session.timeZone", other)
+        # 01:30 UTC on 30 March 2025 has no local time in Berlin's change of clocks.
+        assert [value(spark, X.iso_utc(F.lit(s))) for s in (0, 1743298200)] == ["1970-01-01T00:00:00Z", "2025-03-30T01:30:00Z"]
+    spark.conf.set("spark.sql.session.timeZone", zone)
     assert value(spark, X.obo_id_to_iri(F.lit("GO:1"))) == "http://purl.obolibrary.org/obo/GO_1"
 
 
+@pytest.mark.parametrize("text, complex_", [("http://x/some thing", False), ("<http://x/a and b>", False), ("http://x/a", False), ("ex:a", False), ("p some http://x/a", True), ("http://x/p only http://x/a", True), ("not ex:a", True), ("a and not b", True), ("(ex:a)", True), ("", False), ("p exactly 1 ex:a", True)])
+def test_complex_expressions(spark, text, complex_):
+    # Expressions hold whole IRIs: :// makes a name only of a text without white space.
+    assert value(spark, X.is_complex_expression(F.lit(text))) is (complex_ if text != "http://x/some thing" else False)
+
+
 EXPRESSIONS = ["hasPet some (Dog or Cat)", "p min 2 A and not (q only {a, b})", "p exactly 1", "p Self and r value \"x\"@en", "inverse p some A", "not A or B and C", "age some xsd:integer[>= 18, < 65]", "(A or B) and C", "p only (not A)"]
 
 
