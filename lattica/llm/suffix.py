@@ -45,11 +45,9 @@ _BASE = _rng.integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _letters(text: str, unit: int) -> np.ndarray:
-    """The bytes of a text, or the codes of its words (between ASCII white space): sums of byte codes times powers of a base."""
-    raw = np.frombuffer(text.encode(), np.uint8)
-    if unit == BYTES:
-        return raw
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the words (between ASCII white space) of UTF-8 bytes, sums of byte codes times powers of a base; first
+    byte and one past the last of each."""
     inside = np.concatenate([[False], ~_BLANK[raw], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     first, end = edge[::2], edge[1::2]
@@ -59,7 +57,7 @@ def _letters(text: str, unit: int) -> np.ndarray:
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[0][raw] * _powers[0][: len(raw)], dtype=np.uint64)])
     code = (sums[end] - sums[first]) * _powers[1][first]
     code ^= code >> np.uint64(29)
-    return code * _MIX
+    return code * _MIX, first, end
 
 
 _BLANK = np.zeros(256, bool)
@@ -171,9 +169,9 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
 
 
 def repeated_starts(pieces: list[bytes], starts: np.ndarray, length: int = LENGTH, unit: int = BYTES) -> np.ndarray:
-    """pieces side by side; piece k has starts[k] strings that count. Marks, of all their letters, where a string begins that occurs again."""
-    x = np.frombuffer(b"".join(pieces), _KIND[unit])
-    size = np.array([len(p) for p in pieces]) // x.itemsize
+    """pieces side by side; piece k has starts[k] strings. Marks, of all their letters, where a string begins that occurs again."""
+    x = _letters(b"".join(pieces) if unit == BYTES else b"\n".join(pieces), unit)
+    size = starts + length - 1
     begin = np.cumsum(size) - size
     valid = np.zeros(len(x), bool)
     valid[np.repeat(begin - (np.cumsum(starts) - starts), starts) + np.arange(starts.sum())] = True
@@ -189,7 +187,9 @@ def repeated_starts(pieces: list[bytes], starts: np.ndarray, length: int = LENGT
     return out
 
 
-_KIND = {BYTES: np.uint8, WORDS: np.uint64}
+def _letters(piece: bytes, unit: int) -> np.ndarray:
+    x = np.frombuffer(piece, np.uint8)
+    return x if unit == BYTES else _words(x)[0]
 
 
 def _runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +219,8 @@ def _described(docs: DataFrame, length: int, passage: int) -> DataFrame:
                 batch = whole.slice(i, 2_000)
                 n, words, sha, offsets, parts = [], [], [], [0], []
                 for text in batch.column(2).to_pylist():
-                    raw, codes = _letters(text, BYTES), _letters(text, WORDS)
+                    raw = np.frombuffer(text.encode(), np.uint8)
+                    codes = _words(raw)[0]
                     n.append(len(raw))
                     words.append(len(codes))
                     sha.append(hashlib.sha256(raw).hexdigest())
@@ -250,14 +251,16 @@ def _pieces(texts: DataFrame, lengths: tuple[int, int], hot: bool) -> DataFrame:
                 batch = whole.slice(i, 500).to_pydict()
                 out: dict[str, list] = {"class": [], "unit": [], "fp": [], "start": [], "starts": [], "piece": []}
                 for key, text, found in zip(batch["class"], batch["text"], batch["found"]):
-                    letters: dict[int, np.ndarray] = {}
+                    raw = text.encode()
+                    first = end = None
                     for a in found:
                         if (a["members"] > HOT) is hot:
-                            unit = a["unit"]
-                            if unit not in letters:
-                                letters[unit] = _letters(text, unit)
-                            piece = letters[unit][a["start"] : a["start"] + a["starts"] + lengths[unit] - 1]
-                            for k, v in zip(out, (key, unit, a["fp"], a["start"], a["starts"], piece.tobytes())):
+                            unit, i, j = a["unit"], a["start"], a["start"] + a["starts"] + lengths[a["unit"]] - 1
+                            if unit == WORDS:
+                                if first is None:
+                                    _, first, end = _words(np.frombuffer(raw, np.uint8))
+                                i, j = int(first[i]), int(end[j - 1])
+                            for k, v in zip(out, (key, unit, a["fp"], a["start"], a["starts"], raw[i:j])):
                                 out[k].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("class", pa.binary()), *[(c, pa.int64()) for c in ("unit", "fp", "start", "starts")], ("piece", pa.binary())]))
 
@@ -274,7 +277,7 @@ def _sorted_runs(pieces: DataFrame, lengths: tuple[int, int]) -> DataFrame:
     def shard(rows: list[tuple]) -> pa.RecordBatch:
         unit = rows[0][1]
         starts = np.array([r[4] for r in rows])
-        size = np.array([len(r[5]) for r in rows]) // _KIND[unit]().itemsize
+        size = starts + lengths[unit] - 1
         a, b = _runs(repeated_starts([r[5] for r in rows], starts, lengths[unit], unit))
         begin = np.cumsum(size) - size
         k = np.searchsorted(begin, a, side="right") - 1
@@ -305,7 +308,7 @@ def _counted_runs(pieces: DataFrame, lengths: tuple[int, int]) -> DataFrame:
         for whole in batches:
             for row in zip(*whole.to_pydict().values()):
                 unit, n = row[1], row[4]
-                x = np.frombuffer(row[5], _KIND[unit])
+                x = _letters(row[5], unit)
                 yield pa.RecordBatch.from_pydict({"class": pa.array([row[0]] * n, pa.binary()), "unit": pa.array(np.full(n, unit), pa.int64()), "a": pa.array(np.arange(row[3], row[3] + n)), "h": pa.array(rolling(x, lengths[unit], 0).view(np.int64)), "g": pa.array(rolling(x, lengths[unit], 1).view(np.int64))})
 
     strings = pieces.mapInArrow(run, "class binary, unit bigint, a bigint, h bigint, g bigint")
