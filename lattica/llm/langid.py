@@ -7,7 +7,8 @@ text has the label of the greatest sum, and the score is that sum over the numbe
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; ties go to the label first in order;
 without training rows every text is ``und``; repeated rows give repeated results; lang, source and doc_id are never
-inputs of a prediction. Training takes about ``DOCS_PER_LABEL`` whole documents of each label, chosen by hash.
+inputs of a prediction. Training takes about ``DOCS_PER_LABEL`` different whole documents of each label, chosen by hash
+of doc_id and text; FEATURES and LEXICON bound what is learned from them. Texts are labelled whole.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from lattica.llm.common import fold
 
 #: Documents of each label that train, features and lexicon entries kept, words in a training sequence, passes, penalty.
 DOCS_PER_LABEL, FEATURES, LEXICON, SEQUENCE, EPOCHS, PENALTY = 400, 60_000, 5_000, 64, 3, 1e-6
-#: Words whose scores a worker keeps, and documents labelled at once.
-CACHE, AT_ONCE = 600_000, 2_000
+#: Words whose scores a worker keeps, and characters labelled at once (or one text).
+CACHE, AT_ONCE = 600_000, 4_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -35,7 +36,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def features_of(word: str, lexicon: frozenset[str] | set[str]) -> list[str]:
-    n, padded = len(word), f"^{word[:40]}$"
+    n, padded = len(word), f"^{word}$"
     out = ["<" + word[:k] for k in (1, 2, 3) if k <= n]
     out += [">" + word[-k:] for k in (1, 2, 3) if k <= n]
     out += [padded[i : i + 2] for i in range(len(padded) - 1)]
@@ -231,9 +232,9 @@ def trained(docs: DataFrame, eligible: Column) -> Field:
     if not counts:
         return Field([])
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(DOCS_PER_LABEL / n)) for lang, n in sorted(counts.items())])
-    draw = F.xxhash64("doc_id").bitwiseAND((1 << 24) - 1) / float(1 << 24)
-    sample = rows.where(draw < share).select("doc_id", "lang", "text").collect()
-    sample.sort(key=lambda r: (str(r.doc_id), r.lang, r.text))
+    draw = F.xxhash64("doc_id", "text").bitwiseAND((1 << 24) - 1) / float(1 << 24)
+    sample = rows.where(draw < share).select("lang", "text").distinct().collect()
+    sample.sort(key=lambda r: (r.lang, r.text))
     return train([r.text for r in sample], [r.lang for r in sample])
 
 
@@ -244,8 +245,13 @@ def predicted(docs: DataFrame, field: Field) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(field)
         for whole in batches:
-            for i in range(0, whole.num_rows, AT_ONCE):
-                batch = whole.slice(i, AT_ONCE)
+            ends = np.cumsum([len(t or "") for t in whole.column(1).to_pylist()])
+            i = 0
+            while i < whole.num_rows:
+                done = int(ends[i - 1]) if i else 0
+                n = max(1, int(np.searchsorted(ends, done + AT_ONCE, side="right")) - i)
+                batch = whole.slice(i, n)
+                i += n
                 labels, scores = labeller.label(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "lang_pred": pa.array(labels, pa.string()), "score": pa.array(scores, pa.float64())})
 

@@ -149,6 +149,42 @@ def test_lm_scores_are_sums_of_conditionals(spark):
         assert abs(total - want) < 1e-2 * max(1, abs(want) / 100)
 
 
+def test_word_probabilities_equal_all_label_sequences():
+    import itertools
+
+    rng = np.random.default_rng(2)
+    field = langid.train(["the cat and the dog ran home"] * 4 + ["der hund und die katze"] * 4, ["en"] * 4 + ["de"] * 4)
+    field.labels.append("xx")
+    field.weights = np.concatenate([field.weights, rng.normal(size=(len(field.weights), 1)) * 0.1], 1)
+    field.transitions = rng.normal(size=(3, 3))
+    texts = ["the hund", "cat", None, "12 !", "und the katze dog der", "cat " + "x" * 300]
+    for text, got in zip(texts, langid.Labeller(field).word_probabilities(texts)):
+        words = langid.words_of(text)
+        assert len(got) == len(words)
+        if not words:
+            continue
+        e, want = field.scores(words), np.zeros((len(words), 3))
+        for path in itertools.product(range(3), repeat=len(words)):
+            p = np.exp(sum(e[i, k] for i, k in enumerate(path)) + sum(field.transitions[a, b] for a, b in zip(path, path[1:])))
+            for i, k in enumerate(path):
+                want[i, k] += p
+        assert np.abs(got - want / want.sum(1, keepdims=True)).max() < 1e-4
+
+
+def test_long_words_have_features_to_their_end():
+    word = "a" * 60 + "qzq"
+    assert "zq$" in langid.features_of(word, set()) and langid.features_of(word, set()).count("zq") == 1
+
+
+def test_labels_do_not_depend_on_how_texts_are_batched(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    field = langid.trained(docs, F.lit(True))
+    rows = lambda: sorted((r.doc_id, r.lang_pred, round(r.score, 4)) for r in langid.predicted(docs, field).collect())
+    once = rows()
+    monkeypatch.setattr(langid, "AT_ONCE", 3_000)
+    assert rows() == once
+
+
 def test_lm_training_lowers_the_loss_by_its_gradient():
     """learn() against numerical gradients: a step from a fresh network goes against the gradient of the loss."""
     rng = np.random.default_rng(1)
