@@ -100,11 +100,53 @@ def test_all_planted_items_are_found(spark):
 def test_licences(spark):
     rows = [(1, "Some prose.\nLicensed under the Apache License, Version 2.0.\nMore."), (2, "Released under the MIT License. And text"), (3, "She lost her driving license on the way home."), (4, None), (5, ""), (6, "Licensed under CC BY-NC 4.0."), (7, "ALL RIGHTS RESERVED"), (8, "the word rights alone"), (9, ("x " * 50_000) + "\nThis work is licensed under the GNU General Public License, version 3."), (1, "Some prose.\nLicensed under the Apache License, Version 2.0.\nMore."), (None, "Released under the BSD license")]
     docs = spark.createDataFrame([(i, t, "f") for i, t in rows], "doc_id long, text string, family string")
-    got = sorted((str(r.doc_id), r.family) for r in licenses.scanned(docs).collect())
+    rows = licenses.scanned(docs).collect()
+    assert sorted({r.doc_id for r in rows if r.family == "unknown"}) == [3, 8] and all(0 < r.probability <= 1 and r.similarity == 0 for r in rows if r.family == "unknown")
+    got = sorted((str(r.doc_id), r.family) for r in rows if r.family != "unknown")
     assert got == [("1", "apache"), ("1", "apache"), ("2", "mit"), ("6", "cc-by-nc"), ("7", "proprietary"), ("9", "gpl"), ("None", "bsd")]
     assert licenses.scanned(docs.where("false")).collect() == []
 
 
+def test_licences_wrapped_over_lines(spark):
+    bsd = "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n *\n * Other words.\n */\nint main() {}\n"
+    lgpl = "# This library is free software; you can redistribute it\n# and/or modify it under the terms of the GNU Lesser\n# General Public License as published\n"
+    gpl = "This program is free software: you can redistribute it and/or\nmodify it under the terms of the GNU General Public License as\npublished by the Free Software Foundation.\n\nShe lost her driving license.\n"
+    docs = spark.createDataFrame([(1, bsd), (2, lgpl), (3, gpl), (4, "no word of it " * 20_000)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.family, r.n_paragraphs) for r in licenses.scanned(docs).collect())
+    assert got == [(1, "bsd", 1), (2, "lgpl", 1), (3, "gpl", 1), (3, "unknown", 1)]
+
+
+def test_licence_probabilities_equal_the_model_by_hand(spark):
+    """Every part's n-grams, sums, temperature and containment, computed in plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    families, weights, bias, t = licenses.model()
+    want = {}
+    for d in docs.collect():
+        low = (d.text or "").lower()
+        for k, paragraph in enumerate(re.split(r"\n\s*\n", low)):
+            flat = re.sub(r"\s+", " ", paragraph)
+            found, p_unknown = {}, []
+            for part in dict.fromkeys(re.split(r"(?<=[.!?]) ", flat) + re.split(r"\n|(?<=[.!?])\s+", paragraph)):
+                if not any(x in part for x in licenses.RAW) or not (words := re.findall(r"[^\W_]+", part)):
+                    continue
+                z = np.array(bias)
+                for g in licenses.grams_of(part):
+                    z = z + np.array(weights.get(g, [0] * len(families)))
+                p = np.exp((z - z.max()) / t)
+                p /= p.sum()
+                p_unknown.append(p[-1])
+                best = families[int(p.argmax())]
+                like = max((len(set(x.split()) & set(words)) / len(set(x.split())) for x in licenses.TEMPLATES.get(best, [])), default=0)
+                if best != "unknown" and p.max() >= licenses.MINIMUM and like >= licenses.CONFIRMED:
+                    found[best] = max(found.get(best, 0), p.max())
+            for f, p in (found or ({"unknown": max(p_unknown)} if p_unknown else {})).items():
+                n, most = want.get((d.doc_id, f), (0, 0))
+                want[d.doc_id, f] = n + 1, max(most, p)
+    got = {(r.doc_id, r.family): (r.n_paragraphs, r.probability) for r in licenses.scanned(docs).collect()}
+    assert got.keys() == want.keys() and len(got) > 20
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-3 for k in got)
+
+
 def test_pipeline_applies_every_stage(spark):
     import corpus_pipeline
 
