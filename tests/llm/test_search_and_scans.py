@@ -87,6 +87,65 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs, items.where("false")).collect() == []
 
 
+def test_decontamination_of_values_with_more_words(spark):
+    item = "On the first day Anna drove 5 km from Rome to the old harbour and met the man whom Bob had seen there in 1999 when he was still at sea with his two sons and no money"
+    longer = item.replace("Anna", "Mary Jane").replace("Rome", "New York").replace("5 km", "17km").replace("1999", "2003").replace("Bob", "Uncle Tom")
+    inserted = item.replace("the old harbour", "the very old and quite famous harbour").replace("had seen", "had once or twice seen")
+    left_out = item.replace("the first ", "").replace("the man whom ", "")
+    mixed = item.replace("Anna", "Carla").replace("Bob", "Anna") + " and Anna drove 5 km from Rome"
+    form = "On a bad day Carla drove 9 km from Oslo to her new office and read the book that Pia had sent her in 1987 when she was far from home with a friend and two dogs"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, longer), (2, "so: " + inserted), (3, left_out), (4, form), (5, mixed), (6, ("a b c d e f g h " * 9_000) + inserted)], "doc_id long, text string")
+    got = {r.doc_id: r.kind for r in decontam.contaminated(docs, items).collect()}
+    assert got == {1: "re-parameterised", 2: "verbatim", 3: "verbatim", 5: "re-parameterised", 6: "verbatim"}
+
+
+def test_lays_and_slots_equal_brute_force(spark):
+    """Every shift of every pair, laid word by word in plain Python, for the pairs that share a window."""
+    import random
+
+    rng = random.Random(6)
+    words = ["red", "sun", "3", "17", "Anna", "Bob", "tree", "of", "in", "stone", "walks", "5 km", "Old Tom"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, "x " + text(rng.randint(8, 30))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        base = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(base))
+            base[k : k + rng.randint(0, 1)] = text(rng.randint(0, 2)).split()
+        docs.append((i, text(rng.randint(0, 9)) + " " + " ".join(base) + " " + text(5)))
+    frame = lambda rows, c: spark.createDataFrame(rows, f"{c} long, text string")
+    read = lambda rows, c: {r[0]: (r.raw, r.words) for r in frame(rows, c).select(c, F.split(decontam.spaced(F.col("text")), " ").alias("raw"), decontam.template(decontam.spaced(F.col("text"))).alias("words")).collect()}
+
+    def clean(w):
+        w = re.sub(r"^[^\w]+|[^\w]+$", "", w)
+        return re.match(r"[0-9]+", w).group() if w[:1].isdigit() else w.split(decontam.JOINT)[-1]
+
+    want = set()
+    for i, (raw_i, wi) in read(items, "item_id").items():
+        for d, (raw, wd) in read(docs, "doc_id").items():
+            if len(wi) < 8:
+                continue
+            shifts = {a - b for a in range(0, len(wd) - 5, 3) for b in range(len(wi) - 5) if wd[a : a + 6] == wi[b : b + 6] and sum(not w.startswith("<") for w in wi[b : b + 6]) >= 3}
+            lays = {s: [p for p in range(len(wi)) if 0 <= p + s < len(wd) and wd[p + s] == wi[p]] for s in shifts}
+
+            def judge(pairs, n):
+                slots = {(clean(raw_i[p]), clean(raw[q])) for p, q in pairs if "<" in wi[p]}
+                return n * 100 / len(wi), len(slots) == len({a for a, _ in slots}), all(a == b for a, b in slots)
+
+            ranked = max(((*judge([(p, p + s) for p in at], len(at)), s) for s, at in lays.items()), default=None)
+            if ranked is None:
+                continue
+            chain = {(p, p + s) for s, at in lays.items() if abs(s - ranked[3]) * 2 <= len(wi) for p in at if any(set(range(k, k + 6)) <= set(at) for k in range(p - 5, p + 1))}
+            for c, ok, same in (ranked[:3], judge(chain, min(len({p for p, _ in chain}), len({q for _, q in chain})))):
+                if c >= 50 and ok:
+                    want.add((d, i, round(c, 2), "verbatim" if same else "re-parameterised"))
+                    break
+    got = {(r.doc_id, r.item_id, r.coverage, r.kind) for r in decontam.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == want and len(want) > 30 and len({k for *_, k in want}) == 2
+
+
 def test_all_planted_items_are_found(spark):
     sf = "/root/testdata/sf0.01"
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
