@@ -9,6 +9,32 @@ from pyspark.sql import functions as F
 from lattica.llm import decontam, licenses, pii, topk
 
 
+def test_blocks_hold_like_queries(monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 10)
+    table, most = topk._blocks([(1, 4), (2, 5), (3, 3), (7, 25), (9, 1)])
+    assert table == [(1, 0, 1), (2, 0, 1), (3, 1, 1), (7, 2, 3), (9, 5, 1)] and most == [2, 3, 7, 7, 7, 9]
+    assert topk._blocks([]) == ([], [])
+
+
+def test_cells_of_one_common_vector_and_of_pruned_lengths(spark, monkeypatch):
+    for k, v in (("BUCKET", 16), ("BLOCK", 8), ("LONGEST", 30), ("AT_ONCE", 3)):
+        monkeypatch.setattr(topk, k, v)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 8)) * np.exp(rng.normal(size=(900, 1)) * 2)
+    x[300:600] = x[300]
+    df = spark.createDataFrame([(i % 880, [float(e) for e in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id % 20 = 0")).collect())
+    v, ids, want = np.floor(x * 1024).astype(np.int64), np.arange(900) % 880, []
+    for q in sorted(set(ids[ids % 20 == 0].tolist())):
+        best = {}
+        for row in np.flatnonzero(ids == q):
+            for i, score in zip(ids.tolist(), (v @ v[row]).tolist()):
+                if i != q:
+                    best[i] = max(best.get(i, score), score)
+        want += [(q, k + 1, i, s) for k, (s, i) in enumerate(sorted(((-s, i) for i, s in best.items()))[:10])]
+    assert got == [(q, k, i, -s) for q, k, i, s in sorted(want)]
+
+
 @pytest.mark.parametrize("bucket, block, longest", [(2048, 2048, 2048), (7, 3, 12), (5, 2, 3)])
 def test_top_k_equals_brute_force(spark, monkeypatch, bucket, block, longest):
     for k, v in (("BUCKET", bucket), ("BLOCK", block), ("LONGEST", longest)):
