@@ -28,6 +28,8 @@ from lattica.llm.common import fold, written
 FEATURES, WIDTH, RIDGE, BINS = 192, 3.0, 1e-4, 512
 #: Partitions that sum normal equations: what the driver adds up is bounded by this and FEATURES.
 SUMMING = 16
+#: Ids of labelled rows that may be broadcast: 16 MB.
+BROADCAST = 2_000_000
 
 _CLASS = np.full(256, 6)
 for _i, _of in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\x0b\x0c", "\n", ".,;:'-\"()")):
@@ -165,9 +167,12 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, with all their columns, whose predicted label is 1; texts are scored where they are read, without a join."""
-    stats = written(with_statistics(docs), "quality-stats")
-    model = fit(stats, labels.where(fold(F.col("doc_id"), 3) != 1))
+    """The documents, with all their columns, whose predicted label is 1; texts are scored where they are read, without a
+    join, and only labelled ones are read for the training."""
+    learnt = labels.where(fold(F.col("doc_id"), 3) != 1)
+    ids = written(learnt.select("doc_id").distinct(), "quality-ids")
+    labelled = docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST else docs
+    model = fit(with_statistics(labelled), learnt)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

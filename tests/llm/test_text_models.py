@@ -185,6 +185,36 @@ def test_labels_do_not_depend_on_how_texts_are_batched(spark, monkeypatch):
     assert rows() == once
 
 
+def test_isotonic_equals_the_minimax_of_means():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 40):
+        x, y, w = np.sort(rng.normal(size=n)), rng.integers(0, 4, n) / 3, rng.integers(1, 5, n).astype(float)
+        mean = lambda a, b: (y[a : b + 1] * w[a : b + 1]).sum() / w[a : b + 1].sum()
+        want = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        at, level = quality.isotonic(x, y, w)
+        assert np.all(np.diff(at) > 0) and np.all(np.diff(level) > 0)
+        assert np.allclose([level[np.abs(level - v).argmin()] for v in want], want) and len(level) == len({round(v, 9) for v in want})
+
+
+def test_ridge_equals_the_solution_of_all_rows_at_once(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(quality.with_statistics(docs), labels)
+    rows = docs.join(labels, "doc_id").select("text", "label").collect()
+    x, y = np.array([quality.statistics(r.text) for r in rows]), np.array([float(r.label) for r in rows])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.sd, np.maximum(x.std(0), 1e-6))
+    z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-6), -6, 6)
+    f = np.hstack([np.sqrt(2 / quality.FEATURES) * np.cos(z @ model.frequencies + model.phases), np.ones((len(z), 1))])
+    # Ridge as least squares over the rows and a row for each penalty.
+    d = np.sqrt(np.append(np.full(quality.FEATURES, quality.RIDGE * len(y)), 1e-9))
+    w = np.linalg.lstsq(np.vstack([f, np.diag(d)]), np.append(y, np.zeros(len(d))), rcond=None)[0]
+    assert np.abs(f @ w - f @ model.weights).max() < 1e-5
+    # The kernel that the features stand for.
+    a, b = z[:150], z[150:300]
+    exact = np.exp(-((a - b) ** 2).sum(1) / (2 * quality.WIDTH**2))
+    assert np.abs((f[:150, :-1] * f[150:300, :-1]).sum(1) - exact).mean() < 0.1
+
+
 def test_lm_training_lowers_the_loss_by_its_gradient():
     """learn() against numerical gradients: a step from a fresh network goes against the gradient of the loss."""
     rng = np.random.default_rng(1)
