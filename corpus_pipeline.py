@@ -1,4 +1,11 @@
-"""A corpus pipeline: STAGES in order, each written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline: STAGES in order, each written as Parquet and read again as the next one's documents.
+
+Defined results: a null text is scored as empty text, has no duplicates and no benchmark item, and stays null up to the
+last stage, which encodes it as empty; rows without doc_id take part in no group of near duplicates and stay; rows with
+one doc_id and different texts are rows of their own; rows that repeat stay once, if they have words; columns beside
+doc_id, text and n_chars pass through all but the last stage untouched, whatever their names; an empty table of
+documents gives an empty result, an empty one of labels accepts every document, one of benchmark removes none.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +15,7 @@ from pyspark.sql import functions as F
 from lattica.llm import bpe, decontam, minhash, pii, quality
 from lattica.llm.common import table, written
 
-#: No SQL says what the classifier and the tokenizer do; the tests hold run() against a brute-force version.
+#: No SQL says what the classifier and the tokenizer do; the tests do every later stage again in plain Python.
 ORACLE_SQL = None
 
 
