@@ -36,8 +36,8 @@ from lattica.llm.common import written
 OWN, SHARED, KEPT = 191, 64, 100_000
 CLASSES = OWN + SHARED
 #: Groups, and leaves of each: GROWTH * words ** 0.25, LEAST at least.
-GROWTH, LEAST = 3, 8
-WINDOW, UNITS, ROUNDS, RATE, BATCH = 2, 24, 2, 0.2, 8_192
+GROWTH, LEAST = 2, 8
+WINDOW, UNITS, ROUNDS, RATE, BATCH = 2, 16, 2, 0.2, 16_384
 #: Distinct words that a task counts before it hands them on; words a worker remembers; tokens scored at once; tokens
 #: whose windows are laid out at once.
 COUNTING, CACHE, AT_ONCE, LAID = 300_000, 500_000, 8_192, 400_000
@@ -76,16 +76,19 @@ def _ending() -> Column:
 
 
 class Vocabulary(dict):
-    """Word to its leaf (group * side + place), filled as words are met; ``within`` has the log of its share of a rest, 0
-    for leaves of their own and for words that aren't among the frequent ones: the shares of those are joined."""
+    """Word to its number, filled as words are met. By number, ``leaf`` has its leaf (group * side + place) and ``within``
+    the log of its share of a rest, 0 for leaves of their own. Words that aren't among the frequent ones have the number
+    of their group's rest, from ``met`` on: their shares are joined."""
 
     def __init__(self, side: int, own: list[tuple[str, int]], rest: list[int], frequent: list[tuple[str, int]]):
         """own: words that are leaves and their counts, most frequent first. rest: each group's sum of the other counts.
         frequent: other words and counts."""
         super().__init__()
         self.side, self.own, self.rest, self.frequent = side, own, rest, frequent
-        self.within: dict[str, float] = {}
-        self.known: dict[str, tuple[int, float]] = {}
+        self.known = {word: k for k, (word, _) in enumerate([*own, *frequent])}
+        self.met = len(self.known)
+        self.leaf, self.within = np.zeros(self.met + side, np.int32), np.zeros(self.met + side)
+        self.leaf[self.met :] = np.arange(1, side + 1) * side - 1
         self.count = np.zeros((side, side))
         self.count[:, -1] = rest
         #: Of each leaf, and of the padding, the class that the network sees.
@@ -93,14 +96,14 @@ class Vocabulary(dict):
         places: Counter[int] = Counter()
         for i, (word, n) in enumerate(own):
             g = ending(word) % side
-            self.known[word] = g * side + places[g], 0.0
+            self.leaf[i] = g * side + places[g]
             self.count[g, places[g]] = n
             if i < OWN:
                 self.seen_as[g * side + places[g]] = i
             places[g] += 1
-        for word, n in frequent:
+        for k, (word, n) in enumerate(frequent, len(own)):
             g = ending(word) % side
-            self.known[word] = g * side + side - 1, math.log(n / rest[g])
+            self.leaf[k], self.within[k] = g * side + side - 1, math.log(n / rest[g])
 
     @property
     def pad(self) -> int:
@@ -111,17 +114,16 @@ class Vocabulary(dict):
 
     def __missing__(self, word: str) -> int:
         if (found := self.known.get(word)) is None:
-            found = ending(word) % self.side * self.side + self.side - 1, 0.0
-        self[word], self.within[word] = found
-        return found[0]
+            found = self.met + ending(word) % self.side
+        self[word] = found
+        return found
 
     def read(self, tokens: list[str]) -> tuple[bytes, float, Counter[str]]:
         """The leaves of tokens (32 bits each), the sum of the logs of frequent ones, and the counts of the others."""
         if len(self) > CACHE:
             self.clear()
-            self.within.clear()
-        known = self.known
-        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens)).tobytes(), math.fsum(map(self.within.__getitem__, tokens)), Counter([t for t in tokens if t not in known])
+        numbers = np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
+        return self.leaf[numbers].tobytes(), float(self.within[numbers].sum()), Counter([tokens[i] for i in np.flatnonzero(numbers >= self.met).tolist()])
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -175,18 +177,17 @@ def with_shares(leaves: DataFrame, counts: DataFrame, words: Vocabulary) -> Data
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+    """In place. Units lie between -1 and 1 and weights are moderate, so exponentials stay far from the limits of 32 bits."""
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z *= 1 / (z @ np.ones((z.shape[1], 1), np.float32))
     return z
 
 
 def _picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of rows of logits, the log-probability of one place each."""
-    z -= z.max(1, keepdims=True)
     out = z[np.arange(len(at)), at]
     np.exp(z, out=z)
-    return out - np.log(z.sum(1))
+    return out - np.log(z @ np.ones(z.shape[1], np.float32))
 
 
 class Network:
@@ -197,14 +198,15 @@ class Network:
         self.side = side
         self.places = (rng.normal(size=(2 * WINDOW, CLASSES + 1, UNITS)) * 0.3).astype(np.float32)
         self.hidden = np.zeros(UNITS, np.float32)
-        self.out = (rng.normal(size=(UNITS, side)) * 0.05).astype(np.float32)
-        self.bias = np.log((of_group + 1) / (of_group.sum() + side)).astype(np.float32)
-        self.leaf = (rng.normal(size=(side, UNITS, side)) * 0.05).astype(np.float32)
-        self.leaf_bias = np.log((count + 0.01) / (of_group[:, None] + 0.01 * side)).astype(np.float32)
+        # The last row of a softmax's weights is its bias.
+        bias = np.log((of_group + 1) / (of_group.sum() + side))
+        self.out = np.vstack([rng.normal(size=(UNITS, side)) * 0.05, bias]).astype(np.float32)
+        bias = np.log((count + 0.01) / (of_group[:, None] + 0.01 * side))
+        self.leaf = np.concatenate([rng.normal(size=(side, UNITS, side)) * 0.05, bias[:, None]], 1).astype(np.float32)
         self.squares = [np.full_like(p, 1e-2) for p in self.parameters()]
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.places, self.hidden, self.out, self.bias, self.leaf, self.leaf_bias]
+        return [self.places, self.hidden, self.out, self.leaf]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parameters()])
@@ -216,10 +218,14 @@ class Network:
             i += p.size
 
     def units(self, context: np.ndarray) -> np.ndarray:
-        h = self.hidden + self.places[0][context[0]]
+        """tanh units of each context, and a 1 for the biases."""
+        h = np.ones((context.shape[1], UNITS + 1), np.float32)
+        x = self.places[0][context[0]]
         for k in range(1, 2 * WINDOW):
-            h += self.places[k][context[k]]
-        return np.tanh(h)
+            x += self.places[k][context[k]]
+        x += self.hidden
+        np.tanh(x, out=h[:, :UNITS])
+        return h
 
     def _by_group(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
         """The order by group; contexts, groups and places in it; first and one past the last of each group that occurs."""
@@ -233,9 +239,9 @@ class Network:
         """context: a row of classes for each place around the target; target: leaves."""
         order, context, g, m, runs = self._by_group(context, target)
         h = self.units(context)
-        found = _picked(h @ self.out + self.bias, g)
+        found = _picked(h @ self.out, g)
         for k, a, b in runs:
-            found[a:b] += _picked(h[a:b] @ self.leaf[k] + self.leaf_bias[k], m[a:b])
+            found[a:b] += _picked(h[a:b] @ self.leaf[k], m[a:b])
         out = np.empty_like(found)
         out[order] = found
         return out
@@ -250,26 +256,23 @@ class Network:
             _, c, y, m, runs = self._by_group(contexts[:, i : i + BATCH], targets[i : i + BATCH])
             scale = np.float32(1 / math.sqrt(len(y)))
             h = self.units(c)
-            p = _softmax(h @ self.out + self.bias)
+            p = _softmax(h @ self.out)
             p[np.arange(len(y)), y] -= 1
-            p *= scale
             back = p @ self.out.T
             for k, a, b in runs:
                 own = h[a:b]
-                q = _softmax(own @ self.leaf[k] + self.leaf_bias[k])
+                q = _softmax(own @ self.leaf[k])
                 q[np.arange(b - a), m[a:b]] -= 1
-                q *= scale
                 back[a:b] += q @ self.leaf[k].T
-                self._step(self.leaf[k], own.T @ q, self.squares[4][k])
-                self._step(self.leaf_bias[k], q.sum(0), self.squares[5][k])
-            back *= 1 - h * h
+                self._step(self.leaf[k], (own.T @ q) * scale, self.squares[3][k])
+            back = back[:, :UNITS] * (scale * (1 - h[:, :UNITS] ** 2))
             places = np.zeros_like(self.places)
             for k in range(2 * WINDOW):
                 order = np.argsort(c[k], kind="stable")
                 of = c[k][order]
                 first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                 places[k][of[first]] = np.add.reduceat(back[order], first)
-            for parameter, g, s in zip(self.parameters(), (places, back.sum(0), h.T @ p, p.sum(0)), self.squares):
+            for parameter, g, s in zip(self.parameters(), (places, back.sum(0), (h.T @ p) * scale), self.squares):
                 self._step(parameter, g, s)
 
 

@@ -144,7 +144,7 @@ def test_lm_scores_are_sums_of_conditionals(spark):
         for i, leaf in enumerate(leaves):
             h = np.tanh(network.hidden + network.places[0][padded[i]] + network.places[1][padded[i + 1]] + network.places[2][padded[i + 3]] + network.places[3][padded[i + 4]])
             g, m = divmod(int(leaf), words.side)
-            z, y = h @ network.out + network.bias, h @ network.leaf[g] + network.leaf_bias[g]
+            z, y = np.append(h, 1) @ network.out, np.append(h, 1) @ network.leaf[g]
             want += z[g] - np.log(np.exp(z).sum()) + y[m] - np.log(np.exp(y).sum())
         assert abs(total - want) < 1e-2 * max(1, abs(want) / 100)
 
@@ -247,7 +247,7 @@ def test_lm_words_share_rests_by_count(spark):
     # All words have one ending: the side - 1 most frequent are leaves, the others share the last leaf by count.
     assert [w for w, _ in found.own] == [f"w{39 - i:02}xx" for i in range(side - 1)]
     rest = sum(i + 1 for i in range(40 - side + 1))
-    assert found.rest[last] == rest and found["w00xx"] == last * side + side - 1 and abs(found.within["w00xx"] + np.log(rest)) < 1e-12
+    assert found.rest[last] == rest and found.leaf[found["w00xx"]] == last * side + side - 1 and abs(found.within[found["w00xx"]] + np.log(rest)) < 1e-12
 
 
 def test_lm_learns_and_defines_odd_rows(spark):
