@@ -182,7 +182,7 @@ class Catalog:
         shown = own.select("axiom_kind", X.axiom_label("axiom_kind").alias("label"), X.axiom_display("axiom_kind", "predicate", "object").alias("display"), "object")
         from lattica.model import COMMENT, DEPRECATED, LABEL
 
-        rest = self.annotations.where((F.col("subject") == iri) & ~F.col("predicate").isin(LABEL, COMMENT, DEPRECATED)).orderBy("predicate", "object")
+        rest = self.annotations.where((F.col("subject") == iri) & ~F.col("predicate").isin(LABEL, COMMENT, DEPRECATED)).orderBy(X.annotation_order("predicate"), "object")
         return {"entity": self.entities.where(F.col("iri") == iri), "parents": edges.where(F.col("child") == iri).select("parent").orderBy("parent"), "children": edges.where(F.col("parent") == iri).select("child").orderBy("child"), "axioms": shown, "annotations": rest, "source": self.owners().where(F.col("iri") == iri)}
 
     def namespace_map(self) -> DataFrame:

@@ -234,6 +234,44 @@ def iso_utc(seconds: C) -> Column:
     return F.concat(F.replace(local.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
+# Annotation properties in the order in which they are shown.
+ANNOTATION_ORDER = [
+    "http://www.w3.org/2000/01/rdf-schema#label",
+    "http://www.w3.org/2004/02/skos/core#prefLabel",
+    "http://purl.org/dc/elements/1.1/title",
+    "http://www.geneontology.org/formats/oboInOwl#id",
+    "http://www.geneontology.org/formats/oboInOwl#hasAlternativeId",
+    "http://www.geneontology.org/formats/oboInOwl#hasOBONamespace",
+    "http://purl.obolibrary.org/obo/IAO_0000115",
+    "http://www.w3.org/2004/02/skos/core#definition",
+    "http://www.w3.org/2004/02/skos/core#note",
+    "http://purl.org/dc/elements/1.1/description",
+    "http://purl.org/dc/elements/1.1/rights",
+    "http://purl.org/dc/terms/license",
+    "http://purl.org/dc/elements/1.1/publisher",
+    "http://purl.org/dc/elements/1.1/creator",
+    "http://purl.org/dc/elements/1.1/contributor",
+    "http://www.w3.org/2000/01/rdf-schema#comment",
+    "http://www.w3.org/2004/02/skos/core#altLabel",
+    "http://www.w3.org/2000/01/rdf-schema#seeAlso",
+    "http://www.w3.org/2000/01/rdf-schema#isDefinedBy",
+    "http://www.geneontology.org/formats/oboInOwl#hasExactSynonym",
+    "http://www.geneontology.org/formats/oboInOwl#hasRelatedSynonym",
+    "http://www.geneontology.org/formats/oboInOwl#hasBroadSynonym",
+    "http://www.geneontology.org/formats/oboInOwl#hasNarrowSynonym",
+]
+
+
+def annotation_order(predicate: C) -> Column:
+    """What annotation properties are sorted by: the known ones in their order, then the others by IRI."""
+    at = F.array_position(F.array(*[F.lit(p) for p in ANNOTATION_ORDER]), col(predicate))
+    return F.struct(F.when(at > 0, at).otherwise(len(ANNOTATION_ORDER) + 1).alias("rank"), col(predicate).alias("iri"))
+
+
+def entity_markdown(name: C, iri: C) -> Column:
+    return F.concat(F.lit("["), manchester_unescape(name), F.lit("]("), col(iri), F.lit(")"))
+
+
 def slug(text: C) -> Column:
     """Lower-case words joined by hyphens, with a tag that tells equal ones apart."""
     text = col(text)

@@ -43,6 +43,13 @@ def parse_errors(catalog: Catalog) -> DataFrame:
     return _rows(bad, "parse_error", F.coalesce("parse_message", F.lit("parse error")), line=F.coalesce("parse_error_location.line", F.lit(1)), column=F.coalesce("parse_error_location.column", F.lit(0)))
 
 
+def load_failures(rows: DataFrame) -> DataFrame:
+    """From a loader's failure rows (path, a: code, b: message): files that could not be read, or not be understood as OWL."""
+    code = F.coalesce("a", F.lit("io_read_error"))
+    null = lambda kind: F.lit(None).cast(kind)
+    return rows.select(code.alias("code"), F.lit("warning").alias("severity"), F.coalesce("b", F.lit("")).alias("message"), F.col("path").alias("file"), null("bigint").alias("line"), null("bigint").alias("column"), null("string").alias("entity_iri"), null("string").alias("quick_fix"))
+
+
 def broken_imports(catalog: Catalog) -> DataFrame:
     known = catalog.documents.select(F.explode(F.array(X.normalize_iri(F.coalesce("base_iri", F.lit(""))), X.normalize_iri("id"))).alias("key")).where("key <> ''").distinct()
     missing = catalog.imports.withColumn("key", X.normalize_iri("import_iri")).join(known, "key", "left_anti")

@@ -28,6 +28,13 @@ class SnapshotStore:
         """rows have content_hash; equal hashes are replaced, others stay."""
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("content_hash").parquet(self.path)
 
+    def hashes(self) -> DataFrame | None:
+        """content_hash of what is stored; None before anything is."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            return None
+        return self.spark.read.parquet(self.path).select("content_hash").distinct()
+
     def get(self, hashes: DataFrame) -> DataFrame:
         return self.spark.read.parquet(self.path).join(hashes.select("content_hash").distinct(), "content_hash", "left_semi")
 

@@ -6,7 +6,6 @@ import fnmatch
 import json
 import os
 import subprocess
-import tempfile
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -78,13 +77,20 @@ def parse_files(files: DataFrame) -> DataFrame:
                 def add(row: str, *cells) -> None:
                     out.append((path, order, row, len(out), *cells, *[None] * (8 - len(cells))))
 
+                parsed, rows = rdf.Parsed(), B.Rows()
                 try:
+                    if text is None:
+                        raise OSError("the file has no readable text")
                     form = "owl_xml" if form == "owl" and "<Ontology" in text[:4000] else "rdf_xml" if form == "owl" and text.lstrip().startswith("<") else "turtle" if form == "owl" else form
                     parsed = PARSERS[form](text, "")
-                    rows = B.bridge(parsed.quads)
+                except OSError as x:
+                    add("failure", "io_read_error", str(x))
                 except Exception as x:  # a file must not take its siblings down
                     add("error", f"{type(x).__name__}: {x}", None, None)
-                    parsed, rows = rdf.Parsed(), B.Rows()
+                try:
+                    rows = B.bridge(parsed.quads)
+                except Exception as x:  # what was parsed stays as quads
+                    add("failure", "owl_bridge_failed", f"{type(x).__name__}: {x}")
                 if parsed.error:
                     add("error", parsed.error, str(parsed.line or ""), str(parsed.column or 0))
                 scope = lambda v, k: f"doc-{order}_{v}" if k == "bnode" else v  # noqa: B023, E731
@@ -138,9 +144,9 @@ def assemble(spark: SparkSession, files: DataFrame, rows: DataFrame, lint: bool
     imports = documents.select(own, F.explode("imports").alias("import_iri"))
     catalog = Catalog(spark, documents, entities, annotations, axioms, namespaces, imports, quads, texts=files.select("path", "text"))
     if lint:
-        from lattica.operators.diagnostics import collect
+        from lattica.operators.diagnostics import collect, load_failures
 
-        catalog = catalog.with_(diagnostics=cut(collect(catalog, config), "diagnostics"))
+        catalog = catalog.with_(diagnostics=cut(collect(catalog, config, load_failures(of("failure"))), "diagnostics"))
     return catalog
 
 
@@ -192,18 +198,11 @@ def redirects(spark: SparkSession, catalog: Catalog, path: str, root: str) -> Da
     return catalog.imports.select("import_iri").distinct().select(iri.alias("uri"), exact.alias("target")).where("target IS NOT NULL")
 
 
-def stage_git(repo: str, ref: str) -> str:
-    """A folder with the ontology files of a commit."""
-    out = tempfile.mkdtemp(prefix="lattica-git-")
+def git_texts(repo: str, ref: str) -> dict[str, str]:
+    """Path and text of the ontology files of a commit. They travel as rows: no folder of this machine is read by others."""
     names = subprocess.run(["git", "-C", repo, "ls-tree", "-r", "--name-only", "-z", ref], check=True, capture_output=True).stdout.decode().split("\0")
-    for name in names:
-        if name.rpartition(".")[2].lower() in FORMATS:
-            target = os.path.normpath(os.path.join(out, name))
-            if target.startswith(out + os.sep):
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(target, "wb") as f:
-                    f.write(subprocess.run(["git", "-C", repo, "show", f"{ref}:{name}"], check=True, capture_output=True).stdout)
-    return out
+    show = lambda name: subprocess.run(["git", "-C", repo, "show", f"{ref}:{name}"], check=True, capture_output=True).stdout.decode(errors="replace")
+    return {"/" + name: show(name) for name in names if name.rpartition(".")[2].lower() in FORMATS}
 
 
 def git_range(repo: str, text: str) -> tuple[str, str | None]:

@@ -158,3 +158,66 @@ def test_git_ranges(spark, tmp_path):
         git("commit", "-qm", str(k))
     found = Workspace.open(spark, repo).diff_git(repo, "HEAD~1..HEAD")
     assert sorted((r.change, r.iri) for r in found.entities.collect()) == [("added", "http://g#B"), ("removed", "http://g#A")]
+
+
+def test_snapshot_store_gives_what_parsing_gives(spark, tmp_path):
+    from lattica.workspace import Workspace
+
+    root = tmp_path / "w"
+    root.mkdir()
+    (root / "a.ttl").write_text("@prefix ex: <http://x/> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . ex:A a owl:Class ; rdfs:subClassOf [ a owl:Restriction ; owl:onProperty ex:p ; owl:someValuesFrom ex:B ] .")
+    (root / "b.ttl").write_text("@prefix ex: <http://x/> . @prefix owl: <http://www.w3.org/2002/07/owl#> . ex:B a owl:Class .")
+    shown = lambda w: [sorted(map(str, f.collect())) for f in (w.catalog.quads, w.catalog.axioms, w.catalog.entities, w.catalog.documents.drop("modified_time"))]
+    open_ = lambda **k: Workspace(spark, [str(root)], **k)
+    store = str(tmp_path / "store")
+    first = open_(store=store)
+    assert shown(first) == shown(open_())
+    # A file before the others moves them; its content is that of b.
+    (root / "A.ttl").write_text((root / "b.ttl").read_text())
+    (root / "b.ttl").unlink()
+    parsed, plain = [], __import__("lattica.sources.scan", fromlist=["x"])
+    keep = plain.parse_files
+    plain.parse_files = lambda files: (parsed.append(files.count()), keep(files))[1]
+    try:
+        again = open_(store=store)
+    finally:
+        plain.parse_files = keep
+    assert parsed == [0] and shown(again) == shown(open_())
+    (root / "a.ttl").unlink()
+    last = open_(store=store)
+    assert last.prune_snapshots() == 1 and shown(open_(store=store)) == shown(open_())
+    # Another configuration reads nothing of it; classifications are kept by state and profile.
+    assert open_(store=store, config={"missing_label": "off"}).store.path != last.store.path
+    assert last.classify("rdfs") is last.classify("rdfs") and last.classify("rl") is not last.classify("rdfs")
+
+
+def test_failures_have_codes_of_their_own(spark, monkeypatch):
+    from lattica.sources import bridge, scan
+
+    ok = bridge.bridge
+    monkeypatch.setattr(bridge, "bridge", lambda quads: 1 / 0 if any("bad" in str(q) for q in quads) else ok(quads))
+    files = spark.createDataFrame([("/a.ttl", 0, "turtle", "<http://x/bad> a <http://www.w3.org/2002/07/owl#Class> ."), ("/b.ttl", 1, "turtle", None), ("/c.ttl", 2, "turtle", "<http://x/c> a <http://www.w3.org/2002/07/owl#Class> .")], "path string, doc_order bigint, format string, text string")
+    from lattica.operators.diagnostics import load_failures
+
+    run = scan.parse_files(files)
+    rows = {r.path: r for r in load_failures(run.where("row = 'failure'")).withColumnRenamed("file", "path").collect()}
+    assert rows["/b.ttl"].code == "io_read_error" and rows["/b.ttl"].severity == "warning" and "/c.ttl" not in rows
+    # The bridge runs in a worker, where it isn't replaced: the row is made by hand.
+    one = load_failures(spark.createDataFrame([("/a.ttl", "owl_bridge_failed", "ValueError: x")], "path string, a string, b string")).first()
+    assert (one.code, one.severity, one.file, one.message) == ("owl_bridge_failed", "warning", "/a.ttl", "ValueError: x")
+
+
+def test_git_texts(spark, tmp_path):
+    import subprocess
+
+    from lattica.sources.scan import git_texts
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@y", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "a.ttl").write_text("<http://x/a> a <http://x/b> .")
+    (tmp_path / "n.md").write_text("no")
+    run("add", "-A")
+    run("commit", "-qm", "x")
+    (tmp_path / "o" / "a.ttl").write_text("changed")
+    assert git_texts(str(tmp_path), "HEAD") == {"/o/a.ttl": "<http://x/a> a <http://x/b> ."}

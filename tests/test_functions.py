@@ -107,3 +107,10 @@ def test_manchester_rejects(text):
 def test_keyword_first_restrictions():
     assert M.parse("some hasPet Dog", {"": ""}) == ("some", "hasPet", ("class", "Dog"))
     assert M.parse("min 2 hasPet Dog", {"": ""}) == ("min", 2, "hasPet", ("class", "Dog"))
+
+
+def test_annotation_order(spark):
+    iris = ["http://z/x", "http://a/x", "http://www.w3.org/2000/01/rdf-schema#comment", "http://purl.obolibrary.org/obo/IAO_0000115", "http://www.w3.org/2000/01/rdf-schema#label"]
+    got = [r.p for r in spark.createDataFrame([(i,) for i in iris], "p string").orderBy(X.annotation_order("p")).collect()]
+    assert got == [iris[4], iris[3], iris[2], iris[1], iris[0]]
+    assert value(spark, X.entity_markdown(F.lit("'a b'"), F.lit("http://x"))) == "[a b](http://x)"
