@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.catalog import Catalog, merge_entities
@@ -409,3 +409,110 @@ def _delta(c: Catalog) -> DataFrame:
     back = refactor.apply(refactor.apply(c, delta), refactor.invert(delta))
     keys = ["axiom_kind", "subject", "predicate", "object", "ontology_id"]
     return back.axioms.select(keys).exceptAll(c.axioms.select(keys)).union(c.axioms.select(keys).exceptAll(back.axioms.select(keys))).agg(F.count("*").cast("int").alias("n"))
+
+
+# -- what is refused, and what is said of it
+
+_SQL_CASES = [("SELECT iri FROM classes", "ok"), ("DELETE FROM classes", "refused"), ("SELECT count(*) FROM classes", "refused"), ("SELECT iri FROM classes WHERE deprecated", "refused"), ("SELECT iri FROM classes WHERE iri LIKE 'a'", "refused"), ("SELECT iri FROM classes WHERE iri > 'a'", "refused"), ("SELECT iri FROM nowhere", "refused"), ("SELECT nothing FROM classes", "refused"), ("SELECT iri FROM classes ORDER BY iri", "refused"), ("SELECT iri FROM classes UNION SELECT iri FROM individuals", "refused"), ("SELECT iri FROM classes; SELECT iri FROM classes", "refused")]
+_SPARQL_CASES = [("SELECT ?s WHERE { ?s a ?o }", "ok"), ("CONSTRUCT { ?s a ?o } WHERE { ?s a ?o }", "refused"), ("DESCRIBE <http://x>", "refused"), ("INSERT DATA { <http://x> a <http://y> }", "refused"), ("DELETE WHERE { ?s ?p ?o }", "refused"), ("SELECT ?s WHERE { SERVICE <http://x> { ?s a ?o } }", "refused"), ("SELECT ?s WHERE { ?s a", "refused")]
+
+
+def _outcomes(run: Callable[[Catalog, str], object], cases: list[tuple[str, str]]) -> Callable[[Catalog], DataFrame]:
+    from lattica.model import LatticaError
+
+    def query(c: Catalog) -> DataFrame:
+        def outcome(text: str) -> str:
+            try:
+                run(c, text)
+            except LatticaError:
+                return "refused"
+            return "ok"
+
+        return c.spark.createDataFrame([(t, outcome(t)) for t, _ in cases], "statement string, outcome string")
+
+    return query
+
+
+_values = lambda rows, names: f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(chr(39) + str(x).replace(chr(39), chr(39) * 2) + chr(39) for x in r) + ')' for r in rows)}) v({names})"
+define("p1_sql_refused", _outcomes(run_sql, _SQL_CASES), _values(_SQL_CASES, "statement, outcome"))
+define("q16_sparql_refused", _outcomes(run_sparql, _SPARQL_CASES), _values(_SPARQL_CASES, "statement, outcome"))
+define("q19_sparql_row_cap", lambda c: run_sparql(c, _P + "SELECT ?s ?o WHERE { ?s t:contains ?o }").capped(1000)[0].agg(F.count("*").alias("n")), f"SELECT least(count(*), 1000) AS n FROM q WHERE p = '{T}contains'")
+
+# -- more forms of SPARQL
+
+_sparql("q7_undef", f"SELECT ?s ?k WHERE {{ VALUES (?s ?k) {{ (<{T}part/1> UNDEF) (UNDEF '50') }} ?s t:size ?k }}", f"SELECT {_I('s')} AS s, {_L('o')} AS k FROM q WHERE p = '{T}size' AND s = '{T}part/1' UNION ALL SELECT {_I('s')}, {_L('o')} FROM q WHERE p = '{T}size' AND o = '50'")
+_sparql("q12_path_star", "SELECT ?x WHERE { ?x rdfs:subClassOf* t:Place }", f"w(x) AS (SELECT '{T}Place' UNION SELECT s FROM q JOIN w ON o = x WHERE p = '{_RDFS}subClassOf') SELECT {_I('x')} AS x FROM w")
+_sparql("q12_path_inverse_alternative", "SELECT DISTINCT ?x ?y WHERE { ?x (^t:placedBy|t:segment) ?y }", f"SELECT DISTINCT {_I('o')} AS x, {_I('s')} AS y FROM q WHERE p = '{T}placedBy' UNION SELECT DISTINCT {_I('s')}, {_L('o')} FROM q WHERE p = '{T}segment'")
+_sparql("q9_sum", "SELECT ?c (SUM(?v) AS ?total) WHERE { ?o t:placedBy ?c ; t:totalprice ?v } GROUP BY ?c", f"SELECT {_I('a.o')} AS c, {_NUM("regexp_replace(regexp_replace(CAST(sum(CAST(b.o AS DECIMAL(18,2))) AS VARCHAR), '0+$', ''), '[.]$', '')", 'decimal')} AS total FROM q a JOIN q b ON a.s = b.s AND b.p = '{T}totalprice' WHERE a.p = '{T}placedBy' GROUP BY a.o")
+_sparql("q9_group_concat", "SELECT ?g (GROUP_CONCAT(DISTINCT ?k; separator='|') AS ?all) WHERE { ?c t:segment ?g . ?c a ?k FILTER(?k = owl:NamedIndividual) } GROUP BY ?g", f"SELECT {_L('o')} AS g, '\"http://www.w3.org/2002/07/owl#NamedIndividual\"' AS \"all\" FROM q WHERE p = '{T}segment' GROUP BY o")
+
+# -- scalar functions over whole tables
+
+_LABELS = {"sub_class_of": "SubClassOf", "equivalent_class": "EquivalentTo", "disjoint_class": "DisjointWith", "domain": "Domain", "range": "Range", "class_assertion": "Type", "object_property_assertion": "ObjectPropertyAssertion", "data_property_assertion": "DataPropertyAssertion"}
+_LABEL_CASE = "CASE axiom_kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _LABELS.items()) + " END"
+_LAST = "regexp_extract({0}, '[^#/]*$')".format
+define("f18_axiom_display_all", lambda c: c.axioms.select("id", X.axiom_label("axiom_kind").alias("label"), X.axiom_display("axiom_kind", "predicate", "object").alias("display")).groupBy("label", "display").agg(F.count("*").alias("n")), f"SELECT {_LABEL_CASE} AS label, CASE WHEN axiom_kind LIKE '%_property_assertion' THEN {_LAST('predicate')} ELSE {_LABEL_CASE} END || ' ' || {_LAST('object')} AS display, count(*) AS n FROM ax GROUP BY ALL")
+define("f13_obo_annotation", lambda spark, sf: spark.read.parquet(f"{sf}/part.parquet").select(F.explode(F.array(X.obo_annotation_iri(F.concat(F.lit("oio:"), F.replace("p_name", F.lit(" "), F.lit("_")))), X.obo_annotation_iri(F.concat(F.lit("IAO:"), F.col("p_partkey").cast("string"))), X.obo_annotation_iri(F.concat(F.lit("http://x/"), F.col("p_partkey").cast("string"))))).alias("iri")), "SELECT unnest(['http://www.geneontology.org/formats/oboInOwl#' || replace(p_name, ' ', '_'), 'http://purl.obolibrary.org/obo/IAO_' || CAST(p_partkey AS VARCHAR), 'http://x/' || CAST(p_partkey AS VARCHAR)]) AS iri FROM part", tables=True)
+define("f17_members_all", lambda spark, sf: spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.explode(X.members(F.concat("p_type", F.lit(" and "), "p_brand", F.lit("  and "), "p_name"), "and")).alias("m")), "SELECT p_partkey, unnest([p_type, p_brand, p_name]) AS m FROM part", tables=True)
+define("f27_synonym_scope_all", lambda spark, sf: spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", X.synonym_property(F.element_at(F.array(*map(F.lit, ("exact", "BROAD", "Narrow", "related", "x"))), (F.col("o_orderkey") % 5 + 1).cast("int"))).alias("p")), "SELECT o_orderkey, 'http://www.geneontology.org/formats/oboInOwl#has' || (['Exact', 'Broad', 'Narrow', 'Related', 'Related'])[o_orderkey % 5 + 1] || 'Synonym' AS p FROM orders", tables=True)
+define("t5_annotation_order", lambda c: c.quads.select("p").distinct().select("p", F.row_number().over(Window.orderBy(X.annotation_order("p"))).cast("bigint").alias("at")), f"SELECT p, row_number() OVER (ORDER BY CASE WHEN p = '{_RDFS}label' THEN 0 ELSE 1 END, p) AS at FROM (SELECT DISTINCT p FROM q)")
+
+# -- diagnostics of files
+
+
+def _indexed(tail: str) -> Callable[[Catalog], Catalog]:
+    """A catalog of all classes as Turtle files, each with the same text at its end."""
+
+    def build(c: Catalog) -> Catalog:
+        texts = _joined(c, _ttl, _TTL_HEAD, tail).withColumn("path", F.concat(F.lit("/m/"), "k", F.lit(".ttl")))
+        none = c.spark.createDataFrame([], "path string, content binary, modified_time bigint, size bigint")
+        files = scan.described(none, texts.select("path", "text"))
+        return scan.assemble(c.spark, files, scan.parse_files(files), lint=False)
+
+    return build
+
+
+_FILES = f"SELECT DISTINCT '/m/' || right(child, 1) || '.ttl' AS file FROM ({_NAMED})"
+define("d1_parse_errors", lambda c: diagnostics.parse_errors(_indexed("\n<broken> <")(c)).select("code", "severity", "file"), f"SELECT 'parse_error' AS code, 'error' AS severity, file FROM ({_FILES})")
+define("d3_undefined_prefixes", lambda c: diagnostics.undefined_prefixes(_indexed("\nzz:a a owl:Class .")(c)).select("code", "severity", "file"), f"SELECT 'undefined_prefix' AS code, 'error' AS severity, file FROM ({_FILES})")
+define("d7_read_errors", lambda c: diagnostics.load_failures(scan.parse_files(_classes(c).select(F.right("child", F.lit(1)).alias("k")).distinct().select(F.concat(F.lit("/m/"), "k", F.lit(".ttl")).alias("path"), F.lit(0).cast("bigint").alias("doc_order"), F.lit("turtle").alias("format"), F.lit(None).cast("string").alias("text"))).where("row = 'failure'")).select("code", "severity", "file"), f"SELECT 'io_read_error' AS code, 'warning' AS severity, file FROM ({_FILES})")
+
+# -- reasoning on the whole catalog
+
+
+def _with_rules(c: Catalog, *rules: dict) -> Catalog:
+    import json
+
+    from lattica.model import SWRL_RULE
+
+    rows = [(f"urn:r{k}", "iri", SWRL_RULE, json.dumps(r), "literal", None, None, None, "d") for k, r in enumerate(rules)]
+    return c.with_(quads=c.quads.unionByName(c.spark.createDataFrame(rows, c.quads.schema)))
+
+
+_BIG = {"id": "big", "enabled": True, "body": [{"kind": "data_property", "property": T + "totalprice", "args": ["?o", "?v"]}, {"kind": "builtin", "builtin": "http://www.w3.org/2003/11/swrlb#greaterThan", "args": ["?v", "200000"]}], "head": [{"kind": "class", "class": T + "BigOrder", "args": ["?o"]}]}
+_BAD = {"id": "bad", "enabled": True, "body": [{"kind": "class", "class": "", "args": ["?x"]}], "head": [{"kind": "class", "class": T + "A", "args": ["?y"]}]}
+define("fw_swrl_builtins", lambda c: swrl.materialise(_with_rules(c, _BIG))[0], f"SELECT s, '{_RDF}type' AS p, '{T}BigOrder' AS o FROM q WHERE p = '{T}totalprice' AND CAST(o AS DOUBLE) > 200000")
+define("d11_swrl_validation", lambda c: swrl.diagnostics(_with_rules(c, _BIG, _BAD)).select("code", "severity"), _values([("swrl_unbound_variable", "error"), ("swrl_bad_iri", "error")], "code, severity"))
+define("r2b_profile_warnings", lambda c: c.spark.createDataFrame([(w,) for w in reason.profile_warnings(c, "rdfs")], "warning string"), "SELECT 'rdfs: ' || count(*) || ' axioms of kind ' || axiom_kind || ' are not used' AS warning FROM ax WHERE axiom_kind IN ('disjoint_class', 'equivalent_class') GROUP BY axiom_kind UNION ALL SELECT 'rdfs: ' || count(*) || ' complex superclasses are used in part only' FROM ax WHERE axiom_kind = 'sub_class_of' AND contains(object, ' ')")
+define("r5_consistency", lambda c: (lambda found: c.spark.createDataFrame([(found["consistent"], x) for x in found["unsatisfiable"]], "consistent boolean, unsatisfiable string"))(reason.check_consistency(_crossed(c), "rl")), f"SELECT false AS consistent, '{T}nation/1' AS unsatisfiable")
+define("r7_check_instance", lambda c: c.spark.createDataFrame([(n, reason.check_instance(c, T + n, T + "Place", "rdfs")) for n in ("customer/1", "order/1")], "individual string, found boolean"), "SELECT 'customer/1' AS individual, true AS found UNION ALL SELECT 'order/1', false")
+define("r9_explain", lambda c: c.spark.createDataFrame([(k, step) for chain in reason.explain(_crossed(c), T + "nation/1") for k, step in enumerate(chain)], "k int, step string"), f"SELECT * FROM (VALUES (0, '{T}nation/1 SubClassOf {T}region/0'), (1, '{T}nation/1 SubClassOf {T}region/1'), (2, '{T}region/0 DisjointWith {T}region/1')) v(k, step)")
+define("x16_entity_detail", lambda c: (lambda d: d["parents"].select(F.lit("parent").alias("side"), F.col("parent").alias("iri")).union(d["children"].select(F.lit("child"), "child")))(c.entity_detail(T + "region/1")), f"{_HIER} SELECT 'parent' AS side, parent AS iri FROM h WHERE child = '{T}region/1' UNION ALL SELECT 'child', child FROM h WHERE parent = '{T}region/1'")
+
+# -- sinks
+
+define("k1_tsv", lambda c: c.spark.createDataFrame([(x,) for x in sinks.to_tsv(run_sql(c, "SELECT iri, kind FROM properties"))], "line string"), "SELECT 'iri' || chr(9) || 'kind' AS line UNION ALL SELECT iri || chr(9) || kind FROM ent WHERE kind LIKE '%property'")
+define("k3_json", lambda c: c.spark.createDataFrame([(sinks.to_json(run_sql(c, "SELECT iri FROM object_properties")),)], "j string").select(F.explode(F.from_json("j", "rows array<array<string>>")["rows"]).alias("r")).select(F.get("r", F.lit(0)).alias("iri")), "SELECT iri FROM ent WHERE kind = 'object_property'")
+_with_heads("k6_diff_json", lambda c: diff.to_json(diff.diff_catalogs(c, _head(c))).where("part IN ('axioms', 'imports')").select("part", F.from_json("json", "change string, subject string, import_iri string").alias("r")).groupBy("part", "r.change").agg(F.count("*").alias("n")), f"SELECT 'axioms' AS part, 'removed' AS change, count(*) AS n FROM ax WHERE {_GONE.format('subject')} OR {_GONE.format('object')} UNION ALL SELECT 'imports', 'removed', count(*) FROM imp WHERE import_iri LIKE '%missing'")
+_with_heads("v9_diff_text", lambda c: c.spark.createDataFrame([(x,) for x in diff.to_text(diff.diff_catalogs(c, _head(c)), 1 << 20).splitlines() if x.startswith("removed ")], "line string"), f"SELECT 'removed ' || kind || ': ' || iri AS line FROM ent WHERE {_GONE.format('iri')} AND TRY_CAST(regexp_extract(iri, '[0-9]+$') AS BIGINT) % 14 <> 0 UNION ALL SELECT 'removed axiom: ' || subject || ' ' || axiom_kind || ' ' || object FROM ax WHERE {_GONE.format('subject')} OR {_GONE.format('object')} UNION ALL SELECT 'removed import: ' || ontology_id || ' ' || import_iri FROM imp WHERE import_iri LIKE '%missing'")
+
+
+def _rdfxml(c: Catalog) -> DataFrame:
+    """All quads as RDF/XML, a document for each last letter of a subject, parsed again."""
+    parts = sinks.to_rdfxml(c.quads).groupBy(F.right(F.regexp_extract("value", 'about="([^"]*)"', 1), F.lit(1)).alias("k")).agg(F.concat(F.lit(sinks.RDFXML_HEAD), F.array_join(F.collect_list("value"), "\n"), F.lit(sinks.RDFXML_TAIL)).alias("text"))
+    none = c.spark.createDataFrame([], "path string, content binary, modified_time bigint, size bigint")
+    rows = scan.parse_files(scan.described(none, parts.select(F.concat(F.lit("/m/"), "k", F.lit(".rdf")).alias("path"), "text")))
+    return rows.where("row = 'quad'").select(F.col("a").alias("s"), F.col("c").alias("p"), F.col("d").alias("o"), F.col("e").alias("o_kind"))
+
+
+define("k7_rdfxml_round_trip", _rdfxml, "SELECT DISTINCT s, p, o, o_kind FROM q")

@@ -1,4 +1,4 @@
-"""Where results go: text, CSV, JSON, N-Triples, Turtle and documentation pages."""
+"""Where results go: text, CSV, JSON, N-Triples, Turtle, RDF/XML and documentation pages."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ import html
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.catalog import Catalog
 from lattica.functions import exprs as X
-from lattica.model import MAX_RESULT_ROWS
+from lattica.model import MAX_RESULT_ROWS, XSD
 from lattica.operators.graph import text_tree
 from lattica.plans.sqlgate import QueryResult
 from lattica.sources.rdf import to_ntriples
@@ -51,6 +52,44 @@ def to_turtle(quads: DataFrame) -> DataFrame:
     return blocks.select(F.concat("s", F.lit(" "), "body", F.lit(" .")).alias("value"))
 
 
+RDFXML_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">\n'
+RDFXML_TAIL = "\n</rdf:RDF>\n"
+
+
+def _xml(text: str) -> Column:
+    c = F.col(text)
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def to_rdfxml(quads: DataFrame) -> DataFrame:
+    """value: an rdf:Description for each subject of the default graph, properties in order; between RDFXML_HEAD and
+    RDFXML_TAIL any of them are a document. Predicates whose IRI does not end in an XML name can't be written."""
+    local = F.regexp_extract("p", r"([\p{L}_][\p{L}\p{N}_.-]*)$", 1)
+    rows = quads.where("g IS NULL").distinct().withColumn("local", local).where("local <> ''")
+    about = F.when(F.col("s_kind") == "bnode", F.concat(F.lit('rdf:nodeID="'), "s", F.lit('"'))).otherwise(F.concat(F.lit('rdf:about="'), _xml("s"), F.lit('"')))
+    space = F.concat(F.lit('<n:'), "local", F.lit(' xmlns:n="'), F.substring(_xml("p"), F.lit(1), F.length(_xml("p")) - F.length("local")), F.lit('"'))
+    string = F.coalesce("o_datatype", F.lit(XSD + "string")) == XSD + "string"
+    mark = F.when(F.coalesce("o_lang", F.lit("")) != "", F.concat(F.lit(' xml:lang="'), "o_lang", F.lit('"'))).when(~string, F.concat(F.lit(' rdf:datatype="'), _xml("o_datatype"), F.lit('"'))).otherwise("")
+    literal = F.concat(mark, F.lit(">"), _xml("o"), F.lit("</n:"), "local", F.lit(">"))
+    node = F.concat(F.when(F.col("o_kind") == "bnode", F.lit(' rdf:nodeID="')).otherwise(F.lit(' rdf:resource="')), _xml("o"), F.lit('"/>'))
+    lines = rows.select(about.alias("about"), F.concat(F.lit("    "), space, F.when(F.col("o_kind") == "literal", literal).otherwise(node)).alias("line"))
+    body = F.array_join(F.array_sort(F.collect_list("line")), "\n")
+    return lines.groupBy("about").agg(body.alias("body")).select(F.concat(F.lit("  <rdf:Description "), "about", F.lit(">\n"), "body", F.lit("\n  </rdf:Description>")).alias("value"))
+
+
+def write_rdfxml(quads: DataFrame, path: str) -> None:
+    """A folder of files, each a document of its own."""
+
+    def documents(frames):
+        yield pd.DataFrame({"value": [RDFXML_HEAD.rstrip()]})
+        yield from frames
+        yield pd.DataFrame({"value": [RDFXML_TAIL.strip()]})
+
+    to_rdfxml(quads).mapInPandas(documents, "value string").write.mode("overwrite").text(path)
+
+
 def pages(catalog: Catalog, form: str = "markdown") -> DataFrame:
     """name, content of an index, the hierarchy, the properties and one page for each ontology.
 
