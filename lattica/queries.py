@@ -443,7 +443,7 @@ define("q19_sparql_row_cap", lambda c: run_sparql(c, _P + "SELECT ?s ?o WHERE {
 _sparql("q7_undef", f"SELECT ?s ?k WHERE {{ VALUES (?s ?k) {{ (<{T}part/1> UNDEF) (UNDEF '50') }} ?s t:size ?k }}", f"SELECT {_I('s')} AS s, {_L('o')} AS k FROM q WHERE p = '{T}size' AND s = '{T}part/1' UNION ALL SELECT {_I('s')}, {_L('o')} FROM q WHERE p = '{T}size' AND o = '50'")
 _sparql("q12_path_star", "SELECT ?x WHERE { ?x rdfs:subClassOf* t:Place }", f"w(x) AS (SELECT '{T}Place' UNION SELECT s FROM q JOIN w ON o = x WHERE p = '{_RDFS}subClassOf') SELECT {_I('x')} AS x FROM w")
 _sparql("q12_path_inverse_alternative", "SELECT DISTINCT ?x ?y WHERE { ?x (^t:placedBy|t:segment) ?y }", f"SELECT DISTINCT {_I('o')} AS x, {_I('s')} AS y FROM q WHERE p = '{T}placedBy' UNION SELECT DISTINCT {_I('s')}, {_L('o')} FROM q WHERE p = '{T}segment'")
-_sparql("q9_sum", "SELECT ?c (SUM(?v) AS ?total) WHERE { ?o t:placedBy ?c ; t:totalprice ?v } GROUP BY ?c", f"SELECT {_I('a.o')} AS c, {_NUM("regexp_replace(regexp_replace(CAST(sum(CAST(b.o AS DECIMAL(18,2))) AS VARCHAR), '0+$', ''), '[.]$', '')", 'decimal')} AS total FROM q a JOIN q b ON a.s = b.s AND b.p = '{T}totalprice' WHERE a.p = '{T}placedBy' GROUP BY a.o")
+_sparql("q9_sum", "SELECT ?c (SUM(?v) AS ?total) WHERE { ?o t:placedBy ?c ; t:totalprice ?v } GROUP BY ?c", f"SELECT {_I('a.o')} AS c, {_NUM("regexp_replace(CAST(sum(CAST(b.o AS DECIMAL(18,2))) AS VARCHAR), '([.][0-9])0$', '\\1')", 'decimal')} AS total FROM q a JOIN q b ON a.s = b.s AND b.p = '{T}totalprice' WHERE a.p = '{T}placedBy' GROUP BY a.o")
 _sparql("q9_group_concat", "SELECT ?g (GROUP_CONCAT(DISTINCT ?k; separator='|') AS ?all) WHERE { ?c t:segment ?g . ?c a ?k FILTER(?k = owl:NamedIndividual) } GROUP BY ?g", f"SELECT {_L('o')} AS g, '\"http://www.w3.org/2002/07/owl#NamedIndividual\"' AS \"all\" FROM q WHERE p = '{T}segment' GROUP BY o")
 
 # -- scalar functions over whole tables
