@@ -161,10 +161,10 @@ def _cross_links(cells: DataFrame, least: int, percent: int) -> DataFrame:
         found = []
         if len(left) and len(right):
             nodes, sizes, sigs = right["node"].to_numpy(), right["n"].to_numpy(), np.stack(right["sig"].to_numpy())
-            posted: dict[int, np.ndarray] = {}
+            posted: dict[int, list[int]] = {}
             for k, prefix in enumerate(right["prefix"]):
                 for value in prefix[prefix < token].tolist():
-                    posted.setdefault(value, np.zeros(len(nodes), bool))[k] = True
+                    posted.setdefault(value, []).append(k)
             sets = [shingle_set(words_of(t)) for t in right["text"]]
             order = np.argsort(np.concatenate(sets), kind="stable")
             owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
@@ -184,7 +184,7 @@ def _cross_links(cells: DataFrame, least: int, percent: int) -> DataFrame:
                     ok &= nodes > node
                 for value in prefix[prefix < token].tolist():
                     if value in posted:
-                        ok &= ~posted[value]
+                        ok[posted[value]] = False
                 at = np.flatnonzero(ok)
                 at = at[(sigs[at] == sig).sum(1) >= least]
                 if not len(at):
