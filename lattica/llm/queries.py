@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.llm import oracles
 from lattica.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +109,32 @@ def op7_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.licenses import scanned
 
     return scanned(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.conversations import damaged, repaired
+
+    out = repaired(damaged(table(spark, sf_dir, "conversations")))
+    return out.withColumn("repaired_sha256", F.sha2(F.col("repaired").cast("binary"), 256)).drop("repaired")
+
+
+ORACLE_SQL["op11_conversation_repair"] = oracles.REPAIR
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.resample import resampled
+
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op12_importance_resampling"] = oracles.RESAMPLING
+
+
+@query
+def op13_toxicity_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.toxic import scored
+
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return scored(table(spark, sf_dir, "documents"), labels)
