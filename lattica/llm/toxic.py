@@ -27,7 +27,7 @@ from lattica.llm.common import fold, written
 ORDERS, BITS, SEEN, PENALTY, ROUNDS = (3, 4, 5, 6), 18, 3, 1e-4, 25
 BUCKETS = 1 << BITS
 #: About so many labelled rows are learned from, chosen by hash of the id where there are more.
-SAMPLE = 16_384
+SAMPLE = 8_192
 #: Partitions that sum gradients (what the driver adds up is bounded by this and BUCKETS), and characters read at once.
 SUMMING, PIECE = 8, 1 << 20
 #: Ids of labelled rows that may be broadcast: 16 MB.
@@ -48,6 +48,19 @@ def buckets(text: str | None) -> np.ndarray:
     return np.flatnonzero(present).astype(np.int32)
 
 
+HIGH = max(1, BUCKETS >> 16)
+
+
+def packed(found: np.ndarray) -> bytes:
+    """Two bytes a bucket: how many there are by their upper bits, and the lower bits of each."""
+    return np.bincount(found >> 16, minlength=HIGH).astype(np.uint32).tobytes() + (found & 0xFFFF).astype(np.uint16).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    upper = np.repeat(np.arange(HIGH, dtype=np.int32) << 16, np.frombuffer(raw[: 4 * HIGH], dtype=np.uint32))
+    return upper + np.frombuffer(raw[4 * HIGH :], dtype=np.uint16)
+
+
 def log_count_ratios(positive: np.ndarray, negative: np.ndarray, positives: float, negatives: float) -> np.ndarray:
     """By bucket, from the labelled rows of each kind that hold it; rare buckets have none."""
     ratio = np.log((positive + 1) / (positives + 2)) - np.log((negative + 1) / (negatives + 2))
@@ -58,7 +71,7 @@ class Rows:
     """Buckets of several texts in one array."""
 
     def __init__(self, batch: pa.RecordBatch):
-        parts = [np.frombuffer(x, dtype=np.int32) for x in batch.column(1).to_pylist()]
+        parts = list(map(unpacked, batch.column(1).to_pylist()))
         self.y = batch.column(0).to_numpy(zero_copy_only=False)
         self.sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         self.at = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
@@ -131,13 +144,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = written(labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.avg("label").alias("y")), "toxic-labels")
     n = known.count()
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(min(1.0, SAMPLE / max(1, n)) * (1 << 20)))
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen) if n <= BROADCAST else chosen, "doc_id").select("y", "text")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen) if n <= BROADCAST else chosen, "doc_id").select("y", "text").repartition(SUMMING)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"y": batch.column(0), "buckets": pa.array([buckets(x).tobytes() for x in batch.column(1).to_pylist()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"y": batch.column(0), "buckets": pa.array([packed(buckets(x)) for x in batch.column(1).to_pylist()], pa.binary())})
 
-    train = written(labelled.mapInArrow(run, "y double, buckets binary").repartition(SUMMING), "toxic-train").coalesce(SUMMING)
+    train = written(labelled.mapInArrow(run, "y double, buckets binary"), "toxic-train").coalesce(SUMMING)
     counts = summed(train, lambda rows: np.concatenate([rows.spread(rows.y), rows.spread(1 - rows.y), [rows.y.sum(), len(rows.y)]]))
     positives, rows = (counts[-2], counts[-1]) if len(counts) > 1 else (0.0, 0.0)
     if positives in (0.0, rows):

@@ -167,6 +167,7 @@ def test_buckets_are_those_of_all_ngrams(monkeypatch):
         return (h * 0xD6E8FEB86659FD93) % 2**64 >> 64 - toxic.BITS
 
     even = " ab c é𝒳" + "x" * 50 + " "
+    assert toxic.unpacked(toxic.packed(whole)).tolist() == whole.tolist() and toxic.unpacked(toxic.packed(whole[:0])).tolist() == []
     assert whole.tolist() == sorted({bucket(even[i : i + n]) for n in toxic.ORDERS for i in range(len(even) - n + 1)})
 
 
@@ -175,7 +176,7 @@ def test_ratios_and_gradient_by_hand():
     ratio = toxic.log_count_ratios(positive, negative, 4, 10)
     assert ratio.tolist() == pytest.approx([math.log(4 / 6) - math.log(2 / 12), math.log(1 / 6) - math.log(10 / 12), 0])
     rng = np.random.default_rng(1)
-    batch = pa.RecordBatch.from_pydict({"y": pa.array([0.0, 1, 1, 0.5]), "buckets": pa.array([np.sort(rng.choice(60, n, replace=False)).astype(np.int32).tobytes() for n in (5, 0, 9, 3)], pa.binary())})
+    batch = pa.RecordBatch.from_pydict({"y": pa.array([0.0, 1, 1, 0.5]), "buckets": pa.array([toxic.packed(np.sort(rng.choice(60, n, replace=False))) for n in (5, 0, 9, 3)], pa.binary())})
     rows, w = toxic.Rows(batch), rng.normal(size=toxic.BUCKETS)
     at = toxic.loss(rows, w, 0.3)
     for k in (0, 7, 31, 59):
