@@ -1,13 +1,12 @@
-"""Reasoning by rules: RDFS and a subset of OWL 2 RL as fixpoints of joins over axiom rows.
+"""Reasoning as fixpoints of joins over axiom rows.
 
-Profiles: rdfs (subclass and subproperty closure, types, domains, ranges) and rl (also equivalence, inverse, symmetric
-and transitive properties, chains of two, sameAs). el, dl and auto run the rl rules and say that they are incomplete:
-nothing is called consistent that these rules can't decide."""
+Profiles: rdfs (subclass and subproperty closure, types, domains, ranges); rl (also equivalence, inverse, symmetric and
+transitive properties, chains, sameAs); el (classification by completion, with existential restrictions: see ``el``). dl and
+auto classify by the el rules and name what these don't decide: nothing is called consistent that the rules can't decide."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +14,13 @@ from pyspark.sql import functions as F
 from lattica.catalog import Catalog
 from lattica.functions import manchester
 from lattica.model import MAX_RESULT_ROWS, NAMED_INDIVIDUAL, NOTHING, THING, LatticaError
-from lattica.operators.fixpoint import MAX_ROUNDS, closure, components, reachable
+from lattica.operators import el
+from lattica.operators.fixpoint import MAX_ROUNDS, closure, components
 from lattica.storage import Grown, cut
 
 PROFILES = ["rdfs", "rl", "el", "dl", "auto"]
+
+
 def _simple() -> Column:
     """A named class or property, no expression."""
     return ~F.col("object").rlike(r"\s")
@@ -43,43 +45,70 @@ def _conjuncts(catalog: Catalog) -> DataFrame:
     return rows.select(F.col("subject").alias("child"), F.explode(F.split("object", " and ")).alias("parent")).where(~F.col("parent").rlike(r"\s"))
 
 
-@dataclass(frozen=True)
 class Classification:
-    profile: str
-    edges: DataFrame  # child, parent: the transitive hierarchy
-    inferred: DataFrame  # child, parent that isn't asserted
-    unsatisfiable: DataFrame  # iri
-    equivalences: DataFrame  # node, component
-    warnings: list[str]
+    """The hierarchy that a profile's rules entail; each part is worked out when it is first asked for."""
+
+    def __init__(self, catalog: Catalog, profile: str):
+        if profile not in PROFILES:
+            raise LatticaError(f"unknown profile: {profile}")
+        self.catalog, self.profile = catalog, profile
+
+    @cached_property
+    def asserted(self) -> DataFrame:
+        return cut(asserted_edges(self.catalog), "asserted")
+
+    @cached_property
+    def saturated(self) -> el.Saturated:
+        return el.saturate(self.catalog)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """child, parent: the transitive hierarchy."""
+        if self.profile not in ("rdfs", "rl"):
+            return self.saturated.edges
+        edges = self.asserted
+        if self.profile != "rdfs":
+            eq = _pairs(_axioms(self.catalog, "equivalent_class").where(_simple())).select(F.col("a").alias("child"), F.col("b").alias("parent"))
+            edges = edges.union(eq).union(eq.select("parent", "child")).union(_conjuncts(self.catalog)).distinct()
+        full = closure(edges.select(F.col("child").alias("a"), F.col("parent").alias("b")))
+        return cut(full.where("a <> b").select(F.col("a").alias("child"), F.col("b").alias("parent")), "closure")
+
+    @cached_property
+    def inferred(self) -> DataFrame:
+        """child, parent that isn't asserted."""
+        return self.edges.join(self.asserted, ["child", "parent"], "left_anti")
+
+    @cached_property
+    def unsatisfiable(self) -> DataFrame:
+        """iri"""
+        return unsatisfiable(self.catalog, self.edges) if self.profile in ("rdfs", "rl") else self.saturated.unsatisfiable
+
+    @cached_property
+    def equivalences(self) -> DataFrame:
+        """node, component (its smallest node): as the hierarchy is transitive, all of a cluster are above each other."""
+        back = self.edges.select(F.col("parent").alias("child"), F.col("child").alias("parent"))
+        both = self.edges.join(back, ["child", "parent"], "left_semi")
+        return both.groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("m")).select("node", F.least("node", "m").alias("component"))
+
+    @cached_property
+    def warnings(self) -> list[str]:
+        notes = None if self.profile in ("rdfs", "rl") else self.saturated.notes
+        return profile_warnings(self.catalog, self.profile, notes)
 
 
 def classify(catalog: Catalog, profile: str = "rl") -> Classification:
-    if profile not in PROFILES:
-        raise LatticaError(f"unknown profile: {profile}")
-    asserted = cut(asserted_edges(catalog), "asserted")
-    edges = asserted
-    if profile != "rdfs":
-        eq = _pairs(_axioms(catalog, "equivalent_class").where(_simple())).select(F.col("a").alias("child"), F.col("b").alias("parent"))
-        edges = edges.union(eq).union(eq.select("parent", "child")).union(_conjuncts(catalog)).distinct()
-    full = closure(edges.select(F.col("child").alias("a"), F.col("parent").alias("b")))
-    up = cut(full.where("a <> b").select(F.col("a").alias("child"), F.col("b").alias("parent")), "closure")
-    both = up.join(up.select(F.col("parent").alias("child"), F.col("child").alias("parent")), ["child", "parent"], "left_semi")
-    equivalences = components(both.select(F.col("child").alias("a"), F.col("parent").alias("b")))
-    inferred = up.join(asserted, ["child", "parent"], "left_anti")
-    warnings = profile_warnings(catalog, profile)
-    return Classification(profile, up, inferred, unsatisfiable(catalog, up), equivalences, warnings)
+    return Classification(catalog, profile)
 
 
 def unsatisfiable(catalog: Catalog, up: DataFrame) -> DataFrame:
-    """iri of classes below owl:Nothing or below two disjoint classes, and of all classes below those."""
+    """iri of classes below owl:Nothing or below two disjoint classes, of a transitive hierarchy: what is below such a
+    class is below both, too."""
     self_up = up.union(up.select("child", F.col("child").alias("parent"))).distinct()
     disjoint = _pairs(_axioms(catalog, "disjoint_class").where(_simple()))
     disjoint = disjoint.union(disjoint.select("b", "a")).distinct()
     x = self_up.select(F.col("child").alias("iri"), F.col("parent").alias("a"))
     clash = x.join(disjoint, "a").join(self_up.select(F.col("child").alias("iri"), F.col("parent").alias("b")), ["iri", "b"], "left_semi").select("iri")
-    seeds = clash.union(catalog.spark.createDataFrame([(NOTHING,)], "iri string"))
-    down = up.select(F.col("parent").alias("a"), F.col("child").alias("b"))
-    return reachable(down, seeds.select(F.col("iri").alias("node"))).select(F.col("node").alias("iri")).where(F.col("iri") != NOTHING)
+    return clash.union(up.where(F.col("parent") == NOTHING).select("child")).distinct().where(F.col("iri") != NOTHING)
 
 
 # Kinds of axioms that each profile's rules read.
@@ -89,12 +118,13 @@ _READ = {
 }
 
 
-def profile_warnings(catalog: Catalog, profile: str) -> list[str]:
-    known = _READ.get(profile, _READ["rl"])
+def profile_warnings(catalog: Catalog, profile: str, notes: DataFrame | None = None) -> list[str]:
+    """notes: what the el rules left out, where that is known."""
+    if profile not in ("rdfs", "rl"):
+        return el.warnings(catalog, el.normal_form(catalog).where("form = 'note'") if notes is None else notes, profile)
+    known = _READ[profile]
     counts = {r.axiom_kind: r["count"] for r in catalog.axioms.groupBy("axiom_kind").count().collect()}
     out = [f"{profile}: {n} axioms of kind {k} are not used" for k, n in sorted(counts.items()) if k not in known]
-    if profile in ("el", "dl", "auto"):
-        out.append(f"{profile}: decided by the rl rules, which are incomplete for it")
     complex_ = catalog.axioms.where((F.col("axiom_kind") == "sub_class_of") & ~_simple()).count()
     return out + ([f"{profile}: {complex_} complex superclasses are used in part only"] if complex_ else [])
 
@@ -112,15 +142,24 @@ def same_as(catalog: Catalog) -> DataFrame:
 
 
 def facts(catalog: Catalog, profile: str = "rl") -> DataFrame:
-    """s, p, o: object property assertions and what sub-properties, inverses, symmetry, transitivity, chains of two and
-    sameAs add, to a fixpoint. Transitive properties are closed by doubling paths; the rest goes in rounds of new facts."""
+    """s, p, o: object property assertions and what sub-properties, inverses, symmetry, transitivity, chains and sameAs add,
+    to a fixpoint. Transitive properties are closed by doubling paths; the rest goes in rounds of new facts. A chain is an
+    automaton whose states are its beginnings: what has gone through one is a fact of that name until the chain ends."""
     known = cut(_axioms(catalog, "object_property_assertion").select(F.col("subject").alias("s"), F.col("predicate").alias("p"), F.col("object").alias("o")).distinct(), "facts")
     sub = _pairs(_axioms(catalog, "sub_object_property_of", *(["equivalent_object_properties"] if profile != "rdfs" else [])))
     inverse = _pairs(_axioms(catalog, "inverse_object_properties"))
     flag = lambda c: catalog.entities.where(F.col(f"characteristics.{c}")).select(F.col("iri").alias("p"))
     symmetric, transitive = flag("symmetric"), flag("transitive")
-    chains = _axioms(catalog, "property_chain").select(F.split("object", " o ").alias("x"), F.col("subject").alias("p")).where("size(x) = 2").select(F.get("x", F.lit(0)).alias("p1"), F.get("x", F.lit(1)).alias("p2"), "p")
-    chains = cut(chains.union(transitive.select("p", F.col("p").alias("p2"), F.col("p").alias("p3"))), "chains")
+    listed = _axioms(catalog, "property_chain").select(F.split("object", " o ").alias("x"), F.col("subject").alias("p")).withColumn("n", F.size("x"))
+    begun = lambda k: F.array_join(F.slice("x", 1, k), " o ")
+    chains = listed.where("n > 1").select("p", "n", "x", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("k"))
+    chains = chains.select(begun(F.col("k")).alias("p1"), F.get("x", F.col("k")).alias("p2"), F.when(F.col("k") == F.col("n") - 1, F.col("p")).otherwise(begun(F.col("k") + 1)).alias("p"))
+    chains = cut(chains.union(transitive.select("p", F.col("p").alias("p2"), F.col("p").alias("p3"))).distinct(), "chains")
+    if profile != "rdfs":
+        sub = sub.union(listed.where("n = 1").select(F.get("x", F.lit(0)), "p"))
+        # A link of a chain may be an inverse: its facts stand under that name.
+        turned = listed.select(F.explode("x").alias("b")).where("b LIKE 'inverse %'").select(F.substring("b", 9, 1 << 30).alias("a"), "b").distinct()
+        inverse = inverse.union(turned)
     same = cut(same_as(catalog), "same") if profile != "rdfs" else None
     new, all_ = known, Grown(known, "facts")
     for _ in range(MAX_ROUNDS):
@@ -142,6 +181,7 @@ def facts(catalog: Catalog, profile: str = "rl") -> DataFrame:
         all_.add(new)
     if same is None:
         return known
+    known = known.where(~F.contains("p", F.lit(" ")))
     # What holds of a cluster's representative holds of its members.
     member = same.where("node <> component")
     wide = known.union(known.join(member.select(F.col("component").alias("s"), "node"), "s").select(F.col("node").alias("s"), "p", "o")).distinct()
@@ -157,8 +197,8 @@ def types(catalog: Catalog, up: DataFrame, profile: str = "rl") -> DataFrame:
     own = reduce(DataFrame.union, [asserted, f.join(domain, "p").select(F.col("s").alias("individual"), "type"), f.join(range_, "p").select(F.col("o").alias("individual"), "type")])
     if profile != "rdfs":
         same = same_as(catalog)
-        pairs = same.join(same.select(F.col("node").alias("other"), "component"), "component").where("node <> other")
-        own = own.union(own.join(pairs.select(F.col("node").alias("individual"), "other"), "individual").select(F.col("other").alias("individual"), "type"))
+        of_cluster = own.join(same.withColumnRenamed("node", "individual"), "individual").select("component", "type").distinct()
+        own = own.union(of_cluster.join(same, "component").select(F.col("node").alias("individual"), "type"))
     own = cut(own.distinct(), "types")
     above = own.join(up.select(F.col("child").alias("type"), "parent"), "type").select("individual", F.col("parent").alias("type"))
     return own.union(above).where(~F.col("type").isin(THING, NAMED_INDIVIDUAL)).distinct()
@@ -175,7 +215,19 @@ def realize(catalog: Catalog, profile: str = "rl", result: Classification | None
 
 
 def check_instance(catalog: Catalog, individual: str, class_iri: str, profile: str = "rl") -> bool:
-    return not realize(catalog, profile).where((F.col("individual") == individual) & (F.col("type") == class_iri)).isEmpty()
+    """Only what is at or below the class is looked at; facts are worked out only if a domain or range leads there."""
+    if class_iri in (THING, NAMED_INDIVIDUAL):
+        return False
+    up = classify(catalog, profile).edges
+    below = cut(up.where(F.col("parent") == class_iri).select(F.col("child").alias("type")).union(catalog.spark.createDataFrame([(class_iri,)], "type string")).distinct(), "below")
+    told = _axioms(catalog, "class_assertion").where(F.col("subject") == individual).select(F.col("object").alias("type"))
+    if not told.join(below, "type", "left_semi").isEmpty():
+        return True
+    leads = _axioms(catalog, "domain", "range").select(F.col("object").alias("type")).join(below, "type", "left_semi")
+    same = profile != "rdfs" and not _axioms(catalog, "same_individual").where((F.col("subject") == individual) | (F.col("object") == individual)).isEmpty()
+    if leads.isEmpty() and not same:
+        return False
+    return not types(catalog, up.join(below.withColumnRenamed("type", "parent"), "parent", "left_semi").select("child", "parent"), profile).where((F.col("individual") == individual) & (F.col("type") == class_iri)).isEmpty()
 
 
 def inferred_assertions(catalog: Catalog, profile: str = "rl") -> dict[str, DataFrame]:
@@ -200,31 +252,17 @@ def check_consistency(catalog: Catalog, profile: str = "rl") -> dict:
 
 # -- explanation
 
-def explain(catalog: Catalog, class_iri: str, most: int = 1) -> list[list[str]]:
-    """Up to ``most`` chains of axioms, shortest first, from an unsatisfiable class to owl:Nothing or to a disjointness.
+def explanations(catalog: Catalog, classes: DataFrame | None = None, most: int = 8, result: Classification | None = None) -> DataFrame:
+    """iri, k, steps: up to ``most`` sets of axioms for each unsatisfiable class (of ``classes``, iri), smallest first."""
+    saturated = (result or classify(catalog, "el")).saturated
+    return el.justifications(saturated, saturated.unsatisfiable if classes is None else classes, most)
+
 
-    Levels of parents are joined one by one; only the chains of one class are gathered."""
+def explain(catalog: Catalog, class_iri: str, most: int = 1) -> list[list[str]]:
+    """Up to ``most`` chains of axioms, shortest first, from an unsatisfiable class to owl:Nothing or to a disjointness."""
     most = max(1, min(8, most))
-    edges = cut(asserted_edges(catalog).union(_pairs(_axioms(catalog, "equivalent_class").where(_simple()))).distinct(), "explain")
-    disjoint = _pairs(_axioms(catalog, "disjoint_class").where(_simple()))
-    up = {class_iri: [(class_iri,)]}
-    frontier, out = [class_iri], []
-    while frontier:
-        steps = edges.join(catalog.spark.createDataFrame([(x,) for x in frontier], "child string"), "child", "left_semi").orderBy("child", "parent").collect()
-        frontier = []
-        for r in steps:
-            for chain in up.get(r.child, [])[:most]:
-                if r.parent not in chain:
-                    if r.parent not in up:
-                        frontier.append(r.parent)
-                    up.setdefault(r.parent, []).append((*chain, r.parent))
-    say = lambda chain: [f"{a} SubClassOf {b}" for a, b in zip(chain, chain[1:])]
-    out += [say(c) for c in up.get(NOTHING, [])]
-    seen = catalog.spark.createDataFrame([(x,) for x in up], "a string")
-    for r in disjoint.join(seen, "a", "left_semi").join(seen.withColumnRenamed("a", "b"), "b", "left_semi").orderBy("a", "b").collect():
-        out += [[*say(x), *say(y), f"{r.a} DisjointWith {r.b}"] for x in up[r.a][:1] for y in up[r.b][:1]]
-    unique = list(dict.fromkeys(tuple(dict.fromkeys(x)) for x in sorted(out, key=lambda x: (len(x), x))))
-    return [list(x) for x in unique[:most]]
+    one = catalog.spark.createDataFrame([(class_iri,)], "iri string")
+    return [list(r.steps) for r in explanations(catalog, one, most).orderBy("k").collect()]
 
 
 # -- DL queries
