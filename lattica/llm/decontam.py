@@ -15,7 +15,8 @@ Defined results: null and empty texts have no windows; items of fewer than WINDO
 fewer than LITERALS words beside placeholders, are not looked for; each pair of a document row and an item gives one
 row, of the lay with most agreement (ties: consistent, verbatim, then the later one) or of the chain of lays if only
 that one suffices; repeated rows give repeated
-results; items with a null id or text take no part; other columns pass through ``clean`` untouched.
+results; items with a null id or text take no part; other columns pass through ``clean`` untouched; texts of any length
+are read whole, in time in proportion to their length and the lays found in them.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ BROADCAST = 2_000_000
 UNITS = "km|cm|mm|kg|mg|lbs?|oz|mph|kmh|ml|litres?|liters?|grams?|metres?|meters?|miles?|feet|inch(?:es)?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|percent|dollars?|euros?|cents?"
 
 
+#: A number with its separators; possessive, as other loops of a group recurse once for each turn.
+NUMBER = r"[0-9]++(?:[.,:/-][0-9]++)*+"
 #: Between the words that are one.
 JOINT = "\x01"
 
@@ -51,7 +54,7 @@ def spaced(text: Column) -> Column:
 def template(text: Column) -> Column:
     """Of an evened text, its words in the same places: literals in lower case, placeholders <name>, <num>, <unit>."""
     x = F.regexp_replace(text, r"(?<=[^ .!?:] )\p{Lu}\p{Ll}\S*", "<name>")
-    x = F.regexp_replace(x, r"[0-9]+(?:[.,:/-][0-9]+)*", "<num>")
+    x = F.regexp_replace(x, NUMBER, "<num>")
     x = F.regexp_replace(x, rf"<num>{JOINT}?(?:{UNITS})(?![\p{{L}}])", "<num><unit>")
     return F.split(F.regexp_replace(F.lower(x), r"[^\p{L}<> ]", ""), " ")
 
@@ -64,7 +67,7 @@ def _windows(words: str, stride: int) -> Column:
     """at, h of the windows of an array column."""
     last = F.size(words) - WINDOW
     at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, WINDOW)).alias("h")))
+    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]).alias("h")))
 
 
 def found(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -72,6 +75,7 @@ def found(docs: DataFrame, items: DataFrame) -> DataFrame:
     texts = docs.where("text IS NOT NULL").select("text")
     own = items.where("item_id IS NOT NULL").select("item_id", spaced(F.col("text")).alias("text"))
     own = own.select("item_id", F.split("text", " ").alias("raw_i"), template(F.col("text")).alias("words_i")).where(F.size("words_i") >= WINDOW + STRIDE - 1)
+    own = written(own, "decontam-items")
     placed = own.select("item_id", "words_i", F.inline(_windows("words_i", 1)))
     literal = F.size(F.filter(F.slice("words_i", F.col("at") + 1, F.lit(WINDOW)), lambda w: ~F.startswith(w, F.lit("<"))))
     windows = placed.where(literal >= LITERALS).select("h", "item_id", F.col("at").alias("at_i"))
@@ -82,16 +86,22 @@ def found(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     keyed = texts.withColumn("key", _key(F.col("text")))
     met = keyed.join(_small(lays.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"]).select("key", spaced(F.col("text")).alias("text")).select("key", F.split("text", " ").alias("raw"), template(F.col("text")).alias("words"))
-    both = lays.join(met, "key").join(own, "item_id")
+    # Written, as in a join they would be worked out anew for each lay.
+    met = written(met, "decontam-met")
+    # Of a text, a lay takes only the words that it covers.
+    sized = lays.join(own.select("item_id", F.size("words_i").alias("n")).groupBy("item_id").agg(F.max("n").alias("n")), "item_id")
+    from_ = F.greatest(F.col("shift"), F.lit(0))
+    covered = lambda c: F.slice(c, from_ + 1, F.greatest(F.col("n") + F.col("shift") - from_, F.lit(0))).alias(c)
+    both = sized.join(met, "key").select("key", "item_id", "shift", (F.col("shift") - from_).alias("off"), covered("raw"), covered("words")).join(own, "item_id")
     place = F.sequence(F.lit(0), F.size("words_i") - 1)
-    equal = F.transform(place, lambda p: F.coalesce(F.get("words", p + F.col("shift")) == F.get("words_i", p), F.lit(False)))
-    laid = both.select("key", "item_id", "shift", "raw", "raw_i", "words_i", F.size("words_i").alias("n"), equal.alias("equal"))
+    equal = F.transform(place, lambda p: F.coalesce(F.get("words", p + F.col("off")) == F.get("words_i", p), F.lit(False)))
+    laid = both.select("key", "item_id", "shift", "off", "raw", "raw_i", "words_i", F.size("words_i").alias("n"), equal.alias("equal"))
     in_run = lambda p: F.exists(F.sequence(p - (WINDOW - 1), p), lambda s: F.forall(F.sequence(s, s + (WINDOW - 1)), lambda t: (t >= 0) & F.coalesce(F.get("equal", t), F.lit(False))))
 
     def cell(p: Column) -> Column:
         slot = F.contains(F.get("words_i", p), F.lit("<"))
         value = lambda raw: F.when(slot, _value(raw))
-        return F.struct(p.alias("p"), (p + F.col("shift")).alias("q"), in_run(p).alias("run"), value(F.get("raw_i", p)).alias("i"), value(F.get("raw", p + F.col("shift"))).alias("d"))
+        return F.struct(p.alias("p"), (p + F.col("shift")).alias("q"), in_run(p).alias("run"), value(F.get("raw_i", p)).alias("i"), value(F.get("raw", p + F.col("off"))).alias("d"))
 
     agree = F.filter(place, lambda p: F.get("equal", p))
     cells = laid.select("key", "item_id", "shift", "n", F.transform(agree, cell).alias("cells"))
@@ -118,8 +128,8 @@ def _judged(cells: Column, size: Column) -> list[Column]:
 
 def _value(raw: Column) -> Column:
     """A slot's value without the punctuation around it: the number without its unit, the last word of a name."""
-    bare = F.regexp_replace(raw, r"^[^\p{L}0-9]+|[^\p{L}0-9]+$", "")
-    return F.when(bare.rlike("^[0-9]"), F.regexp_extract(bare, r"^[0-9]+(?:[.,:/-][0-9]+)*", 0)).otherwise(F.substring_index(bare, JOINT, -1))
+    bare = F.regexp_replace(raw, r"^[^\p{L}0-9]++|(?<![^\p{L}0-9])[^\p{L}0-9]++$", "")
+    return F.when(bare.rlike("^[0-9]"), F.regexp_extract(bare, "^" + NUMBER, 0)).otherwise(F.substring_index(bare, JOINT, -1))
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -19,11 +19,14 @@ distinct words of each text.
 
 Defined results: null text counts as empty; offsets are code points, ends exclusive; spans follow from the text and
 the counts, so repeated rows give repeated results; doc_id may be null or repeated; an empty table gives an empty
-result; columns other than text and n_chars pass through ``redacted`` untouched, whatever their names.
+result; texts of any length are read whole, in time in proportion to their length; columns other than text and n_chars
+pass through ``redacted`` untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,19 +52,69 @@ TERM = r"\p{L}{4,}"
 _SPANS = "array<struct<start: int, end: int, value: string>>"
 
 
+#: Matches that are numbered together, and characters that are rewritten together: what is done to one place costs no more
+#: than that, so that a text's cost is in proportion to its length.
+TOGETHER, PIECE = 256, 4096
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spans(text: Column, pattern: str | Column) -> Column:
     """start, end and value of each match, leftmost first, from the matches and the gaps between them."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    both = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
+
+    def placed(all_: Column) -> Column:
+        """A block's matches, from where the blocks before it end."""
+        blocks = F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(TOGETHER))
+        of = lambda k: F.slice(all_, k + 1, F.lit(TOGETHER))
+        size = lambda k: F.aggregate(of(k), F.lit(0), lambda n, m: n + m["gap"] + F.coalesce(F.length(m["value"]), F.lit(0)))
+        starts = F.aggregate(F.transform(blocks, size), F.array(F.lit(0)), lambda x, n: F.array_append(x, F.element_at(x, -1) + n))
+
+        def add(state: Column, m: Column) -> Column:
+            start = state["at"] + m["gap"]
+            end = start + F.length(m["value"])
+            return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(start.alias("start"), end.alias("end"), m["value"].alias("value"))).alias("out"))
+
+        zero = lambda at: F.struct(at.alias("at"), F.array().cast(_SPANS).alias("out"))
+        return _once(starts, lambda at: F.flatten(F.transform(blocks, lambda k: F.aggregate(of(k), zero(F.get(at, F.floor(k / TOGETHER).cast("int"))), add, lambda state: state["out"]))))
+
+    # The last gap has no match after it.
+    found = _once(both, lambda x: F.when(F.size(x) > 1, F.filter(placed(x), lambda s: s["end"].isNotNull())).otherwise(F.array().cast(_SPANS)))
+    return found
 
-    def add(state: Column, k: Column) -> Column:
-        value = F.get(state["found"], k)
-        start = state["at"] + F.length(F.get(state["gaps"], k))
-        end = start + F.length(value)
-        return F.struct(end.alias("at"), state["found"].alias("found"), state["gaps"].alias("gaps"), F.array_append(state["out"], F.struct(start.alias("start"), end.alias("end"), value.alias("value"))).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), found.alias("found"), gaps.alias("gaps"), F.array().cast(_SPANS).alias("out"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, add, lambda state: state["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(_SPANS))
+def rewritten(text: Column, changes: Column, to: Callable[[Column, Column], Column]) -> Column:
+    """The text with something else in the places of the changes (start, end, more; sorted by start): for each, ``to`` its
+    struct and where the one before it ended; what is covered twice is left out once."""
+
+    def in_pieces(z: Column) -> Column:
+        pieces, all_ = z["pieces"], z["changes"]
+
+        def piece(state: Column, n: Column) -> Column:
+            begin, own = n * PIECE, F.get(pieces, n)
+            # Those that start in this piece are the next ones, and no more than it has characters for each kind.
+            next_ = F.filter(F.slice(all_, state["seen"] + 1, F.lit(PIECE * (len(KINDS) + 1))), lambda s: s["start"] < begin + PIECE)
+
+            def one(st: Column, s: Column) -> Column:
+                before = F.when(s["start"] > st["at"], F.substring(own, st["at"] - begin + 1, s["start"] - st["at"])).otherwise("")
+                return F.struct(F.greatest(st["at"], s["end"]).alias("at"), F.concat(st["out"], before, to(s, st["at"])).alias("out"))
+
+            zero = F.struct(F.greatest(state["at"], begin).alias("at"), F.lit("").alias("out"))
+
+            def whole(st: Column) -> Column:
+                rest = F.when(st["at"] < begin + PIECE, F.substring(own, st["at"] - begin + 1, F.lit(PIECE))).otherwise("")
+                return F.struct(st["at"].alias("at"), F.concat(st["out"], rest).alias("out"))
+
+            return _once(next_, lambda found: _once(F.aggregate(found, zero, one, whole), lambda st: F.struct(st["at"].alias("at"), (state["seen"] + F.size(found)).alias("seen"), F.array_append(state["out"], st["out"]).alias("out"))))
+
+        zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("seen"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(pieces) - 1), zero, piece, lambda state: F.array_join(state["out"], ""))
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), changes.alias("changes"))
+    return F.when(F.size(changes) > 0, _once(both, in_pieces)).otherwise(text)
 
 
 def _digits(value: Column) -> Column:
@@ -99,8 +152,8 @@ def _small(df: DataFrame, weight: Column | None = None) -> DataFrame:
 
 def _masked(text: Column, base: Column) -> Column:
     """The text with blanks in the places of its base spans."""
-    blank = F.aggregate(base, text, lambda t, s: F.overlay(t, F.repeat(F.lit(" "), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"]))
-    return F.when(F.size(base) > 0, blank).otherwise(text)
+    blanks = lambda s, at: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0)))
+    return rewritten(text, F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))), blanks)
 
 
 def _words(masked: Column) -> Column:
@@ -151,13 +204,19 @@ def _lower_bound(share: Column, n: Column) -> Column:
     return (share + z2 / (2 * n) - Z * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
 
 
-def disclosures(described: DataFrame, counts: DataFrame, rows: int) -> DataFrame:
-    """entity, term, disclosure of the pairs that are revealing by the lower bound of their share."""
+def disclosures(described: DataFrame, counts: DataFrame, rows: int, every: bool = True) -> DataFrame:
+    """entity, term, disclosure of the pairs that are revealing by the lower bound of their share; of entities that stand in
+    the same texts only one, if not ``every``."""
     mentions = described.where(F.size("entities") > 0).groupBy("key").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
     mentions = written(mentions, "pii-mentions")
     named = mentions.select("key", "n", F.explode("entities").alias("entity"))
-    entities = named.groupBy("entity").agg(F.sum("n").alias("n_e")).where(F.col("n_e") < rows)
-    named = written(named.join(entities, "entity"), "pii-entities")
+    # Entities of the same texts have the same counts with every term: one stands for all of them.
+    texts = [F.bit_xor(F.xxhash64("key", F.lit(seed))).alias(f"h{seed}") for seed in (1, 2)]
+    entities = named.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts"), *texts).where(F.col("n_e") < rows)
+    entities = written(entities, "pii-entities")
+    same = ["n_e", "texts", "h1", "h2"]
+    first = entities.groupBy(*same).agg(F.min("entity").alias("entity"))
+    named = written(named.join(first.select("entity", "n_e"), "entity"), "pii-named")
     # A share is n_e / n_t at most: terms of too many rows go before they are paired.
     reach = named.groupBy("key").agg(F.max("n_e").alias("reach"))
     terms = mentions.select("key", F.explode("terms").alias("term")).join(reach, "key").join(counts, "term").where(F.col("n_t") * SURE <= F.col("reach"))
@@ -166,7 +225,11 @@ def disclosures(described: DataFrame, counts: DataFrame, rows: int) -> DataFrame
     pairs = pairs.withColumn("share", F.least("n_et", "n_e", "n_t") / F.col("n_t"))
     score = lambda p: F.log(p * total / F.col("n_e")) / F.log(total / F.col("n_e"))
     bound = pairs.withColumn("bound", _lower_bound(F.col("share"), F.col("texts") / F.col("share")))
-    return bound.where((F.col("bound") >= SURE) & (score(F.col("bound")) >= GENERALISE)).select("entity", "term", score(F.col("share")).alias("disclosure"))
+    revealing = bound.where((F.col("bound") >= SURE) & (score(F.col("bound")) >= GENERALISE)).select("entity", "term", score(F.col("share")).alias("disclosure"))
+    if not every:
+        return revealing
+    alike = entities.join(first.withColumnRenamed("entity", "first"), same).select("entity", "first")
+    return revealing.withColumnRenamed("entity", "first").join(alike, "first").select("entity", "term", "disclosure")
 
 
 def occurrences(docs: DataFrame, revealing: DataFrame) -> DataFrame:
@@ -175,20 +238,18 @@ def occurrences(docs: DataFrame, revealing: DataFrame) -> DataFrame:
     terms = _small(written(revealing.groupBy("term").agg(action.alias("action")), "pii-terms"))
     words = _with_spans(docs).select(_key(F.col("text")).alias("key"), F.explode(_words(F.col("masked"))).alias("word"))
     held = words.withColumn("term", F.lower("word")).join(terms, "term")
-    of = lambda name: F.collect_set(F.when(F.col("action") == name, F.col("word"))).alias(name)
-    held = written(held.groupBy("key").agg(F.collect_set("word").alias("words"), of("remove")), "pii-held")
+    held = written(held.select("key", "word", "action").distinct(), "pii-held")
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", _key(F.col("text")))
-    texts = texts.join(_small(held.select("key")), "key", "left_semi").dropDuplicates(["key"])
-    placed = _with_spans(texts, "key").select("key", "masked").join(held, "key")
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("words", "|"), F.lit(r")(?!\p{L})"))
-    done = lambda s: F.when(F.array_contains("remove", s["value"]), "remove").otherwise("generalise")
-    return placed.select("key", F.transform(spans(F.col("masked"), pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), done(s).alias("action"))).alias("terms"))
+    texts = texts.join(_small(held.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
+    placed = _with_spans(texts, "key").select("key", F.inline(spans(F.col("masked"), TERM)))
+    placed = placed.join(held.withColumnRenamed("word", "value"), ["key", "value"])
+    return placed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
 
 
 def found(docs: DataFrame) -> DataFrame:
     """doc_id, key, base and terms (start, end, action) of every document; one row for each row of docs."""
     base = written(described(docs), "pii-base")
-    terms = written(occurrences(docs, disclosures(base, term_counts(docs), base.count())), "pii-spans")
+    terms = written(occurrences(docs, disclosures(base, term_counts(docs), base.count(), every=False)), "pii-spans")
     return base.select("doc_id", "key", "base").join(_small(terms, F.size("terms") + 1), "key", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start: int, end: int, action: string>>")))
 
 
@@ -214,13 +275,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     rows = docs.select(_key(F.coalesce("text", F.lit(""))).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     text = F.col("row.text")
 
-    def replace(state: Column, s: Column) -> Column:
-        inside = s["start"] < state["at"]
-        out = F.when(inside, state["out"]).otherwise(F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), s["to"]))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    new = F.aggregate("spans", zero, replace, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))))
+    new = rewritten(text, F.col("spans"), lambda s, at: F.when(s["start"] < at, "").otherwise(s["to"]))
     kinds = dict(docs.dtypes)
     of = {"text": F.col("new"), "n_chars": F.length("new")}
 

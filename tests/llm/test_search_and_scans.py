@@ -80,8 +80,8 @@ def test_base_spans_equal_the_patterns(spark):
     rows += [(9000, None), (9001, ""), (9002, "é a@b.c.d_x@y.org 4111 1111 1111 1111 1.2.3.4.5.6.7.8 +1 (202) 555-0101 0255.1.1.1 256.1.1.1"), (9003, "1" * 50_000 + "@" + "a." * 20_000), (9002, "x@y.zz"), (None, "q@y.zz")]
     docs = spark.createDataFrame([(i, t, "k", 3) for i, t in rows], "doc_id long, text string, key string, base int")
     got = sorted((str(r.doc_id), ",".join(s for s in r.spans.split(",") if not s.startswith("term"))) for r in pii.report(docs).collect())
-    want = sorted((str(i), ",".join(spans(t)) if len(t or "") < 50_000 else ",".join(f"email:{0}:{50_001 + 39_999}".split())) for i, t in rows)
-    assert [g for g in got if g[0] != "9003"] == [w for w in want if w[0] != "9003"]
+    want = sorted((str(i), ",".join(spans(t)) if len(t or "") < 50_000 else f"email:0:{50_001 + 39_999}") for i, t in rows)
+    assert got == want
 
 
 def test_disclosure_by_hand_and_redaction(spark):
@@ -352,3 +352,50 @@ def test_pipeline_equals_plain_python_and_keeps_odd_rows(spark, tmp_path):
     for t, frame in (("documents", docs), ("labels", None), ("benchmark", None)):
         (frame if frame is not None else spark.read.parquet(f"{sf}/{t}.parquet")).where("false").write.parquet(f"{tmp_path}/none/{t}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_texts_of_a_megabyte_take_seconds(spark):
+    """Dotted digits, addresses and a repeated item: results are as they must be, in time that doesn't grow with the square."""
+    import time
+
+    item = "If Anna has 3 apples and gives 2 to Bob how many apples does Anna keep for the whole week"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    digits, mails, items_text = "see 1" + ".1" * 500_000 + " now", "ab@cd.ef " * 110_000, (item + ". ") * 11_000
+    rows = [(1, digits), (2, mails), (3, items_text), (4, "plain")]
+    for doc_id, text in rows:
+        docs = spark.createDataFrame([(doc_id, text)], "doc_id long, text string")
+        began = time.time()
+        found = decontam.contaminated(docs, items).collect()
+        assert [(r.item_id, r.kind) for r in found] == ([(1, "verbatim")] if doc_id == 3 else [])
+        assert time.time() - began < 60
+        began = time.time()
+        report, redacted = pii.report(docs).first(), pii.redacted(docs).first().text
+        assert time.time() - began < 120
+        if doc_id == 2:
+            assert report.n_email == 110_000 and report.spans == ",".join(f"email:{9 * k}:{9 * k + 8}" for k in range(110_000)) and redacted == "[EMAIL] " * 110_000
+        elif doc_id == 1:
+            assert report.n_ip == 125_000 and redacted == "see " + ".".join(["[IP]"] * 125_000) + ".1 now"
+        else:
+            assert redacted == text and report.spans == ""
+
+
+def test_rewriting_equals_plain_python(spark):
+    """Overlapping changes, over the ends of pieces, in texts of characters of any width."""
+    import random
+
+    rng, rows = random.Random(4), []
+    for i in range(60):
+        text = "".join(rng.choice("abé𝒳 ") for _ in range(rng.choice([0, 5, 40, 4095, 4096, 4097, 9000])))
+        changes = sorted((a := rng.randint(0, len(text)), min(len(text), a + rng.choice([1, 2, 30, 5000])), f"<{k}>") for k in range(rng.choice([0, 1, 3, 60])))
+        rows.append((i, text, [c for c in changes if c[0] < c[1]]))
+    df = spark.createDataFrame(rows, "i int, text string, c array<struct<start: int, end: int, to: string>>")
+    got = {r.i: r.x for r in df.select("i", pii.rewritten(F.col("text"), F.col("c"), lambda s, at: F.when(s["start"] < at, "").otherwise(s["to"])).alias("x")).collect()}
+    blank = {r.i: r.x for r in df.select("i", pii._masked(F.col("text"), F.col("c")).alias("x")).collect()}
+    for i, text, changes in rows:
+        out, at, masked = "", 0, list(text)
+        for start, end, to in changes:
+            if start >= at:
+                out += text[at:start] + to
+            at = max(at, end)
+            masked[start:end] = " " * (end - start)
+        assert got[i] == out + text[at:] and blank[i] == "".join(masked)
