@@ -222,7 +222,7 @@ _D = lambda df: df.select("code", "severity", "message", "file", F.coalesce("ent
 define("d2_j3_broken_imports", lambda c: _D(diagnostics.broken_imports(c)), f"SELECT 'broken_import' AS code, 'error' AS severity, 'import not found in workspace: ' || import_iri AS message, {_OWNER} AS file, '' AS entity_iri FROM imp WHERE import_iri NOT IN (SELECT base_iri FROM doc)")
 define("d4_duplicate_labels", lambda c: _D(diagnostics.duplicate_labels(c)), f"SELECT 'duplicate_label' AS code, 'warning' AS severity, 'duplicate label \"' || l || '\" (also used by other entities)' AS message, {_OWNER} AS file, iri AS entity_iri FROM (SELECT *, lower(trim(label)) AS l, count(*) OVER (PARTITION BY lower(trim(label))) AS n FROM ent WHERE label IS NOT NULL) WHERE n >= 2")
 define("d5_missing_labels", lambda c: _D(diagnostics.missing_labels(c)), f"SELECT 'missing_label' AS code, 'warning' AS severity, kind || ' has no rdfs:label' AS message, {_OWNER} AS file, iri AS entity_iri FROM ent WHERE kind = 'class' AND label IS NULL")
-_ORPHAN = f"SELECT 'orphan_class' AS code, 'warning' AS severity, 'class has no parent in workspace catalog' AS message, {_OWNER} AS file, ent.iri AS entity_iri FROM ent ANTI JOIN (SELECT object AS iri FROM ax WHERE axiom_kind = 'sub_class_of' UNION SELECT subject FROM ax WHERE axiom_kind = 'sub_class_of' AND contains(object, ' ') UNION SELECT subject FROM ax SEMI JOIN ent ON ent.iri = object WHERE axiom_kind = 'sub_class_of') k ON k.iri = ent.iri WHERE ent.kind = 'class'"
+_ORPHAN = f"SELECT 'orphan_class' AS code, 'warning' AS severity, 'class has no parent in workspace catalog' AS message, {_OWNER} AS file, ent.iri AS entity_iri FROM ent WHERE kind = 'class' AND iri NOT IN (SELECT object FROM ax WHERE axiom_kind = 'sub_class_of') AND iri NOT IN (SELECT subject FROM ax WHERE axiom_kind = 'sub_class_of' AND (contains(object, ' ') OR object IN (SELECT iri FROM ent)))"
 define("d6_j4_orphans", lambda c: _D(diagnostics.orphan_classes(c)), _ORPHAN)
 define("a8_severities", lambda c: diagnostics.by_severity(diagnostics.collect(c)), "SELECT severity, count(*) AS n FROM (" + " UNION ALL ".join(x.removeprefix(MAPPING + " ") for x in (ORACLE_SQL["d2_j3_broken_imports"], ORACLE_SQL["d4_duplicate_labels"], ORACLE_SQL["d5_missing_labels"], MAPPING + " " + _ORPHAN)) + ") GROUP BY severity")
 define("d8_config", lambda c: diagnostics.collect(c, {"missing_label": "off", "broken_import": "info", "duplicate_label": "off"}).groupBy("code", "severity").agg(F.count("*").alias("n")), "SELECT 'broken_import' AS code, 'info' AS severity, count(*) AS n FROM imp WHERE import_iri NOT IN (SELECT base_iri FROM doc) UNION ALL SELECT 'orphan_class', 'warning', count(*) FROM ent WHERE iri LIKE '%/Party' AND kind = 'class'")
@@ -273,7 +273,7 @@ _sparql("q2_bgp_join", "SELECT ?o ?c ?n WHERE { ?o t:placedBy ?c . ?c a ?n . ?n
 _sparql("q3_optional", "SELECT ?s ?l WHERE { ?s a owl:Class OPTIONAL { ?s rdfs:label ?l FILTER(STRSTARTS(?l, 'NATION')) } }", f"SELECT {_I('a.s')} AS s, coalesce({_L('b.o')}, '') AS l FROM q a LEFT JOIN q b ON b.s = a.s AND b.p = '{_RDFS}label' AND starts_with(b.o, 'NATION') WHERE a.p = '{_RDF}type' AND a.o LIKE '%owl#Class'")
 _sparql("q4_union", "SELECT ?x WHERE { { ?x t:size '7' } UNION { ?x t:segment 'BUILDING' } }", f"SELECT {_I('s')} AS x FROM q WHERE p = '{T}size' AND o = '7' UNION ALL SELECT {_I('s')} FROM q WHERE p = '{T}segment' AND o = 'BUILDING'")
 _sparql("q5_minus", "SELECT ?x WHERE { ?x a owl:Class MINUS { ?x rdfs:label ?l } }", f"SELECT {_I('s')} AS x FROM q WHERE p = '{_RDF}type' AND o LIKE '%owl#Class' AND s NOT IN (SELECT s FROM q WHERE p = '{_RDFS}label')")
-_sparql("q6_not_exists", "SELECT ?c WHERE { ?c a owl:Class ; rdfs:label ?l FILTER NOT EXISTS { ?o t:contains ?c . ?o t:totalprice ?v FILTER(?v > 200000) } }", f"SELECT {_I('a.s')} AS c FROM q a JOIN q l ON l.s = a.s AND l.p = '{_RDFS}label' ANTI JOIN (SELECT k.o AS s FROM q k JOIN q v ON v.s = k.s AND v.p = '{T}totalprice' AND CAST(v.o AS DOUBLE) > 200000 WHERE k.p = '{T}contains') x ON x.s = a.s WHERE a.p = '{_RDF}type' AND a.o LIKE '%owl#Class'")
+_sparql("q6_not_exists", "SELECT ?c WHERE { ?c a owl:Class ; rdfs:label ?l FILTER NOT EXISTS { ?o t:contains ?c . ?o t:totalprice ?v FILTER(?v > 200000) } }", f"SELECT {_I('a.s')} AS c FROM q a JOIN q l ON l.s = a.s AND l.p = '{_RDFS}label' WHERE a.p = '{_RDF}type' AND a.o LIKE '%owl#Class' AND a.s NOT IN (SELECT '{T}part/' || CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000))")
 _sparql("q6_filter", "SELECT ?o ?v WHERE { ?o t:totalprice ?v FILTER(?v > 100000 && ?v <= 150000.5) }", f"SELECT {_I('s')} AS o, {_NUM('o', 'decimal')} AS v FROM q WHERE p = '{T}totalprice' AND CAST(o AS DOUBLE) > 100000 AND CAST(o AS DOUBLE) <= 150000.5")
 _sparql("q7_bind_values", "SELECT ?s ?n WHERE { VALUES ?k { '1' '2' } ?s t:size ?k BIND(CONCAT('size ', ?k) AS ?n) }", f"SELECT {_I('s')} AS s, '\"size ' || o || '\"' AS n FROM q WHERE p = '{T}size' AND o IN ('1', '2')")
 _sparql("q8_distinct", "SELECT DISTINCT ?g WHERE { ?c t:segment ?g }", f"SELECT DISTINCT {_L('o')} AS g FROM q WHERE p = '{T}segment'")
