@@ -238,12 +238,25 @@ def occurrences(docs: DataFrame, revealing: DataFrame) -> DataFrame:
     terms = _small(written(revealing.groupBy("term").agg(action.alias("action")), "pii-terms"))
     words = _with_spans(docs).select(_key(F.col("text")).alias("key"), F.explode(_words(F.col("masked"))).alias("word"))
     held = words.withColumn("term", F.lower("word")).join(terms, "term")
-    held = written(held.select("key", "word", "action").distinct(), "pii-held")
+    of = lambda name: F.collect_set(F.when(F.col("action") == name, F.col("word"))).alias(name)
+    held = written(held.groupBy("key").agg(F.collect_set("word").alias("words"), of("remove")), "pii-held")
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", _key(F.col("text")))
-    texts = texts.join(_small(held.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
-    placed = _with_spans(texts, "key").select("key", F.inline(spans(F.col("masked"), TERM)))
-    placed = placed.join(held.withColumnRenamed("word", "value"), ["key", "value"])
-    return placed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
+    texts = texts.join(_small(held.select("key")), "key", "left_semi").dropDuplicates(["key"])
+    placed = _with_spans(texts, "key").select("key", "masked").join(held, "key")
+
+    def marked(z: Column) -> Column:
+        """Words are looked up in buckets by hash, as many as keep them short, not in the whole list."""
+        hit = lambda name, s: F.array_contains(F.get(z[name], _bucket(s["value"], F.size(z["words"]))), s["value"])
+        done = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(hit("remove", s), "remove").otherwise("generalise").alias("action"))
+        return F.transform(F.filter(z["all"], lambda s: hit("words", s)), done)
+
+    n = F.ceil(F.sqrt(F.size("words"))).cast("int")
+    dealt = lambda c: F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.filter(c, lambda w: _bucket(w, n) == b)).alias(c)
+    return placed.select("key", _once(F.struct(spans(F.col("masked"), TERM).alias("all"), dealt("words"), dealt("remove")), marked).alias("terms"))
+
+
+def _bucket(word: Column, n: Column) -> Column:
+    return F.pmod(F.hash(word), n)
 
 
 def found(docs: DataFrame) -> DataFrame:
