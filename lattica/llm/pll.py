@@ -36,8 +36,8 @@ from lattica.llm.common import written
 OWN, SHARED, KEPT = 191, 64, 100_000
 CLASSES = OWN + SHARED
 #: Groups, and leaves of each: GROWTH * words ** 0.25, LEAST at least.
-GROWTH, LEAST = 2, 8
-WINDOW, UNITS, ROUNDS, RATE, BATCH = 2, 16, 2, 0.2, 16_384
+GROWTH, LEAST = 3, 8
+WINDOW, UNITS, ROUNDS, RATE, BATCH = 2, 24, 2, 0.2, 16_384
 #: Distinct words that a task counts before it hands them on; words a worker remembers; tokens scored at once; tokens
 #: whose windows are laid out at once.
 COUNTING, CACHE, AT_ONCE, LAID = 300_000, 500_000, 8_192, 400_000
