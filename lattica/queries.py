@@ -17,7 +17,7 @@ from lattica.operators import diagnostics, diff, fixpoint, graph, usages
 from lattica.plans.sparql import run_sparql
 from lattica.plans.sqlgate import run_sql
 from lattica.sources.tables import BASE, MAPPING, stored
-from lattica.storage import shared_dir
+from lattica.storage import cut, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -339,7 +339,7 @@ def _with_rule(c: Catalog) -> Catalog:
 # -- sources and sinks, round trips through text
 
 from lattica import sinks  # noqa: E402
-from lattica.operators import refactor  # noqa: E402
+from lattica.operators import edits, refactor  # noqa: E402
 from lattica.sources import incremental, rdf, scan, turtle  # noqa: E402
 from lattica.streaming import reindex  # noqa: E402
 
@@ -454,6 +454,30 @@ def _delta(c: Catalog) -> DataFrame:
     return of(there, T + "zone/1", "applied").union(of(back, T + "region/1", "inverted")).union(same)
 
 
+def _sources(c: Catalog) -> DataFrame:
+    return cut(_blocks(c, sinks.to_turtle(c.quads)).select(F.concat(F.lit("/m/"), "k", F.lit(".ttl")).alias("path"), "text"), "sources")
+
+
+def _edited(c: Catalog, files: DataFrame, made: DataFrame) -> DataFrame:
+    """Quads of the files after edits."""
+    after = edits.apply(files, made).where("state = 'ok'").select("path", F.col("text").alias("new"))
+    texts = files.join(after, "path", "left").select("path", F.coalesce("new", "text").alias("text"))
+    none = c.spark.createDataFrame([], "path string, content binary, modified_time bigint, size bigint")
+    return _QUADS(scan.parse_files(scan.described(none, texts)))
+
+
+def _relabelled(c: Catalog) -> DataFrame:
+    """Labels of parts become values of another predicate, in the sources."""
+    files = _sources(c)
+    found = edits.statements(files).where(f"p = '{_RDFS}label' AND s LIKE '{T}part/%'").select("path", "s", "p", "o", "o_kind", "o_datatype", "o_lang")
+    changes = found.select("path", F.lit("remove").alias("op"), "s", "p", "o", "o_kind", "o_datatype", "o_lang").union(found.select("path", F.lit("add"), "s", F.lit(T + "altLabel"), "o", "o_kind", "o_datatype", "o_lang"))
+    return _edited(c, files, cut(edits.triple_edits(files, changes), "edits")).where(f"p IN ('{_RDFS}label', '{T}altLabel')").select("s", "p", "o")
+
+
+define("e4_source_labels", _relabelled, f"SELECT DISTINCT s, CASE WHEN s LIKE '{T}part/%' THEN '{T}altLabel' ELSE p END AS p, o FROM q WHERE p = '{_RDFS}label'")
+define("e4_source_rename", lambda c: (lambda files: _edited(c, files, cut(edits.rename(files, T + "placedBy", T + "orderedBy"), "edits")).where(f"p = '{T}orderedBy' OR s = '{T}orderedBy'").drop("dt", "o_kind"))(_sources(c)), f"SELECT DISTINCT CASE WHEN s = '{T}placedBy' THEN '{T}orderedBy' ELSE s END AS s, CASE WHEN p = '{T}placedBy' THEN '{T}orderedBy' ELSE p END AS p, o FROM q WHERE p = '{T}placedBy' OR s = '{T}placedBy'")
+
+
 # -- what is refused, and what is said of it
 
 _SQL_CASES = [("SELECT iri FROM classes", "ok"), ("DELETE FROM classes", "refused"), ("SELECT count(*) FROM classes", "refused"), ("SELECT iri FROM classes WHERE deprecated", "refused"), ("SELECT iri FROM classes WHERE iri LIKE 'a'", "refused"), ("SELECT iri FROM classes WHERE iri > 'a'", "refused"), ("SELECT iri FROM nowhere", "refused"), ("SELECT nothing FROM classes", "refused"), ("SELECT iri FROM classes ORDER BY iri", "refused"), ("SELECT iri FROM classes UNION SELECT iri FROM individuals", "refused"), ("SELECT iri FROM classes; SELECT iri FROM classes", "refused")]
