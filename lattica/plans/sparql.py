@@ -245,47 +245,98 @@ class Compiler:
 
     # -- joins
 
+    def _sides(self, x: Solution, y: Solution, loose: list[str], null: frozenset[str] | None = None) -> tuple[DataFrame, DataFrame, list[Column]]:
+        """Both sides with keys, and equalities that hold for compatible mappings and for each pair of rows once.
+
+        A variable that may be unbound on a side is no reason for a nested loop. Its key is the value, or a mark: L where
+        the left is unbound, R where only the right is. A row has a key for each way in which it can be met. ``null``: the
+        right rows are those in which these variables are unbound and the others are not; then a left row has one key."""
+        left, right = x.df.drop("__one"), y.df.select(*[F.col(n).alias(f"__r_{n}") for n in sorted(y.names)])
+        if not y.names:
+            right = y.df.select(F.lit(1).alias("__r"))
+        if not left.columns:
+            left = x.df.select(F.lit(1).alias("__l"))
+        sure = sorted((x.names & y.names) - set(loose))
+        on = [F.col(n) == F.col(f"__r_{n}") for n in sure]
+        if null is not None:
+            for n in sorted(loose):
+                right = right.where(F.col(f"__r_{n}").isNull() if n in null else F.col(f"__r_{n}").isNotNull())
+            loose = [n for n in loose if n not in null]
+        for k, n in enumerate(sorted(loose)):
+            a, b = F.col(n), F.col(f"__r_{n}")
+            left_may, right_may = n not in x.bound, null is None and n not in y.bound
+            value = lambda c: F.concat(F.lit("="), c)
+            mine = F.when(a.isNotNull(), F.array(value(a), F.lit("R")) if right_may else F.array(value(a))).otherwise(F.array(F.lit("L")))
+            theirs = F.when(b.isNotNull(), F.array(value(b), F.lit("L")) if left_may else F.array(value(b))).otherwise(F.array(F.lit("R"), F.lit("L")) if left_may else F.array(F.lit("R")))
+            left, right = left.withColumn(f"__a{k}", F.explode(mine) if right_may else F.get(mine, F.lit(0))), right.withColumn(f"__b{k}", F.explode(theirs) if left_may or right_may else F.get(theirs, F.lit(0)))
+            on.append(F.col(f"__a{k}") == F.col(f"__b{k}"))
+        return left, right, on
+
+    @staticmethod
+    def _loose(x: Solution, y: Solution) -> list[str]:
+        return sorted(n for n in x.names & y.names if n not in x.bound or n not in y.bound)
+
+    def _nulls(self, y: Solution, loose: list[str]) -> list[frozenset[str]]:
+        """The ways in which variables can be unbound on the right."""
+        out = [frozenset()]
+        for n in loose:
+            if n not in y.bound:
+                out += [q | {n} for q in out]
+        return out
+
     def join(self, x: Solution, y: Solution, how: str = "inner", condition=None) -> Solution:
-        """Compatible mappings. Variables that may be unbound on a side match null, which needs a condition beside the keys."""
+        """Compatible mappings; what may be unbound on a side is joined by marks instead of a condition."""
         if x.df is None:
             return y
         if y.df is None:
             return x
-        shared = x.names & y.names
-        sure = [n for n in shared if n in x.bound and n in y.bound]
-        loose = [n for n in shared if n not in sure]
-        right = y.df.select(*[F.col(n).alias(f"__r_{n}") for n in y.names], *[c for c in y.df.columns if c not in y.names and c != "__one"])
-        on = [F.col(n) == F.col(f"__r_{n}") for n in sure]
-        on += [(F.col(n) == F.col(f"__r_{n}")) | F.col(n).isNull() | F.col(f"__r_{n}").isNull() for n in loose]
+        shared, loose, both = x.names & y.names, self._loose(x, y), set(x.names | y.names)
         merged = {n: F.coalesce(F.col(n), F.col(f"__r_{n}")) if n in loose else F.col(n) for n in shared}
-        both = set(x.names | y.names)
-        if condition is not None:
-            scope = {n: merged.get(n, F.col(n) if n in x.names else F.col(f"__r_{n}")) for n in both}
-            on.append(condition(scope))
-        left = x.df.drop("__one")
-        if not left.columns:
-            left = x.df.select(F.lit(1).alias("__l"))
-        joined = left.join(right, reduce(Column.__and__, on) if on else F.lit(True), how)
-        out = joined.select(*[merged.get(n, F.col(n) if n in x.names else F.col(f"__r_{n}")).alias(n) for n in sorted(both)]) if both else joined.select(F.lit(1).alias("__one"))
+        scope = {n: merged.get(n, F.col(n) if n in x.names else F.col(f"__r_{n}")) for n in both}
+        extra = [condition(scope)] if condition is not None else []
+        left, right, on = self._sides(x, y, loose)
+        whole = how == "left" and all(n in y.bound for n in loose)
+        joined = left.join(right, reduce(Column.__and__, on + extra) if on + extra else F.lit(True), how if whole else "inner")
+        out = joined.select(*[scope[n].alias(n) for n in sorted(both)]) if both else joined.select(F.lit(1).alias("__one"))
         if how == "left":
+            if not whole:
+                alone = self._meeting(x, y, loose, True, extra, False)
+                out = out.union(alone.select(*[(F.col(n) if n in x.names else F.lit(None).cast("string")).alias(n) for n in sorted(both)]))
             return Solution(out, x.bound, (x.maybe | y.names) - x.bound)
         bound = x.bound | y.bound
         return Solution(out, bound, both - bound)
 
+    def _meeting(self, x: Solution, y: Solution, loose: list[str], negated: bool, extra: list[Column], strict_domain: bool) -> DataFrame:
+        """The rows of x that (don't) meet one of y: an equi-join for each way in which the right can be unbound."""
+        rest, found = x.df, []
+        names = list(x.df.columns)
+        for null in self._nulls(y, loose):
+            now = Solution(rest, x.bound, x.maybe)
+            left, right, on = self._sides(now, y, loose, null)
+            if strict_domain:
+                # At least one variable must be bound on both sides.
+                kept = [n for n in sorted(x.names & y.names) if n not in null]
+                if not kept:
+                    continue
+                on = [*on, reduce(Column.__or__, [F.col(n).isNotNull() for n in kept])]
+            if not on and not extra:
+                right, left = right.select(F.lit(1).alias("__b")).limit(1), left.withColumn("__a", F.lit(1))
+                on = [F.col("__a") == F.col("__b")]
+            test = reduce(Column.__and__, on + extra)
+            back = lambda df: df.select(*names) if "__one" not in names else df.select(F.lit(1).alias("__one"))  # noqa: B023, E731
+            if not negated:
+                found.append(back(left.join(right, test, "left_semi")))
+            rest = back(left.join(right, test, "left_anti"))
+        if negated:
+            return rest
+        return reduce(DataFrame.union, found) if found else x.df.limit(0)
+
     def exists(self, x: Solution, y: Solution, negated: bool, strict_domain: bool = False) -> Solution:
         shared = x.names & y.names
         if strict_domain and not shared:
             return x
-        right = y.df.select(*[F.col(n).alias(f"__r_{n}") for n in sorted(shared)]) if shared else y.df.select(F.lit(1).alias("__r"))
-        on, both = [], []
-        for n in sorted(shared):
-            equal = F.col(n) == F.col(f"__r_{n}")
-            sure = n in x.bound and n in y.bound
-            on.append(equal if sure else equal | F.col(n).isNull() | F.col(f"__r_{n}").isNull())
-            both.append(F.col(n).isNotNull() & F.col(f"__r_{n}").isNotNull())
-        if strict_domain:
-            on.append(reduce(Column.__or__, both))
-        return Solution(x.df.join(right, reduce(Column.__and__, on) if on else F.lit(True), "left_anti" if negated else "left_semi"), x.bound, x.maybe)
+        right = Solution(y.df.select(*sorted(shared)) if shared else y.df.select(F.lit(1).alias("__one")), y.bound & shared, shared - y.bound)
+        return Solution(self._meeting(x, right, self._loose(x, right), negated, [], strict_domain), x.bound, x.maybe)
 
     # -- groups
 
