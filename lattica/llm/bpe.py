@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 #: Code point that stands for byte 0; the block that follows has 256 letters without white space.
 OFFSET = 0x100
 #: Pre-tokens whose ids a worker keeps at once.
-CACHE = 400_000
+CACHE = 200_000
+#: Rows that are encoded before they are handed on.
+ROWS = 512
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -115,7 +117,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        # Few rows at once: what a worker holds beside the batch is bounded by them.
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             n, digests, decoded, all_ids, texts = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = c.encode(text or "")
