@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import fnmatch
 import json
 import os
+import re
 import subprocess
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.catalog import Catalog, merge_entities
 from lattica.functions import exprs as X
-from lattica.model import FORMATS, schema
+from lattica.model import FORMATS, LatticaError, schema
 from lattica.sources import bridge as B
 from lattica.sources import obo, owx, rdf
 from lattica.storage import cut
@@ -24,26 +25,115 @@ from lattica.storage import cut
 PARSERS = {"turtle": rdf.parse_turtle, "trig": rdf.parse_turtle, "n_triples": rdf.parse_nquads, "n_quads": rdf.parse_nquads, "rdf_xml": rdf.parse_rdfxml, "json_ld": rdf.parse_jsonld, "owl_xml": owx.parse_owx, "obo": obo.parse_obo}
 
 
-def ignored(root: str) -> list[str]:
-    """Patterns of the .gitignore at a root."""
-    try:
-        with open(os.path.join(root, ".gitignore")) as f:
-            return [x.strip() for x in f if x.strip() and not x.startswith("#")]
-    except OSError:
-        return []
+def _rule(line: str) -> tuple[str, bool, bool] | None:
+    """Of a line of a .gitignore: a pattern for paths below its folder, whether it takes back, whether it is for folders only."""
+    line = re.sub(r"(?<!\\) +$", "", line.rstrip("\r"))
+    if not line or line.startswith("#"):
+        return None
+    negated = line.startswith("!")
+    line = line[1:] if negated else line
+    folders = line.endswith("/")
+    line = line.rstrip("/")
+    if not line:
+        return None
+    anchored = "/" in line
+    out, k = "", 0
+    line = line.removeprefix("/")
+    while k < len(line):
+        c = line[k]
+        if line.startswith("**/", k) and (k == 0 or line[k - 1] == "/"):
+            out, k = out + "(?:[^/]+/)*", k + 3
+        elif line.startswith("/**", k) and k + 3 == len(line):
+            out, k = out + "/.+", k + 3
+        elif c == "*":
+            out, k = out + "[^/]*", k + (len(line[k:]) - len(line[k:].lstrip("*")))
+        elif c == "?":
+            out, k = out + "[^/]", k + 1
+        elif c == "[" and (end := line.find("]", k + 2)) > 0:
+            inside = line[k + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+            inside = "^" + inside[1:] if inside[0] in "!^" else inside
+            out, k = out + f"(?!/)[{inside}]", end + 1
+        elif c == "\\" and k + 1 < len(line):
+            out, k = out + re.sub(r"([^A-Za-z0-9])", r"\\\1", line[k + 1]), k + 2
+        else:
+            out, k = out + re.sub(r"([^A-Za-z0-9/_])", r"\\\1", c), k + 1
+    return ("^" if anchored else "^(?:.*/)?") + out + "$", negated, folders
+
+
+def ignore_files(spark: SparkSession, roots: list[str], depth: int) -> DataFrame:
+    """path, text of the .gitignore files up to so many folders below the roots. Spark's readers pass over hidden files, so
+    these few are found by a pattern for each depth and read by the file system's client."""
+    jvm, conf, rows = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for root in roots:
+        for k in range(depth + 1):
+            pattern = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/*" * k + "/.gitignore")
+            fs = pattern.getFileSystem(conf)
+            for status in fs.globStatus(pattern) or []:
+                stream = fs.open(status.getPath())
+                rows.append((re.sub("^file:/*", "/", status.getPath().toString()), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+                stream.close()
+    return spark.createDataFrame(rows, "path string, text string")
+
+
+_RULE = "folder string, n bigint, pattern string, negated boolean, folders boolean"
+
+
+def ignore_rules(files: DataFrame) -> DataFrame:
+    """folder, n, pattern, negated, folders of .gitignore files (path, text)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(path.rpartition("/")[0], n, *rule) for path, text in zip(frame["path"], frame["text"]) for n, line in enumerate((text or "").split("\n")) if (rule := _rule(line))]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _RULE.split(", ")])
+
+    return files.select("path", "text").mapInPandas(run, _RULE)
+
+
+def not_ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """The paths (path, and more columns) that no rule leaves out.
+
+    For a path and each folder above it, the rules of the folders above that one are tried; the last match of the deepest
+    folder wins. What is below a folder that is left out is left out, whatever rules say of it: joins by folder and a
+    maximum for each, no loop over rules."""
+    parts = F.split("path", "/")
+    own = paths.select("path").distinct().select("path", F.explode(F.sequence(F.lit(2), F.size(parts))).alias("k"))
+    own = own.select("path", F.array_join(F.slice(parts, 1, F.col("k")), "/").alias("at"), (F.col("k") < F.size(parts)).alias("is_folder"))
+    at = F.split("at", "/")
+    above = own.select("path", "at", "is_folder", F.explode(F.sequence(F.lit(1), F.size(at) - 1)).alias("d"))
+    above = above.select("path", "at", "is_folder", "d", F.array_join(F.slice(at, 1, F.col("d")), "/").alias("folder"))
+    met = above.join(rules, "folder").where((F.col("is_folder") | ~F.col("folders")) & F.rlike(F.expr("substring(at, length(folder) + 2)"), F.col("pattern")))
+    last = met.groupBy("path", "at").agg(F.max_by("negated", F.struct("d", "n")).alias("negated"))
+    return paths.join(last.where("NOT negated").select("path").distinct(), "path", "left_anti")
+
+
+def inside(paths: DataFrame, roots: list[str]) -> DataFrame:
+    """The paths that stay below a root, without steps upwards or out of it."""
+    below = reduce(Column.__or__, [F.startswith("path", F.lit(r.rstrip("/") + "/")) for r in roots])
+    return paths.where(below & ~F.col("path").rlike(r"(?:^|/)\.\.(?:/|$)"))
+
+
+class TooMuch(LatticaError):
+    """A workspace beyond its limits."""
 
 
-def scan_files(spark: SparkSession, roots: list[str], paths: list[str] | None = None) -> DataFrame:
-    """path, content, modified_time, size of files with a known extension under the roots, or of the paths given; each once."""
+def scan_files(spark: SparkSession, roots: list[str], paths: list[str] | None = None, most_files: int | None = None, most_bytes: int | None = None) -> DataFrame:
+    """path, content, modified_time, size of files with a known extension under the roots and not ignored there, or of the
+    paths given; each once. Limits, where given, are on the number of files and on the size of one."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     glob = "*.{" + ",".join(FORMATS) + "}"
     df = reader.load(paths) if paths is not None else reader.option("pathGlobFilter", glob).load(roots)
     path = F.regexp_replace("path", "^file:/*", "/")
     df = df.select(path.alias("path"), "content", F.unix_seconds("modificationTime").alias("modified_time"), F.col("length").alias("size"))
-    for root in roots if paths is None else []:
-        for pattern in ignored(root):
-            like = fnmatch.translate(pattern.strip("/")).removeprefix("(?s:").removesuffix(r")\z").removesuffix(r")\Z")
-            df = df.where(~F.col("path").rlike(rf"^\Q{root.rstrip('/')}\E/(?:.*/)?(?:{like})(?:/.*)?$"))
+    if paths is None:
+        df = inside(df, [os.path.abspath(r) if "://" not in r else r for r in roots])
+        depth = df.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 0
+        df = not_ignored(df, ignore_rules(ignore_files(spark, roots, depth - min(len(r.rstrip("/").split("/")) for r in roots))))
+    if most_files is not None or most_bytes is not None:
+        n, largest = df.agg(F.count("*"), F.max("size")).first()
+        if most_files is not None and n > most_files:
+            raise TooMuch(f"{n} files, more than {most_files}")
+        if most_bytes is not None and (largest or 0) > most_bytes:
+            raise TooMuch(f"a file of {largest} bytes, more than {most_bytes}")
     return df.dropDuplicates(["path"])
 
 

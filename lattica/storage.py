@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +33,51 @@ def _delete(spark: SparkSession, path: str) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+class Cancelled(RuntimeError):
+    """Work under a tag was cancelled."""
+
+
+#: The tags of this thread's work and the tables that it has written; tags whose work is to end.
+_WORK: contextvars.ContextVar[tuple[str, list[str]] | None] = contextvars.ContextVar("lattica-work", default=None)
+_CANCELLED: set[str] = set()
+
+
+@contextlib.contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Work that ``cancel`` can end from another thread. When it ends by an error, its tables are deleted."""
+    _CANCELLED.discard(tag)
+    made: list[str] = []
+    outer = _WORK.set((tag, made))
+    spark.addTag(tag)
+    try:
+        yield
+    except BaseException as e:
+        for path in made:
+            _delete(spark, path)
+        if tag in _CANCELLED:
+            raise Cancelled(tag) from e
+        raise
+    finally:
+        spark.removeTag(tag)
+        _WORK.reset(outer)
+        _CANCELLED.discard(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Ends the running jobs of a tag; its thread starts no other round."""
+    _CANCELLED.add(tag)
+    spark.interruptTag(tag)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """The same rows, read again from Parquet; loops call it once a round. The table is deleted at exit."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattica-{name}-{uuid.uuid4().hex[:12]}"
+    work = _WORK.get()
+    if work:
+        work[1].append(path)
+        if work[0] in _CANCELLED:
+            raise Cancelled(work[0])
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ from lattica.plans.sqlgate import QueryResult, list_sql_tables, run_sql
 from lattica.plugins import Registry
 from lattica.sources import scan
 from lattica.sources.incremental import SnapshotStore, fingerprint, reuse_plan
-from lattica.storage import cut
+from lattica.storage import cancel, cancellable, cut
 
 
 #: Classifications kept for a workspace's recent states.
@@ -119,6 +119,17 @@ class Workspace:
             self.classified.popitem(last=False)
         return self.classified[key]
 
+    def classify_now(self, profile: str = "rl", tag: str = "classify") -> reason.Classification:
+        """The same, all of it worked out at once, so that ``cancel(tag)`` from another thread can end it."""
+        with cancellable(self.spark, tag):
+            result = reason.Classification(self.catalog, profile)
+            for part in (result.edges, result.unsatisfiable, result.equivalences, result.inferred):
+                part.count()
+            return result
+
+    def cancel(self, tag: str = "classify") -> None:
+        cancel(self.spark, tag)
+
     def explain(self, iri: str, most: int = 1) -> list[list[str]]:
         return reason.explain(self.catalog, iri, most)
 
