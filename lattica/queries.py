@@ -340,7 +340,7 @@ def _with_rule(c: Catalog) -> Catalog:
 
 from lattica import sinks  # noqa: E402
 from lattica.operators import edits, refactor  # noqa: E402
-from lattica.sources import incremental, rdf, scan, turtle  # noqa: E402
+from lattica.sources import incremental, owx_write, rdf, scan, turtle  # noqa: E402
 from lattica.streaming import reindex  # noqa: E402
 
 _QUAD = "s, p, o, o_kind, coalesce(dt, '') AS dt"
@@ -408,6 +408,10 @@ _NAMED = "SELECT subject AS child, object AS parent FROM ax WHERE axiom_kind = '
 define("s6_turtle", _through_files("ttl", lambda c: _blocks(c, sinks.to_turtle(c.quads)), _QUADS), f"SELECT DISTINCT {_QUAD} FROM q")
 
 
+_BOTH = "equivalent_class disjoint_class".split()
+define("k7_owlxml", _through_files("owx", lambda c: _blocks(c, owx_write.to_owlxml(c).select("value"), owx_write.head(""), owx_write.TAIL), lambda rows: rows.where("row = 'axiom'").select(F.col("a").alias("axiom_kind"), F.col("b").alias("subject"), F.col("c").alias("predicate"), F.col("d").alias("object")).distinct()), f"SELECT axiom_kind, subject, predicate, object FROM ax UNION SELECT axiom_kind, object, predicate, subject FROM ax WHERE axiom_kind IN ('{_BOTH[0]}', '{_BOTH[1]}')")
+
+
 def _turtle_splits(c: Catalog) -> DataFrame:
     """All quads as Turtle files in the shared folder, read by as many tasks as they have splits."""
     path = f"{shared_dir(c.spark)}/lattica-ttl-{uuid.uuid4().hex[:12]}"
