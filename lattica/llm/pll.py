@@ -41,6 +41,8 @@ WINDOW, UNITS, ROUNDS, RATE, BATCH = 2, 24, 2, 0.2, 16_384
 #: Distinct words that a task counts before it hands them on; words a worker remembers; tokens scored at once; tokens
 #: whose windows are laid out at once.
 COUNTING, CACHE, AT_ONCE, LAID = 300_000, 500_000, 8_192, 400_000
+#: Parameters that travel as one value.
+PIECE = 8_192
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -299,8 +301,14 @@ def targets(at: np.ndarray, r: int) -> np.ndarray:
     return at[(at + r) % ROUNDS == 0]
 
 
+def _summed(rows: pa.Table) -> pa.Table:
+    """One row of a piece of the parameters: the partitions' sums, added up."""
+    total = sum(np.frombuffer(x) for x in rows["v"].to_pylist())
+    return pa.table({"k": rows["k"][:1], "v": pa.array([total.tobytes()], pa.binary()), "n": pa.array([float(np.sum(rows["n"].to_numpy()))])})
+
+
 def trained(leaves: DataFrame, words: Vocabulary) -> Network:
-    """Rounds of local training and averaging; the driver gets one number for each parameter."""
+    """Rounds of local training and averaging; parameters travel in pieces, and the driver gets each piece once."""
     network = Network(words.count)
 
     for r in range(ROUNDS):
@@ -315,15 +323,15 @@ def trained(leaves: DataFrame, words: Vocabulary) -> Network:
                     own.learn(_contexts(x, at, words.seen_as), x[at])
                     seen += len(at)
             if seen:
-                values = own.flat()
-                yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(len(values)), pa.int32()), "v": pa.array(values.astype(float) * seen, pa.float64()), "n": pa.array(np.full(len(values), float(seen)), pa.float64())})
+                values = own.flat().astype(float) * seen
+                pieces = [values[i : i + PIECE].tobytes() for i in range(0, len(values), PIECE)]
+                yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(pieces)), pa.int32()), "v": pa.array(pieces, pa.binary()), "n": pa.array([float(seen)] * len(pieces), pa.float64())})
 
-        mean = leaves.select("leaves").mapInArrow(run, "k int, v double, n double").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
-        if mean.num_rows:
-            values = np.zeros(mean.num_rows, np.float32)
-            values[mean["k"].to_numpy()] = mean["v"].to_numpy()
+        sums = leaves.select("leaves").mapInArrow(run, "k int, v binary, n double").groupBy("k").applyInArrow(_summed, "k int, v binary, n double").toArrow()
+        if sums.num_rows:
+            by_piece = sorted(zip(sums["k"].to_pylist(), sums["v"].to_pylist(), sums["n"].to_pylist()))
             network = Network(words.count)
-            network.set_flat(values)
+            network.set_flat(np.concatenate([np.frombuffer(v) / n for _, v, n in by_piece]))
     return network
 
 
