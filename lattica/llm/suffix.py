@@ -341,14 +341,14 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE)
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (what remains, where some but not all of a text is removed),
     n_repeated_words, n_passages (of strings of so many words that start anywhere else, too)."""
     lengths = (length, passage)
-    base = written(_described(docs, length, passage), "suffix-base")
+    base = written(_described(docs, length, passage), "suffix-base", "zstd")
     long = base.where((F.col("n_bytes") >= length) | (F.col("n_words") >= passage))
     copies = long.groupBy("class").agg(F.count("*").alias("copies"))
     distinct = long.select("class", "anchors").dropDuplicates(["class"])
     found = distinct.select("class", F.inline("anchors"))
     groups = found.groupBy("unit", "fp").agg(F.sum("times").alias("times"), F.count("*").alias("members")).where("times > 1").drop("times")
     per_class = found.join(groups, ["unit", "fp"]).groupBy("class").agg(F.collect_list(F.struct("unit", "fp", "start", "starts", "members")).alias("found"))
-    texts = written(_classed(docs).select("class", "text").join(per_class, "class").dropDuplicates(["class"]), "suffix-texts")
+    texts = written(_classed(docs).select("class", "text").join(per_class, "class").dropDuplicates(["class"]), "suffix-texts", "zstd")
 
     runs = _sorted_runs(_pieces(texts, lengths, hot=False), lengths)
     if not groups.where(F.col("members") > HOT).isEmpty():
