@@ -154,7 +154,7 @@ def restriction_header(expression: C) -> Column:
 def restriction_parts(expression: C) -> Column:
     """Beside the one above: property, kind, cardinality and filler by position, 'exactly' included; null if it is none."""
     text = F.trim(col(expression))
-    pattern = r"(?is)^(\S+|'(?:[^'\\]|\\.)*')\s+(some|only|value|min|max|exactly|self)\b\s*([0-9]*)\s*(.*)$"
+    pattern = r"(?is)^(\S+|'(?:[^'\\]|\\.)*+')\s+(some|only|value|min|max|exactly|self)\b\s*([0-9]*)\s*(.*)$"
     part = lambda k: F.regexp_extract(text, pattern, k)
     return F.when(text.rlike(pattern), F.struct(part(1).alias("property"), F.lower(part(2)).alias("kind"), F.when(part(3) != "", part(3).cast("int")).alias("cardinality"), part(4).alias("filler")))
 

@@ -16,8 +16,9 @@ TYPE, LABEL, COMMENT, SUB_CLASS = RDF + "type", RDFS + "label", RDFS + "comment"
 DEPRECATED, IMPORTS, SAME_AS = OWL + "deprecated", OWL + "imports", OWL + "sameAs"
 THING, NOTHING, NAMED_INDIVIDUAL = OWL + "Thing", OWL + "Nothing", OWL + "NamedIndividual"
 FIRST, REST, NIL = RDF + "first", RDF + "rest", RDF + "nil"
-# Fixed value: the predicate whose literals hold rules.
-SWRL_RULE = "http://ontocode.dev/ns#swrlRule"
+# The namespace of annotations in files on disk, and its predicate whose literals hold rules.
+NOTES = "http://ontocode.dev/ns#"
+SWRL_RULE = NOTES + "swrlRule"
 
 # Kinds of axioms.
 AXIOM_KINDS = [

@@ -38,7 +38,7 @@ class _Stop(Exception):
 
 # -- N-Triples and N-Quads, natively
 
-_IRI, _BNODE, _LIT = r"<([^<>\s]*)>", r"_:(\S+?)", r'"((?:[^"\\]|\\.)*+)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^<>\s]*)>)?'
+_IRI, _BNODE, _LIT = r"<([^<>\s]*)>", r"_:(\S+?)", r'"((?:[^"\\]|\\.)*+)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*+)|\^\^<([^<>\s]*)>)?'
 _LINE = rf"^\s*(?:{_IRI}|{_BNODE})\s+{_IRI}\s+(?:{_IRI}|{_BNODE}|{_LIT})\s*(?:{_IRI}|{_BNODE})?\s*\.\s*(?:#.*)?$"
 
 

@@ -114,3 +114,13 @@ def test_annotation_order(spark):
     got = [r.p for r in spark.createDataFrame([(i,) for i in iris], "p string").orderBy(X.annotation_order("p")).collect()]
     assert got == [iris[4], iris[3], iris[2], iris[1], iris[0]]
     assert value(spark, X.entity_markdown(F.lit("'a b'"), F.lit("http://x"))) == "[a b](http://x)"
+
+
+def test_long_names_and_tags_do_not_recurse(spark):
+    from lattica.sources import rdf
+
+    long = "'" + "a b\\' " * 100_000 + "' some X"
+    row = spark.createDataFrame([(long,)], "e string").select(X.restriction_parts("e").alias("r")).first()
+    assert row.r.kind == "some" and row.r.filler == "X" and len(row.r.property) == len(long) - 7
+    line = '<s> <p> "x"@a' + "-b" * 200_000 + " ."
+    assert rdf.parse_lines(spark.createDataFrame([(line, "d")], "value string, doc_id string")).first().ok
