@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids are in no fold."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

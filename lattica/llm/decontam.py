@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import written
+from lattica.llm.common import quoted, written
 
 WINDOW, STRIDE, LITERALS, COVERAGE = 6, 3, 3, 50
 #: Rows of two numbers that may be broadcast: 64 MB at most.
@@ -141,5 +141,5 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no item, with all their columns."""
     held = written(found(docs, items).select("key").distinct(), "decontam-held")
-    rows = docs.select(_key(F.col("text")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(_key(F.col("text")).alias("key"), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"))
     return rows.join(_small(held), "key", "left_anti").select("row.*")

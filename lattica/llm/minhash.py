@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import written
+from lattica.llm.common import quoted, written
 
 WORDS, COORDINATES, SEED, ROUNDS = 5, 64, 11, 1
 #: Posting lists that a plain join pairs; classes in a block of a longer one (a cell compares two blocks);
@@ -288,7 +288,7 @@ def unique(docs: DataFrame, percent: int = 80) -> DataFrame:
     again = rows.where("kept").join(again, "group").select("doc_id", "digest", (F.col("digest") == F.col("least")).alias("stays")).distinct()
     again = written(again, "minhash-again")
     gone = rows.where("NOT kept").select("doc_id", "digest").union(again.where("NOT stays").select("doc_id", "digest")).distinct()
-    packed = docs.select("doc_id", _digest(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    packed = docs.select("doc_id", _digest(), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"))
     left = packed.join(_small(written(gone, "minhash-gone")), ["doc_id", "digest"], "left_anti")
     twice = _small(again.where("stays").select("doc_id", "digest"))
     order = Window.partitionBy("doc_id", "digest").orderBy(F.xxhash64(F.to_json("row")))

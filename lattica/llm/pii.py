@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import written
+from lattica.llm.common import quoted, written
 
 KINDS = ("email", "ip", "card", "phone")
 GENERALISE, REMOVE, SURE, Z = 0.8, 0.95, 0.25, 1.645
@@ -285,7 +285,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("to")))
     terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", "").otherwise("[TERM]").alias("to")))
     spans_ = written(by_key.select("key", F.array_sort(F.concat(base, terms)).alias("spans")), "pii-changes")
-    rows = docs.select(_key(F.coalesce("text", F.lit(""))).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(_key(F.coalesce("text", F.lit(""))).alias("key"), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"))
     text = F.col("row.text")
 
     new = rewritten(text, F.col("spans"), lambda s, at: F.when(s["start"] < at, "").otherwise(s["to"]))
@@ -294,7 +294,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     def changed(joined: DataFrame) -> DataFrame:
         there = joined.select("row", F.when(F.col("spans").isNotNull(), new).alias("new"))
-        return there.select(*[F.coalesce(of[c].cast(kinds[c]), f"row.`{c}`").alias(c) if c in of else F.col(f"row.`{c}`") for c in docs.columns])
+        return there.select(*[F.coalesce(of[c].cast(kinds[c]), f"row.{quoted(c)}").alias(c) if c in of else F.col(f"row.{quoted(c)}") for c in docs.columns])
 
     if spans_.count() > KEYS:
         return changed(rows.join(spans_, "key", "left"))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lattica.llm import pii, pll
@@ -118,7 +119,7 @@ def test_term_spans_equal_brute_force(spark):
 
 
 def test_columns_with_names_of_steps_pass_through(spark):
-    docs = spark.createDataFrame([(1, "write to a@b.org", "k", "s", "n", 5), (2, "plain", "k", "s", "n", 5), (None, None, "k", "s", "n", None)], "doc_id long, text string, key string, spans string, new string, row int")
+    docs = spark.createDataFrame([(1, "write to a@b.org", "k", "s", "n", 5), (2, "plain", "k", "s", "n", 5), (None, None, "k", "s", "n", None)], "doc_id long, text string, key string, spans string, new string, row int").withColumn("a.`b`", F.lit(1))
     out = {r.doc_id: r for r in pii.redacted(docs).collect()}
     assert out[1].text == "write to [EMAIL]" and out[2].text == "plain" and out[None].text is None
     assert all(r.key == "k" and r.spans == "s" and r.new == "n" for r in out.values()) and out[1]["row"] == 5
@@ -126,3 +127,6 @@ def test_columns_with_names_of_steps_pass_through(spark):
     from lattica.llm import decontam
 
     assert sorted(map(str, decontam.clean(docs, items).collect())) == sorted(map(str, docs.collect()))
+    from lattica.llm import minhash
+
+    assert minhash.unique(docs, 80).columns == docs.columns and minhash.unique(docs, 80).count() == 3
