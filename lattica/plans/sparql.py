@@ -19,6 +19,7 @@ from lattica.model import MAX_QUERY_BYTES, XSD
 from lattica.operators.fixpoint import closure
 from lattica.plans.sparql_parse import AGGREGATES, SparqlError, is_update, parse
 from lattica.plans.sqlgate import QueryResult
+from lattica.plans.stats import Statistics
 
 NUMERIC = [XSD + t for t in ("integer", "decimal", "double", "float", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "negativeInteger", "nonPositiveInteger", "unsignedInt", "unsignedLong")]
 
@@ -132,7 +133,11 @@ class Solution:
 
 
 class Compiler:
+    #: What orders joins, if anything, and the order that was chosen, with the rows expected after each pattern.
+    statistics: Statistics | None = None
+
     def __init__(self, catalog: Catalog):
+        self.chosen: list[tuple[tuple, float]] = []
         self.catalog, self.spark = catalog, catalog.spark
         self.fresh = itertools.count()
         self.columns: dict[str, str] = {}
@@ -347,6 +352,14 @@ class Compiler:
         def flush() -> None:
             nonlocal now, pending
             waiting, pending = pending, []
+            if self.statistics is not None and len(waiting) > 1:
+                # Variables of the graph don't matter for the order.
+                known = {v for v, c in self.columns.items() if c in now.names}
+                ordered = self.statistics.order(waiting, known)
+                self.chosen += ordered
+                for t, _ in ordered:
+                    now = self.join(now, self.triple(*t[1:], graph) if t[0] == "triple" else self.path_pattern(*t[1:], graph))
+                return
             while waiting:
                 seen = {n for n in now.names}
                 rank = lambda t: (not (self._vars(t, graph) & seen) and bool(seen), sum(x[0] == "var" and self.c(x[1]) not in seen for x in (t[1], t[2], t[3])), t[0] == "path")
@@ -741,13 +754,15 @@ class _Box(tuple):
         return self is other
 
 
-def run_sparql(catalog: Catalog, text: str) -> QueryResult:
+def run_sparql(catalog: Catalog, text: str, statistics: Statistics | None = None) -> QueryResult:
+    """statistics: of ``stats.gather``; joins are then ordered by estimated rows, else by bound variables."""
     if len(text.encode()) > MAX_QUERY_BYTES:
         raise SparqlError(f"query exceeds maximum length of {MAX_QUERY_BYTES} bytes")
     if is_update(text):
         raise SparqlError("SPARQL Update is not supported")
     q = parse(text)
     compiler = Compiler(catalog)
+    compiler.statistics = statistics
     compiler.default, compiler.named = q["from"], q["from_named"]
     if q["form"] == "ask":
         found = compiler.group(q["where"][1], None)
@@ -758,3 +773,13 @@ def run_sparql(catalog: Catalog, text: str) -> QueryResult:
     names = [n for n, _ in q["items"]] if q["items"] is not None else sorted(of[c] for c in solution.names)
     frame = solution.df.select(*[F.coalesce(F.col(compiler.c(n)), F.lit("")).alias(n) for n in names])
     return QueryResult(names, frame)
+
+
+def join_order(catalog: Catalog, text: str, statistics: Statistics) -> list[tuple[tuple, float]]:
+    """The patterns in the order in which they are joined, each with the rows that are expected after it."""
+    q = parse(text)
+    compiler = Compiler(catalog)
+    compiler.statistics = statistics
+    compiler.default, compiler.named = q["from"], q["from_named"]
+    compiler.group(q["where"][1], None) if q["form"] == "ask" else compiler.select(q)
+    return compiler.chosen

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lattica.catalog import Catalog, merge_entities
 from lattica.functions import exprs as X
 from lattica.operators import diagnostics, diff, fixpoint, graph, usages
+from lattica.plans import stats
 from lattica.plans.sparql import run_sparql
 from lattica.plans.sqlgate import run_sql
 from lattica.sources.tables import BASE, MAPPING, stored
@@ -272,6 +273,9 @@ _L = "'\"' || {} || '\"'".format
 _NUM = lambda v, t: f"'\"' || CAST({v} AS VARCHAR) || '\"^^<http://www.w3.org/2001/XMLSchema#{t}>'"
 _PART = f"q.p = '{T}contains'"
 _sparql("q1_triple_pattern", "SELECT ?s ?o WHERE { ?s t:suppliedBy ?o }", f"SELECT {_I('s')} AS s, {_I('o')} AS o FROM q WHERE p = '{T}suppliedBy'")
+# Written worst first; the order comes from characteristic sets.
+_STAR = "SELECT ?o ?l ?n WHERE { ?o t:contains ?p . ?p rdfs:label ?l . ?o a owl:NamedIndividual . ?o t:totalprice ?v . ?o t:placedBy ?c . ?c a ?n . ?n rdfs:subClassOf <REGION> }".replace("REGION", T + "region/0")
+define("q2_statistics_order", lambda c: run_sparql(c, _P + _STAR, stats.gather(c.quads)).frame, f"SELECT {_I('a.s')} AS o, {_L('l.o')} AS l, {_I('b.o')} AS n FROM q a JOIN q b ON b.s = a.o AND b.p = '{_RDF}type' JOIN q d ON d.s = b.o AND d.p = '{_RDFS}subClassOf' AND d.o = '{T}region/0' JOIN q v ON v.s = a.s AND v.p = '{T}totalprice' JOIN q k ON k.s = a.s AND k.p = '{T}contains' JOIN q l ON l.s = k.o AND l.p = '{_RDFS}label' JOIN q t ON t.s = a.s AND t.p = '{_RDF}type' AND t.o LIKE '%owl#NamedIndividual' WHERE a.p = '{T}placedBy'")
 _sparql("q2_bgp_join", "SELECT ?o ?c ?n WHERE { ?o t:placedBy ?c . ?c a ?n . ?n rdfs:subClassOf t:region/0 }".replace("t:region/0", f"<{T}region/0>"), f"SELECT {_I('a.s')} AS o, {_I('a.o')} AS c, {_I('b.o')} AS n FROM q a JOIN q b ON b.s = a.o AND b.p = '{_RDF}type' JOIN q d ON d.s = b.o AND d.p = '{_RDFS}subClassOf' AND d.o = '{T}region/0' WHERE a.p = '{T}placedBy'")
 _sparql("q3_optional", "SELECT ?s ?l WHERE { ?s a owl:Class OPTIONAL { ?s rdfs:label ?l FILTER(STRSTARTS(?l, 'NATION')) } }", f"SELECT {_I('a.s')} AS s, coalesce({_L('b.o')}, '') AS l FROM q a LEFT JOIN q b ON b.s = a.s AND b.p = '{_RDFS}label' AND starts_with(b.o, 'NATION') WHERE a.p = '{_RDF}type' AND a.o LIKE '%owl#Class'")
 _sparql("q4_union", "SELECT ?x WHERE { { ?x t:size '7' } UNION { ?x t:segment 'BUILDING' } }", f"SELECT {_I('s')} AS x FROM q WHERE p = '{T}size' AND o = '7' UNION ALL SELECT {_I('s')} FROM q WHERE p = '{T}segment' AND o = 'BUILDING'")
