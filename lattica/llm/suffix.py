@@ -351,7 +351,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE)
     texts = written(_classed(docs).select("class", "text").join(per_class, "class").dropDuplicates(["class"]), "suffix-texts", "zstd")
 
     runs = _sorted_runs(_pieces(texts, lengths, hot=False), lengths)
-    if not groups.where(F.col("members") > HOT).isEmpty():
+    # Asked of the written table: the groups aren't counted anew.
+    if not texts.where(F.exists("found", lambda x: x["members"] > HOT)).isEmpty():
         runs = runs.union(_counted_runs(_pieces(texts, lengths, hot=True), lengths))
     per_class = runs.groupBy("class").agg(F.collect_set(F.struct("unit", "a", "b")).alias("runs"))
     kept = _kept(texts.select("class", "text").join(per_class, "class"))
