@@ -254,17 +254,17 @@ def _pieces(texts: DataFrame, lengths: tuple[int, int], hot: bool) -> DataFrame:
                     raw = text.encode()
                     first = end = None
                     for a in found:
-                        if (a["members"] > HOT) is hot:
-                            unit, i, j = a["unit"], a["start"], a["start"] + a["starts"] + lengths[a["unit"]] - 1
-                            if unit == WORDS:
-                                if first is None:
-                                    _, first, end = _words(np.frombuffer(raw, np.uint8))
-                                i, j = int(first[i]), int(end[j - 1])
-                            for k, v in zip(out, (key, unit, a["fp"], a["start"], a["starts"], raw[i:j])):
-                                out[k].append(v)
+                        unit, i, j = a["unit"], a["start"], a["start"] + a["starts"] + lengths[a["unit"]] - 1
+                        if unit == WORDS:
+                            if first is None:
+                                _, first, end = _words(np.frombuffer(raw, np.uint8))
+                            i, j = int(first[i]), int(end[j - 1])
+                        for k, v in zip(out, (key, unit, a["fp"], a["start"], a["starts"], raw[i:j])):
+                            out[k].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("class", pa.binary()), *[(c, pa.int64()) for c in ("unit", "fp", "start", "starts")], ("piece", pa.binary())]))
 
-    return texts.mapInArrow(run, _PIECE)
+    wanted = F.filter("found", lambda x: x["members"] > HOT if hot else x["members"] <= HOT)
+    return texts.select("class", "text", wanted.alias("found")).where(F.size("found") > 0).mapInArrow(run, _PIECE)
 
 
 _RUN = "class binary, unit bigint, a bigint, b bigint"
