@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lattica.llm.common import in_small_batches
+
 #: Code point that stands for byte 0; the block that follows has 256 letters without white space.
 OFFSET = 0x100
 #: Pre-tokens whose ids a worker keeps at once.
@@ -134,4 +136,4 @@ def encoded(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataF
                 columns |= {"ids": pa.array(all_ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")

@@ -11,6 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of texts that travel to Python at once: Spark's default of 10 000 makes buffers of many MB, outside of the heap,
+#: that a worker and its executor keep.
+AT_ONCE = 1_000
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """docs, in a session that hands rows to Python AT_ONCE or less at a time (from now on, and for other jobs, too)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(docs.sparkSession.conf.get(key))
+    if not 0 < now <= AT_ONCE:
+        docs.sparkSession.conf.set(key, str(AT_ONCE))
+    return docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import quoted, written
+from lattica.llm.common import in_small_batches, quoted, written
 
 WORDS, COORDINATES, SEED, ROUNDS = 5, 64, 11, 1
 #: Posting lists that a plain join pairs; classes in a block of a longer one (a cell compares two blocks);
@@ -95,7 +95,7 @@ def with_signatures(docs: DataFrame) -> DataFrame:
                 sigs.append(signature(shingles) if words else None)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "digest": batch.column(1), "n_shingles": pa.array(n, pa.int64()), "class": pa.array(classes, pa.binary()), "sig": pa.array(sigs, pa.list_(pa.int32()))})
 
-    return docs.select("doc_id", _digest(), "text").mapInArrow(run, f"doc_id {doc_id}, digest bigint, n_shingles bigint, class binary, sig array<int>")
+    return in_small_batches(docs).select("doc_id", _digest(), "text").mapInArrow(run, f"doc_id {doc_id}, digest bigint, n_shingles bigint, class binary, sig array<int>")
 
 
 def _digest() -> Column:
@@ -144,7 +144,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             kept = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(2).filter(kept)], names=["a", "b"])
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return in_small_batches(both).mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _cross_links(cells: DataFrame, least: int, percent: int) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import fold, written
+from lattica.llm.common import fold, in_small_batches, written
 
 #: Random features, kernel width in standard deviations, ridge penalty for each row, calibration bins.
 FEATURES, WIDTH, RIDGE, BINS = 192, 3.0, 1e-4, 512
@@ -71,7 +71,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "stats": pa.array([statistics(x) for x in batch.column(1).to_pylist()], pa.list_(pa.float64()))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, stats array<double>")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, stats array<double>")
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,4 +180,4 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
             values = np.array([statistics(x) for x in batch.column(at).to_pylist()]).reshape(-1, len(NAMES))
             yield batch.filter(pa.array(model.score(values) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)
