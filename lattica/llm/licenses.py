@@ -25,8 +25,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import written
-
 MINIMUM, CONFIRMED, GRAMS = 0.5, 0.6, 3
 
 #: Parts of words that notices have.
@@ -138,28 +136,30 @@ def identified(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     families, weights, bias, temperature = model()
     table = F.broadcast(spark.createDataFrame(list(weights.items()), "gram string, w array<double>"))
-    templates = F.broadcast(spark.createDataFrame([(f, sorted(set(t.split()))) for f, ts in TEMPLATES.items() for t in ts], "family string, template array<string>"))
-
-    rows = written(paragraphs(docs), "license-parts")
+    templates = F.broadcast(spark.createDataFrame([(f, [sorted(set(t.split())) for t in ts]) for f, ts in TEMPLATES.items()], "family string, templates array<array<string>>"))
     part = ["key", "at", "part"]
     grams = F.filter(F.array_distinct(F.concat(*[_grams(k) for k in range(1, GRAMS + 1)])), lambda g: _has_stem(g, STEMS))
-    met = rows.select(*part, F.explode(grams).alias("gram")).join(table, "gram")
-    sums = met.groupBy(*part).agg(*[F.sum(F.get("w", F.lit(i))).alias(f"s{i}") for i in range(len(families))])
+    # Words travel beside the n-grams, which are few: a part is looked at once, and no table is written between.
+    met = paragraphs(docs).select(*part, "words", F.explode_outer(grams).alias("gram")).join(table, "gram", "left")
+    sums = met.groupBy(*part).agg(F.any_value("words").alias("words"), *[F.sum(F.get("w", F.lit(i))).alias(f"s{i}") for i in range(len(families))])
     z = F.array(*[(F.col(f"s{i}") + b) / temperature for i, b in enumerate(bias)])
     p = F.transform("z", lambda v: F.exp(v - F.array_max("z")))
-    scored = sums.select(*part, z.alias("z")).select(*part, p.alias("p")).withColumn("total", F.aggregate("p", F.lit(0.0), lambda a, b: a + b))
-    scored = scored.select(*part, (F.array_max("p") / F.col("total")).alias("probability"), (F.get("p", F.lit(len(families) - 1)) / F.col("total")).alias("unknown"), F.array_position("p", F.array_max("p")).cast("int").alias("best"))
-    scored = written(scored.withColumn("family", F.element_at(F.array(*map(F.lit, families)), F.col("best"))).drop("best"), "license-scores")
-    named = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= MINIMUM)).drop("unknown")
-    similarity = F.size(F.array_intersect("template", "words")) / F.size("template")
-    compared = named.join(rows, part).join(templates, "family").withColumn("similarity", similarity).where(F.col("similarity") >= CONFIRMED)
-    confirmed = written(compared.groupBy("key", "at", "family").agg(F.max("probability").alias("probability"), F.max("similarity").alias("similarity")), "license-found")
+    met = F.col("s0").isNotNull()
+    scored = sums.select(*part, "words", F.when(met, z).alias("z")).select(*part, "words", p.alias("p")).withColumn("total", F.aggregate("p", F.lit(0.0), lambda a, b: a + b))
+    best = F.array_position("p", F.array_max("p")).cast("int")
     # A part with a stem but none of the model's n-grams is unknown by the biases alone.
     top = max(bias)
     prior = float(np.exp((bias[-1] - top) / temperature) / sum(np.exp((b - top) / temperature) for b in bias))
-    rest = rows.select(*part).join(scored.select(*part, "unknown"), part, "left").groupBy("key", "at").agg(F.max(F.coalesce("unknown", F.lit(prior))).alias("probability"))
-    rest = rest.join(confirmed.select("key", "at").distinct(), ["key", "at"], "left_anti")
-    return confirmed.union(rest.select("key", "at", F.lit(UNKNOWN).alias("family"), "probability", F.lit(0.0).alias("similarity")))
+    unknown = F.coalesce(F.get("p", F.lit(len(families) - 1)) / F.col("total"), F.lit(prior))
+    scored = scored.select("key", "at", "words", (F.array_max("p") / F.col("total")).alias("probability"), unknown.alias("unknown"), F.element_at(F.array(*map(F.lit, families)), best).alias("family"))
+    likely = (F.col("family") != UNKNOWN) & (F.col("probability") >= MINIMUM)
+    similarity = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("words"))) / F.size(t)))
+    compared = scored.join(templates, "family", "left").withColumn("similarity", F.when(likely, similarity)).withColumn("confirmed", F.coalesce(F.col("similarity") >= CONFIRMED, F.lit(False)))
+    chosen = [F.when(F.col("confirmed"), F.col(c)).otherwise(other).alias(c) for c, other in (("family", F.lit(UNKNOWN)), ("probability", F.col("unknown")), ("similarity", F.lit(0.0)))]
+    by_family = compared.select("key", "at", *chosen).groupBy("key", "at", "family").agg(F.max("probability").alias("probability"), F.max("similarity").alias("similarity"))
+    found = by_family.groupBy("key", "at").agg(F.collect_list(F.struct("family", "probability", "similarity")).alias("found"))
+    confirmed = F.filter("found", lambda x: x["family"] != UNKNOWN)
+    return found.select("key", "at", F.inline(F.when(F.size(confirmed) > 0, confirmed).otherwise(F.col("found"))))
 
 
 def scanned(docs: DataFrame) -> DataFrame:

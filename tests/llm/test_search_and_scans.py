@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import decontam, licenses, pii, topk
+from lattica.llm import common, decontam, licenses, pii, topk
 
 
 def test_blocks_hold_like_queries(monkeypatch):
@@ -215,6 +215,14 @@ def test_licences_wrapped_over_lines(spark):
     assert got == [(1, "bsd", 1), (2, "lgpl", 1), (3, "gpl", 1), (3, "unknown", 1)]
 
 
+def test_licences_leave_no_tables_between(spark, monkeypatch, tmp_path):
+    """Each file of a table starts processes beside the JVM, which for a moment share and double its memory."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    text = "Released under the MIT License.\nShe lost her driving license.\n\nPermission is needed.\n\nReleased under the BSD license. All rights reserved."
+    got = sorted((r.family, r.n_paragraphs) for r in licenses.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect())
+    assert got == [("bsd", 1), ("mit", 1), ("proprietary", 1), ("unknown", 1)] and not list(tmp_path.iterdir())
+
+
 def test_licence_probabilities_equal_the_model_by_hand(spark):
     """Every part's n-grams, sums, temperature and containment, computed in plain Python."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
