@@ -5,7 +5,8 @@ strings have equal anchors, so a string whose anchor occurs once in the corpus c
 around them, are dealt out by anchor, and each shard holds whole groups. Within a shard the suffixes are sorted by the
 difference cover {1, 2} modulo 3: sort the sampled triples, name them, recurse on the names, sort the remaining
 suffixes by a byte and a rank, merge. Neighbours in the order that agree in LENGTH bytes repeat. Groups beyond HOT members (very common passages) are not brought together: their
-strings' 128-bit hashes are counted with partial aggregation instead.
+128-bit hashes are counted with partial aggregation instead, first of cells of neighbouring strings, then of the strings
+of those cells that agree in part.
 
 Sorting the suffixes of the whole corpus in one order, three numbers a byte and round, would shuffle many times the
 input; anchors leave the same answer on the few bytes that can matter.
@@ -38,6 +39,8 @@ PASSAGE, WORDS_GRAM = 51, 8
 BYTES, WORDS = 0, 1
 #: Members of a group that may meet in a task; bytes of a shard.
 HOT, SHARD = 2_000, 1_200_000
+#: Neighbouring strings of a hot group that are compared at once, of bytes and of words.
+CELLS = (16, 8)
 
 _rng = np.random.default_rng(23)
 _BYTE = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
@@ -88,6 +91,20 @@ def rolling(x: np.ndarray, length: int, which: int = 0) -> np.ndarray:
         base = base * base
 
 
+def spans(x: np.ndarray, i: np.ndarray, j: np.ndarray, which: int = 0) -> np.ndarray:
+    """Polynomial hashes of the letters i to j - 1 of x, of any lengths."""
+    if which not in _tables or len(_tables[which][0]) <= len(x):
+        base = _BASE[which]
+        _tables[which] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(2 * len(x) + 1, b)])) for b in (base, np.uint64(pow(int(base), -1, 1 << 64)))]
+    powers, inverse = _tables[which]
+    step = _BYTE[which][x] if x.dtype == np.uint8 else x * _BYTE[which, 0]
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(step * powers[: len(x)], dtype=np.uint64)])
+    return (sums[j] - sums[i]) * inverse[i]
+
+
+_tables: dict[int, list[np.ndarray]] = {}
+
+
 def sliding_minimum(a: np.ndarray, w: int) -> np.ndarray:
     size = 1
     while size * 2 <= w:
@@ -96,13 +113,17 @@ def sliding_minimum(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(a[: len(a) - (w - size)], a[w - size :]) if size < w else a
 
 
+def _grams(x: np.ndarray, gram: int) -> np.ndarray:
+    h = rolling(x, gram) * _MIX
+    h ^= h >> np.uint64(31)
+    return h * _MIX
+
+
 def anchors(x: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the strings of so many letters: anchor, first start, number of starts in a row, and occurrences of the anchor among them."""
     if len(x) < length:
         return (np.zeros(0, np.int64),) * 4
-    h = rolling(x, gram) * _MIX
-    h ^= h >> np.uint64(31)
-    h *= _MIX
+    h = _grams(x, gram)
     w = length - gram + 1
     m = sliding_minimum(h, w)
     first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
@@ -301,20 +322,78 @@ def _sorted_runs(pieces: DataFrame, lengths: tuple[int, int]) -> DataFrame:
     return pieces.repartition("fp").sortWithinPartitions("unit", "fp").mapInArrow(run, _RUN)
 
 
-def _counted_runs(pieces: DataFrame, lengths: tuple[int, int]) -> DataFrame:
-    """The same for groups of any size, by counting hashes: equal strings are combined before they are shuffled."""
+_NODE = "class binary, unit bigint, fp bigint, a bigint, n bigint, c bigint, d bigint, h bigint, g bigint, piece binary"
+
+
+def _nodes(pieces: DataFrame, lengths: tuple[int, int], fine: bool) -> DataFrame:
+    """The strings of each piece in cells: n strings from a on that have the anchor CELLS to CELLS places after their start
+    (fine: one string each). c and d are hashes of what all strings of the whole cell hold, h and g of all letters of these
+    strings, which piece has. Cells that repeat within a piece are one row, and a row without hashes for each run of them."""
+
+    def cells(key: bytes, unit: int, fp: int, start: int, starts: int, piece: bytes) -> tuple:
+        length, gram = lengths[unit], GRAM if unit == BYTES else min(WORDS_GRAM, lengths[WORDS])
+        size = 1 if fine else min(CELLS[unit], length)
+        raw = np.frombuffer(piece, np.uint8)
+        x, first, end = (raw, np.arange(len(raw)), np.arange(1, len(raw) + 1)) if unit == BYTES else _words(raw)
+        at = np.arange(starts)
+        there = np.flatnonzero(_grams(x, gram).view(np.int64) == fp)
+        anchor = there[np.searchsorted(there, at)]
+        cell = (anchor - at) // size
+        a = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])]))
+        n = np.diff(np.append(a, starts))
+        low = anchor[a] - cell[a] * size
+        h, g = (spans(x, a, a + n - 1 + length, which) for which in (0, 1))
+        _, one, same, times = np.unique(np.stack([n.astype(np.uint64), h, g]), axis=1, return_index=True, return_inverse=True, return_counts=True)
+        mark = np.zeros(starts, bool)
+        mark[np.repeat(times[same.ravel()] > 1, n)] = True
+        runs = _runs(mark)
+        a, n, low, h, g = a[one], n[one], low[one], h[one], g[one]
+        c, d = (spans(x, low, low + length - size + 1, which) for which in (0, 1))
+        return (key, unit, fp), np.concatenate([a, runs[0]]) + start, np.concatenate([n, runs[1] - runs[0]]), (c, d, h, g), [piece[i:j] for i, j in zip(first[a].tolist(), end[a + n - 2 + length].tolist())], len(runs[0])
+
+    def out(found: list[tuple]) -> pa.RecordBatch:
+        rows = [len(f[1]) for f in found]
+        columns = [pa.array([f[0][0] for f, k in zip(found, rows) for _ in range(k)], pa.binary()), *[pa.array(np.repeat([f[0][i] for f in found], rows), pa.int64()) for i in (1, 2)], *[pa.array(np.concatenate([f[i] for f in found])) for i in (1, 2)]]
+        none = np.concatenate([np.arange(k) >= len(f[4]) for f, k in zip(found, rows)])
+        columns += [pa.array(np.concatenate([x for f in found for x in (f[3][i].view(np.int64), np.zeros(f[5], np.int64))]), mask=none) for i in range(4)]
+        columns.append(pa.array([x for f in found for x in [*f[4], *[None] * f[5]]], pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _NODE.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        held = 0
         for whole in batches:
-            for row in zip(*whole.to_pydict().values()):
-                unit, n = row[1], row[4]
-                x = _letters(row[5], unit)
-                yield pa.RecordBatch.from_pydict({"class": pa.array([row[0]] * n, pa.binary()), "unit": pa.array(np.full(n, unit), pa.int64()), "a": pa.array(np.arange(row[3], row[3] + n)), "h": pa.array(rolling(x, lengths[unit], 0).view(np.int64)), "g": pa.array(rolling(x, lengths[unit], 1).view(np.int64))})
+            for i in range(0, whole.num_rows, 1_000):
+                for row in zip(*whole.slice(i, 1_000).to_pydict().values()):
+                    found.append(cells(*row))
+                    held += sum(map(len, found[-1][4]))
+                    if held > SHARD:
+                        yield out(found)
+                        found, held = [], 0
+        if found:
+            yield out(found)
+
+    return pieces.mapInArrow(run, _NODE)
 
-    strings = pieces.mapInArrow(run, "class binary, unit bigint, a bigint, h bigint, g bigint")
-    again = strings.groupBy("unit", "h", "g").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+
+def _counted_runs(pieces: DataFrame, lengths: tuple[int, int]) -> DataFrame:
+    """The same for groups of any size, by counting hashes of cells. Equal cells repeat with all their strings. Of each kind
+    of cell one goes on, and only where another kind shares what all strings of the cell hold; its strings are counted one
+    by one. Equal strings have their anchor at one place, so they are in cells of one place."""
+    key, runs = ["unit", "n", "h", "g"], None
     length = F.when(F.col("unit") == BYTES, lengths[BYTES]).otherwise(lengths[WORDS])
-    return strings.join(again, ["unit", "h", "g"]).select("class", "unit", "a", (F.col("a") + length).alias("b"))
+    for fine in (False, True):
+        nodes = written(_nodes(pieces, lengths, fine), "suffix-nodes", "zstd")
+        kinds = nodes.where(F.col("h").isNotNull()).groupBy(*key)
+        again = kinds.agg(F.count("*").alias("times")).where("times > 1").drop("times")
+        found = nodes.where(F.col("h").isNull()).select("class", "unit", "a", "n").union(nodes.join(again, key).select("class", "unit", "a", "n"))
+        found = found.select("class", "unit", "a", (F.col("a") + F.col("n") - 1 + length).alias("b"))
+        runs = found if runs is None else runs.union(found)
+        if not fine:
+            kinds = kinds.agg(F.any_value(F.struct("class", "fp", "a", "c", "d", "piece")).alias("one")).select("unit", "n", "one.*")
+            shared = kinds.groupBy("unit", "c", "d").agg(F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+            pieces = kinds.join(shared, ["unit", "c", "d"]).select("class", "unit", "fp", F.col("a").alias("start"), F.col("n").alias("starts"), "piece")
+    return runs
 
 
 def _kept(rows: DataFrame) -> DataFrame:

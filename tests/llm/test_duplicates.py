@@ -120,6 +120,38 @@ def test_removed_bytes_equal_brute_force(spark, monkeypatch, hot):
     assert suffix.deduplicated(docs.where("false")).collect() == []
 
 
+def test_hot_groups_are_counted_by_cells(spark, monkeypatch):
+    """The same as by sorting, from far fewer rows than there are strings."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(2, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage = text(110)
+    texts = [text(60) + passage[: rng.randint(len(passage) - 60, len(passage))] + text(60) for _ in range(60)]
+    texts += [text(20) + passage[rng.randint(0, 90) :] for _ in range(30)] + ["ab" * 900, "x" + "ab" * 600, "a" * 3000, (passage + " ") * 3]
+    for _ in range(40):
+        k = rng.randint(0, 500)
+        texts.append(texts[0][:k] + rng.choice("abcdé") + texts[0][k + 1 :])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, rows, write = [], [], suffix.written
+
+    def counting(df, name, compression="snappy"):
+        out = write(df, name, compression)
+        if name == "suffix-nodes":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffix, "written", counting)
+    for hot in (10_000, 5):
+        monkeypatch.setattr(suffix, "HOT", hot)
+        got.append(sorted(map(tuple, suffix.deduplicated(docs).drop("kept").collect())))
+    assert got[0] == got[1] and sum(r[2] for r in got[0]) > 50_000
+    strings = 0
+    for t in set(texts):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        strings += max(0, len(raw) - 399)
+    assert len(rows) == 2 and 0 < sum(rows) < strings / 3
+
+
 @pytest.mark.parametrize("hot", [2000, 1])
 def test_repeated_passages_of_words_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT", hot)
