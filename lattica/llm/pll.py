@@ -40,7 +40,9 @@ GROWTH, LEAST = 3, 8
 WINDOW, UNITS, ROUNDS, RATE, BATCH = 2, 24, 2, 0.2, 16_384
 #: Distinct words that a task counts before it hands them on; words a worker remembers; tokens scored at once; tokens
 #: whose windows are laid out at once.
-COUNTING, CACHE, AT_ONCE, LAID = 300_000, 500_000, 8_192, 400_000
+COUNTING, CACHE, AT_ONCE, LAID = 300_000, 500_000, 65_536, 400_000
+#: Rows of logits that are held at once, so that they stay in a core's cache.
+BLOCK = 1_024
 #: Parameters that travel as one value.
 PIECE = 8_192
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -222,11 +224,13 @@ class Network:
     def units(self, context: np.ndarray) -> np.ndarray:
         """tanh units of each context, and a 1 for the biases."""
         h = np.ones((context.shape[1], UNITS + 1), np.float32)
-        x = self.places[0][context[0]]
-        for k in range(1, 2 * WINDOW):
-            x += self.places[k][context[k]]
-        x += self.hidden
-        np.tanh(x, out=h[:, :UNITS])
+        for a in range(0, len(h), BLOCK):
+            c = context[:, a : a + BLOCK].astype(np.intp)
+            x = np.take(self.places[0], c[0], 0)
+            for k in range(1, 2 * WINDOW):
+                x += np.take(self.places[k], c[k], 0)
+            x += self.hidden
+            np.tanh(x, out=h[a : a + BLOCK, :UNITS])
         return h
 
     def _by_group(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
@@ -241,7 +245,7 @@ class Network:
         """context: a row of classes for each place around the target; target: leaves."""
         order, context, g, m, runs = self._by_group(context, target)
         h = self.units(context)
-        found = _picked(h @ self.out, g)
+        found = np.concatenate([_picked(h[a : a + BLOCK] @ self.out, g[a : a + BLOCK]) for a in range(0, max(1, len(h)), BLOCK)])
         for k, a, b in runs:
             found[a:b] += _picked(h[a:b] @ self.leaf[k], m[a:b])
         out = np.empty_like(found)
@@ -258,9 +262,13 @@ class Network:
             _, c, y, m, runs = self._by_group(contexts[:, i : i + BATCH], targets[i : i + BATCH])
             scale = np.float32(1 / math.sqrt(len(y)))
             h = self.units(c)
-            p = _softmax(h @ self.out)
-            p[np.arange(len(y)), y] -= 1
-            back = p @ self.out.T
+            back, out = np.empty_like(h), np.zeros_like(self.out)
+            for a in range(0, len(y), BLOCK):
+                own = h[a : a + BLOCK]
+                p = _softmax(own @ self.out)
+                p[np.arange(len(own)), y[a : a + BLOCK]] -= 1
+                np.matmul(p, self.out.T, out=back[a : a + BLOCK])
+                out += own.T @ p
             for k, a, b in runs:
                 own = h[a:b]
                 q = _softmax(own @ self.leaf[k])
@@ -274,7 +282,7 @@ class Network:
                 of = c[k][order]
                 first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                 places[k][of[first]] = np.add.reduceat(back[order], first)
-            for parameter, g, s in zip(self.parameters(), (places, back.sum(0), (h.T @ p) * scale), self.squares):
+            for parameter, g, s in zip(self.parameters(), (places, back.sum(0), out * scale), self.squares):
                 self._step(parameter, g, s)
 
 

@@ -238,6 +238,25 @@ def test_lm_training_lowers_the_loss_by_its_gradient():
     assert loss(trained) < loss(start)
 
 
+def test_lm_holds_few_rows_of_logits_at_once(monkeypatch):
+    """Blocks that stay in a core's cache give what one block of all rows gives."""
+    rng = np.random.default_rng(3)
+    count = rng.integers(0, 50, (9, 9)).astype(float)
+    contexts, leaves = rng.integers(0, pll.CLASSES + 1, (2 * pll.WINDOW, 700)).astype(np.uint8), np.repeat(np.arange(81), 9)[:700].astype(np.int32)
+    got, rows = [], []
+    for name in ("_softmax", "_picked"):
+        monkeypatch.setattr(pll, name, lambda z, *at, f=getattr(pll, name): (rows.append(len(z)), f(z, *at))[1])
+    for block in (1_000, 90):
+        monkeypatch.setattr(pll, "BLOCK", block)
+        rows.clear()
+        network = pll.Network(count)
+        network.learn(contexts, leaves)
+        got.append((network.flat(), network.log_probabilities(contexts, leaves)))
+        assert max(rows) == min(block, 700)
+    for a, b in zip(*got):
+        assert np.abs(a - b).max() < 1e-4
+
+
 def test_lm_words_share_rests_by_count(spark):
     words = [w for i in range(40) for w in [f"w{i:02}xx"] * (i + 1)]
     docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
