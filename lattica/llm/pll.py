@@ -23,9 +23,11 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,31 +44,82 @@ WINDOW, UNITS, ROUNDS, RATE, BATCH = 2, 24, 2, 0.2, 16_384
 #: whose windows are laid out at once.
 COUNTING, CACHE, AT_ONCE, LAID = 300_000, 500_000, 65_536, 400_000
 #: Rows of logits that are held at once, so that they stay in a core's cache.
-BLOCK = 1_024
+BLOCK = 512
 #: Parameters that travel as one value.
 PIECE = 8_192
+#: Bytes of texts that are cut into tokens at once (one text at least).
+SLICE = 8_000_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
+_TOKEN_OR_BREAK = re.compile(r"\w+|[^\w\s]+|\n")
 
 
 def tokens_of(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
+class Tokens:
+    """The tokens of texts. Arrow cuts the texts at ASCII white space and numbers the different pieces; only these are cut
+    into tokens, all by one search with a line break before each piece (none is inside). ``words`` are the different tokens."""
+
+    def __init__(self, texts: list[str | None]):
+        split = pc.ascii_split_whitespace(pa.array([(t or "").lower() for t in texts], pa.string()))
+        pieces = split.flatten().dictionary_encode()
+        self.piece, self.ends = pieces.indices.to_numpy(), split.offsets.to_numpy()
+        several = pa.ListArray.from_arrays(pa.array([0, len(pieces.dictionary)], pa.int32()), pieces.dictionary)
+        found = pa.array(_TOKEN_OR_BREAK.findall("\n" + pc.binary_join(several, "\n")[0].as_py()), pa.string()).dictionary_encode()
+        # The line break comes first, so its number is 0.
+        self.words, found = found.dictionary[1:], found.indices.to_numpy()
+        breaks = np.flatnonzero(found == 0)
+        #: Tokens of the different pieces; of each piece, where they begin there, and how many they are.
+        self.inside = found[found != 0] - 1
+        self.first = breaks - np.arange(len(breaks))
+        self.number = np.diff(breaks, append=len(found)) - 1
+
+    def counts(self) -> np.ndarray:
+        """Of each word, how often it stands in the texts."""
+        times = np.bincount(self.piece, minlength=len(self.number))
+        return np.bincount(self.inside, np.repeat(times, self.number), len(self.words)).astype(np.int64)
+
+    def in_order(self) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens, as places in ``words``, and where the tokens of each text begin, and at last where they end."""
+        number = self.number[self.piece]
+        upto = np.concatenate([[0], np.cumsum(number)])
+        at = np.repeat(self.first[self.piece] - upto[:-1], number)
+        at += np.arange(len(at))
+        return self.inside[at], upto[self.ends]
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    upto, i = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))]), 0
+    while i < batch.num_rows:
+        to = max(i + 1, int(np.searchsorted(upto, upto[i] + SLICE, "right")) - 1)
+        yield batch.slice(i, to - i)
+        i = to
+
+
+def _added(tables: list[pa.Table]) -> pa.Table:
+    found = pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")])
+    return pa.table({"word": found["word"], "n": found["n_sum"]})
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over all documents; each task counts before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
-
-        counts: Counter[str] = Counter()
+        held, rows = [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(tokens_of(text))
-                if len(counts) > COUNTING:
-                    yield out()
-                    counts.clear()
-        yield out()
+            for part in _slices(batch, 0):
+                tokens = Tokens(part.column(0).to_pylist())
+                held.append(pa.table({"word": tokens.words, "n": tokens.counts()}))
+                rows += len(tokens.words)
+                if rows > 2 * COUNTING:
+                    held = [_added(held)]
+                    rows = len(held[0])
+                if rows > COUNTING and len(held) == 1:
+                    yield from held.pop().to_batches()
+                    rows = 0
+        if held:
+            yield from _added(held).to_batches()
 
     return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -79,10 +132,18 @@ def _ending() -> Column:
     return F.crc32(F.right("word", F.lit(2)).cast("binary"))
 
 
+class Shape(NamedTuple):
+    """What the network needs of a vocabulary: the counts of the leaves, the classes they are seen as, the padding."""
+
+    count: np.ndarray
+    seen_as: np.ndarray
+    pad: int
+
+
 class Vocabulary(dict):
     """Word to its number, filled as words are met. By number, ``leaf`` has its leaf (group * side + place) and ``within``
     the log of its share of a rest, 0 for leaves of their own. Words that aren't among the frequent ones have the number
-    of their group's rest, from ``met`` on: their shares are joined."""
+    of their group's rest, from ``met`` on, and the log of their share less that of their count, which is joined."""
 
     def __init__(self, side: int, own: list[tuple[str, int]], rest: list[int], frequent: list[tuple[str, int]]):
         """own: words that are leaves and their counts, most frequent first. rest: each group's sum of the other counts.
@@ -90,9 +151,10 @@ class Vocabulary(dict):
         super().__init__()
         self.side, self.own, self.rest, self.frequent = side, own, rest, frequent
         self.known = {word: k for k, (word, _) in enumerate([*own, *frequent])}
-        self.met = len(self.known)
+        self.met, self.listed = len(self.known), None
         self.leaf, self.within = np.zeros(self.met + side, np.int32), np.zeros(self.met + side)
         self.leaf[self.met :] = np.arange(1, side + 1) * side - 1
+        self.within[self.met :] = -np.log(np.maximum(rest, 1))
         self.count = np.zeros((side, side))
         self.count[:, -1] = rest
         #: Of each leaf, and of the padding, the class that the network sees.
@@ -113,6 +175,9 @@ class Vocabulary(dict):
     def pad(self) -> int:
         return self.side * self.side
 
+    def shape(self) -> Shape:
+        return Shape(self.count, self.seen_as, self.pad)
+
     def __reduce__(self):
         return Vocabulary, (self.side, self.own, self.rest, self.frequent)
 
@@ -123,12 +188,38 @@ class Vocabulary(dict):
         return found
 
     def read(self, tokens: list[str]) -> tuple[bytes, float, Counter[str]]:
-        """The leaves of tokens (32 bits each), the sum of the logs of frequent ones, and the counts of the others."""
+        """The leaves of tokens (32 bits each), the sum of what ``within`` has of them, and the counts of the words that
+        aren't frequent."""
         if len(self) > CACHE:
             self.clear()
         numbers = np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
         return self.leaf[numbers].tobytes(), float(self.within[numbers].sum()), Counter([tokens[i] for i in np.flatnonzero(numbers >= self.met).tolist()])
 
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of different words."""
+        if self.listed is None:
+            self.listed = pa.array(self.known, pa.string())
+        found = pc.fill_null(pc.index_in(words, self.listed), -1).to_numpy(zero_copy_only=False).copy()
+        other = np.flatnonzero(found < 0)
+        ends = pc.utf8_slice_codeunits(words.take(pa.array(other)), -2).dictionary_encode()
+        of = np.array([self.met + ending(end) % self.side for end in ends.dictionary.to_pylist()], np.int32)
+        found[other] = of[ends.indices.to_numpy()]
+        return found
+
+    def read_all(self, texts: list[str | None]) -> tuple[pa.Array, np.ndarray, pa.Array, pa.Array]:
+        """The same of the tokens of many texts, with the other words and their counts as lists."""
+        tokens = Tokens(texts)
+        numbers = self.numbers(tokens.words)
+        found, upto = tokens.in_order()
+        text = np.repeat(np.arange(len(texts)), np.diff(upto))
+        leaves = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * upto).astype(np.int32)), pa.py_buffer(self.leaf[numbers][found])])
+        within = np.bincount(text, self.within[numbers][found], len(texts))
+        other = np.flatnonzero((numbers >= self.met)[found])
+        key, times = np.unique(text[other] * len(numbers) + found[other], return_counts=True)
+        of, word = np.divmod(key, max(1, len(numbers)))
+        upto = pa.array(np.searchsorted(of, np.arange(len(texts) + 1)), pa.int32())
+        return leaves, within, pa.ListArray.from_arrays(upto, tokens.words.take(pa.array(word))), pa.ListArray.from_arrays(upto, pa.array(times, pa.int64()))
+
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """From the counts of all words: the leaves, the shares of the KEPT most frequent other words, and the rests."""
@@ -148,43 +239,48 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def as_leaves(docs: DataFrame, words: Vocabulary) -> DataFrame:
-    """doc_id, id (of the row), leaves (32 bits for each token), within (sum of the logs of the frequent tokens' shares),
-    words and times (the other words and how often they stand in the text)."""
+    """doc_id, id (of the row), leaves (32 bits for each token), within (sum of the logs of the tokens' shares, less those of
+    the counts of the words that follow), words and times (words that aren't frequent, and how often they stand in the text)."""
     doc_id = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                batch = whole.slice(i, 500)
-                leaves, within, others = [], [], []
-                for text in batch.column(1).to_pylist():
-                    own, logs, rest = words.read(tokens_of(text))
-                    leaves.append(own)
-                    within.append(logs)
-                    others.append(rest)
+            for batch in _slices(whole, 1):
+                leaves, within, others, times = words.read_all(batch.column(1).to_pylist())
                 ids = pa.array(np.arange(first, first + len(leaves)), pa.int64())
                 first += len(leaves)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "id": ids, "leaves": pa.array(leaves, pa.binary()), "within": pa.array(within, pa.float64()), "words": pa.array([list(c) for c in others], pa.list_(pa.string())), "times": pa.array([list(c.values()) for c in others], pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "id": ids, "leaves": leaves, "within": pa.array(within, pa.float64()), "words": others, "times": times})
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, id bigint, leaves binary, within double, words array<string>, times array<bigint>")
 
 
-def with_shares(leaves: DataFrame, counts: DataFrame, words: Vocabulary) -> DataFrame:
-    """doc_id, leaves, within: with the shares of the words that aren't frequent, from the table of all counts."""
-    rest = leaves.sparkSession.createDataFrame([(g, float(n)) for g, n in enumerate(words.rest) if n > 0], "g int, total double")
-    # A word that is joined is never a leaf of its own, so its group has a rest.
-    logs = counts.withColumn("g", (_ending() % words.side).cast("int")).join(F.broadcast(rest), "g").select("word", F.log(F.col("n") / F.col("total")).alias("log"))
+def with_shares(leaves: DataFrame, counts: DataFrame, words: Vocabulary, rows: DataFrame | None = None) -> DataFrame:
+    """rows (of doc_id, id, within; those of leaves if None) without id, where within has the counts of the words that
+    aren't frequent, too."""
+    rows = leaves.drop("words", "times") if rows is None else rows
+    # The log of the count of a word that occurs once is 0, and no word that is joined is more frequent than the frequent ones.
+    most = words.frequent[-1][1] if words.frequent else 2**63 - 1
+    logs = counts.where(F.col("n").between(2, most)).select("word", F.log("n").alias("log"))
     met = leaves.select("id", F.inline(F.arrays_zip("words", "times"))).toDF("id", "word", "times")
     sums = met.join(logs, "word").groupBy("id").agg(F.sum(F.col("times") * F.col("log")).alias("rest"))
-    return leaves.select("doc_id", "id", "leaves", "within").join(sums, "id", "left").select("doc_id", "leaves", (F.col("within") + F.coalesce("rest", F.lit(0.0))).alias("within"))
+    return rows.join(sums, "id", "left").withColumn("within", F.col("within") + F.coalesce("rest", F.lit(0.0))).drop("id", "rest")
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """In place. Units lie between -1 and 1 and weights are moderate, so exponentials stay far from the limits of 32 bits."""
+def _softmax(h: np.ndarray, weights: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """h: rows of units and a 1; at: each row's target. What the loss of the softmax gives back to the units, and the
+    gradient of the weights without the targets' own part (less h, added up by target). Probabilities are never laid out:
+    a column of ones among the weights gives their sums, and the units are divided instead.
+    Units lie between -1 and 1 and weights are moderate, so exponentials stay far from the limits of 32 bits."""
+    through = np.ones(weights.shape[::-1], np.float32)
+    through[:, :-1] = weights[:-1].T
+    z = h @ weights
     np.exp(z, out=z)
-    z *= 1 / (z @ np.ones((z.shape[1], 1), np.float32))
-    return z
+    back = z @ through
+    inverse = 1 / back[:, -1:]
+    back *= inverse
+    back -= np.take(through, at, 0)
+    return back, (h * inverse).T @ z
 
 
 def _picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -194,6 +290,11 @@ def _picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out - np.log(z @ np.ones(z.shape[1], np.float32))
 
 
+def _first(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, int)
+
+
 class Network:
     def __init__(self, count: np.ndarray, seed: int = 5):
         """count: of each leaf, a row for each group."""
@@ -234,12 +335,12 @@ class Network:
         return h
 
     def _by_group(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-        """The order by group; contexts, groups and places in it; first and one past the last of each group that occurs."""
-        order = np.argsort(target, kind="stable")
-        target = target[order]
-        g, m = np.divmod(target, self.side)
-        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, int)
-        return order, context[:, order], g, m, list(zip(g[first].tolist(), first.tolist(), np.append(first[1:], len(g)).tolist()))
+        """The order by target; contexts, groups and places in it; first and one past the last of each group that occurs."""
+        # Sorting is by radix where targets fit in 16 bits.
+        order = np.argsort(target.astype(np.uint16) if self.side <= 256 else target, kind="stable")
+        g, m = np.divmod(np.take(target, order), self.side)
+        first = _first(g)
+        return order, np.take(context, order, 1), g, m, list(zip(g[first].tolist(), first.tolist(), np.append(first[1:], len(g)).tolist()))
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """context: a row of classes for each place around the target; target: leaves."""
@@ -264,24 +365,29 @@ class Network:
             h = self.units(c)
             back, out = np.empty_like(h), np.zeros_like(self.out)
             for a in range(0, len(y), BLOCK):
-                own = h[a : a + BLOCK]
-                p = _softmax(own @ self.out)
-                p[np.arange(len(own)), y[a : a + BLOCK]] -= 1
-                np.matmul(p, self.out.T, out=back[a : a + BLOCK])
-                out += own.T @ p
-            for k, a, b in runs:
-                own = h[a:b]
-                q = _softmax(own @ self.leaf[k])
-                q[np.arange(b - a), m[a:b]] -= 1
-                back[a:b] += q @ self.leaf[k].T
-                self._step(self.leaf[k], (own.T @ q) * scale, self.squares[3][k])
+                back[a : a + BLOCK], g = _softmax(h[a : a + BLOCK], self.out, y[a : a + BLOCK])
+                out += g
+            # Units added up by leaf; where each group's leaves begin among these sums.
+            first = _first(m + y * self.side)
+            sums, place = np.add.reduceat(h, first), m[first]
+            starts = np.searchsorted(first, [a for _, a, _ in runs])
+            out[:, y[first[starts]]] -= np.add.reduceat(sums, starts).T
+            for (k, a, b), u, v in zip(runs, starts.tolist(), [*starts[1:].tolist(), len(first)]):
+                weights = np.zeros_like(self.leaf[k])
+                for i in range(a, b, BLOCK):
+                    j = min(i + BLOCK, b)
+                    more, g = _softmax(h[i:j], self.leaf[k], m[i:j])
+                    back[i:j] += more
+                    weights += g
+                weights[:, place[u:v]] -= sums[u:v].T
+                self._step(self.leaf[k], weights * scale, self.squares[3][k])
             back = back[:, :UNITS] * (scale * (1 - h[:, :UNITS] ** 2))
             places = np.zeros_like(self.places)
             for k in range(2 * WINDOW):
                 order = np.argsort(c[k], kind="stable")
                 of = c[k][order]
-                first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-                places[k][of[first]] = np.add.reduceat(back[order], first)
+                first = _first(of)
+                places[k][of[first]] = np.add.reduceat(np.take(back, order, 0), first)
             for parameter, g, s in zip(self.parameters(), (places, back.sum(0), out * scale), self.squares):
                 self._step(parameter, g, s)
 
@@ -301,7 +407,8 @@ def _windows(sequences: list[bytes], pad: int) -> Iterator[tuple[int, np.ndarray
 
 
 def _contexts(x: np.ndarray, at: np.ndarray, seen_as: np.ndarray) -> np.ndarray:
-    return np.stack([seen_as[x[at + d]] for d in range(-WINDOW, WINDOW + 1) if d])
+    seen = np.take(seen_as, x)
+    return np.stack([np.take(seen, at + d) for d in range(-WINDOW, WINDOW + 1) if d])
 
 
 def targets(at: np.ndarray, r: int) -> np.ndarray:
@@ -317,18 +424,19 @@ def _summed(rows: pa.Table) -> pa.Table:
 
 def trained(leaves: DataFrame, words: Vocabulary) -> Network:
     """Rounds of local training and averaging; parameters travel in pieces, and the driver gets each piece once."""
-    network = Network(words.count)
+    shape = words.shape()
+    network = Network(shape.count)
 
     for r in range(ROUNDS):
 
         def run(batches: Iterator[pa.RecordBatch], start: Network = network, r: int = r) -> Iterator[pa.RecordBatch]:
-            own = Network(words.count)
+            own = Network(shape.count)
             own.set_flat(start.flat())
             seen = 0
             for batch in batches:
-                for _, x, at, _ in _windows([b or b"" for b in batch.column(0).to_pylist()], words.pad):
+                for _, x, at, _ in _windows([b or b"" for b in batch.column(0).to_pylist()], shape.pad):
                     at = np.random.default_rng(r).permutation(targets(at, r))
-                    own.learn(_contexts(x, at, words.seen_as), x[at])
+                    own.learn(_contexts(x, at, shape.seen_as), x[at])
                     seen += len(at)
             if seen:
                 values = own.flat().astype(float) * seen
@@ -338,12 +446,12 @@ def trained(leaves: DataFrame, words: Vocabulary) -> Network:
         sums = leaves.select("leaves").mapInArrow(run, "k int, v binary, n double").groupBy("k").applyInArrow(_summed, "k int, v binary, n double").toArrow()
         if sums.num_rows:
             by_piece = sorted(zip(sums["k"].to_pylist(), sums["v"].to_pylist(), sums["n"].to_pylist()))
-            network = Network(words.count)
+            network = Network(shape.count)
             network.set_flat(np.concatenate([np.frombuffer(v) / n for _, v, n in by_piece]))
     return network
 
 
-def score_sequences(network: Network, sequences: list[bytes], words: Vocabulary) -> np.ndarray:
+def score_sequences(network: Network, sequences: list[bytes], words: Vocabulary | Shape) -> np.ndarray:
     """Of each text, the sum of the log-probabilities of its tokens' leaves."""
     total = np.zeros(len(sequences))
     for first, x, at, text in _windows(sequences, words.pad):
@@ -359,14 +467,17 @@ def scored(docs: DataFrame) -> DataFrame:
     counts = written(word_counts(docs), "pll-words")
     words = vocabulary(counts)
     leaves = written(as_leaves(docs, words), "pll-leaves")
-    network = trained(leaves, words)
+    network, shape = trained(leaves, words), words.shape()
     doc_id = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sequences = [b or b"" for b in batch.column(1).to_pylist()]
+            sequences = [b or b"" for b in batch.column(2).to_pylist()]
             n = np.array([len(s) // 4 for s in sequences], dtype=np.int64)
-            score = score_sequences(network, sequences, words) + batch.column(2).to_numpy()
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "score": pa.array(score, pa.float64()), "mean_score": pa.array(score / np.maximum(n, 1), pa.float64())})
+            score = score_sequences(network, sequences, shape) + batch.column(3).to_numpy()
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "id": batch.column(1), "n_tokens": pa.array(n, pa.int64()), "within": pa.array(score, pa.float64())})
 
-    return with_shares(leaves, counts, words).mapInArrow(run, f"doc_id {doc_id}, n_tokens bigint, score double, mean_score double")
+    # Scores, not texts, are joined with the shares of rare words.
+    sums = leaves.select("doc_id", "id", "leaves", "within").mapInArrow(run, f"doc_id {doc_id}, id bigint, n_tokens bigint, within double")
+    score = with_shares(leaves, counts, words, sums).withColumnRenamed("within", "score")
+    return score.select("doc_id", "n_tokens", "score", (F.col("score") / F.greatest("n_tokens", F.lit(1))).alias("mean_score"))

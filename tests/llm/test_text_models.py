@@ -277,3 +277,52 @@ def test_lm_learns_and_defines_odd_rows(spark):
     assert len(rows) == len(ODD)
     assert all(r.n_tokens == 0 and r.score == 0 and r.mean_score == 0 for r in rows if r.doc_id in (1, 2, 3))
     assert pll.scored(odd(spark).where("false")).collect() == []
+
+
+def test_lm_cuts_each_piece_once_and_finds_all_tokens(monkeypatch):
+    """Texts cut at white space, each different piece searched once, against one search of each text."""
+    texts = ["", None, "  ", " a  b", "a\x1cb\x85c\xa0d e", "İSTANBUL ΑΣ ΑΣ. ΣΑ", "x\ny\r\n\tz ", "\n", "«¡hé!» don't a_b 12.5", "​z", "日本語 テキスト。", "éa", "b a a b a"]
+    rng = np.random.default_rng(4)
+    texts += ["".join(rng.choice(list("abÄß_1.,'́ \n\t\x0b\x1f "), 40)) for _ in range(60)]
+    for batch in (texts, [], [None], [" \n"]):
+        tokens = pll.Tokens(batch)
+        words, (found, upto) = tokens.words.to_pylist(), tokens.in_order()
+        want = [pll.tokens_of(t) for t in batch]
+        assert [[words[i] for i in found[a:b]] for a, b in zip(upto, upto[1:])] == want
+        assert dict(zip(words, tokens.counts())) == {w: sum(t.count(w) for t in want) for w in words} and set(words) == {w for t in want for w in t}
+    count = {w: n + 1 for n, w in enumerate(sorted({w for t in texts for w in pll.tokens_of(t)}))}
+    own, frequent = sorted(count.items())[:7], sorted(count.items())[7:20]
+    vocabulary = pll.Vocabulary(16, own, [50_000] * 16, frequent)
+    leaves, within, words, times = vocabulary.read_all(texts)
+    for t, leaf, log, others, n in zip(texts, leaves.to_pylist(), within, words.to_pylist(), times.to_pylist()):
+        want = vocabulary.read(pll.tokens_of(t))
+        assert (leaf, dict(zip(others, n))) == (want[0], dict(want[2])) and abs(log - want[1]) < 1e-9
+    cut, search = [], pll._TOKEN_OR_BREAK
+    monkeypatch.setattr(pll, "_TOKEN_OR_BREAK", type("Seen", (), {"findall": staticmethod(lambda t: (cut.append(t), search.findall(t))[1])}))
+    assert pll.Tokens(["the cat, the cat," + " the cat, the cat," * 999] * 5).counts().tolist() == [10_000] * 3 and cut == ["\nthe\ncat,"]
+
+
+def test_lm_counts_are_added_up_before_they_are_handed_on(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"a b{i % 7} c{i}",) for i in range(200)] + [(None,), (" ",)], "text string")
+    want = {"a": 200} | {f"b{k}": len(range(k, 200, 7)) for k in range(7)} | {f"c{i}": 1 for i in range(200)}
+    for counting, size in ((300_000, 8_000_000), (20, 60), (3, 1)):
+        monkeypatch.setattr(pll, "COUNTING", counting)
+        monkeypatch.setattr(pll, "SLICE", size)
+        assert {r.word: r.n for r in pll.word_counts(docs).collect()} == want
+
+
+def test_lm_joins_scores_and_not_texts(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    plan = pll.scored(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("MapInArrow")
+
+
+def test_lm_orders_many_leaves_as_few():
+    rng = np.random.default_rng(6)
+    for side in (9, 256, 300):
+        network = object.__new__(pll.Network)
+        network.side, target = side, np.append(rng.integers(0, side * side, 500), [0, side * side - 1]).astype(np.int32)
+        context = rng.integers(0, 256, (4, 502)).astype(np.uint8)
+        order, c, g, m, runs = network._by_group(context, target)
+        assert (order == np.argsort(target, kind="stable")).all() and (c == context[:, order]).all() and (g * side + m == target[order]).all()
+        assert [k for k, _, _ in runs] == sorted(set(g.tolist())) and all((g[a:b] == k).all() for k, a, b in runs) and runs[-1][2] == 502
