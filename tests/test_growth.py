@@ -1,14 +1,15 @@
 """What queries write and hold as tables grow: results in full, from less."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lattica import storage
 from lattica.catalog import Catalog
-from lattica.operators import usages
-from lattica.sources import tables
+from lattica.operators import edits, usages
+from lattica.sources import rdf, scan, tables
 
 SF = "/root/testdata/sf0.01"
 
@@ -65,3 +66,47 @@ def test_axioms_of_a_module_keep_copies_and_leave_out_what_names_others(spark):
     found = usages.module_axioms(c, inside)
     assert found.columns == c.axioms.columns
     assert sorted(r.id for r in found.collect()) == ["x0", "x0", "x2", "x4"]
+
+
+class _TermByTerm(edits._Places):
+    def statement(self) -> bool:
+        return False
+
+
+def test_plain_statements_are_read_by_one_match_and_as_before():
+    rng = random.Random(6)
+    pieces = ["<urn:a>", "<>", '"x"', '""', '"x"^^<urn:d>', '"x"^^<>', '"x"@en', '"""l"""', '"a\\"b"', "_:b", ",", ";", ".", "# c\n", "a", ".5", "[", "]", "<urn:\\u0041>", "p:x", "{", "}", "@base <http://b/> ."]
+    good = ["<urn:a> <urn:p> <urn:o> .", '<urn:a> <urn:p> "x" , "y"^^<urn:d> ;\n <urn:q> <urn:z> .', "p:x a <urn:T> ; <urn:p> 'q' .", "<urn:g> { <urn:a> <urn:p> <urn:o> . }", "<urn:a> <urn:p> <urn:o> ; .", '# c <urn:x>\n<urn:é> <urn:p> "ü" ;<urn:p> <urn:k>.']
+
+    def read(cls, text):
+        out = rdf.Parsed()
+        places = None
+        try:
+            places = cls(text, out)
+            places.document()
+        except rdf._Stop as e:
+            out.error = f"{e} {e.at}"
+        return out.quads, out.prefixes, out.error, out.error or (places.terms, places.statements)
+
+    for k in range(4_000):
+        text = "@prefix p: <urn:> . " + "".join(rng.choice(good) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(0, 3)))
+        text += "".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randint(1, 6) * (k % 2)))
+        fast = read(edits._Places, text)
+        assert fast == read(_TermByTerm, text), text
+        assert fast[0] == rdf.parse_turtle(text).quads
+    steps = []
+    places = edits._Places(good[1] * 50, rdf.Parsed())
+    places.node = lambda: steps.append(1)
+    places.document()
+    assert not steps and len(places.statements) == 50
+
+
+def test_files_give_the_rows_that_are_asked_for_a_few_mb_at_once(spark):
+    texts = ["<urn:a> <http://www.w3.org/2000/01/rdf-schema#subClassOf> _:x . <urn:b> <urn:p> 'v'@en .", None, "<urn:a> <urn:p> <urn:b> . <broken", ""]
+    files = spark.createDataFrame([(f"/m/{i}.ttl", i, "turtle", x) for i, x in enumerate(texts)], "path string, doc_order bigint, format string, text string")
+    whole = scan.parse_files(files)
+    key = ["path", "row", *"abcdefgh"]
+    for kinds in ({"quad"}, {"axiom"}, {"quad", "error", "failure"}):
+        assert scan.parse_files(files, kinds).select(key).exceptAll(whole.where(F.col("row").isin(*kinds)).select(key)).isEmpty()
+        assert scan.parse_files(files, kinds).count() == whole.where(F.col("row").isin(*kinds)).count()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
