@@ -1,14 +1,18 @@
 """What queries write and hold as tables grow: results in full, from less."""
 
+import json
 import os
 import random
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica import storage
 from lattica.catalog import Catalog
-from lattica.operators import edits, usages
+from lattica import queries as library
+from lattica.model import SWRL_RULE
+from lattica.operators import edits, refactor, swrl, usages
 from lattica.sources import rdf, scan, tables
 
 SF = "/root/testdata/sf0.01"
@@ -110,3 +114,39 @@ def test_files_give_the_rows_that_are_asked_for_a_few_mb_at_once(spark):
         assert scan.parse_files(files, kinds).select(key).exceptAll(whole.where(F.col("row").isin(*kinds)).select(key)).isEmpty()
         assert scan.parse_files(files, kinds).count() == whole.where(F.col("row").isin(*kinds)).count()
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
+
+
+def test_rules_hold_only_facts_that_they_read_or_make(spark, folder):
+    atom = lambda p, a, b: {"kind": "property", "property": p, "args": [a, b]}
+    kind = lambda c, a: {"kind": "class", "class": c, "args": [a]}
+    rules = [
+        {"body": [atom("urn:p", "?a", "?b")], "head": [atom("urn:q", "?b", "?a")]},
+        {"body": [atom("urn:q", "?a", "?b"), kind("urn:C", "?a")], "head": [kind("urn:D", "?b"), atom(rdf.TYPE, "?a", "urn:E")]},
+        {"body": [kind("urn:E", "?a"), atom("urn:p", "?a", "?b")], "head": [atom("urn:p", "?b", "?a")]},
+    ]
+    rows = [(f"urn:s{i}", "urn:other", f"urn:o{i}", "object_property_assertion") for i in range(500)]
+    rows += [("urn:a", "urn:p", "urn:b", "object_property_assertion")] * 2 + [("urn:b", "urn:q", "urn:a", "object_property_assertion"), ("urn:b", rdf.TYPE, "urn:C", "class_assertion"), ("urn:b", "urn:p", "urn:c", "object_property_assertion"), ("urn:a", rdf.TYPE, "urn:D", "class_assertion")]
+    c = _axioms(spark, rows, [])
+    quads = [(f"urn:r{i}", "iri", SWRL_RULE, json.dumps(r), "literal", None, None, None, "d") for i, r in enumerate(rules)]
+    found, warnings = swrl.materialise(c.with_(quads=spark.createDataFrame(quads, c.quads.schema)))
+    assert not warnings
+    # urn:b is an urn:E, as it is an urn:C to which something has urn:p; then urn:c has urn:p to it, and urn:b urn:q to urn:c.
+    assert sorted(tuple(r) for r in found.collect()) == sorted([("urn:c", "urn:q", "urn:b"), ("urn:b", rdf.TYPE, "urn:E"), ("urn:c", "urn:p", "urn:b"), ("urn:b", "urn:q", "urn:c"), ("urn:c", rdf.TYPE, "urn:D")])
+    assert sum(spark.read.parquet(f"file://{folder}/{d}").count() for d in os.listdir(folder)) < 50
+
+
+def test_a_plan_compares_each_part_in_one_shuffle(spark):
+    a = _axioms(spark, [("urn:a", "", "urn:b", "sub_class_of")] * 3 + [("urn:c", "", "urn:d", "sub_class_of")], [])
+    b = _axioms(spark, [("urn:a", "", "urn:b", "sub_class_of")] + [("urn:e", "", "urn:f", "sub_class_of")] * 2, [])
+    delta = refactor.plan(a, b)
+    ops = sorted((r.op, json.loads(r.row)["subject"]) for r in delta.collect())
+    assert ops == [("add", "urn:e"), ("add", "urn:e"), ("remove", "urn:a"), ("remove", "urn:a"), ("remove", "urn:c")]
+    axioms = delta.where("part = 'axioms'")
+    assert axioms._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+
+
+def test_lines_of_a_diff_stay_in_their_tasks(spark, monkeypatch):
+    monkeypatch.setattr(DataFrame, "collect", lambda self: pytest.fail("lines on the driver"))
+    lines = library.QUERIES["v9_diff_text"](spark, SF)
+    monkeypatch.undo()
+    assert lines.count() > 100
